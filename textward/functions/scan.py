@@ -6,10 +6,10 @@ a hit pay for extraction. No Python and no shuffle are involved.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH_TYPE = (
@@ -18,70 +18,61 @@ MATCH_TYPE = (
 )
 
 
-def any_literal(text: Column, needles: tuple[str, ...]) -> Column:
-    cond = F.lit(False)
-    for needle in needles:
-        cond = cond | F.contains(text, F.lit(needle))
-    return cond
+def sql_text(value: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# One left-to-right fold over (match, gap before it) pairs: the character and byte positions
+# advance together. Written as SQL text because one parsed expression builds far faster than
+# the same tree assembled call by call.
+FOLD = """
+aggregate(
+  arrays_zip(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1)),
+  named_struct('c', 0, 'b', 0, 'out', CAST(array() AS {matches})),
+  (acc, p) -> named_struct(
+    'c', acc.c + length(p.`1`) + coalesce(length(p.`0`), 0),
+    'b', acc.b + octet_length(p.`1`) + coalesce(octet_length(p.`0`), 0),
+    'out', CASE WHEN p.`0` IS NOT NULL AND {keep} THEN concat(acc.out, array(named_struct(
+        'value', {value},
+        'char_start', acc.c + length(p.`1`) + length(p.`0`) - length({value}),
+        'char_end', acc.c + length(p.`1`) + length(p.`0`),
+        'start', acc.b + octet_length(p.`1`) + octet_length(p.`0`) - octet_length({value}),
+        'end', acc.b + octet_length(p.`1`) + octet_length(p.`0`),
+        'before', CASE WHEN acc.c + length(p.`1`) > 0
+                  THEN substr({text}, acc.c + length(p.`1`), 1) ELSE '' END,
+        'after', substr({text}, acc.c + length(p.`1`) + length(p.`0`) + 1, 1))))
+      ELSE acc.out END),
+  acc -> acc.out)"""
 
 
 def matches(
-    text: Column,
+    text: str,
     pattern: str,
     needles: tuple[str, ...] = (),
-    gate: str | None = None,
+    gate: str = "",
     tail_group: bool = False,
-    keep: Callable[[Column], Column] | None = None,
+    keep: str = "true",
 ) -> Column:
-    """All non-overlapping matches of `pattern`, left to right.
+    """All non-overlapping matches of `pattern` in the named column, left to right.
 
-    `needles` and `gate` are necessary conditions checked before the scan. With
-    `tail_group` the span is the first capture group, which must end the match.
-    `keep` drops candidates while scanning: they still consume their text.
+    `needles` (literals) and `gate` (a boolean column) are necessary conditions checked
+    before the scan. With `tail_group` the span is the first capture group, which must end the match.
+    `keep` is a condition on the candidate `p.0`; dropped candidates still consume their text.
     """
-    pieces = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    shown = "p.`0`"
+    if tail_group:
+        shown = f"regexp_extract(p.`0`, {sql_text(pattern)}, 1)"
+    found = FOLD.format(
+        text=text, pattern=sql_text(pattern), matches=MATCH_TYPE, keep=keep, value=shown
     )
-
-    def step(acc: Column, piece: Column) -> Column:
-        value, gap = piece["0"], piece["1"]
-        char_at = acc["c"] + F.length(gap)
-        byte_at = acc["b"] + F.octet_length(gap)
-        if tail_group:
-            shown = F.regexp_extract(value, pattern, 1)
-        else:
-            shown = value
-        char_end = char_at + F.length(value)
-        byte_end = byte_at + F.octet_length(value)
-        char_start = char_end - F.length(shown)
-        item = F.struct(
-            shown.alias("value"),
-            char_start.alias("char_start"),
-            char_end.alias("char_end"),
-            (byte_end - F.octet_length(shown)).alias("start"),
-            byte_end.alias("end"),
-            F.when(char_start > 0, F.substr(text, char_start, F.lit(1)))
-            .otherwise("")
-            .alias("before"),
-            F.substr(text, char_end + 1, F.lit(1)).alias("after"),
-        )
-        wanted = value.isNotNull() if keep is None else value.isNotNull() & keep(value)
-        return F.struct(
-            F.coalesce(char_end, acc["c"]).alias("c"),
-            F.coalesce(byte_end, acc["b"]).alias("b"),
-            F.when(wanted, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(
-        F.lit(0).alias("c"),
-        F.lit(0).alias("b"),
-        F.array().cast(MATCH_TYPE).alias("out"),
-    )
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    hit = F.rlike(text, F.lit(gate or pattern))
+    hit = f"{text} RLIKE {sql_text(pattern)}"
     if needles:
-        hit = any_literal(text, needles) & hit
-    return F.when(hit, found).otherwise(F.array().cast(MATCH_TYPE))
+        any_of = " OR ".join(f"contains({text}, {sql_text(n)})" for n in needles)
+        hit = f"({any_of}) AND {hit}"
+    if gate:
+        hit = f"{gate} AND {hit}"
+    return F.expr(f"CASE WHEN {hit} THEN {found} ELSE CAST(array() AS {MATCH_TYPE}) END")
 
 
 @dataclass(frozen=True)
@@ -94,19 +85,19 @@ class Detector:
     patterns: tuple[str, ...]
     confidence: float
     needles: tuple[str, ...] = ()
-    gate: str | None = None
+    gate: str = ""
     tail_group: bool = False
     check: Callable[[Column], Column] | None = None
-    keep: Callable[[Column], Column] | None = None
+    keep: str = "true"
     label: str = "pattern"
     ip_version: str | None = None
-    ip_scope: Callable[[Column], Column] | None = field(default=None)
+    ip_scope: Callable[[Column], Column] | None = None
 
-    def findings(self, text: Column, order: int) -> Column:
+    def findings(self, text: str, order: int, gate: str = "") -> Column:
         """Array of finding structs of this detector for one text column."""
         found = []
         for rank, pattern in enumerate(self.patterns):
-            hits = matches(text, pattern, self.needles, self.gate, self.tail_group, self.keep)
+            hits = matches(text, pattern, self.needles, gate, self.tail_group, self.keep)
             if self.check is not None:
                 hits = F.filter(hits, self.check)
             found.append(F.transform(hits, lambda m, r=rank: self._finding(m, order, r)))
@@ -128,3 +119,18 @@ class Detector:
             F.lit(self.ip_version).cast("string").alias("ip_version"),
             scope.alias("ip_scope"),
         )
+
+
+def with_findings(df: DataFrame, detectors: Iterable[Detector], text: str = "text") -> DataFrame:
+    """One row per finding `f` beside the columns of `df`.
+
+    Gates shared by several detectors become columns first, so each runs once per text.
+    """
+    detectors = tuple(detectors)
+    gates = {g: f"_gate{i}" for i, g in enumerate(dict.fromkeys(d.gate for d in detectors if d.gate))}
+    gated = df.select("*", *[F.expr(f"{text} RLIKE {sql_text(g)}").alias(n) for g, n in gates.items()])
+    found = [
+        d.findings(text, order, gates.get(d.gate, "")) for order, d in enumerate(detectors)
+    ]
+    array = found[0] if len(found) == 1 else F.concat(*found)
+    return gated.select(*df.columns, F.explode(array).alias("f"))

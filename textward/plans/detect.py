@@ -324,9 +324,7 @@ def offset_units(spark, folder):
     from pyspark.sql import Window
 
     parts = document_parts(spark, folder)
-    found = parts.select(
-        "request_id", "text", F.explode(D.finding_array(F.col("text"), [D.MAIL])).alias("f")
-    )
+    found = D.with_findings(parts.select("request_id", "text"), [D.MAIL])
     n = F.row_number().over(Window.partitionBy("request_id").orderBy("f.start"))
     rest = F.col("request_id") % 3
     unit = F.when(rest == 0, "byte").when(rest == 1, "codepoint").otherwise("utf16")
@@ -374,12 +372,7 @@ FROM m WHERE {K.EMAIL_OK} GROUP BY 1, 2, 3, 4"""
 @query("dedupe_chunk_spans", CHUNK_SPANS_SQL)
 def dedupe_chunk_spans(spark, folder):
     chunks = D.chunk_text(document_parts(spark, folder), CHUNK, OVERLAP)
-    found = chunks.select(
-        "request_id",
-        "chunk_no",
-        "byte_start",
-        F.explode(D.finding_array(F.col("chunk"), [D.MAIL])).alias("f"),
-    )
+    found = D.with_findings(chunks, [D.MAIL], "chunk")
     spans = found.select(
         "request_id",
         "byte_start",
@@ -409,11 +402,8 @@ WHERE confidence >= CASE label WHEN 'EMAIL' THEN 0.3 WHEN 'IP_ADDRESS' THEN 0.5
 @query("ner_entity_filter", ENTITY_SQL)
 def ner_entity_filter(spark, folder):
     parts = planted_parts(spark, folder)
-    rows = parts.select(
-        "request_id",
-        D.language_of(F.col("text")).alias("language"),
-        F.explode(D.finding_array(F.col("text"), D.PERSONAL)).alias("f"),
-    )
+    tagged = parts.select("request_id", "text", D.language_of(F.col("text")).alias("language"))
+    rows = D.with_findings(tagged, D.PERSONAL)
     subtype = F.col("f.subtype")
     spans = rows.select(
         "request_id",
