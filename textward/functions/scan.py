@@ -121,8 +121,10 @@ class Detector:
         )
 
 
-def with_findings(df: DataFrame, detectors: Iterable[Detector], text: str = "text") -> DataFrame:
-    """One row per finding `f` beside the columns of `df`.
+def finding_array(
+    df: DataFrame, detectors: Iterable[Detector], name: str, text: str = "text"
+) -> DataFrame:
+    """`df` with one array column holding all findings of its text.
 
     Gates shared by several detectors become columns first, so each runs once per text.
     """
@@ -133,4 +135,10 @@ def with_findings(df: DataFrame, detectors: Iterable[Detector], text: str = "tex
         d.findings(text, order, gates.get(d.gate, "")) for order, d in enumerate(detectors)
     ]
     array = found[0] if len(found) == 1 else F.concat(*found)
-    return gated.select(*df.columns, F.explode(array).alias("f"))
+    return gated.select(*df.columns, array.alias(name))
+
+
+def with_findings(df: DataFrame, detectors: Iterable[Detector], text: str = "text") -> DataFrame:
+    """One row per finding `f` beside the columns of `df`."""
+    found = finding_array(df, detectors, "_found", text)
+    return found.select(*df.columns, F.explode("_found").alias("f"))

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("detect", "decide")
+MODULES = ("detect", "decide", "rewrite")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")
