@@ -118,3 +118,57 @@ SELECT doc_id AS request_id, text || CASE doc_id % {KINDS}
     || 'Dr. Anna Lind at 2001:db8::1 and 10.0.0.7 {THAI_ADDRESS} ' || substr(h, 1, 8)
   END AS text
 FROM (SELECT doc_id, text, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents)"""
+
+
+# ---- hidden secrets ------------------------------------------------------------------------
+
+HIDDEN_KINDS = 8
+ESCAPED = "%67%6C%70%61%74%2D"
+PLAIN_WORDS = "only plain harmless words in here"
+
+
+def hidden_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents ending in a token hidden by look-alikes, controls, width or an encoding."""
+    h = hex_of(F.col("doc_id"))
+    token = F.concat(F.lit("glpat-"), F.substring(h, 1, 24))
+    slot = F.col("doc_id") % HIDDEN_KINDS
+    escapes = F.array_join(
+        F.transform(
+            F.filter(F.split(token, ""), lambda c: c != ""),
+            lambda c: F.concat(F.lit("\\u00"), F.lower(F.hex(F.ascii(c)))),
+        ),
+        "",
+    )
+    suffix = (
+        F.when(slot == 0, F.concat(F.lit("ѕk-"), F.substring(h, 1, 32)))
+        .when(slot == 1, F.concat(F.lit("glp​at-"), F.substring(h, 1, 24)))
+        .when(slot == 2, F.concat(F.lit("ＡＫＩＡ"), F.upper(F.substring(h, 1, 16)), F.lit(" end")))
+        .when(slot == 3, F.base64(F.encode(token, "utf-8")))
+        .when(slot == 4, F.concat(F.lit(ESCAPED), F.substring(h, 1, 24)))
+        .when(slot == 5, escapes)
+        .when(slot == 6, F.lower(F.hex(F.encode(token, "utf-8"))))
+        .otherwise(F.base64(F.encode(F.lit(PLAIN_WORDS), "utf-8")))
+    )
+    rows = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("request_id"),
+        F.lit(0).alias("message_index"),
+        F.lit(0).alias("part_index"),
+        F.lit("user").alias("role"),
+        F.lit("text").alias("part_type"),
+        F.concat("text", F.lit(" "), suffix).alias("text"),
+    )
+    return spread(rows, "request_id")
+
+
+HIDDEN_SQL = f"""
+SELECT doc_id AS request_id, text || ' ' || CASE doc_id % {HIDDEN_KINDS}
+  WHEN 0 THEN chr(1109) || 'k-' || substr(h, 1, 32)
+  WHEN 1 THEN 'glp' || chr(8203) || 'at-' || substr(h, 1, 24)
+  WHEN 2 THEN chr(65313) || chr(65323) || chr(65321) || chr(65313) || upper(substr(h, 1, 16)) || ' end'
+  WHEN 3 THEN to_base64(encode('glpat-' || substr(h, 1, 24)))
+  WHEN 4 THEN '{ESCAPED}' || substr(h, 1, 24)
+  WHEN 5 THEN list_aggregate(list_transform(string_split('glpat-' || substr(h, 1, 24), ''),
+    lambda c: chr(92) || 'u00' || lower(hex(c))), 'string_agg', '')
+  WHEN 6 THEN lower(hex('glpat-' || substr(h, 1, 24)))
+  ELSE to_base64(encode('{PLAIN_WORDS}')) END AS text, length(text) AS base_chars
+FROM (SELECT doc_id, text, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents)"""
