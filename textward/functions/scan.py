@@ -12,9 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MATCH_TYPE = (
-    "array<struct<value:string,char_start:int,char_end:int,start:int,end:int,"
-    "before:string,after:string>>"
+MATCH_FIELDS = (
+    "value:string,char_start:int,char_end:int,start:int,end:int,before:string,after:string"
+)
+TAG_FIELDS = (
+    "category:string,subtype:string,detector:string,confidence:double,detector_order:int,"
+    "ip_version:string"
 )
 
 
@@ -29,11 +32,11 @@ def sql_text(value: str) -> str:
 FOLD = """
 aggregate(
   arrays_zip(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1)),
-  named_struct('c', 0, 'b', 0, 'out', CAST(array() AS {matches})),
+  named_struct('c', 0, 'b', 0, 'out', CAST(array() AS array<struct<{fields}>>)),
   (acc, p) -> named_struct(
     'c', acc.c + length(p.`1`) + coalesce(length(p.`0`), 0),
     'b', acc.b + octet_length(p.`1`) + coalesce(octet_length(p.`0`), 0),
-    'out', CASE WHEN p.`0` IS NOT NULL AND {keep} THEN concat(acc.out, array(named_struct(
+    'out', CASE WHEN p.`0` IS NOT NULL AND {keep} THEN concat(acc.out, array(CAST(named_struct(
         'value', {value},
         'char_start', acc.c + length(p.`1`) + length(p.`0`) - length({value}),
         'char_end', acc.c + length(p.`1`) + length(p.`0`),
@@ -41,7 +44,8 @@ aggregate(
         'end', acc.b + octet_length(p.`1`) + octet_length(p.`0`),
         'before', CASE WHEN acc.c + length(p.`1`) > 0
                   THEN substr({text}, acc.c + length(p.`1`), 1) ELSE '' END,
-        'after', substr({text}, acc.c + length(p.`1`) + length(p.`0`) + 1, 1))))
+        'after', substr({text}, acc.c + length(p.`1`) + length(p.`0`) + 1, 1){tags})
+        AS struct<{fields}>)))
       ELSE acc.out END),
   acc -> acc.out)"""
 
@@ -53,18 +57,21 @@ def matches(
     gate: str = "",
     tail_group: bool = False,
     keep: str = "true",
+    tags: str = "",
 ) -> Column:
     """All non-overlapping matches of `pattern` in the named column, left to right.
 
     `needles` (literals) and `gate` (a boolean column) are necessary conditions checked
     before the scan. With `tail_group` the span is the first capture group, which must end the match.
     `keep` is a condition on the candidate `p.0`; dropped candidates still consume their text.
+    `tags` are constant fields every match carries.
     """
+    fields = MATCH_FIELDS + ("," + TAG_FIELDS if tags else "")
     shown = "p.`0`"
     if tail_group:
         shown = f"regexp_extract(p.`0`, {sql_text(pattern)}, 1)"
     found = FOLD.format(
-        text=text, pattern=sql_text(pattern), matches=MATCH_TYPE, keep=keep, value=shown
+        text=text, pattern=sql_text(pattern), fields=fields, keep=keep, value=shown, tags=tags
     )
     hit = f"{text} RLIKE {sql_text(pattern)}"
     if needles:
@@ -72,7 +79,7 @@ def matches(
         hit = f"({any_of}) AND {hit}"
     if gate:
         hit = f"{gate} AND {hit}"
-    return F.expr(f"CASE WHEN {hit} THEN {found} ELSE CAST(array() AS {MATCH_TYPE}) END")
+    return F.expr(f"CASE WHEN {hit} THEN {found} ELSE CAST(array() AS array<struct<{fields}>>) END")
 
 
 @dataclass(frozen=True)
@@ -91,33 +98,24 @@ class Detector:
     keep: str = "true"
     label: str = "pattern"
     ip_version: str | None = None
-    ip_scope: Callable[[Column], Column] | None = None
 
     def findings(self, text: str, order: int, gate: str = "") -> Column:
         """Array of finding structs of this detector for one text column."""
         found = []
         for rank, pattern in enumerate(self.patterns):
-            hits = matches(text, pattern, self.needles, gate, self.tail_group, self.keep)
-            if self.check is not None:
-                hits = F.filter(hits, self.check)
-            found.append(F.transform(hits, lambda m, r=rank: self._finding(m, order, r)))
+            tags = self._tags(order * 10 + rank)
+            hits = matches(
+                text, pattern, self.needles, gate, self.tail_group, self.keep, tags
+            )
+            found.append(hits if self.check is None else F.filter(hits, self.check))
         return found[0] if len(found) == 1 else F.concat(*found)
 
-    def _finding(self, m: Column, order: int, rank: int) -> Column:
-        scope = self.ip_scope(m["value"]) if self.ip_scope else F.lit(None).cast("string")
-        return F.struct(
-            F.lit(self.category).alias("category"),
-            F.lit(self.subtype).alias("subtype"),
-            F.lit(self.label).alias("detector"),
-            F.lit(self.confidence).alias("confidence"),
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            m["char_start"].alias("char_start"),
-            m["char_end"].alias("char_end"),
-            m["value"].alias("value"),
-            F.lit(order * 10 + rank).alias("detector_order"),
-            F.lit(self.ip_version).cast("string").alias("ip_version"),
-            scope.alias("ip_scope"),
+    def _tags(self, order: int) -> str:
+        version = sql_text(self.ip_version) if self.ip_version else "NULL"
+        return (
+            f", 'category', {sql_text(self.category)}, 'subtype', {sql_text(self.subtype)}, "
+            f"'detector', {sql_text(self.label)}, 'confidence', {self.confidence}, "
+            f"'detector_order', {order}, 'ip_version', {version}"
         )
 
 
@@ -138,7 +136,16 @@ def finding_array(
     return gated.select(*df.columns, array.alias(name))
 
 
+def explode_rows(df: DataFrame, keep: Iterable, array, name: str) -> DataFrame:
+    """One row per array element; rows with an empty array go.
+
+    An outer explode plus a filter: for a plain explode the optimizer adds a size filter
+    below it, which would compute a costly array a second time for every row.
+    """
+    rows = df.select(*keep, F.explode_outer(array).alias(name))
+    return rows.filter(F.col(name).isNotNull())
+
+
 def with_findings(df: DataFrame, detectors: Iterable[Detector], text: str = "text") -> DataFrame:
     """One row per finding `f` beside the columns of `df`."""
-    found = finding_array(df, detectors, "_found", text)
-    return found.select(*df.columns, F.explode("_found").alias("f"))
+    return explode_rows(finding_array(df, detectors, "_found", text), df.columns, "_found", "f")

@@ -145,7 +145,6 @@ IP4 = _pii(
     gate=DIGITS_GATE,
     check=lambda m: checks.ipv4_ok(m["value"]),
     ip_version="4",
-    ip_scope=checks.ipv4_scope,
 )
 IP6 = _pii(
     "ip-address-6",
@@ -157,7 +156,6 @@ IP6 = _pii(
     keep=TWO_COLONS,
     check=lambda m: checks.ipv6_ok(m["value"]),
     ip_version="6",
-    ip_scope=checks.ipv6_scope,
 )
 
 SECRETS = (
@@ -190,6 +188,18 @@ ENTITIES = (
 )
 
 PART_KEYS = ("request_id", "message_index", "part_index")
+FINDING = (
+    "category",
+    "subtype",
+    "detector",
+    "confidence",
+    "start",
+    "end",
+    "char_start",
+    "char_end",
+    "detector_order",
+    "ip_version",
+)
 
 
 def register_detector(
@@ -217,7 +227,17 @@ def scan(
     """One row per finding. The raw value leaves only on request, for in-pipeline use."""
     keys = list(keys)
     rows = with_findings(parts.select(*keys, text), detectors, text)
-    out = rows.select(*keys, "f.*").withColumn("value_hash", value_hash(key, F.col("value")))
+    value = F.col("f.value")
+    scope = F.when(F.col("f.ip_version") == "4", checks.ipv4_scope(value)).when(
+        F.col("f.ip_version") == "6", checks.ipv6_scope(value)
+    )
+    out = rows.select(
+        *keys,
+        *[F.col(f"f.{c}").alias(c) for c in FINDING],
+        scope.alias("ip_scope"),
+        value_hash(key, value).alias("value_hash"),
+        value.alias("value"),
+    )
     return out if with_value else out.drop("value")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import entropy
 from ..functions.hashing import value_hash
 from ..functions.ranking import blocked_running_sum
-from ..functions.scan import Detector, finding_array, matches, with_findings
+from ..functions.scan import Detector, explode_rows, matches, with_findings
 from ..functions.unicode import CONTROL_PATTERN, canonical
 from .detectors import PART_KEYS, PRODUCTION, TELEMETRY_KEY
 
@@ -54,7 +54,7 @@ VIEW = (
 def control_findings(parts: DataFrame, keys: Iterable[str] = PART_KEYS) -> DataFrame:
     """One POLICY finding per zero-width or bidirectional control."""
     keys = list(keys)
-    rows = parts.select(*keys, F.explode(matches("text", CONTROL_PATTERN)).alias("m"))
+    rows = explode_rows(parts, keys, matches("text", CONTROL_PATTERN), "m")
     return rows.select(
         *keys,
         F.lit("POLICY").alias("category"),
@@ -269,7 +269,7 @@ def views(
             F.array(_view("canonical", F.col("canon"), (zero, zero, zero, zero), moved, F.col("source")))
         )
     every = F.concat(*[f.cast(f"array<{VIEW}>") for f in found])
-    return rows.select(*keys, F.explode(every).alias("view")).select(
+    return explode_rows(rows, keys, every, "view").select(
         *keys,
         "view.kind",
         F.col("view.text").alias("view_text"),

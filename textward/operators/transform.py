@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import value_hash
 from ..functions.ranking import blocked_row_number
-from ..functions.scan import Detector, finding_array
+from ..functions.scan import Detector, explode_rows, finding_array
 from ..session import cut_lineage
 from .detectors import PART_KEYS, TELEMETRY_KEY
 
@@ -91,7 +91,7 @@ def plan_rows(
         "t.char_start, 'char_end', t.char_end, 'subtype', t.subtype, 'priority', t.priority, "
         f"'value_hash', t.value_hash, 'value', {value}))"
     )
-    rows = planned.select(*keys, F.explode(items).alias("p")).select(*keys, "p.*")
+    rows = explode_rows(planned, keys, items, "p").select(*keys, "p.*")
     return rows if with_value else rows.drop("value")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hmac_sha256
-from ..functions.scan import matches
+from ..functions.scan import explode_rows, matches
 
 SCOPE_VERSION = 1
 # Forms of a placeholder label.
@@ -172,7 +172,7 @@ def sign_label(key: str, token_id: Column, category: Column) -> Column:
 
 def placeholder_rows(parts: DataFrame, keys: list[str], mac_keys: tuple[str, ...] = ()) -> DataFrame:
     """Placeholders per part; signed labels carry their validity, simple ones are valid."""
-    rows = parts.select(*keys, F.explode(placeholders("text")).alias("m"))
+    rows = explode_rows(parts, keys, placeholders("text"), "m")
     label = label_of(F.col("m.value"))
     signed = F.startswith(label, F.lit("v1."))
     return rows.select(
@@ -199,9 +199,7 @@ def reidentify(
     """
     marked = parts.withColumn("marks", placeholders("text"))
     open_rows = marked.filter((F.size("marks") > 0) & ~F.col("has_tool_calls"))
-    wanted = open_rows.select(
-        *keys, "namespace", "scope_digests", "purpose", F.explode("marks").alias("m")
-    ).select(*keys, "namespace", "scope_digests", "purpose", label_of(F.col("m.value")).alias("token"), F.col("m.start").alias("at"))
+    wanted = explode_rows(open_rows, [*keys, "namespace", "scope_digests", "purpose"], "marks", "m").select(*keys, "namespace", "scope_digests", "purpose", label_of(F.col("m.value")).alias("token"), F.col("m.start").alias("at"))
     records = vault.select(
         "namespace",
         "token",

@@ -45,7 +45,7 @@ def secret_suffix(doc_id: Column) -> Column:
     forms = (
         text(" use glpat-", cut(1, 20), " please"),
         text(" oauth ghp_", cut(1, 36)),
-        text(" key AKIA", F.upper(cut(1, 16)), " end"),
+        text(" key AKIA", F.translate(cut(1, 16), "abcdef", "ABCDEF"), " end"),
         text(" key=sk-", cut(1, 32)),
         text(" key=sk-ant-", cut(1, 32)),
         text(" xoxb-", cut(1, 24)),
@@ -135,18 +135,18 @@ def hidden_parts(spark: SparkSession, folder: str) -> DataFrame:
     escapes = F.array_join(
         F.transform(
             F.filter(F.split(token, ""), lambda c: c != ""),
-            lambda c: F.concat(F.lit("\\u00"), F.lower(F.hex(F.ascii(c)))),
+            lambda c: F.concat(F.lit("\\u00"), F.translate(F.hex(F.ascii(c)), "ABCDEF", "abcdef")),
         ),
         "",
     )
     suffix = (
         F.when(slot == 0, F.concat(F.lit("ѕk-"), F.substring(h, 1, 32)))
         .when(slot == 1, F.concat(F.lit("glp​at-"), F.substring(h, 1, 24)))
-        .when(slot == 2, F.concat(F.lit("ＡＫＩＡ"), F.upper(F.substring(h, 1, 16)), F.lit(" end")))
+        .when(slot == 2, F.concat(F.lit("ＡＫＩＡ"), F.translate(F.substring(h, 1, 16), "abcdef", "ABCDEF"), F.lit(" end")))
         .when(slot == 3, F.base64(F.encode(token, "utf-8")))
         .when(slot == 4, F.concat(F.lit(ESCAPED), F.substring(h, 1, 24)))
         .when(slot == 5, escapes)
-        .when(slot == 6, F.lower(F.hex(F.encode(token, "utf-8"))))
+        .when(slot == 6, F.translate(F.hex(F.encode(token, "utf-8")), "ABCDEF", "abcdef"))
         .otherwise(F.base64(F.encode(F.lit(PLAIN_WORDS), "utf-8")))
     )
     rows = table(spark, folder, "documents").select(
