@@ -417,27 +417,27 @@ DRIFT_POLICY = {
     "healthy_target": True,
 }
 STATUS_SQL = f"""base AS (SELECT event_type AS label, count(*) AS b FROM events WHERE ts < TIMESTAMP '{SPLIT}' GROUP BY 1),
-days AS (SELECT DISTINCT date_trunc('day', ts) AS at FROM events WHERE ts >= TIMESTAMP '{SPLIT}'),
-cur AS (SELECT date_trunc('day', ts) AS at, event_type AS label, count(*) AS a FROM events WHERE ts >= TIMESTAMP '{SPLIT}' GROUP BY 1, 2),
-h AS (SELECT d.at, b.label, coalesce(a, 0) AS a, b FROM days d CROSS JOIN base b LEFT JOIN cur c ON c.at = d.at AND c.label = b.label),
-x AS (SELECT *, a / sum(a) OVER (PARTITION BY at) AS x, b / sum(b) OVER (PARTITION BY at) AS y FROM h),
-k AS (SELECT *, abs(sum(x) OVER w - sum(y) OVER w) AS gap FROM x WINDOW w AS (PARTITION BY at ORDER BY label)),
-m AS (SELECT at, CAST(sum(a) AS BIGINT) AS samples,
+days AS (SELECT DISTINCT date_trunc('day', ts) AS day FROM events WHERE ts >= TIMESTAMP '{SPLIT}'),
+cur AS (SELECT date_trunc('day', ts) AS day, event_type AS label, count(*) AS a FROM events WHERE ts >= TIMESTAMP '{SPLIT}' GROUP BY 1, 2),
+h AS (SELECT d.day, b.label, coalesce(a, 0) AS a, b FROM days d CROSS JOIN base b LEFT JOIN cur c ON c.day = d.day AND c.label = b.label),
+x AS (SELECT *, a / sum(a) OVER (PARTITION BY day) AS x, b / sum(b) OVER (PARTITION BY day) AS y FROM h),
+k AS (SELECT *, abs(sum(x) OVER w - sum(y) OVER w) AS gap FROM x WINDOW w AS (PARTITION BY day ORDER BY label)),
+m AS (SELECT day, CAST(sum(a) AS BIGINT) AS samples,
   sum((greatest(x, 1e-9) - greatest(y, 1e-9)) * ln(greatest(x, 1e-9) / greatest(y, 1e-9))) AS psi,
   sum(CASE WHEN x > 0 THEN x * ln(x / ((x + y) / 2)) / 2 ELSE 0 END + y * ln(y / ((x + y) / 2)) / 2) AS js, max(gap) AS ks FROM k GROUP BY 1),
-w AS (SELECT at, samples, psi >= 0.012 OR js >= 0.01 OR ks >= 0.05 AS breach, row_number() OVER (ORDER BY at) AS n FROM m),
-walk(n, at, sustained, acted, action) AS (
+w AS (SELECT day, samples, psi >= 0.012 OR js >= 0.01 OR ks >= 0.05 AS breach, row_number() OVER (ORDER BY day) AS n FROM m),
+walk(n, day, sustained, acted, action) AS (
   SELECT CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), 0, CAST(NULL AS TIMESTAMP), '' UNION ALL
-  SELECT w.n, w.at, s.v, CASE WHEN w.samples >= 300 AND s.v >= 2 AND (p.acted IS NULL OR w.at - p.acted >= INTERVAL 2 DAY) THEN w.at ELSE p.acted END,
+  SELECT w.n, w.day, s.v, CASE WHEN w.samples >= 300 AND s.v >= 2 AND (p.acted IS NULL OR w.day - p.acted >= INTERVAL 2 DAY) THEN w.day ELSE p.acted END,
     CASE WHEN w.samples < 300 THEN 'none' WHEN s.v < 2 THEN 'warning'
-      WHEN p.acted IS NULL OR w.at - p.acted >= INTERVAL 2 DAY THEN 'pause' ELSE 'freeze' END
+      WHEN p.acted IS NULL OR w.day - p.acted >= INTERVAL 2 DAY THEN 'pause' ELSE 'freeze' END
   FROM walk p JOIN w ON w.n = p.n + 1,
   LATERAL (SELECT CASE WHEN w.samples < 300 THEN p.sustained WHEN w.breach THEN p.sustained + 1 ELSE greatest(p.sustained - 1, 0) END AS v) s)"""
 
 
 @query(
     "drift_status",
-    f"WITH RECURSIVE {STATUS_SQL} SELECT 'event_type' AS feature, at, sustained, action FROM walk WHERE n > 0",
+    f"WITH RECURSIVE {STATUS_SQL} SELECT 'event_type' AS feature, day, sustained, action FROM walk WHERE n > 0",
 )
 def drift_status(spark, folder):
     """Each day after the split against the days before it."""
@@ -459,4 +459,4 @@ def drift_status(spark, folder):
     windows = metrics.select(
         F.lit("event_type").alias("feature"), "at", "samples", R.breached(DRIFT_POLICY).alias("breach"), "scopes"
     )
-    return R.drift_status(windows, ["feature"], DRIFT_POLICY)
+    return R.drift_status(windows, ["feature"], DRIFT_POLICY).withColumnRenamed("at", "day")
