@@ -82,6 +82,7 @@ def scan_attachments(
     comma = F.instr(raw, ",")
     header = F.substr(raw, F.lit(6), comma - 6)
     payload = F.when(is_url, F.substr(raw, comma + 1)).otherwise(raw)
+    payload = F.translate(payload, "\r\n", "")
     url_bad = is_url & ((comma == 0) | ~F.lower(header).rlike("(?:^|;)base64(?:;|$)"))
     safe = ~(payload.rlike("[-_]") & payload.rlike("[+/]"))
     data = F.when(

@@ -84,21 +84,31 @@ def stream_family(path: Column) -> Column:
     )
 
 
+ITEM = (
+    "struct<type:string,text:string,input_text:string,output_text:string,name:string,input:variant,"
+    "content:variant," + ",".join(f"{k}:variant" for k in ATTACHMENT_KEYS) + ">"
+)
+CALLS = "array<struct<function:struct<name:string,arguments:string>>>"
+REQUEST = (
+    "model string, messages array<struct<role:string,content:variant,tool_call_id:string,"
+    f"tool_calls:{CALLS}>>, system variant, max_tokens variant, instructions string, "
+    "prompt variant, input variant, input_text variant, text variant, content variant, "
+    "attachments variant"
+)
+RESPONSE = (
+    "model string, completion string, content variant, choices array<struct<text:string,"
+    f"message:struct<role:string,content:variant,tool_calls:{CALLS}>>>, "
+    "output array<struct<text:string,content:variant>>, data array<struct<text:string,content:variant>>"
+)
+NO_PARTS = f"CAST(array() AS array<{PART}>)"
+NO_MESSAGES = f"CAST(array() AS array<{MESSAGE}>)"
+
+
 def kind_of(v: Column) -> Column:
     """STRING, OBJECT, ARRAY, VOID, ... of a VARIANT; NULL where absent."""
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
-def child(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", "variant")
-
-
-def text_at(v: Column, key: str) -> Column:
-    """A string member, '' when absent or of another type."""
-    c = child(v, key)
-    return F.when(kind_of(c) == "STRING", F.try_variant_get(v, f"$.{key}", "string")).otherwise("")
-
-
 def items_of(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
@@ -107,238 +117,201 @@ def as_string(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def _part(kind, text: Column, tool: Column | None = None, ref: Column | None = None) -> Column:
+def _parts(*parts: Column) -> Column:
+    return F.array(*parts).cast(f"array<{PART}>")
+
+
+def _part(kind: str, text: Column, tool: Column | None = None, ref: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(
-        (kind if isinstance(kind, Column) else F.lit(kind)).alias("part_type"),
+        F.lit(kind).alias("part_type"),
         (none if tool is None else tool).alias("tool_name"),
         text.alias("text"),
         (none if ref is None else ref).alias("ref"),
     )
 
 
-EMPTY = f"CAST(array() AS array<{PART}>)"
-
-
-def _first_text(p: Column) -> Column:
-    shown = [F.when(text_at(p, k) != "", text_at(p, k)) for k in TEXT_TYPES]
-    return F.coalesce(*shown, F.lit(""))
+def _filled(value: Column) -> Column:
+    return F.when(value != "", value)
 
 
 def _item_parts(p: Column, depth: int) -> Column:
     """Parts of one typed content item."""
-    typed = text_at(p, "type")
-    marked = F.lit(False)
-    for key in ATTACHMENT_KEYS:
-        marked = marked | child(p, key).isNotNull()
-    kind = F.when((typed == "") & marked, "attachment").otherwise(typed)
+    marked = F.coalesce(*[p[k] for k in ATTACHMENT_KEYS]).isNotNull()
+    typed = F.coalesce(_filled(p["type"]), F.when(marked, "attachment"), F.lit(""))
+    shown = F.coalesce(*[_filled(p[k]) for k in TEXT_TYPES], F.lit(""))
     blank = F.lit("")
-    nested = F.array(_part("tool_result", blank))
+    out = (
+        F.when(typed.isin(*TEXT_TYPES), _parts(_part("text", shown)))
+        .when(typed == "tool_use", _parts(_part("tool_call", F.to_json(p["input"]), p["name"])))
+        .when(typed.isin(*IMAGE_TYPES), _parts(_part("image_ref", blank, ref=F.to_json(p))))
+        .when(typed.isin(*FILE_TYPES), _parts(_part("attachment", blank, ref=F.to_json(p))))
+    )
     if depth > 0:
-        inner = content_parts(child(p, "content"), depth - 1)
-        flipped = F.transform(inner, lambda x: x.withField("part_type", F.lit("tool_result")))
-        nested = F.when(F.size(inner) > 0, flipped).otherwise(nested)
-    return (
-        F.when(kind.isin(*TEXT_TYPES), F.array(_part("text", _first_text(p))))
-        .when(
-            kind == "tool_use",
-            F.array(_part("tool_call", F.to_json(child(p, "input")), text_at(p, "name"))),
+        inner = F.transform(
+            content_parts(p["content"], depth - 1),
+            lambda x: x.withField("part_type", F.lit("tool_result")),
         )
-        .when(kind == "tool_result", nested)
-        .when(kind.isin(*IMAGE_TYPES), F.array(_part("image_ref", blank, ref=F.to_json(p))))
-        .when(kind.isin(*FILE_TYPES), F.array(_part("attachment", blank, ref=F.to_json(p))))
-        .otherwise(F.array(_part("json", blank)))
-        .cast(f"array<{PART}>")
+        # An empty result still is one part.
+        out = out.when((typed == "tool_result") & ~F.coalesce(kind_of(p["content"]).isin("STRING", "ARRAY"), F.lit(False)), _parts(_part("tool_result", blank)))
+        out = out.when(typed == "tool_result", inner)
+    return out.when(typed == "tool_result", _parts(_part("tool_result", blank))).otherwise(
+        _parts(_part("json", blank))
     )
 
 
 def content_parts(content: Column, depth: int = 1) -> Column:
     """Parts of a content value: null, string, or an array of typed items."""
-    kind = kind_of(content)
+    items = F.try_variant_get(content, "$", f"array<{ITEM}>")
     return (
-        F.when(
-            (kind == "STRING") & (as_string(content) != ""),
-            F.array(_part("text", as_string(content))).cast(f"array<{PART}>"),
-        )
-        .when(
-            kind == "ARRAY",
-            F.flatten(F.transform(items_of(content), lambda p: _item_parts(p, depth))),
-        )
-        .otherwise(F.expr(EMPTY))
+        F.when(kind_of(content) == "STRING", F.filter(_parts(_part("text", as_string(content))), lambda p: p["text"] != ""))
+        .when(items.isNotNull(), F.flatten(F.transform(items, lambda p: _item_parts(p, depth))))
+        .otherwise(F.expr(NO_PARTS))
     )
 
 
 def content_bad(content: Column) -> Column:
     """Unsupported content: neither null, string nor an array of objects."""
     kind = kind_of(content)
-    return F.coalesce(
-        ~kind.isin("STRING", "VOID", "ARRAY")
-        | ((kind == "ARRAY") & F.exists(items_of(content), lambda p: kind_of(p) != "OBJECT")),
-        F.lit(False),
-    )
+    items = F.try_variant_get(content, "$", f"array<{ITEM}>")
+    return F.coalesce(~kind.isin("STRING", "VOID") & items.isNull(), F.lit(False))
 
 
-def _tool_calls(m: Column) -> Column:
-    calls = F.coalesce(items_of(child(m, "tool_calls")), F.array().cast("array<variant>"))
-    return F.transform(
+def _tool_calls(calls: Column) -> Column:
+    parts = F.transform(
         calls,
         lambda c: _part(
             "tool_call",
-            F.coalesce(F.try_variant_get(c, "$.function.arguments", "string"), F.lit("")),
-            F.coalesce(F.try_variant_get(c, "$.function.name", "string"), F.lit("")),
+            F.coalesce(c["function"]["arguments"], F.lit("")),
+            F.coalesce(c["function"]["name"], F.lit("")),
         ),
     ).cast(f"array<{PART}>")
+    return F.coalesce(parts, F.expr(NO_PARTS))
 
 
 def _message(role: Column, parts: Column, bad: Column) -> Column:
     return F.struct(role.alias("role"), parts.alias("parts"), bad.alias("bad")).cast(MESSAGE)
 
 
+def _messages(*messages: Column) -> Column:
+    return F.array(*messages).cast(f"array<{MESSAGE}>")
+
+
 def _text_message(role: str, text: Column) -> Column:
-    part = F.array(_part("text", text)).cast(f"array<{PART}>")
-    return _message(F.lit(role), part, text == "")
+    return _message(F.lit(role), _parts(_part("text", text)), text == "")
+
 
+def _listed(values: Column, build) -> Column:
+    return F.coalesce(F.transform(values, build), F.expr(NO_MESSAGES))
 
-def _listed(v: Column, build) -> Column:
-    return F.transform(F.coalesce(items_of(v), F.array().cast("array<variant>")), build)
+
+def _no_empty(messages: Column) -> Column:
+    """Messages without content count as malformed."""
+    return F.transform(messages, lambda m: m.withField("bad", m["bad"] | (F.size(m["parts"]) == 0)))
 
 
 def chat_messages(root: Column) -> Column:
     def build(m: Column) -> Column:
-        content = child(m, "content")
-        parts = F.concat(content_parts(content), _tool_calls(m))
-        flipped = F.transform(
-            parts,
+        parts = F.transform(
+            F.concat(content_parts(m["content"]), _tool_calls(m["tool_calls"])),
             lambda p: p.withField(
                 "part_type",
-                F.when(p["part_type"] == "text", "tool_result").otherwise(p["part_type"]),
+                F.when(
+                    (p["part_type"] == "text") & (F.coalesce(m["tool_call_id"], F.lit("")) != ""),
+                    "tool_result",
+                ).otherwise(p["part_type"]),
             ),
         )
-        is_result = text_at(m, "tool_call_id") != ""
-        role = text_at(m, "role")
-        return _message(
-            role, F.when(is_result, flipped).otherwise(parts), (role == "") | content_bad(content)
-        )
+        role = F.coalesce(m["role"], F.lit(""))
+        return _message(role, parts, (role == "") | content_bad(m["content"]))
 
-    return _listed(child(root, "messages"), build)
+    return _listed(root["messages"], build)
 
 
 def block_messages(root: Column) -> Column:
-    """System first, then messages; a message without content is malformed."""
-    system = child(root, "system")
-    system_parts = content_parts(system)
-    lead = F.when(
-        F.size(system_parts) > 0,
-        F.array(_message(F.lit("system"), system_parts, content_bad(system))),
-    ).otherwise(F.array().cast(f"array<{MESSAGE}>"))
+    """System first, then messages."""
+    system = _messages(
+        _message(F.lit("system"), content_parts(root["system"]), content_bad(root["system"]))
+    )
+    lead = F.filter(system, lambda m: (F.size(m["parts"]) > 0) | m["bad"])
+    listed = _listed(
+        root["messages"],
+        lambda m: _message(
+            F.coalesce(m["role"], F.lit("")),
+            content_parts(m["content"]),
+            (F.coalesce(m["role"], F.lit("")) == "") | content_bad(m["content"]),
+        ),
+    )
+    # Without messages the system text alone is not a request.
+    return F.when(F.size(root["messages"]) > 0, F.concat(lead, _no_empty(listed))).otherwise(
+        F.expr(NO_MESSAGES)
+    )
 
-    def build(m: Column) -> Column:
-        content = child(m, "content")
-        parts, role = content_parts(content), text_at(m, "role")
-        return _message(role, parts, (role == "") | content_bad(content) | (F.size(parts) == 0))
 
-    return F.concat(lead, _listed(child(root, "messages"), build))
+INPUT = "struct<role:string,content:variant,input_text:string>"
 
 
 def input_messages(root: Column) -> Column:
     """Instructions, then `input`: a string, a list of messages, or one object."""
-    told = text_at(root, "instructions")
-    lead = F.when(told != "", F.array(_text_message("system", told))).otherwise(
-        F.array().cast(f"array<{MESSAGE}>")
-    )
-    value = F.coalesce(child(root, "input"), child(root, "input_text"))
-    kind = kind_of(value)
+    told = _messages(_text_message("system", F.coalesce(root["instructions"], F.lit(""))))
+    lead = F.filter(told, lambda m: ~m["bad"])
+    value = F.coalesce(root["input"], root["input_text"])
 
     def build(m: Column) -> Column:
-        role = F.when(text_at(m, "role") != "", text_at(m, "role")).otherwise("user")
-        content, short = child(m, "content"), text_at(m, "input_text")
-        parts = F.when(content.isNull() & (short != ""), F.array(_part("text", short)).cast(f"array<{PART}>")).otherwise(
-            content_parts(content)
-        )
-        return _message(role, parts, content_bad(content) | (F.size(parts) == 0))
-
-    one = F.when(text_at(value, "input_text") != "", F.array(_text_message("user", text_at(value, "input_text")))).otherwise(
-        F.array(
-            _message(
-                F.lit("user"),
-                content_parts(child(value, "content")),
-                F.size(content_parts(child(value, "content"))) == 0,
-            )
+        short = _parts(_part("text", F.coalesce(m["input_text"], F.lit(""))))
+        parts = F.when(m["content"].isNull(), F.filter(short, lambda p: p["text"] != "")).otherwise(
+            content_parts(m["content"])
         )
+        return _message(F.coalesce(_filled(m["role"]), F.lit("user")), parts, content_bad(m["content"]))
+
+    many = F.coalesce(
+        F.try_variant_get(value, "$", f"array<{INPUT}>"), F.array(F.try_variant_get(value, "$", INPUT))
     )
-    body = (
-        F.when(kind == "STRING", F.array(_text_message("user", as_string(value))))
-        .when(kind == "ARRAY", _listed(value, build))
-        .when(kind == "OBJECT", one)
-        .otherwise(F.array().cast(f"array<{MESSAGE}>"))
+    body = F.when(kind_of(value) == "STRING", _messages(_text_message("user", as_string(value)))).otherwise(
+        _no_empty(_listed(F.filter(many, lambda m: m.isNotNull()), build))
     )
-    return F.when(F.size(body) > 0, F.concat(lead, body)).otherwise(body)
+    return F.when(value.isNotNull(), F.concat(lead, body)).otherwise(F.expr(NO_MESSAGES))
 
 
-def listed_texts(root: Column, key: str) -> Column:
+def listed_texts(value: Column) -> Column:
     """A string or a list of strings as user messages; empty strings are malformed."""
-    value = child(root, key)
-    kind = kind_of(value)
-    other = F.lit(None).cast("string")
-    return (
-        F.when(kind == "STRING", F.array(_text_message("user", as_string(value))))
-        .when(
-            kind == "ARRAY",
-            F.transform(
-                items_of(value),
-                lambda p: _text_message(
-                    "user", F.coalesce(F.when(kind_of(p) == "STRING", as_string(p)).otherwise(other), F.lit(""))
-                ),
-            ),
-        )
-        .otherwise(F.array().cast(f"array<{MESSAGE}>"))
+    texts = F.when(kind_of(value) == "STRING", F.array(as_string(value))).otherwise(
+        F.transform(items_of(value), lambda p: F.when(kind_of(p) == "STRING", as_string(p)).otherwise(""))
     )
+    return _listed(texts, lambda t: _text_message("user", t))
 
 
-def prompt_message(root: Column) -> Column:
-    return F.array(_text_message("user", text_at(root, "prompt")))
+def single_field(root: Column) -> Column:
+    """The first of the known single fields that holds content."""
+    fields = ("prompt", "input", "text", "content", "attachments")
+    options = F.array(*[_message(F.lit("user"), content_parts(root[k]), F.lit(False)) for k in fields])
+    return F.slice(F.filter(options, lambda m: F.size(m["parts"]) > 0), 1, 1)
 
 
 def _fine(messages: Column) -> Column:
     return (F.size(messages) > 0) & ~F.exists(messages, lambda m: m["bad"])
 
 
-def generic_messages(root: Column) -> Column:
-    """Chat first (block form when `system` or `max_tokens` is present), then single fields."""
-    chat, block = chat_messages(root), block_messages(root)
-    wants_block = child(root, "system").isNotNull() | child(root, "max_tokens").isNotNull()
-    single = None
-    for key in ("prompt", "input", "text", "content", "attachments"):
-        parts = content_parts(child(root, key))
-        hit = F.size(parts) > 0
-        row = F.array(_message(F.lit("user"), parts, F.lit(False)))
-        single = F.when(hit, row) if single is None else single.when(hit, row)
-    has_model = text_at(root, "model") != ""
-    return (
-        F.when(has_model & wants_block & _fine(chat) & _fine(block), block)
-        .when(has_model & _fine(chat), chat)
-        .when(has_model & _fine(block), block)
-        .otherwise(F.coalesce(single, F.array().cast(f"array<{MESSAGE}>")))
-    )
-
-
-REQUEST_BUILDERS = {
-    "chat": chat_messages,
-    "responses": input_messages,
-    "completions": lambda root: listed_texts(root, "prompt"),
-    "embeddings": lambda root: listed_texts(root, "input"),
-    "messages": block_messages,
-    "complete": prompt_message,
-    "generic": generic_messages,
+REQUEST_SHAPES = {
+    "chat": (("chat", "generic"), chat_messages),
+    "block": (("messages", "generic"), block_messages),
+    "input": (("responses",), input_messages),
+    "prompts": (("completions",), lambda r: listed_texts(r["prompt"])),
+    "inputs": (("embeddings",), lambda r: listed_texts(r["input"])),
+    "prompt": (("complete",), lambda r: F.slice(listed_texts(r["prompt"]), 1, 1)),
+    "single": (("generic",), single_field),
 }
 
 
-def _case(family: Column, root: Column, builders: dict) -> Column:
-    out = None
-    for name, build in builders.items():
-        cond = family == name
-        out = F.when(cond, build(root)) if out is None else out.when(cond, build(root))
-    return F.coalesce(out, F.array().cast(f"array<{MESSAGE}>"))
+def _shaped(rows: DataFrame, shapes: dict, families: tuple[str, ...] | None) -> tuple[DataFrame, dict]:
+    """One column per shape in use, filled only for the families that read it."""
+    names = {}
+    for name, (wanted, build) in shapes.items():
+        used = [f for f in wanted if families is None or f in families]
+        if used:
+            rows = rows.withColumn(f"_{name}", F.when(F.col("family").isin(*used), build(F.col("root"))))
+            names[name] = used
+    return rows, names
 
 
 def normalize_requests(
@@ -346,17 +319,26 @@ def normalize_requests(
 ) -> DataFrame:
     """Bodies (`body`, `family`) with their messages and a `malformed` flag.
 
-    `families` names the shapes present, which keeps the plan to those.
+    `families` names the shapes present, which keeps the plan to those. A generic body is
+    read as chat first (as blocks when `system` or `max_tokens` is present), then by its
+    single fields.
     """
-    builders = {k: v for k, v in REQUEST_BUILDERS.items() if families is None or k in families}
-    rows = bodies.withColumn("root", F.try_parse_json("body"))
-    rows = rows.withColumn("messages", _case(F.col("family"), F.col("root"), builders))
-    model = text_at(F.col("root"), "model")
-    malformed = (
-        F.col("root").isNull()
-        | ((model == "") & (F.col("family") != "generic"))
-        | ~_fine(F.col("messages"))
-    )
+    rows = bodies.withColumn("root", F.from_json("body", REQUEST))
+    rows, shapes = _shaped(rows, REQUEST_SHAPES, families)
+    root = F.col("root")
+    model = F.coalesce(root["model"], F.lit(""))
+    picked = [F.when(F.col("family") != "generic", F.col(f"_{n}")) for n in shapes]
+    if families is None or "generic" in families:
+        blocky = root["system"].isNotNull() | root["max_tokens"].isNotNull()
+        chat, block = F.col("_chat"), F.col("_block")
+        picked += [
+            F.when((model != "") & _fine(chat) & blocky & _fine(block), block),
+            F.when((model != "") & _fine(chat), chat),
+            F.when((model != "") & _fine(block), block),
+            F.col("_single"),
+        ]
+    rows = rows.withColumn("messages", F.coalesce(*picked, F.expr(NO_MESSAGES)))
+    malformed = ((model == "") & (F.col("family") != "generic")) | ~_fine(F.col("messages"))
     return rows.select(
         *keys, "family", model.alias("model"), "messages", F.coalesce(malformed, F.lit(True)).alias("malformed")
     )
@@ -365,93 +347,102 @@ def normalize_requests(
 def request_parts(normalized: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
     """One row per part of the well-formed bodies."""
     rows = normalized.filter(~F.col("malformed")).select(
-        *keys, F.posexplode("messages").alias("message_index", "m")
+        *keys, F.posexplode_outer("messages").alias("message_index", "m")
+    )
+    parts = rows.filter("m IS NOT NULL").select(
+        *keys, "message_index", "m.role", F.posexplode_outer("m.parts").alias("part_index", "p")
+    )
+    return parts.filter("p IS NOT NULL").select(
+        *keys, "message_index", "part_index", "role", "p.part_type", "p.tool_name", "p.text", "p.ref"
     )
-    parts = rows.select(*keys, "message_index", "m.role", F.posexplode("m.parts").alias("part_index", "p"))
-    return parts.select(*keys, "message_index", "part_index", "role", "p.part_type", "p.tool_name", "p.text", "p.ref")
 
 
 # ---- responses ------------------------------------------------------------------------------------------
 
 
-def _choice_messages(root: Column) -> Column:
-    def build(c: Column) -> Column:
-        m = child(c, "message")
-        content = child(m, "content")
-        return _message(
-            text_at(m, "role"), F.concat(content_parts(content), _tool_calls(m)), content_bad(content)
-        )
-
-    return _listed(child(root, "choices"), build)
-
-
 def _assistant(parts: Column, bad: Column) -> Column:
     return _message(F.lit("assistant"), parts, bad)
 
 
 def _plain(text: Column) -> Column:
-    return F.array(_part("text", text)).cast(f"array<{PART}>")
+    return _parts(_part("text", F.coalesce(text, F.lit(""))))
+
+
+def _done(root: Column) -> Column:
+    """The `completion` field as one assistant message, where present."""
+    return F.when(
+        root["completion"].isNotNull(), _messages(_assistant(_plain(root["completion"]), F.lit(False)))
+    ).otherwise(F.expr(NO_MESSAGES))
 
 
-def _completion_messages(root: Column) -> Column:
-    listed = _listed(child(root, "choices"), lambda c: _assistant(_plain(text_at(c, "text")), F.lit(False)))
-    single = child(root, "completion")
-    fallback = F.when(
-        kind_of(single) == "STRING", F.array(_assistant(_plain(as_string(single)), F.lit(False)))
-    ).otherwise(F.array().cast(f"array<{MESSAGE}>"))
-    return F.when(F.size(listed) > 0, listed).otherwise(fallback)
+def choice_messages(root: Column) -> Column:
+    return _listed(
+        root["choices"],
+        lambda c: _message(
+            F.coalesce(c["message"]["role"], F.lit("")),
+            F.concat(content_parts(c["message"]["content"]), _tool_calls(c["message"]["tool_calls"])),
+            content_bad(c["message"]["content"]),
+        ),
+    )
 
 
-def _output_messages(root: Column) -> Column:
-    value = F.coalesce(child(root, "output"), child(root, "data"))
+def completion_messages(root: Column) -> Column:
+    listed = _listed(root["choices"], lambda c: _assistant(_plain(c["text"]), F.lit(False)))
+    return F.when(F.size(root["choices"]) > 0, listed).otherwise(_done(root))
 
+
+def output_messages(root: Column) -> Column:
     def build(item: Column) -> Column:
-        content, text = child(item, "content"), text_at(item, "text")
-        more = F.when(text != "", _plain(text)).otherwise(F.expr(EMPTY))
-        return _assistant(F.concat(content_parts(content), more), content_bad(content))
-
-    listed = F.filter(_listed(value, build), lambda m: (F.size(m["parts"]) > 0) | m["bad"])
-    single = child(root, "content")
-    fallback = F.when(
-        kind_of(single) == "STRING", F.array(_assistant(_plain(as_string(single)), F.lit(False)))
-    ).otherwise(F.array().cast(f"array<{MESSAGE}>"))
-    return F.when(F.size(listed) > 0, listed).otherwise(fallback)
-
-
-def _block_response(root: Column) -> Column:
-    content, done = child(root, "content"), child(root, "completion")
-    more = F.when(kind_of(done) == "STRING", _plain(as_string(done))).otherwise(F.expr(EMPTY))
-    parts = F.concat(content_parts(content), more)
+        more = F.filter(_plain(item["text"]), lambda p: p["text"] != "")
+        return _assistant(F.concat(content_parts(item["content"]), more), content_bad(item["content"]))
+
+    listed = F.filter(
+        _listed(F.coalesce(root["output"], root["data"]), build), lambda m: (F.size(m["parts"]) > 0) | m["bad"]
+    )
+    return F.coalesce(listed, F.expr(NO_MESSAGES))
+
+
+def content_message(root: Column) -> Column:
+    """Fallback of an output without messages: a plain `content` string."""
     return F.when(
-        (F.size(parts) > 0) | content_bad(content), F.array(_assistant(parts, content_bad(content)))
-    ).otherwise(F.array().cast(f"array<{MESSAGE}>"))
+        kind_of(root["content"]) == "STRING",
+        _messages(_assistant(_plain(as_string(root["content"])), F.lit(False))),
+    ).otherwise(F.expr(NO_MESSAGES))
 
 
-RESPONSE_BUILDERS = {
-    "chat": _choice_messages,
-    "completions": _completion_messages,
-    "complete": _completion_messages,
-    "responses": _output_messages,
-    "generic": _output_messages,
-    "messages": _block_response,
+def block_response(root: Column) -> Column:
+    more = F.when(root["completion"].isNotNull(), _plain(root["completion"])).otherwise(F.expr(NO_PARTS))
+    one = _messages(
+        _assistant(F.concat(content_parts(root["content"]), more), content_bad(root["content"]))
+    )
+    return F.filter(one, lambda m: (F.size(m["parts"]) > 0) | m["bad"])
+
+
+RESPONSE_SHAPES = {
+    "choices": (("chat",), choice_messages),
+    "completions": (("completions", "complete"), completion_messages),
+    "outputs": (("responses", "generic"), output_messages),
+    "contents": (("responses", "generic"), content_message),
+    "blocks": (("messages",), block_response),
 }
 
 
 def normalize_responses(
     bodies: DataFrame, keys: tuple[str, ...] = ("request_id",), families: tuple[str, ...] | None = None
 ) -> DataFrame:
-    builders = {k: v for k, v in RESPONSE_BUILDERS.items() if families is None or k in families}
-    rows = bodies.withColumn("root", F.try_parse_json("body"))
-    rows = rows.withColumn("messages", _case(F.col("family"), F.col("root"), builders))
-    malformed = (
-        F.col("root").isNull()
-        | (kind_of(F.col("root")) != "OBJECT")
-        | F.exists("messages", lambda m: m["bad"])
-    )
+    rows = bodies.withColumn("root", F.from_json("body", RESPONSE))
+    rows = rows.withColumn("parsed", F.try_parse_json("body").isNotNull())
+    rows, shapes = _shaped(rows, RESPONSE_SHAPES, families)
+    order = [n for n in shapes if n != "contents"]
+    picked = [F.when(F.size(f"_{n}") > 0, F.col(f"_{n}")) for n in order]
+    if "contents" in shapes:
+        picked.append(F.col("_contents"))
+    rows = rows.withColumn("messages", F.coalesce(*picked, F.expr(NO_MESSAGES)))
+    malformed = ~F.col("parsed") | F.exists("messages", lambda m: m["bad"])
     return rows.select(
         *keys,
         "family",
-        text_at(F.col("root"), "model").alias("model"),
+        F.coalesce("root.model", F.lit("")).alias("model"),
         "messages",
         F.coalesce(malformed, F.lit(True)).alias("malformed"),
     )
