@@ -28,6 +28,24 @@ def rule_list(rows: Iterable[Mapping], ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(_checked(rows))), f"array<struct<{ddl}>>")
 
 
+INLINE_RULES = 256
+
+
+def attach(df: DataFrame, name: str, key: Column, table: Mapping[str, Mapping], ddl: str) -> DataFrame:
+    """`df` with the struct `name` looked up by key; NULL where the table has no entry.
+
+    Small tables become a constant map in the projection, larger ones a broadcast join.
+    """
+    if len(table) <= INLINE_RULES:
+        constant = F.from_json(F.lit(json.dumps(dict(table))), f"map<string,struct<{ddl}>>")
+        return df.withColumn(name, F.try_element_at(constant, key))
+    fields = [f.split()[0] for f in ddl.split(",")]
+    rows = [(k, *[v.get(f) for f in fields]) for k, v in table.items()]
+    frame = rule_frame(df.sparkSession, rows, f"_key string, {ddl}")
+    frame = frame.select(F.col("_key").alias(f"_key_{name}"), F.struct(*fields).alias(name))
+    return df.join(frame, key == F.col(f"_key_{name}"), "left").drop(f"_key_{name}")
+
+
 def first_rule(rules: Column, applies: Callable[[Column], Column]) -> Column:
     """First rule of an ordered list that applies to the row, else NULL. No join, no shuffle."""
     return F.get(F.filter(rules, applies), F.lit(0))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import cohort_slot
 from ..functions.rules import (
+    attach,
     case_map,
     first_rule,
     most_specific_first,
@@ -260,7 +261,6 @@ def _join_name(*parts) -> Column:
 
 def finding_actions(groups: DataFrame, policy: Policy) -> DataFrame:
     """Most specific action per finding group: action, rule and priority columns added."""
-    spark = groups.sparkSession
     p = expand_legacy(policy)
     cat, sub, prov = F.col("category"), F.col("subtype"), F.col("provider")
     keys = (
@@ -272,31 +272,20 @@ def finding_actions(groups: DataFrame, policy: Policy) -> DataFrame:
         _join_name("subtype_actions", cat, sub),
         _join_name("category_actions", cat),
     )
+    table = {
+        key: {"action": action, "rule": key, "priority": priority}
+        for key, action, priority in _lookup_rows(p)
+    }
     out = groups
-    found = []
     for i, key in enumerate(keys):
-        names = (f"_key{i}", f"_action{i}", f"_priority{i}")
-        table = rule_frame(
-            spark, _lookup_rows(p), f"{names[0]} string, {names[1]} string, {names[2]} int"
-        )
-        out = out.join(table, key == F.col(names[0]), "left")
-        found.append(
-            F.when(
-                F.col(names[0]).isNotNull(),
-                F.struct(
-                    F.col(names[1]).alias("action"),
-                    F.col(names[0]).alias("rule"),
-                    F.col(names[2]).alias("priority"),
-                ),
-            )
-        )
+        out = attach(out, f"_rule{i}", key, table, "action string, rule string, priority int")
     fallback = F.struct(
         F.lit(p.safe_default).alias("action"),
         F.lit("safe_default").alias("rule"),
         F.lit(0).alias("priority"),
     )
-    kept = [c for c in groups.columns]
-    return out.select(*kept, F.coalesce(*found, fallback).alias("base")).select(*kept, "base.*")
+    base = F.coalesce(*[F.col(f"_rule{i}") for i in range(len(keys))], fallback)
+    return out.select(*groups.columns, base.alias("base")).select(*groups.columns, "base.*")
 
 
 def _escalations(rows: Iterable[Mapping], value: str) -> list[dict]:
@@ -417,13 +406,16 @@ def deny_rule(policy: Policy, application: Column, tenant: Column, subject: Colu
     )
 
 
-def named_rules(spark: SparkSession, table: Mapping[str, str], name: str) -> DataFrame:
-    return rule_frame(spark, list(table.items()), f"{name} string, {name}_action string")
+def with_named_rule(df: DataFrame, table: Mapping[str, str], name: str) -> DataFrame:
+    """`df` with `{name}_action` from a table keyed by the column `name`."""
+    rules = {k: {"action": v} for k, v in table.items()}
+    out = attach(df, f"_{name}", F.col(name), rules, "action string")
+    return out.withColumn(f"{name}_action", F.col(f"_{name}.action")).drop(f"_{name}")
 
 
 def role_candidates(requests: DataFrame, policy: Policy, request: str = "request_id") -> DataFrame:
     rows = requests.select(request, F.explode("roles").alias("role"))
-    hit = rows.join(named_rules(requests.sparkSession, policy.roles, "role"), "role")
+    hit = with_named_rule(rows, policy.roles, "role").filter("role_action IS NOT NULL")
     return hit.select(
         request,
         F.col("role_action").alias("action"),
@@ -434,9 +426,10 @@ def role_candidates(requests: DataFrame, policy: Policy, request: str = "request
 
 def semantic_candidates(signals: DataFrame, policy: Policy, request: str = "request_id") -> DataFrame:
     """Triggered signals whose (question, risk) has an action."""
-    rows = [(q, risk, a) for q, m in policy.semantic.items() for risk, a in m.items()]
-    rules = rule_frame(signals.sparkSession, rows, "question string, risk string, action string")
-    hit = signals.filter("triggered").join(rules, ["question", "risk"])
+    table = {f"{q}.{risk}": {"action": a} for q, m in policy.semantic.items() for risk, a in m.items()}
+    key = F.concat_ws(".", "question", "risk")
+    hit = attach(signals.filter("triggered"), "_rule", key, table, "action string")
+    hit = hit.filter("_rule IS NOT NULL").withColumn("action", F.col("_rule.action"))
     return hit.select(
         request,
         "action",
@@ -464,22 +457,19 @@ def semantic_actions(signals: DataFrame, policy: Policy, request: str = "request
 
 def evasion_candidates(findings: DataFrame, policy: Policy, request: str = "request_id") -> DataFrame:
     """Action per evasion finding: type/category rule, type rule, then the defaults."""
-    spark = findings.sparkSession
-    rules = list(policy.evasion.items())
-    exact = rule_frame(spark, rules, "exact_key string, exact_action string")
-    plain = rule_frame(spark, rules, "plain_key string, plain_action string")
+    table = {k: {"action": v} for k, v in policy.evasion.items()}
     unsafe = F.coalesce(F.col("unsafe_span"), F.lit(False))
     kind = F.coalesce(
         F.when(F.col("evasion_type") != "", F.col("evasion_type")), F.when(unsafe, "unsafe_span")
     )
     rows = findings.withColumn("kind", kind).filter("kind IS NOT NULL")
-    rows = rows.join(exact, F.concat_ws("/", "kind", "category") == F.col("exact_key"), "left")
-    rows = rows.join(plain, F.col("kind") == F.col("plain_key"), "left")
+    rows = attach(rows, "_exact", F.concat_ws("/", "kind", "category"), table, "action string")
+    rows = attach(rows, "_plain", F.col("kind"), table, "action string")
     fallback = F.coalesce(
         case_map(F.col("category"), EVASION_DEFAULT),
         F.when(F.col("kind") == "budget_exceeded", policy.budget_action),
     )
-    action = F.coalesce("exact_action", "plain_action", fallback)
+    action = F.coalesce("_exact.action", "_plain.action", fallback)
     return (
         rows.withColumn("action", action)
         .filter("action IS NOT NULL")
@@ -509,7 +499,6 @@ def decide(
     `findings` carries provider and, where known, the evasion columns.
     """
     p = expand_legacy(policy)
-    spark = requests.sparkSession
     groups = finding_groups(findings, request)
     found = finding_candidates(groups, p, request).filter(F.col("category").isin("SECRET", "PII"))
     rows = [
@@ -555,14 +544,13 @@ def decide(
 
 def identity_candidates(requests: DataFrame, policy: Policy, request: str = "request_id") -> DataFrame:
     """Deny, tenant, application, role and default candidates in one pass over requests."""
-    spark = requests.sparkSession
     rows = requests
     if "subject" not in rows.columns:
         rows = rows.withColumn("subject", F.lit(None).cast("string"))
     if "roles" not in rows.columns:
         rows = rows.withColumn("roles", F.array().cast("array<string>"))
-    rows = rows.join(named_rules(spark, policy.tenants, "tenant"), "tenant", "left")
-    rows = rows.join(named_rules(spark, policy.applications, "application"), "application", "left")
+    rows = with_named_rule(rows, policy.tenants, "tenant")
+    rows = with_named_rule(rows, policy.applications, "application")
     denied = deny_rule(
         policy, F.col("application"), F.col("tenant"), F.col("subject"), F.col("roles")
     )
@@ -661,14 +649,13 @@ def semantic_plan(
         (d, ",".join(q["id"] for q in qs), max((q["risk"] for q in qs), key=RISK_RANK.get))
         for d, qs in by_direction.items()
     ]
-    plan = rule_frame(
-        requests.sparkSession, rows, "direction string, question_ids string, max_risk string"
-    )
+    table = {d: {"question_ids": ids, "max_risk": risk} for d, ids, risk in rows}
     secret = findings.filter(F.col("category") == "SECRET").select(request).distinct()
     marked = requests.select(request, "direction").join(
         secret.withColumn("has_secret", F.lit(True)), request, "left"
     )
-    out = marked.join(plan, "direction", "left")
+    out = attach(marked, "plan", F.col("direction"), table, "question_ids string, max_risk string")
+    out = out.select("*", "plan.*")
     blocked = F.coalesce("has_secret", F.lit(False))
     ask = ~blocked & F.col("question_ids").isNotNull()
     reason = (
