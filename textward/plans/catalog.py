@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("detect", "decide", "rewrite", "hidden", "evaluate", "measures", "ingest", "records", "access", "streams")
+MODULES = ("detect", "decide", "rewrite", "hidden", "evaluate", "measures", "ingest", "records", "access", "streams", "flagship")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")
