@@ -50,7 +50,8 @@ def changed_pattern() -> str:
                 runs.append((first, code - 1))
             first = code + 1
     inside = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
-    return f"[^{inside}]"
+    # The look-ahead dismisses ASCII at once; only other characters meet the ranges.
+    return rf"(?=[^\x00-\x7F])[^{inside}]"
 
 
 def _canonical(texts: pd.Series) -> pd.DataFrame:

@@ -65,7 +65,7 @@ STORE_URL = (
 AWS_SECRET = r"""(?i)aws_?secret_?access_?key["']?[\t ]*[:=][\t ]*["']?([A-Za-z0-9/+=]{40,})"""
 GENERIC_KEY = rf"""(?i){start('api')}[_-]?key["']?[\t ]*[:=][\t ]*["']?([A-Za-z0-9_-]{{16,}})"""
 HIGH_ENTROPY = (
-    r"""(?i)(?:password|passwd|secret|token|credential|private[_-]?key)"""
+    r"""(?=[cCpPsStT])(?i:password|passwd|secret|token|credential|private[_-]?key)"""
     r"""(?:[\t ]*[:=][\t ]*|[\t ]+)["']?([A-Za-z0-9+/_=-]{24,})"""
 )
 KNOWN_PREFIX = "^(?:glpat-|gh[oprsu]_|AKIA|sk-|xox[abprs]-|AIza|eyJ)"
@@ -91,15 +91,16 @@ def _pii(name: str, subtype: str, patterns: tuple[str, ...], conf: float, **extr
     return Detector(name, "PII", subtype, patterns, conf, **extra)
 
 
-# Necessary conditions shared by detectors: four digits, a hinting word, two near colons.
-DIGITS_GATE = r"[0-9](?:[-. \t\n\f\r]?[0-9]){3}"
-HINT_GATE = r"(?i)(?=[abcpst])(?:bearer|secret|token|passw|credential|api[_-]?key|private[_-]?key)"
-MAIL_GATE = rf"@{LABEL}\.[A-Za-z0-9]"
-COLON_GATE = ":[0-9A-Fa-f]{0,4}:"
+# Necessary conditions: nine digits in a row or the middle of a dotted address (one pattern,
+# shared by all digit detectors), a hinting word, a domain after an @, two near colons.
+DIGITS_GATE = r"[0-9](?:(?:[-. \t\n\f\r]?[0-9]){8}|[0-9]{0,2}\.[0-9]{1,3}\.[0-9])"
+HINT_GATE = ("bearer", "secret", "token", "passw", "credential", "api", "private")
+MAIL_GUARD = rf"@{LABEL}\.[A-Za-z0-9]"
+COLON_GUARD = ":[0-9A-Fa-f]{0,4}:"
 
 PREFIXED = (
     _secret("gitlab-pat", "GITLAB_PAT", GITLAB, 1.0, "glpat-"),
-    _secret("github-token", "GITHUB_TOKEN", GITHUB, 1.0, "gho_", "ghp_", "ghr_", "ghs_", "ghu_"),
+    _secret("github-token", "GITHUB_TOKEN", GITHUB, 1.0, "_", guard="gh[oprsu]_"),
     _secret("aws-access-key", "AWS_ACCESS_KEY", AWS_KEY, 1.0, "AKIA"),
     _secret(
         "openai-api-key",
@@ -135,7 +136,7 @@ ENTROPY = _secret(
 )
 ID_CARD = _pii("national-id", "TH_CITIZEN_ID", (NATIONAL_ID,), 1.0, check=_id_check, gate=DIGITS_GATE)
 PHONE = _pii("phone-number", "PHONE_NUMBER", PHONES, 0.9, gate=DIGITS_GATE)
-MAIL = _pii("email", "EMAIL", (EMAIL,), 1.0, needles=("@",), check=checks.email_ok, gate=MAIL_GATE)
+MAIL = _pii("email", "EMAIL", (EMAIL,), 1.0, needles=("@",), check=checks.email_ok, guard=MAIL_GUARD)
 PAYMENT_CARD = _pii("credit-card", "CREDIT_CARD", (CARD,), 1.0, check=_card_check, gate=DIGITS_GATE)
 IP4 = _pii(
     "ip-address",
@@ -152,7 +153,7 @@ IP6 = _pii(
     (IPV6,),
     0.9,
     needles=(":",),
-    gate=COLON_GATE,
+    guard=COLON_GUARD,
     keep=TWO_COLONS,
     check=lambda m: checks.ipv6_ok(m["value"]),
     ip_version="6",

@@ -34,7 +34,7 @@ class EvasionConfig:
     block_chars: int = 1 << 20
 
 
-BASE64 = "[A-Za-z0-9+/_=-]{16,}"
+BASE64 = r"[\w+/=-]{16,}"
 JSON_UNICODE = r"(?:\\u[0-9A-Fa-f]{4}){2,}+"
 HEX = "(?:[0-9A-Fa-f]{2}){8,}+"
 # A percent escape counts as one of at least eight characters. Marking its '%' first turns

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as G
 from ..operators import routing as R
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .decide import SLOT_SQL
 from .ingest import talk
 from .registry import query
@@ -48,7 +48,8 @@ def retrieval_bodies(spark, folder):
     )
     one, two = F.to_json(first), F.to_json(second)
     head = F.expr("substr(flat, 1, length(flat) - 1)")
-    rows = table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents"), "doc_id")
+    rows = docs.select(
         d.alias("request_id"), flat.alias("flat"), one.alias("one"), two.alias("two")
     )
     listed = F.concat(head, F.lit(',"results":['), "one", F.lit(","), "two", F.lit("]}"))

@@ -157,7 +157,7 @@ walk(user_id, seq, event_id, us, tokens, allowed, before) AS (
 SELECT user_id, event_id, seq, allowed, tokens, CASE WHEN allowed THEN 0 ELSE CAST(ceil((1000000 - before) / {RATE}.0) AS BIGINT) END AS retry_after_us FROM walk""",
 )
 def token_bucket(spark, folder):
-    return L.token_bucket(calls(spark, folder), "user_id", "event_id", "at", RATE, BURST, size=16)
+    return L.token_bucket(calls(spark, folder), "user_id", "event_id", "at", RATE, BURST)
 
 
 @query(
