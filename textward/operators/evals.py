@@ -22,28 +22,25 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def detector_eval(rows: DataFrame, got: DataFrame, want: DataFrame, request: str = "request_id") -> DataFrame:
     """TP, FP, FN over distinct (row, subtype) sets; TN counts rows with both sets empty."""
-    marks = got.select(request, "subtype", F.lit(1).alias("g"), F.lit(0).alias("w")).unionByName(
-        want.select(request, "subtype", F.lit(0).alias("g"), F.lit(1).alias("w"))
+    mark = lambda df, g, w, subtype: df.select(
+        request, subtype.alias("subtype"), F.lit(g).alias("g"), F.lit(w).alias("w")
     )
+    name, none = F.col("subtype"), F.lit("")
+    # Every row carries one empty mark, so rows with both sets empty are counted too.
+    marks = mark(got, 1, 0, name).unionByName(mark(want, 0, 1, name)).unionByName(mark(rows, 0, 0, none))
     pairs = marks.groupBy(request, "subtype").agg(F.max("g").alias("g"), F.max("w").alias("w"))
     per_row = pairs.groupBy(request).agg(
         F.sum(F.col("g") * F.col("w")).alias("tp"),
         F.sum(F.col("g") * (1 - F.col("w"))).alias("fp"),
         F.sum((1 - F.col("g")) * F.col("w")).alias("fn"),
     )
-    counted = per_row.agg(
+    empty = F.col("tp") + F.col("fp") + F.col("fn") == 0
+    return per_row.agg(
+        F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum("tp"), F.lit(0)).alias("true_positives"),
         F.coalesce(F.sum("fp"), F.lit(0)).alias("false_positives"),
         F.coalesce(F.sum("fn"), F.lit(0)).alias("false_negatives"),
-        F.count(F.lit(1)).alias("touched"),
-    ).withColumn("_k", F.lit(0))
-    total = rows.agg(F.count(F.lit(1)).alias("rows")).withColumn("_k", F.lit(0))
-    return total.join(counted, "_k").select(
-        "rows",
-        "true_positives",
-        "false_positives",
-        "false_negatives",
-        (F.col("rows") - F.col("touched")).alias("true_negatives"),
+        F.count_if(empty).alias("true_negatives"),
     )
 
 

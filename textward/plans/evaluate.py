@@ -296,6 +296,7 @@ def latency_quantiles(spark, folder):
 # ---- drift ----------------------------------------------------------------------------------------------
 
 SPLIT = "2024-01-16 00:00:00"
+LAST_DAY = "2024-02-15 00:00:00"
 
 
 def drift_samples(spark, folder):
@@ -447,11 +448,12 @@ def drift_status(spark, folder):
     day = F.date_trunc("day", "ts").alias("at")
     later = events.filter(F.col("ts") >= split)
     current = later.groupBy(day, "label").agg(F.count("*").alias("a"))
-    # Baseline labels are at most 32, so every day can carry all of them.
     days = later.select(day, (F.col("user_id") % 3).alias("scope")).groupBy("at").agg(
         F.count_distinct("scope").alias("scopes")
     )
-    grid = days.select("at", F.lit(0).alias("_k")).join(base.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    # Baseline labels are at most 32; each carries over to every day the monitor evaluates.
+    span = F.sequence(split, F.lit(LAST_DAY).cast("timestamp"), F.expr("INTERVAL 1 DAY"))
+    grid = base.select("label", "b", F.explode(span).alias("at"))
     counts = grid.join(current, ["at", "label"], "full").select(
         "at", "label", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b")
     )

@@ -174,7 +174,8 @@ def content_bad(content: Column) -> Column:
     """Unsupported content: neither null, string nor an array of objects."""
     kind = kind_of(content)
     items = F.try_variant_get(content, "$", f"array<{ITEM}>")
-    return F.coalesce(~kind.isin("STRING", "VOID") & items.isNull(), F.lit(False))
+    odd = items.isNull() | F.exists(items, lambda p: p.isNull())
+    return F.coalesce(~kind.isin("STRING", "VOID") & odd, F.lit(False))
 
 
 def _tool_calls(calls: Column) -> Column:
