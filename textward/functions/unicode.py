@@ -18,7 +18,9 @@ CONTROLS = (
 LOOKALIKES = "аАсСеЕоОрРхХѕЅіІκΚοΟρΡυΥ"
 LETTERS = "aAcCeEoOpPxXsSiIkKoOpPyY"
 
-CONTROL_PATTERN = f"[{CONTROLS}]"
+CONTROL_CLASS = "[\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff]"
+# The look-ahead dismisses ASCII characters with one test.
+CONTROL_PATTERN = rf"(?=[^\x00-\x7F]){CONTROL_CLASS}"
 
 
 @cache

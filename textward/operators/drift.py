@@ -25,7 +25,7 @@ def drift_buckets(samples: DataFrame, keys: Iterable[str], order: Iterable[str])
     )
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("first_seen", "label"))
     kept = counted.withColumn("rank", rank).filter(F.col("rank") <= MAX_BUCKETS)
-    totals = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
     held = kept.groupBy(*keys).agg(F.sum("n").alias("held"))
     out = kept.join(totals, keys).join(held, keys)
     spill = F.when(F.col("label") == "other", F.col("total") - F.col("held")).otherwise(0)

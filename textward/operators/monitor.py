@@ -152,7 +152,7 @@ def capped_dimension(rows: DataFrame, bucket: str, label: str, order: Iterable[s
     )
     rank = F.row_number().over(Window.partitionBy(bucket).orderBy("seen", label))
     kept = counted.withColumn("rank", rank).filter(F.col("rank") <= MAX_DIMENSION - 1)
-    totals = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("total"))
+    totals = counted.groupBy(bucket).agg(F.sum("n").alias("total"))
     held = kept.groupBy(bucket).agg(F.sum("n").alias("held"))
     rest = totals.join(held, bucket).filter("total > held")
     return kept.select(bucket, label, F.col("n").alias("count")).unionByName(

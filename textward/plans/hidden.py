@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.unicode import CONTROL_PATTERN, LETTERS, LOOKALIKES
+from ..functions.unicode import CONTROL_CLASS, LETTERS, LOOKALIKES
 from ..operators import evasion as E
 from ..operators import policy as P
 from ..sources.planted import HIDDEN_SQL, hidden_parts
@@ -21,7 +21,7 @@ SPANS = ("request_id", "category", "subtype", "start", "end")
 
 @query(
     "scan_controls",
-    f"""WITH {K.scan_ctes('m', CONTROL_PATTERN, HIDDEN)}
+    f"""WITH {K.scan_ctes('m', CONTROL_CLASS, HIDDEN)}
 SELECT request_id, 'ZERO_WIDTH_OR_BIDI_CONTROL' AS subtype, CAST(bs AS INTEGER) AS "start",
   CAST(bs + strlen(v) AS INTEGER) AS "end", cs AS char_start FROM m""",
 )
@@ -213,7 +213,7 @@ def evasion_dedupe(spark, folder):
     f"""{_all_sql()}, c AS (
   SELECT request_id, CASE WHEN category = 'PII' THEN 'REDACT' ELSE 'BLOCK' END AS action, 'evasion.encoded' AS rule
   FROM every WHERE evasion_type = 'encoded'
-  UNION ALL SELECT request_id, 'REVIEW', 'evasion.zero_width_control' FROM ({HIDDEN_SQL}) WHERE regexp_matches(text, '{CONTROL_PATTERN}'))
+  UNION ALL SELECT request_id, 'REVIEW', 'evasion.zero_width_control' FROM ({HIDDEN_SQL}) WHERE regexp_matches(text, '{CONTROL_CLASS}'))
 SELECT request_id, action, rule FROM c QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY {SEV_SQL} DESC, rule) = 1""",
 )
 def evasion_action(spark, folder):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,26 +60,39 @@ def _apply(pieces: list[tuple[int, int, int, bool]], refill: int, burst: int):
 
 
 def _block_maps(rate: int, burst: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        pieces = [(0, burst, 0, False)]
-        last = int(pdf["prev_us"].iloc[0])
-        for at in pdf["us"]:
-            pieces = _apply(pieces, max(int(at) - last, 0) * rate, burst)
-            last = int(at)
-        return pd.DataFrame(
-            {
-                "key": pdf["key"].iloc[:1].to_numpy(),
-                "block": pdf["block"].iloc[:1].to_numpy(),
-                "low": [[p[0] for p in pieces]],
-                "offset": [[p[2] for p in pieces]],
-                "constant": [[p[3] for p in pieces]],
-            }
-        )
+    """Rows sorted by (key, block, seq) to one map per block; blocks may span batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, pieces, last = None, [], 0
+        for pdf in batches:
+            done = []
+            columns = (pdf["key"], pdf["block"], pdf["us"], pdf["prev_us"])
+            for key, block, us, prev in zip(*[c.tolist() for c in columns], strict=True):
+                if (key, block) != place:
+                    if place is not None:
+                        done.append((*place, pieces))
+                    place, pieces, last = (key, block), [(0, burst, 0, False)], prev
+                pieces = _apply(pieces, max(us - last, 0) * rate, burst)
+                last = us
+            yield _map_rows(done)
+        if place is not None:
+            yield _map_rows([(*place, pieces)])
 
     return run
 
 
+def _map_rows(done: list) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "key": [d[0] for d in done],
+            "block": [d[1] for d in done],
+            "low": [[p[0] for p in d[2]] for d in done],
+            "offset": [[p[2] for p in d[2]] for d in done],
+            "constant": [[p[3] for p in d[2]] for d in done],
+        }
+    )
+
+
 def _walk(burst: int):
     def fold(tokens, pdf: pd.DataFrame):
         tokens = burst if tokens is None else tokens
@@ -101,19 +115,23 @@ def bucket_step(tokens: int, gap_us: int, rate: int, burst: int) -> tuple[int, b
 
 
 def _replay(rate: int, burst: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        tokens, last = int(pdf["start_tokens"].iloc[0]), int(pdf["prev_us"].iloc[0])
-        left, passed, wait = [], [], []
-        for at in pdf["us"]:
-            tokens, ok, retry = bucket_step(tokens, int(at) - last, rate, burst)
-            last = int(at)
-            left.append(tokens)
-            passed.append(ok)
-            wait.append(retry)
-        return pd.DataFrame(
-            {"key": pdf["key"], "id": pdf["id"], "seq": pdf["seq"], "allowed": passed, "tokens": left, "retry_after_us": wait}
-        )
+    """Each block replayed from its known start; rows sorted by (key, block, seq)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, tokens, last = None, 0, 0
+        for pdf in batches:
+            left, passed, wait = [], [], []
+            columns = (pdf["key"], pdf["block"], pdf["us"], pdf["prev_us"], pdf["start_tokens"])
+            for key, block, us, prev, start in zip(*[c.tolist() for c in columns], strict=True):
+                if (key, block) != place:
+                    place, tokens, last = (key, block), start, prev
+                tokens, ok, retry = bucket_step(tokens, us - last, rate, burst)
+                last = us
+                left.append(tokens)
+                passed.append(ok)
+                wait.append(retry)
+            out = pdf[["key", "id", "seq"]].copy()
+            yield out.assign(allowed=passed, tokens=left, retry_after_us=wait)
 
     return run
 
@@ -137,7 +155,8 @@ def token_bucket(
     first = F.coalesce("before_us", F.min("us").over(within))
     rows = rows.select("key", "id", "us", "seq", "block", first.alias("prev_us"))
     kind = dict(rows.dtypes)
-    maps = rows.groupBy("key", "block").applyInPandas(
+    place = ["key", "block"]
+    maps = rows.repartition(*place).sortWithinPartitions(*place, "seq").mapInPandas(
         _block_maps(rate, full),
         f"key {kind['key']}, block bigint, low array<bigint>, offset array<bigint>, constant array<boolean>",
     )
@@ -145,7 +164,8 @@ def token_bucket(
     starts = carry_fold(
         maps, "key", ["block"], _walk(full), f"key {kind['key']}, block bigint, start_tokens bigint"
     )
-    out = rows.join(starts, ["key", "block"]).groupBy("key", "block").applyInPandas(
+    started = rows.join(starts, place).repartition(*place).sortWithinPartitions(*place, "seq")
+    out = started.mapInPandas(
         _replay(rate, full),
         f"key {kind['key']}, id {kind['id']}, seq bigint, allowed boolean, tokens bigint, retry_after_us bigint",
     )
