@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MAX_BUCKETS = 32
 FLOOR = 1e-9
 VALID_LABEL = "^[A-Za-z0-9_.-]{1,32}$"
@@ -20,8 +22,10 @@ def drift_buckets(samples: DataFrame, keys: Iterable[str], order: Iterable[str])
     """
     keys = list(keys)
     valid = samples.filter(F.col("label").rlike(VALID_LABEL))
-    counted = valid.groupBy(*keys, "label").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first_seen")
+    counted = cut_lineage(
+        valid.groupBy(*keys, "label").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first_seen")
+        )
     )
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("first_seen", "label"))
     kept = counted.withColumn("rank", rank).filter(F.col("rank") <= MAX_BUCKETS)

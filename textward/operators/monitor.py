@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Actions and the groups the dashboard counts.
 ACTIONS = ("ALLOW", "BLOCK", "TOKENIZE", "REDACT", "REVIEW", "RESTRICT_TOOLS", "FORCE_LOCAL_MODEL")
 KPI_ACTIONS = {
@@ -147,8 +149,10 @@ def capped_dimension(rows: DataFrame, bucket: str, label: str, order: Iterable[s
 
     Labels are counted first; Spark prunes the rank to 31 per bucket before the shuffle.
     """
-    counted = rows.groupBy(bucket, label).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("seen")
+    counted = cut_lineage(
+        rows.groupBy(bucket, label).agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("seen")
+        )
     )
     rank = F.row_number().over(Window.partitionBy(bucket).orderBy("seen", label))
     kept = counted.withColumn("rank", rank).filter(F.col("rank") <= MAX_DIMENSION - 1)

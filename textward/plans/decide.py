@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import case_map
 from ..operators import detectors as D
 from ..operators import policy as P
+from ..session import cut_lineage
 from ..sources.planted import PLANTED_SQL, planted_parts
 from ..sources.tables import conversation_parts, document_identity, document_parts, provider_of, table
 from .detect import LANG_SQL, production_sql
@@ -16,6 +17,11 @@ from .rules import ACTIVE, CANDIDATE, LEGACY, QUESTIONS, THRESHOLDS, TOOL_SCHEMA
 PROVIDER_SQL = "CASE WHEN request_id % 2 = 0 THEN 'cloud' ELSE 'local' END"
 
 
+def held_findings(spark, folder):
+    """The same findings written once, for queries that read them in several branches."""
+    return cut_lineage(findings(spark, folder))
+
+
 def findings(spark, folder):
     """Production findings on the planted documents, with the request's provider."""
     parts = planted_parts(spark, folder).withColumn("provider", provider_of(F.col("request_id")))
@@ -263,10 +269,9 @@ chain AS (SELECT i.request_id,
 decided AS (SELECT request_id, d.a AS action, d.r AS matched_rule, d.s AS precedence_stage, d.c AS code FROM chain)"""
 
 
-def decisions(spark, folder, policy=ACTIVE):
-    return P.decide(
-        document_identity(spark, folder), findings(spark, folder), policy, signals(spark, folder)
-    )
+def decisions(spark, folder, policy=ACTIVE, found=None):
+    found = findings(spark, folder) if found is None else found
+    return P.decide(document_identity(spark, folder), found, policy, signals(spark, folder))
 
 
 @query(
@@ -439,7 +444,7 @@ WHERE active_action <> candidate_action AND {SLOT_SQL.format(DIFF_KEY)} < 40""",
 def policy_diff(spark, folder):
     canary = P.in_cohort(F.col("request_id"), F.col("tenant"), F.col("application"), F.lit(True), 40)
     return P.policy_diff(
-        document_identity(spark, folder), findings(spark, folder), ACTIVE, CANDIDATE, canary
+        document_identity(spark, folder), held_findings(spark, folder), ACTIVE, CANDIDATE, canary
     )
 
 
@@ -491,10 +496,11 @@ SELECT request_id, action, matched_rule, CASE WHEN enforce THEN action ELSE 'ALL
 )
 def decision_overrides(spark, folder):
     rid = F.col("request_id")
-    found = findings(spark, folder).withColumn(
+    held = held_findings(spark, folder)
+    found = held.withColumn(
         "part_type", F.when(rid % 5 == 0, "attachment").otherwise("text")
     )
-    base = decisions(spark, folder).select(
+    base = decisions(spark, folder, found=held).select(
         "request_id",
         "action",
         "matched_rule",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hmac_pads, value_hash
 from ..operators import detectors as D
 from ..sources.planted import PLANTED_SQL, planted_parts
-from ..sources.tables import document_parts, table
+from ..sources.tables import document_parts
 from . import sqlkit as K
 from .registry import query
 

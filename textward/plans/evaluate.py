@@ -8,9 +8,9 @@ from ..functions.rules import case_map
 from ..operators import detectors as D
 from ..operators import drift as R
 from ..operators import evals as V
+from ..session import cut_lineage
 from ..sources.planted import KINDS, PLANTED_SQL, planted_parts
-from ..sources.tables import document_parts, table
-from . import sqlkit as K
+from ..sources.tables import table
 from .decide import findings
 from .detect import LANG_SQL, production_sql
 from .registry import query
@@ -241,7 +241,7 @@ SELECT language, entity, gold, predicted, exact_tp, overlap_tp,
   round(overlap_tp / gold, 6) AS overlap_recall, round((gold - overlap_tp) / gold, 6) AS overlap_fnr FROM s""",
 )
 def span_eval(spark, folder):
-    gold = gold_spans(spark, folder)
+    gold = cut_lineage(gold_spans(spark, folder))
     out = V.span_eval(gold, perturbed(gold))
     rates = [c for c in out.columns if c.split("_")[-1] in ("precision", "recall", "fnr")]
     return out.select(
@@ -270,10 +270,7 @@ s AS (SELECT count(*) AS rows, {WORDS_SQL} FROM r)
 SELECT rows, sha256(rows || ',' || {" || ',' || ".join(f'w{i}' for i in range(8))}) AS digest FROM s""",
 )
 def dataset_digest(spark, folder):
-    docs = document_parts(spark, folder)
-    langs = table(spark, folder, "documents")
-    del docs
-    return V.dataset_digest(langs, "doc_id", "lang", "text")
+    return V.dataset_digest(table(spark, folder, "documents"), "doc_id", "lang", "text")
 
 
 @query(

@@ -8,10 +8,10 @@ from ..functions.unicode import CONTROL_CLASS, LETTERS, LOOKALIKES
 from ..operators import evasion as E
 from ..operators import policy as P
 from ..sources.planted import HIDDEN_SQL, hidden_parts
-from ..sources.tables import conversation_parts, document_parts, table
+from ..sources.tables import conversation_parts, table
 from . import sqlkit as K
 from .decide import SEV_SQL
-from .detect import ENTROPY_OK, RE_ENTROPY, _group, production_sql
+from .detect import ENTROPY_OK, RE_ENTROPY, production_sql
 from .registry import query
 from .rules import ACTIVE
 

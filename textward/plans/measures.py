@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import monitor as M
-from ..sources.planted import PLANTED_SQL, hidden_parts
+from ..sources.planted import PLANTED_SQL
 from ..sources.tables import conversation_parts, decision_events, provider_of, table
-from ..operators import evasion as E
-from .decide import DECIDE_SQL, FOUND, decisions, findings
+from .decide import DECIDE_SQL, decisions, findings, held_findings
 from .detect import production_sql
 from .registry import query
 
@@ -116,7 +115,8 @@ SELECT 'requests' AS counter, action AS label_a, 'enforce' AS label_b, '' AS lab
 UNION ALL SELECT 'findings', category, subtype, '', count(DISTINCT request_id) FROM found GROUP BY 2, 3""",
 )
 def counters(spark, folder):
-    return M.counters(decisions(spark, folder), findings(spark, folder), "enforce")
+    held = held_findings(spark, folder)
+    return M.counters(decisions(spark, folder, found=held), held, "enforce")
 
 
 @query(
@@ -145,7 +145,8 @@ SELECT count(*) AS requests, count(*) FILTER (action <> 'ALLOW') AS disagreement
 FROM decided d LEFT JOIN hit h ON h.request_id = d.request_id""",
 )
 def shadow_rates(spark, folder):
-    return M.shadow_rates(decisions(spark, folder), findings(spark, folder))
+    held = held_findings(spark, folder)
+    return M.shadow_rates(decisions(spark, folder, found=held), held)
 
 
 AGE_SQL = f"epoch(TIMESTAMP '{NOW}')::BIGINT - floor(epoch(max(ts)))::BIGINT"

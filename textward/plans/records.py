@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as A
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import document_identity, table
-from .decide import DECIDE_SQL, decisions, findings
+from .decide import DECIDE_SQL, decisions, held_findings
 from .measures import NOW, now
 from .registry import query
 from .rewrite import hmac_sql
@@ -21,9 +21,9 @@ events_ AS (SELECT d.request_id, tenant, application, CASE WHEN d.request_id % 2
 
 
 def audit_rows(spark, folder, mode="shadow"):
-    return A.audit_events(
-        decisions(spark, folder), findings(spark, folder), document_identity(spark, folder), mode
-    )
+    held = held_findings(spark, folder)
+    made = decisions(spark, folder, found=held)
+    return A.audit_events(made, held, document_identity(spark, folder), mode)
 
 
 @query("audit_events", f"WITH {AUDIT_SQL} SELECT *, action AS predicted_action FROM events_")

@@ -12,7 +12,7 @@ from ..streaming import deltas as S
 from ..streaming import jobs as J
 from ..streaming import limits as L
 from ..streaming import quarantine as Q
-from .decide import DECIDE_SQL, decisions
+from .decide import DECIDE_SQL, decisions, held_findings
 from .detect import production_sql
 from .ingest import talk
 from .registry import query
@@ -202,8 +202,9 @@ SELECT f.request_id, 'secret_exfiltration' AS reason, sha256(category || chr(0)
 FROM f JOIN decided d ON d.request_id = f.request_id WHERE f.request_id % 3 <> 0 AND (category = 'SECRET' OR d.action IN ('BLOCK', 'REVIEW'))""",
 )
 def incident_signals(spark, folder):
-    found = D.number_findings(D.scan(planted_parts(spark, folder), D.PRODUCTION))
-    made = decisions(spark, folder).withColumn("verified", F.col("request_id") % 3 != 0)
+    held = held_findings(spark, folder)
+    found = D.number_findings(held)
+    made = decisions(spark, folder, found=held).withColumn("verified", F.col("request_id") % 3 != 0)
     out = Q.incident_signals(made, found)
     return out.select("request_id", "reason", "evidence", "idempotency_key")
 
