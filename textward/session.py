@@ -34,9 +34,11 @@ def local_session(cpus: str = "8", app: str = "textward") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set."""
+    """The shared folder named by the cluster; a temporary one only in a local session without one."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="textward-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, folder)
     if spark.sparkContext.getCheckpointDir() is None:
