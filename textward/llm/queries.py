@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination
+from . import contamination, simhash
 from .registry import ORACLES, QUERIES, query
 
 
@@ -63,3 +63,10 @@ def winnowing(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),
         (F.size("found.spans") > 0).alias("contaminated"),
     )
+
+
+@query("op2_simhash")
+def near_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash fingerprints of every document and the components they form."""
+    found = simhash.linked_fingerprints(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
