@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, simhash
+from . import contamination, packing, simhash
 from .registry import ORACLES, QUERIES, query
 
 
@@ -70,3 +71,9 @@ def near_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash fingerprints of every document and the components they form."""
     found = simhash.linked_fingerprints(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op1_packing")
+def packing_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in sequences of at most 1024 tokens."""
+    return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
