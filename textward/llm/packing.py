@@ -35,8 +35,8 @@ from . import textbatch as tb
 
 CAPACITY = 1024
 END = 2
-GROUPS = 96
-SMALL = 1 / 8
+GROUPS = 200
+SMALL = 1 / 4
 BLOCKS = 64
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
