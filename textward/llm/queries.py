@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, packing, simhash
+from . import contamination, packing, simhash, toxicity
 from .registry import ORACLES, QUERIES, query
 
 
@@ -77,3 +77,17 @@ def near_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def packing_plan(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in sequences of at most 1024 tokens."""
     return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_toxicity")
+def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(toxicity.labelled_documents(docs, table(spark, folder, "labels")))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
