@@ -98,10 +98,11 @@ def _grow(n: int) -> None:
     if len(_powers) >= n:
         return
     n = max(n, 2 * CHUNK)
-    inverse = pow(_PRIME, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        _powers = np.cumprod(np.concatenate([[1], np.full(n, _PRIME, dtype=np.uint64)]).astype(np.uint64))
-        _inverses = np.cumprod(np.concatenate([[1], np.full(n, inverse, dtype=np.uint64)]).astype(np.uint64))
+    factors = np.empty((2, n + 1), dtype=np.uint64)
+    factors[:, 0] = 1
+    factors[0, 1:] = _PRIME
+    factors[1, 1:] = pow(_PRIME, -1, 1 << 64)
+    _powers, _inverses = np.cumprod(factors, axis=1, dtype=np.uint64)
 
 
 def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
