@@ -24,16 +24,18 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 
 #: Training rows at most; fewer if fewer are labelled.
-SAMPLE = 8_000
+SAMPLE = 6_000
 BUCKETS = 1 << 17
 SIZE = 8
 GRAMS = (3, 4, 5)
-EPOCHS = 14
+EPOCHS = 8
 BATCH = 256
 RATE = 0.3
 #: Means of thousands of n-grams are small; the softmax sees them enlarged.
 GAIN = 64.0
 THRESHOLD = 0.3
+#: Neutral n-grams that every text is averaged with: a few words are little evidence.
+NEUTRAL = 200.0
 
 #: Letters, digits, everything beyond ASCII, and signs that stand in for letters.
 _WORD = tb.class_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, tb.POINTS - 1), (0x24, 0x24), (0x2A, 0x2A), (0x40, 0x40))
@@ -58,13 +60,21 @@ def _subwords(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return np.concatenate(words), (np.concatenate(hashes) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Owner and kind of each word, and (kind, bucket) of the n-grams of each kind of word, and points."""
+def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each text and the n-grams of each word.
+
+    Text, word and weight of every (text, word) that occurs, the weight growing slower than how
+    often: a word repeated a thousand times does not drown the others. Then word and bucket of every n-gram,
+    by word, and the n-grams per word.
+    """
     points = tb.Points([(t or "").lower() for t in texts])
     starts, ends, owner = points.runs(_WORD)
-    _, pick, kind = np.unique(tb.span_hashes(points.points, starts, ends), return_index=True, return_inverse=True)
-    gram_kind, bucket = _subwords(points.points, starts[pick], ends[pick])
-    return owner, kind, gram_kind, bucket, np.bincount(gram_kind, minlength=len(pick))
+    _, pick, word = np.unique(tb.span_hashes(points.points, starts, ends), return_index=True, return_inverse=True)
+    pair, times = np.unique(owner * max(1, len(pick)) + word, return_counts=True)
+    gram_word, bucket = _subwords(points.points, starts[pick], ends[pick])
+    order = np.argsort(gram_word, kind="stable")
+    n = np.bincount(gram_word, minlength=len(pick))
+    return pair // max(1, len(pick)), pair % max(1, len(pick)), times**0.75, gram_word[order], bucket[order], n
 
 
 class Model:
@@ -74,11 +84,11 @@ class Model:
         self.weights, self.bias = weights, bias
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        owner, kind, gram_kind, bucket, n = _bags(texts)
-        per_kind = np.bincount(gram_kind, weights=self.weights[bucket], minlength=len(n))
-        total = np.bincount(owner, weights=per_kind[kind], minlength=len(texts))
-        grams = np.bincount(owner, weights=n[kind], minlength=len(texts))
-        margin = GAIN * total / np.maximum(grams, 1) + self.bias
+        owner, word, weight, gram_word, bucket, n = _bags(texts)
+        per_word = np.bincount(gram_word, weights=self.weights[bucket], minlength=len(n))
+        total = np.bincount(owner, weights=weight * per_word[word], minlength=len(texts))
+        grams = np.bincount(owner, weights=weight * n[word], minlength=len(texts))
+        margin = GAIN * total / (grams + NEUTRAL) + self.bias
         return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
@@ -90,15 +100,15 @@ class Bags:
         self.shares: list[np.ndarray] = []
 
     def add(self, texts: list[str | None]) -> None:
-        owner, kind, gram_kind, bucket, n = _bags(texts)
-        order = np.argsort(gram_kind, kind="stable")
-        first = np.concatenate([[0], np.cumsum(n)])[:-1]
-        at = order[tb.ragged(first[kind], n[kind])]
-        key, count = np.unique(np.repeat(owner, n[kind]) * BUCKETS + bucket[at], return_counts=True)
+        owner, word, weight, _, bucket, n = _bags(texts)
+        first = np.cumsum(n) - n
+        at = tb.ragged(first[word], n[word])
+        key, where = np.unique(np.repeat(owner, n[word]) * BUCKETS + bucket[at], return_inverse=True)
+        mass = np.bincount(where, weights=np.repeat(weight, n[word]), minlength=len(key))
         cuts = np.searchsorted(key, np.arange(len(texts) + 1) * BUCKETS)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             self.buckets.append((key[a:b] % BUCKETS).astype(np.int32))
-            self.shares.append((count[a:b] / max(1, count[a:b].sum())).astype(np.float32))
+            self.shares.append((mass[a:b] / (mass[a:b].sum() + NEUTRAL)).astype(np.float32))
 
 
 def train(bags: Bags, labels: np.ndarray, seed: int = 7) -> Model:
