@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, packing, simhash, toxicity
+from . import contamination, langid, packing, secretscan, simhash, toxicity
 from .registry import ORACLES, QUERIES, query
 
 
@@ -91,3 +91,30 @@ def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op5_secrets")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    found = secretscan.scan(table(spark, folder, "documents"))
+
+    def listed(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secretscan.BASE))
+    return found.select(
+        "doc_id",
+        *[number(kind) for kind in secretscan.BASE],
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op10_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    found = langid.identify(table(spark, folder, "documents"))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
