@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, langid, packing, secretscan, simhash, toxicity
+from . import bitslice, contamination, langid, packing, secretscan, simhash, toxicity
 from .registry import ORACLES, QUERIES, query
 
 
@@ -118,3 +118,21 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document."""
     found = langid.identify(table(spark, folder, "documents"))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+TOP_SQL = """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
+@query("op9_bitslice", TOP_SQL)
+def nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best partners of every fiftieth vector."""
+    return bitslice.top_k(table(spark, folder, "embeddings"))
