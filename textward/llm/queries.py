@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, contamination, langid, packing, secretscan, simhash, toxicity
+from . import bitslice, contamination, langid, packing, pagediff, secretscan, simhash, toxicity, warc
 from .registry import ORACLES, QUERIES, query
 
 
@@ -136,3 +136,36 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 def nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The five best partners of every fiftieth vector."""
     return bitslice.top_k(table(spark, folder, "embeddings"))
+
+
+ARCHIVE_SQL = """
+WITH digests AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages),
+firsts AS (SELECT html, min(page_id) AS first FROM digests GROUP BY html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digests JOIN firsts USING (html)
+"""
+
+
+@query("op4_archives", ARCHIVE_SQL)
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to web archives and read back."""
+    found = warc.round_trip(spark, table(spark, folder, "pages"))
+    return found.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+@query("op8_pagediff")
+def main_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    found = pagediff.extract(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
