@@ -5,18 +5,50 @@ from __future__ import annotations
 import os
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textward.llm import contamination
+from textward.llm import contamination, packing, simhash, surrogates, toxicity
+from textward.llm.queries import PSEUDONYM_KEY
 from textward.session import ensure_checkpoint_dir
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic."""
+    return toxicity.without_toxic(docs, _table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    return simhash.deduplicated(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return contamination.decontaminated(docs, spark.read.parquet(os.path.join(sf_dir, "benchmark.parquet")))
+    return contamination.decontaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by surrogates."""
+    return surrogates.without_personal_data(docs, PSEUDONYM_KEY)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces of packed token sequences."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("decontamination", decontaminate)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_benchmark),
+    ("pii_surrogates", replace_personal_data),
+    ("best_fit_packing", pack),
+]
 
 #: No SQL can express these stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
@@ -24,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage on the whole result of the one before, written as Parquet in between."""
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    docs = _table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}"

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, contamination, langid, packing, pagediff, secretscan, simhash, toxicity, warc
+from . import bitslice, contamination, langid, packing, pagediff, secretscan, simhash, surrogates, toxicity, warc
 from .registry import ORACLES, QUERIES, query
 
 
+#: The key of the surrogates; whoever holds it can match guessed values, so a deployment sets its own.
+PSEUDONYM_KEY = os.environ.get("TEXTWARD_PSEUDONYM_KEY", "public test key").encode()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
@@ -169,3 +173,11 @@ def main_texts(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     found = pagediff.extract(table(spark, folder, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op3_surrogates")
+def pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with surrogates for personal data."""
+    found = surrogates.pseudonymized(table(spark, folder, "documents"), PSEUDONYM_KEY)
+    listed = F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["stop"]))
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.concat_ws(",", listed).alias("entities"))

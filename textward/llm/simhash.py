@@ -152,3 +152,133 @@ def linked_fingerprints(documents: DataFrame, shingle: int = 3, radius: int = RA
 
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# ---------------------------------------------------------------- near duplicates by exact similarity
+
+#: One salt per sample; any fixed numbers will do.
+_SALTS = tb.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
+
+
+def _sketch(text: str | None, shingle: int) -> tuple[int, int, int, list[int]]:
+    """Two hashes of the words, the fingerprint, and the sample fingerprints."""
+    words = b" ".join(WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower()))
+    hashes = shingle_hashes(text, shingle)
+    distinct = np.unique(hashes)
+    if not len(distinct):
+        samples = [0] * SAMPLES
+    else:
+        salted = np.sort(np.stack([_least(distinct ^ s) for s in _SALTS]), axis=1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(SAMPLES, np.uint64)
+            for k in range(salted.shape[1]):
+                total = tb.mix(total * np.uint64(3) + salted[:, k])
+        samples = [_signed(int(x)) for x in total]
+    exact = xxhash.xxh128_intdigest(words, SEED)
+    return _signed(exact >> 64), _signed(exact & (1 << 64) - 1), _signed(majority(hashes)), samples
+
+
+def _least(values: np.ndarray) -> np.ndarray:
+    salted = tb.mix(values)
+    return salted if len(salted) <= SAMPLE else np.partition(salted, SAMPLE - 1)[:SAMPLE]
+
+
+def _rows(documents: DataFrame) -> DataFrame:
+    """The documents with `row`, a hash of id and text: equal for repeated rows."""
+    return documents.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    """row, doc_id, two hashes of the words, fp and samples."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in tb.slices(batches):
+            found = [_sketch(t, shingle) for t in texts]
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+            samples = pa.array([f[3] for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns, samples], names=["row", "doc_id", "exact_a", "exact_b", "fp", "samples"])
+
+    return rows.select("row", "doc_id", "text").mapInArrow(scan, f"row long, doc_id {kind}, exact_a long, exact_b long, fp long, samples array<long>")
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """row and the distinct shingle hashes of its text."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in tb.slices(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "shingles"])
+
+    return rows.select("row", "text").mapInArrow(scan, "row long, shingles array<long>")
+
+
+def _sample_candidates(classes: DataFrame) -> DataFrame:
+    """u, v: each text with the one that stands for its group, for every group of equal samples."""
+    members = classes.select("row", "fp", F.posexplode("samples").alias("t", "sample"))
+    shared = members.groupBy("t", "sample").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.getbit("fp", F.lit(k)).cast("long")).alias(f"b{k}") for k in range(64)]
+    ).where("n > 1")
+    bits = [F.when(2 * F.col(f"b{k}") > F.col("n"), F.lit(_signed(1 << k)).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(64)]
+    centre = bits[0]
+    for bit in bits[1:]:
+        centre = centre.bitwiseOR(bit)
+    centres = shared.select("t", "sample", centre.alias("centre"))
+    inside = cut_lineage(members.join(centres, ["t", "sample"]).select("t", "sample", "row", differing(F.col("fp"), F.col("centre")).alias("off")))
+    heads = inside.groupBy("t", "sample").agg(F.min(F.struct("off", "row")).alias("head"))
+    return inside.join(heads, ["t", "sample"]).select(F.col("head.row").alias("u"), F.col("row").alias("v"))
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """row (a hash of id and text) and `head`, the row that its group keeps.
+
+    Two texts are linked if the Jaccard similarity of their word shingles is `similarity` or more and
+    either their fingerprints are within `radius` bits or they were compared in a sample group;
+    equal word sequences are always linked. A group is what links connect. It keeps the row with the least
+    doc_id (null last).
+    """
+    sketch = cut_lineage(sketches(_rows(documents), shingle))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
+    firsts = cut_lineage(sketch.groupBy("exact_a", "exact_b").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("samples").alias("samples")))
+    classes = firsts.select(F.col("first.row").alias("row"), "fp", "samples")
+
+    by_print = cut_lineage(classes.groupBy("fp").agg(F.min("row").alias("row")))
+    near = grid_pairs(by_print.select("fp"), radius)
+    ends = by_print.select(F.col("fp"), "row")
+    near = near.join(ends.select(F.col("fp").alias("u"), F.col("row").alias("a")), "u").join(ends.select(F.col("fp").alias("v"), F.col("row").alias("b")), "v")
+    same = classes.select("row", "fp").join(by_print.withColumnRenamed("row", "a"), "fp").select("a", F.col("row").alias("b"))
+    candidates = near.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same.toDF("u", "v")).unionByName(_sample_candidates(classes))
+    pairs = cut_lineage(candidates.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+
+    wanted = cut_lineage(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
+    # Repeated rows have equal sets; one of them is enough.
+    held = shingle_sets(_rows(documents).join(wanted, "row", "left_semi"), shingle)
+    sets = cut_lineage(held.groupBy("row").agg(F.first("shingles").alias("shingles")))
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    links = both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    roots = cut_lineage(graph.components(links))
+
+    grouped = firsts.join(roots, F.col("first.row") == F.col("node"), "left")
+    grouped = grouped.select("exact_a", "exact_b", "first", F.coalesce("root", F.col("first.row")).alias("root"))
+    heads = grouped.groupBy("root").agg(F.min("first").alias("kept")).select("root", F.col("kept.row").alias("head"))
+    named = grouped.select("exact_a", "exact_b", "root").join(heads, "root")
+    return sketch.select("row", "exact_a", "exact_b").join(named, ["exact_a", "exact_b"]).select("row", "head")
+
+
+def deduplicated(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near duplicates, with the columns of documents.
+
+    Defined results: null, empty and blank texts are equal and form one group; repeated rows are copies of each
+    other, and one is kept; a null doc_id is kept only if its group has no other; no rows give none;
+    extra columns are carried along.
+    """
+    clash = "row" in documents.columns
+    docs = documents.withColumnRenamed("row", "_row") if clash else documents
+    groups = cut_lineage(near_duplicates(docs, shingle, similarity))
+    dropped = cut_lineage(groups.where("row != head").select("row").distinct())
+    left = _rows(docs).join(dropped, "row", "left_anti")
+    if not groups.where("row = head").groupBy("row").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["row"])
+    left = left.select(*docs.columns)
+    return left.withColumnRenamed("_row", "row") if clash else left
