@@ -19,7 +19,6 @@ length or group, which counts per block provide even if all pieces have one leng
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
@@ -38,51 +37,125 @@ END = 2
 GROUPS = 200
 SMALL = 1 / 4
 BLOCKS = 64
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers at most.
+REMEMBERED = 1 << 21
 
 
 # ---------------------------------------------------------------- tokens
 
-#: Fixed: how the byte-level vocabulary splits text before merging.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Letters, digits and signs about which all Unicode versions agree; other texts are not split here.
-_AGREED = re.compile("[\t\n\r\x20-\x7e¡-ȳΑ-ΡΣ-ώА-я–—‘-„…€]*")
+#: Fixed: the byte-level vocabulary merges inside these words only.
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+_CONTRACTED = ("s", "t", "m", "d", "re", "ve", "ll")
+#: Characters of whose class all Unicode versions agree; texts with others go through the tokenizer whole.
+_AGREED = ((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0x233), (0x391, 0x3A1), (0x3A3, 0x3CE), (0x410, 0x44F), (0x2013, 0x2026), (0x20AC, 0x20AC))
+_LETTER, _NUMBER, _SIGN, _SPACE = 1, 2, 3, 4
+
+
+def _classes() -> np.ndarray:
+    import regex
+
+    table = np.zeros(tb.POINTS, np.uint8)
+    for low, high in _AGREED:
+        for c in range(low, high + 1):
+            known = (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")
+            table[c] = next((k for k, p in known if regex.match(p, chr(c))), _SIGN)
+    return table
 
 
 class Ids:
-    """Token ids of texts. A word's ids are looked up once per worker and remembered.
+    """Token ids of texts, each distinct word encoded once per worker while it is remembered.
 
-    The vocabulary merges within words only, so a text's ids are those of its words. Texts with
-    rarer characters, or with a special token spelled out, go through the tokenizer whole.
+    Texts are split into the tokenizer's words by array passes; a word's ids are looked up by its
+    hash in a table of `REMEMBERED` places, and what is missing there is encoded. Texts with rarer
+    characters, or with a special token spelled out, go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(SPLIT).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.classes = _classes()
+        self._forget()
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
+    def _forget(self) -> None:
+        self.hashes = np.zeros(REMEMBERED, np.uint64)
+        self.first = np.zeros(REMEMBERED, np.int64)
+        self.number = np.zeros(REMEMBERED, np.int32)
+        self.ids = np.zeros(1 << 20, np.uint32)
+        self.used = 0
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> np.ndarray:
-        if not _AGREED.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self._whole([text])[0], np.uint32)
-        words, known = self.split(text), self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        if new:
-            known.update(zip(new, map(tuple, self._whole(new)), strict=True))
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        return np.array(out, np.uint32)
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        filled = [t or "" for t in texts]
+        points = tb.Points(filled)
+        kinds = self.classes[points.points]
+        ends = points.bounds[1:] - 1
+        kinds[ends] = 0
+        strange = np.add.reduceat(kinds == 0, points.bounds[:-1]) > 1 if len(texts) else np.zeros(0, bool)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        whole = [i for i, t in enumerate(filled) if strange[i] or any(s in t for s in self.special)]
+        for i, ids in zip(whole, self._encoded([filled[i] for i in whole]), strict=True):
+            out[i] = np.array(ids, np.uint32)
+        starts, stops = _words(points.points, kinds)
+        first, number = self._looked_up(tb.SEPARATOR.join(filled), points.points, starts, stops)
+        ids = self.ids[tb.ragged(first, number)]
+        before = np.concatenate([[0], np.cumsum(number)])
+        cuts = before[np.searchsorted(starts, points.bounds)]
+        for i in sorted(set(range(len(texts))) - set(whole)):
+            out[i] = ids[cuts[i] : cuts[i + 1]]
+        return out
+
+    def _looked_up(self, joined: str, points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word begin in `self.ids`, and how many they are."""
+        if self.used > 8 * REMEMBERED:
+            self._forget()
+        hashes = tb.span_hashes(points, starts, stops)
+        place = (hashes >> np.uint64(32)).astype(np.int64) % REMEMBERED
+        known = self.hashes[place] == hashes
+        first, number = self.first[place], self.number[place]
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            _, pick, where = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            new = missing[pick]
+            found = self._encoded([joined[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)])
+            size = np.array([len(f) for f in found], np.int32)
+            flat = np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))
+            if self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
+            at = self.used + np.cumsum(size) - size
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+            self.hashes[place[new]], self.first[place[new]], self.number[place[new]] = hashes[new], at, size
+            first[missing], number[missing] = at[where], size[where]
+        return first, number
+
+
+def _words(points: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokenizer's words; kind 0 separates texts.
+
+    Letters, numbers and signs form runs, which take one space before them. Of other white space
+    the last character before a run stands alone, and what is before it is one word.
+    """
+    before = np.concatenate([[0], kinds[:-1]]).astype(np.uint8)
+    after = np.concatenate([kinds[1:], [0]]).astype(np.uint8)
+    space = kinds == _SPACE
+    blank_before = np.concatenate([[False], points[:-1] == 0x20]) & (before == _SPACE)
+    begins = np.where(space, (before != _SPACE) | ((after != _SPACE) & (after != 0)), (before != kinds) & ~blank_before)
+    begins &= kinds != 0
+    quote = np.flatnonzero(begins & (points == 0x27) & (after == _LETTER))
+    if len(quote):
+        padded = np.concatenate([points, np.zeros(3, points.dtype)])
+        for ending in _CONTRACTED:
+            held = quote[np.all([padded[quote + 1 + k] == ord(c) for k, c in enumerate(ending)], axis=0)]
+            begins[held + 1] = False
+            following = held + 1 + len(ending)
+            begins[following[kinds[following] == _LETTER]] = True
+    edges = np.flatnonzero(begins | (kinds == 0))
+    is_word = kinds[edges] != 0
+    return edges[is_word], np.concatenate([edges[1:], [len(points)]])[is_word]
 
 
 _loaded: dict[str, Ids] = {}
@@ -103,8 +176,8 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int =
         ids = _ids(path)
         for part, texts in tb.slices(batches):
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(texts):
-                all_ids = np.append(ids(text or ""), np.uint32(end)).astype("<u4")
+            for i, text_ids in enumerate(ids(texts)):
+                all_ids = np.append(text_ids, np.uint32(end)).astype("<u4")
                 cuts = [0, *range(len(all_ids) % capacity or capacity, len(all_ids) + 1, capacity)]
                 for k in range(len(cuts) - 1):
                     rows.append(i)
