@@ -1,0 +1,43 @@
+"""String leaves of JSON below the levels that column expressions walk.
+
+A column expression has a fixed number of levels. What is nested deeper is rare, so it is left to
+one narrow helper that walks it to the end; rows without such remains send it nothing.
+"""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+NODE = "array<struct<path:string,key:string,text:string>>"
+
+
+def _walk(nodes: str | None, inherit: bool) -> list[tuple[str, str, str]] | None:
+    """Leaves of `[{"path", "key", "value"}, ...]`; array items take their array's key if `inherit`."""
+    if nodes is None:
+        return None
+    out = []
+    todo = [(n.get("path", ""), n.get("key", ""), n.get("value")) for n in json.loads(nodes)]
+    while todo:
+        path, key, value = todo.pop()
+        if isinstance(value, str):
+            out.append((path, key, value))
+        elif isinstance(value, dict):
+            todo += [(f"{path}/{k}", k, v) for k, v in value.items()]
+        elif isinstance(value, list):
+            todo += [(f"{path}/{i:06d}", key if inherit else "", v) for i, v in enumerate(value)]
+    return sorted(out)
+
+
+def leaves_below(nodes: Column, inherit: bool = False) -> Column:
+    """All string leaves inside the objects and arrays among `nodes`, structs with a variant `value`."""
+    nested = F.filter(nodes, lambda n: F.schema_of_variant(n["value"]).rlike("^(OBJECT|ARRAY)"))
+    rest = F.when(F.size(nested) > 0, F.to_json(nested))
+
+    def walk(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: _walk(x, inherit))
+
+    return F.coalesce(F.pandas_udf(walk, NODE)(rest), F.array().cast(NODE))

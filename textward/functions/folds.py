@@ -19,11 +19,12 @@ def carry_fold(rows: DataFrame, key: str, order: Iterable[str], fold: Fold, sche
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        current, state, begun = None, None, False
         for batch in batches:
-            for value, part in batch.groupby(key, sort=False):
-                if value != current:
-                    current, state = value, None
+            for value, part in batch.groupby(key, sort=False, dropna=False):
+                same = begun and (value == current or (pd.isna(value) and pd.isna(current)))
+                if not same:
+                    current, state, begun = value, None, True
                 state, out = fold(state, part)
                 yield out
 

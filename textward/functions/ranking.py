@@ -9,6 +9,7 @@ task.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,14 @@ BLOCK = "_block"
 BASE = "_base"
 
 
+def null_safe_join(rows: DataFrame, bases: DataFrame, on: Iterable[str]) -> DataFrame:
+    """Inner join on columns that may hold NULL, which equals NULL here: no row is lost."""
+    on = list(on)
+    right = bases.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in bases.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return rows.join(right, same).drop(*[f"_on_{c}" for c in on])
+
+
 def block_bases(
     df: DataFrame, keys: Iterable[str], measures: dict[str, Column]
 ) -> DataFrame:
@@ -43,7 +52,7 @@ def blocked_row_number(
     rows = df.withColumn(BLOCK, block)
     bases = block_bases(rows, keys, {"n": F.count(F.lit(1))})
     within = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    out = rows.join(bases, [*keys, BLOCK])
+    out = null_safe_join(rows, bases, [*keys, BLOCK])
     number = F.col(f"{BASE}_n") + F.row_number().over(within)
     return out.withColumn(name, number.cast("long")).drop(BLOCK, f"{BASE}_n")
 
@@ -60,7 +69,7 @@ def blocked_running_sum(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = rows.join(bases, [*keys, BLOCK])
+    out = null_safe_join(rows, bases, [*keys, BLOCK])
     total = F.col(f"{BASE}_n") + F.sum("_v").over(within)
     return out.withColumn(name, total).drop(BLOCK, f"{BASE}_n", "_v")
 
@@ -97,7 +106,7 @@ def blocked_last(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = rows.join(bases, [*keys, BLOCK])
+    out = null_safe_join(rows, bases, [*keys, BLOCK])
     return out.select(
         *df.columns,
         *[

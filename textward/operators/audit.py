@@ -1,23 +1,28 @@
 """Audit events: building, sanitizing, hash chains, export batches.
 
-A hash chain is sequential, so chains are cut into segments of a fixed number of records.
-A segment starts from an anchor derived from its chain and number, folds in one expression,
-and its tail hash is sealed one level up in the same way. Group sizes stay fixed however
-long one chain grows, and verification is a window per segment.
+A hash chain is one unbroken link from record to record. Building it is sequential by its
+definition: the records of a chain stream through one task in order, which holds one hash.
+Chains are independent of each other. Verifying is parallel: every record carries the hash before it, so
+a record is checked against its predecessor, found through blocks of sequence numbers. A seal per
+chain (records, last hash, MAC) shows a missing end, which the records alone cannot.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import carry_fold
 from ..functions.hashing import hmac_sha256
-from ..functions.ranking import blocked_row_number
+from ..functions.ranking import blocked_last, blocked_row_number
 from .vault import bounded_label, principal
 
-SEGMENT = 4096
+#: Sequence numbers per block of the parallel check; results do not depend on it.
+BLOCK = 4096
 ZERO = "0" * 64
 
 
@@ -123,85 +128,86 @@ def record_hash(sequence: Column, previous: Column, payload: Column) -> Column:
     return F.sha2(F.concat(big_endian(sequence), F.unhex(previous), F.encode(payload, "utf-8")), 256)
 
 
-def anchor(chain: Column, segment: Column) -> Column:
-    """Start of a segment: zeros for the first, else bound to its chain and number."""
-    return F.when(segment == 0, F.lit(ZERO)).otherwise(
-        F.sha2(F.concat_ws("\0", F.lit("segment"), chain.cast("string"), segment.cast("string")), 256)
-    )
-
-
-FOLD = """
-aggregate(items, named_struct('prev', start, 'out',
-    CAST(array() AS array<struct<sequence:bigint,previous:string,record_hash:string,payload:string>>)),
-  (acc, x) -> transform(array(
-      sha2(concat(unhex(lpad(hex(x.sequence), 16, '0')), unhex(acc.prev), encode(x.payload, 'utf-8')), 256)),
-    h -> named_struct('prev', h, 'out', concat(acc.out, array(named_struct(
-      'sequence', x.sequence, 'previous', acc.prev, 'record_hash', h, 'payload', x.payload)))))[0],
-  acc -> acc.out)"""
-
-
 def chain_build(
-    events: DataFrame, chain: str, block: Column, order: Iterable[str], payload: Column, mac_key: str,
-    segment: int = SEGMENT,
+    events: DataFrame, chain: str, block: Column, order: Iterable[str], payload: Column, mac_key: str
 ) -> DataFrame:
-    """Sequence, previous hash, record hash and MAC per event of each chain."""
-    numbered = blocked_row_number(
-        events.withColumn("payload", payload), [chain], block, order, "sequence"
-    ).withColumn("segment", F.floor((F.col("sequence") - 1) / segment))
-    grouped = numbered.groupBy(chain, "segment").agg(
-        F.array_sort(F.collect_list(F.struct("sequence", "payload"))).alias("items")
-    )
-    folded = grouped.withColumn("start", anchor(F.col(chain), F.col("segment"))).select(
-        chain, "segment", F.explode(F.expr(FOLD)).alias("r")
-    )
-    out = folded.select(chain, "segment", "r.*")
+    """Sequence, previous hash, record hash and MAC per event of each chain.
+
+    The first record follows 64 zeros, every other one the record before it.
+    """
+    numbered = blocked_row_number(events.withColumn("payload", payload), [chain], block, order, "sequence")
+    kind = numbered.schema[chain].dataType.simpleString()
+
+    def link(previous: str | None, rows: pd.DataFrame) -> tuple[str, pd.DataFrame]:
+        previous, before, hashes = previous or ZERO, [], []
+        for sequence, text in zip(rows["sequence"], rows["payload"], strict=True):
+            before.append(previous)
+            previous = hashlib.sha256(int(sequence).to_bytes(8, "big") + bytes.fromhex(previous) + (text or "").encode()).hexdigest()
+            hashes.append(previous)
+        return previous, rows.assign(previous=before, record_hash=hashes)[[chain, "sequence", "previous", "record_hash", "payload"]]
+
+    columns = f"{chain} {kind}, sequence long, previous string, record_hash string, payload string"
+    out = carry_fold(numbered.select(chain, "sequence", "payload"), chain, ["sequence"], link, columns)
     return out.withColumn("mac", hmac_sha256(mac_key, F.col("record_hash")))
 
 
-def segment_seals(chained: DataFrame, chain: str, fan_in: int = SEGMENT, levels: int = 3) -> DataFrame:
-    """One seal per chain over its segment tails, folded level by level with a fixed fan-in."""
-    tails = chained.groupBy(chain, "segment").agg(
-        F.max_by("record_hash", "sequence").alias("hash"), F.count(F.lit(1)).alias("records")
+def chain_seals(records: DataFrame, chain: str, mac_key: str) -> DataFrame:
+    """One seal per chain: how many records, the hash of the last, and a MAC over both."""
+    out = records.groupBy(chain).agg(
+        F.count(F.lit(1)).alias("sealed"), F.max_by("record_hash", "sequence").alias("tail")
     )
-    for _ in range(levels):
-        grouped = tails.groupBy(chain, F.floor(F.col("segment") / fan_in).alias("parent")).agg(
-            F.array_sort(F.collect_list(F.struct("segment", "hash"))).alias("items"),
-            F.sum("records").alias("records"),
-        )
-        sealed = F.aggregate(
-            "items", F.lit(ZERO), lambda acc, x: F.sha2(F.concat(F.unhex(acc), F.unhex(x["hash"])), 256)
-        )
-        tails = grouped.select(chain, F.col("parent").alias("segment"), sealed.alias("hash"), "records")
-    return tails.select(chain, "records", F.col("hash").alias("seal"))
+    return out.withColumn("seal", hmac_sha256(mac_key, F.concat_ws(":", F.col("sealed").cast("string"), F.col("tail"))))
 
 
 def chain_verify(records: DataFrame, chain: str, mac_key: str) -> DataFrame:
-    """Every record with its first fault: gap, link, hash or mac; parallel per segment."""
-    order = Window.partitionBy(chain, "segment").orderBy("sequence")
-    before_seq = F.lag("sequence").over(order)
-    before_hash = F.lag("record_hash").over(order)
-    first = before_seq.isNull()
-    expected = F.when(first, anchor(F.col(chain), F.col("segment"))).otherwise(before_hash)
-    rows = records.withColumn("_seq", before_seq).withColumn("_prev", expected)
+    """Every record with its first fault: gap, link, hash or mac.
+
+    A gap is a sequence that does not follow the record before it, or a first one other than 1. Blocks of
+    sequence numbers are checked in parallel, each with the last record of the blocks before.
+    """
+    block = F.floor((F.col("sequence") - 1) / BLOCK)
+    rows = blocked_last(
+        records, [chain], block, ["sequence"], {"_seq": F.col("sequence"), "_prev": F.col("record_hash")}
+    )
     fault = (
-        F.when(F.col("_seq").isNotNull() & (F.col("sequence") != F.col("_seq") + 1), "gap")
-        .when(F.col("previous") != F.col("_prev"), "link")
-        .when(F.col("record_hash") != record_hash(F.col("sequence"), F.col("previous"), F.col("payload")), "hash")
+        F.when(F.col("sequence") != F.coalesce("_seq", F.lit(0)) + 1, "gap")
+        .when(F.col("previous") != F.coalesce("_prev", F.lit(ZERO)), "link")
+        .when(F.col("record_hash") != record_hash(F.col("sequence"), F.col("previous"), F.coalesce("payload", F.lit(""))), "hash")
         .when(F.col("mac") != hmac_sha256(mac_key, F.col("record_hash")), "mac")
         .otherwise("")
     )
     return rows.withColumn("fault", fault).drop("_seq", "_prev")
 
 
-def chain_faults(verified: DataFrame, chain: str) -> DataFrame:
-    """First bad sequence per chain and its fault."""
-    bad = verified.filter("fault <> ''")
+def cut_ends(records: DataFrame, seals: DataFrame, chain: str, mac_key: str) -> DataFrame:
+    """A fault `end` after the last record of every chain that ends before, or other than, its seal says.
+
+    A seal whose MAC does not hold is a fault `seal` at sequence 0.
+    """
+    have = records.groupBy(chain).agg(
+        F.max("sequence").alias("last"), F.max_by("record_hash", "sequence").alias("have")
+    )
+    rows = seals.join(have, chain, "left")
+    good = F.col("seal") == hmac_sha256(mac_key, F.concat_ws(":", F.col("sealed").cast("string"), F.col("tail")))
+    same = F.coalesce((F.col("last") == F.col("sealed")) & (F.col("have") == F.col("tail")), F.lit(False))
+    fault = F.when(~good, "seal").when(~same, "end")
+    at = F.when(good, F.coalesce("last", F.lit(0)) + 1).otherwise(0)
+    return rows.select(chain, at.cast("long").alias("sequence"), fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def chain_faults(verified: DataFrame, chain: str, ends: DataFrame | None = None) -> DataFrame:
+    """First bad sequence per chain and its fault; `ends` are those of cut_ends()."""
+    bad = verified.filter("fault <> ''").select(chain, "sequence", "fault")
+    if ends is not None:
+        bad = bad.unionByName(ends)
     return bad.groupBy(chain).agg(
         F.min("sequence").alias("first_bad"), F.min_by("fault", "sequence").alias("fault"), F.count(F.lit(1)).alias("faults")
     )
 
 
-def chain_status(records: DataFrame, verified: DataFrame, chain: str, now: Column, at: str) -> DataFrame:
+def chain_status(
+    records: DataFrame, verified: DataFrame, chain: str, now: Column, at: str, ends: DataFrame | None = None
+) -> DataFrame:
     counts = records.groupBy(chain).agg(
         F.count(F.lit(1)).alias("records"),
         F.sum(F.octet_length("payload")).alias("payload_bytes"),
@@ -209,7 +215,7 @@ def chain_status(records: DataFrame, verified: DataFrame, chain: str, now: Colum
         F.min(at).alias("oldest"),
     )
     age = F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp("oldest"))
-    out = counts.join(chain_faults(verified, chain).select(chain, "first_bad"), chain, "left")
+    out = counts.join(chain_faults(verified, chain, ends).select(chain, "first_bad"), chain, "left")
     return out.select(
         chain, "records", "payload_bytes", "next_sequence", age.cast("long").alias("oldest_age_seconds"), F.col("first_bad").isNull().alias("ready")
     )

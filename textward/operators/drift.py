@@ -7,33 +7,30 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
 MAX_BUCKETS = 32
 FLOOR = 1e-9
 VALID_LABEL = "^[A-Za-z0-9_.-]{1,32}$"
 
 
 def drift_buckets(samples: DataFrame, keys: Iterable[str], order: Iterable[str]) -> DataFrame:
-    """Counts per label, at most 32 first-seen labels per key; overflow joins a kept `other`.
+    """Counts per label: the first 32 seen per key by name, all later ones together as `other`.
 
-    Labels are counted before they are ranked, and Spark prunes the rank to 32 per key ahead
-    of the shuffle, so a key with very many labels stays small.
+    Labels that are no valid names count as `invalid`. Every sample is in one bucket. Labels are
+    counted before they are ranked; a key with very many labels is combined map-side.
     """
     keys = list(keys)
-    valid = samples.filter(F.col("label").rlike(VALID_LABEL))
-    counted = cut_lineage(
-        valid.groupBy(*keys, "label").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first_seen")
-        )
+    label = F.when(F.col("label").rlike(VALID_LABEL), F.col("label")).otherwise(F.lit(None).cast("string"))
+    counted = samples.withColumn("label", label).groupBy(*keys, "label").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first_seen")
+    )
+    seen = Window.partitionBy(*keys, F.col("label").isNull()).orderBy("first_seen", "label")
+    bucket = (
+        F.when(F.col("label").isNull(), "invalid")
+        .when(F.row_number().over(seen) <= MAX_BUCKETS, F.col("label"))
+        .otherwise("other")
     )
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("first_seen", "label"))
-    kept = counted.withColumn("rank", rank).filter(F.col("rank") <= MAX_BUCKETS)
-    totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
-    held = kept.groupBy(*keys).agg(F.sum("n").alias("held"))
-    out = kept.join(totals, keys).join(held, keys)
-    spill = F.when(F.col("label") == "other", F.col("total") - F.col("held")).otherwise(0)
-    return out.select(*keys, "label", (F.col("n") + spill).alias("count"))
+    ranked = counted.withColumn("bucket", bucket)
+    return ranked.groupBy(*keys, F.col("bucket").alias("label")).agg(F.sum("n").alias("count"))
 
 
 def compare(rows: DataFrame, keys: Iterable[str], current: Column, baseline: Column) -> DataFrame:
@@ -92,6 +89,7 @@ def breached(policy: Mapping[str, float]) -> Column:
     )
 
 
+# None, warning, freeze_promotion, pause_canary, rollback_champion, incident_quarantine.
 FOLD = """
 aggregate(windows,
   named_struct('sustained', 0, 'acted', CAST(NULL AS timestamp),
@@ -103,10 +101,10 @@ aggregate(windows,
       transform(array(CASE
           WHEN s < {sustained} THEN 'warning'
           WHEN NOT ({cooldown} = 0 OR acc.acted IS NULL
-            OR unix_timestamp(w.at) - unix_timestamp(acc.acted) >= {cooldown}) THEN 'freeze'
+            OR unix_timestamp(w.at) - unix_timestamp(acc.acted) >= {cooldown}) THEN 'freeze_promotion'
           WHEN {rollback} AND w.scopes >= 2 THEN '{rollback_action}'
-          ELSE 'pause' END), a -> named_struct(
-        'sustained', s, 'acted', CASE WHEN a IN ('pause', '{rollback_action}') THEN w.at ELSE acc.acted END,
+          ELSE 'pause_canary' END), a -> named_struct(
+        'sustained', s, 'acted', CASE WHEN a IN ('pause_canary', '{rollback_action}') THEN w.at ELSE acc.acted END,
         'out', concat(acc.out, array(named_struct('at', w.at, 'sustained', s, 'action', a)))))[0])[0] END,
   acc -> acc.out)"""
 
@@ -126,6 +124,6 @@ def drift_status(windows: DataFrame, keys: Iterable[str], policy: Mapping) -> Da
         sustained=int(policy["sustained_windows"]),
         cooldown=int(policy["cooldown_seconds"]),
         rollback=str(bool(policy["auto_rollback"] and policy["healthy_target"])).lower(),
-        rollback_action="quarantine" if policy.get("allow_quarantine") else "rollback",
+        rollback_action="incident_quarantine" if policy.get("allow_quarantine") else "rollback_champion",
     )
     return rows.select(*keys, F.explode(F.expr(fold)).alias("s")).select(*keys, "s.*")

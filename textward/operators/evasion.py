@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import entropy
+from ..functions.deep_json import leaves_below
 from ..functions.hashing import value_hash
 from ..functions.ranking import blocked_running_sum
 from ..functions.scan import Detector, explode_rows, matches, with_findings
@@ -23,18 +24,17 @@ from .detectors import PART_KEYS, PRODUCTION, TELEMETRY_KEY
 
 @dataclass(frozen=True)
 class EvasionConfig:
-    """Limits of the decoding views."""
+    """What to decode, and the budget of `work_budget`. No text, candidate or JSON leaf is too large or deep."""
 
     transforms: tuple[str, ...] = ("base64", "percent", "json_unicode", "structured")
-    max_expansion: int = 8
-    max_candidate_bytes: int = 32 << 10
     max_work_bytes: int = 256 << 10
-    max_json_depth: int = 8
-    max_json_string_bytes: int = 16 << 10
+    #: JSON levels walked by column expressions; deeper ones go through a helper.
+    json_levels: int = 8
     block_chars: int = 1 << 20
 
 
-BASE64 = r"[\w+/=-]{16,}"
+# The candidate patterns.
+BASE64 = r"[A-Za-z0-9+/_=-]{16,}"
 JSON_UNICODE = r"(?:\\u[0-9A-Fa-f]{4}){2,}+"
 HEX = "(?:[0-9A-Fa-f]{2}){8,}+"
 # A percent escape counts as one of at least eight characters. Marking its '%' first turns
@@ -80,13 +80,12 @@ def canonical_parts(parts: DataFrame) -> DataFrame:
     ).drop("_c")
 
 
-def _text_ok(decoded: Column, source_bytes: Column, ratio: int) -> Column:
-    """Decoded text worth scanning: long enough, bounded, mostly printable, not monotonous."""
+def _text_ok(decoded: Column) -> Column:
+    """Decoded text worth scanning: long enough, mostly printable, not monotonous."""
     size = F.octet_length(decoded)
     shown = F.length(F.regexp_replace(decoded, f"[^{PRINTABLE}]", ""))
     return F.coalesce(
         (size >= 6)
-        & (size <= source_bytes * ratio + 1)
         & (shown * 100 >= F.length(decoded) * 82)
         & (
             F.contains(decoded, F.lit("sk-"))
@@ -141,22 +140,11 @@ def _spots(m: Column) -> tuple[Column, ...]:
     return m["start"], m["end"], m["char_start"], m["char_end"]
 
 
-def _decoded(found: Column, kind: str, decode, cfg: EvasionConfig, worth=None) -> Column:
+def _decoded(found: Column, kind: str, decode, worth=None) -> Column:
     """Candidate matches -> decoded views."""
-    small = F.filter(
-        found,
-        lambda m: (F.octet_length(m["value"]) <= cfg.max_candidate_bytes)
-        & (worth(m["value"]) if worth else F.lit(True)),
-    )
-    pairs = F.transform(
-        small,
-        lambda m: F.struct(
-            _view(kind, decode(m["value"]), _spots(m)).alias("v"),
-            F.octet_length(m["value"]).alias("n"),
-        ),
-    )
-    good = F.filter(pairs, lambda p: _text_ok(p["v"]["text"], p["n"], cfg.max_expansion))
-    return F.transform(good, lambda p: p["v"])
+    chosen = F.filter(found, lambda m: worth(m["value"])) if worth else found
+    shown = F.transform(chosen, lambda m: _view(kind, decode(m["value"]), _spots(m)))
+    return F.filter(shown, lambda v: _text_ok(v["text"]))
 
 
 def _percent_matches() -> Column:
@@ -178,10 +166,9 @@ def _percent_matches() -> Column:
     )
 
 
-def json_leaves(text: str, cfg: EvasionConfig) -> Column:
-    """Input of the JSON walk: the parsed value where the text is a small JSON document."""
-    shaped = F.col(text).rlike(r"^\s*[\[{\"]") & (F.octet_length(text) <= cfg.max_candidate_bytes)
-    return F.when(shaped, F.try_parse_json(F.col(text)))
+def json_leaves(text: str) -> Column:
+    """Input of the JSON walk: the parsed value where the text is a JSON document."""
+    return F.when(F.col(text).rlike(r"^\s*[\[{\"]"), F.try_parse_json(F.col(text)))
 
 
 CHILDREN = """flatten(transform({nodes}, n -> CASE
@@ -196,11 +183,12 @@ STRINGS = """transform(filter({nodes}, n -> schema_of_variant(n.value) = 'STRING
 
 
 def with_json_strings(df: DataFrame, text: str, name: str, cfg: EvasionConfig) -> DataFrame:
-    """Array of (key, value) string leaves, level by level down to the depth limit.
+    """Array of (key, value) string leaves at any depth.
 
-    The levels are chained projections over VARIANT arrays: no shuffle, no Python.
+    The first levels are chained projections over VARIANT arrays; only what is nested deeper
+    goes through a helper. No shuffle.
     """
-    rows = df.withColumn("_root", json_leaves(text, cfg))
+    rows = df.withColumn("_root", json_leaves(text))
     rows = rows.withColumn(
         "_n0",
         F.expr(
@@ -208,14 +196,15 @@ def with_json_strings(df: DataFrame, text: str, name: str, cfg: EvasionConfig) -
             "ELSE array(named_struct('key', '', 'value', _root)) END"
         ),
     )
-    for level in range(cfg.max_json_depth):
+    for level in range(cfg.json_levels):
         rows = rows.withColumn(f"_n{level + 1}", F.expr(CHILDREN.format(nodes=f"_n{level}")))
-    levels = range(cfg.max_json_depth + 1)
-    leaves = F.concat(*[F.expr(STRINGS.format(nodes=f"_n{level}")) for level in levels])
+    levels = range(cfg.json_levels + 1)
+    rows = rows.withColumn("_deep", leaves_below(F.col(f"_n{cfg.json_levels}"), inherit=True))
+    deep = F.transform("_deep", lambda x: F.struct(x["key"].alias("key"), x["text"].alias("value")))
+    leaves = F.concat(*[F.expr(STRINGS.format(nodes=f"_n{level}")) for level in levels], deep)
     kept = F.filter(
         leaves,
         lambda x: ~F.lower(x["key"]).rlike("blob|binary|image")
-        & (F.octet_length(x["value"]) <= cfg.max_json_string_bytes)
         & ~x["value"].rlike(r"[\x00-\x07]")
         & (
             F.length(F.regexp_replace(x["value"], f"[^{PRINTABLE}]", "")) * 100
@@ -238,18 +227,18 @@ def views(
     found = []
     if "base64" in cfg.transforms:
         found.append(
-            _decoded(matches("canon", BASE64), "base64", decode_base64, cfg, lambda v: entropy(v) >= 3.25)
+            _decoded(matches("canon", BASE64), "base64", decode_base64, lambda v: entropy(v) >= 3.25)
         )
     if "percent" in cfg.transforms:
         clean = F.translate("canon", ESCAPE_MARK, "")
         marked = F.regexp_replace(clean, "%([0-9A-Fa-f]{2})", ESCAPE_MARK + "$1")
         rows = rows.withColumn("marked", F.when(F.contains("canon", F.lit("%")), marked).otherwise(""))
-        found.append(_decoded(_percent_matches(), "percent", decode_percent, cfg))
+        found.append(_decoded(_percent_matches(), "percent", decode_percent))
     if "json_unicode" in cfg.transforms:
         escapes = matches("canon", JSON_UNICODE, ("\\u",))
-        found.append(_decoded(escapes, "json_unicode", decode_json_unicode, cfg))
+        found.append(_decoded(escapes, "json_unicode", decode_json_unicode))
     if "hex" in cfg.transforms:
-        found.append(_decoded(matches("canon", HEX), "hex", decode_hex, cfg))
+        found.append(_decoded(matches("canon", HEX), "hex", decode_hex))
     if "structured" in cfg.transforms:
         rows = with_json_strings(rows, "text", "leaves", cfg)
         found.append(

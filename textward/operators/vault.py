@@ -1,7 +1,7 @@
 """Token vault records, placeholders and re-identification.
 
-Records are rows: scope digests and expiry are column expressions, quotas are row numbers
-that Spark prunes before the shuffle, retrieval is one join.
+Records are rows: scope digests and expiry are column expressions, quotas are running counts,
+retrieval is one join.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hmac_sha256
 from ..functions.scan import explode_rows, matches
+from ..session import cut_lineage
 
 SCOPE_VERSION = 1
 # Forms of a placeholder label.
@@ -33,7 +34,6 @@ class VaultOptions:
     max_value_bytes: int = 64 * 1024
     max_retrievals: int = 10
     single_use: bool = False
-    # At most 1000 each: that is how far Spark prunes row numbers before the shuffle.
     per_scope: int = 0
     per_tenant: int = 0
     per_user: int = 0
@@ -75,28 +75,77 @@ def session_index(o: VaultOptions) -> Column:
 SCOPE_FIELDS = ("tenant", "application", "subject", "session", "policy_id", "purpose", "data_category")
 
 
-def _quota(rows: DataFrame, keys: list[str], limit: int, order: list[str]) -> DataFrame:
-    if limit <= 0:
-        return rows
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+# Codes of refused tokens.
+SCOPE_REQUIRED, TOO_LARGE, QUOTA = "scope_required", "value_too_large", "quota_exceeded"
 
 
-def issue(tokens: DataFrame, o: VaultOptions, order: list[str]) -> DataFrame:
-    """Vault records for tokens with scope columns, `token`, `value` and `issued_at`.
+def _within(rows: DataFrame, keys: list[str], limit: int, order: list[str], counted: str) -> Column:
+    """Whether fewer than `limit` counted rows of the key come before a row."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(F.col(counted).cast("long")).over(before), F.lit(0)) < limit
+
 
-    Rows with an empty scope field or an oversized value are refused. Quotas apply in the
-    order scope, tenant, user, session to the rows that passed the one before.
+def issue_outcomes(tokens: DataFrame, o: VaultOptions, order: list[str]) -> DataFrame:
+    """Every token with `code`: empty if it is stored, else why it is refused.
+
+    A token is stored if its scope, tenant, user and session all have room when its turn comes. It
+    counts for tenant and user once these and the scope had room, for scope and session once it
+    is stored. Tenants and users cross, so with more than one quota the counts depend on each
+    other: they are taken from the decisions of the round before until no decision changes,
+    which is the one solution, as a row depends on earlier rows only.
     """
-    ok = F.col("policy_version") > 0
+    scoped = F.col("policy_version") > 0
     for name in SCOPE_FIELDS:
-        ok = ok & (F.coalesce(F.col(name), F.lit("")) != "")
-    rows = tokens.filter(ok & (F.octet_length("value") <= o.max_value_bytes))
+        scoped = scoped & (F.coalesce(F.col(name), F.lit("")) != "")
+    small = F.octet_length("value") <= o.max_value_bytes
+    code = (
+        F.when(~F.coalesce(scoped, F.lit(False)), SCOPE_REQUIRED)
+        .when(~F.coalesce(small, F.lit(False)), TOO_LARGE)
+        .otherwise("")
+    )
+    rows = tokens.withColumn("code", code)
     scope = ["tenant", "application", "subject", "session", "policy_id", "policy_version", "purpose"]
-    rows = _quota(rows, scope, o.per_scope, order)
-    rows = _quota(rows, ["tenant"], o.per_tenant, order)
-    rows = _quota(rows, ["subject"], o.per_user, order)
-    rows = _quota(rows, ["tenant", "application", "subject", "session"], o.per_session, order)
+    session = ["tenant", "application", "subject", "session"]
+    # Keys, limit, and the flag of the rows that count for it.
+    quotas = [
+        (keys, limit, flag)
+        for keys, limit, flag in (
+            (scope, o.per_scope, "_stored"),
+            (["tenant"], o.per_tenant, "_admitted"),
+            (["subject"], o.per_user, "_admitted"),
+            (session, o.per_session, "_stored"),
+        )
+        if limit > 0
+    ]
+    if not quotas:
+        return rows
+    sound = F.col("code") == ""
+    rows = rows.withColumn("_admitted", sound).withColumn("_stored", sound)
+    while True:
+        fits = [_within(rows, keys, limit, order, flag) for keys, limit, flag in quotas]
+        first = [f for f, (keys, _, _) in zip(fits, quotas, strict=True) if keys is not session]
+        admitted = sound
+        for f in first:
+            admitted = admitted & f
+        stored = admitted
+        for f, (keys, _, _) in zip(fits, quotas, strict=True):
+            if keys is session:
+                stored = stored & f
+        judged = rows.select("*", admitted.alias("_a"), stored.alias("_s"))
+        # One quota: the rows before a row that fit are simply the first ones.
+        if len(quotas) > 1:
+            judged = cut_lineage(judged)
+            settled = judged.where("_a <> _admitted OR _s <> _stored").isEmpty()
+        rows = judged.drop("_admitted", "_stored").withColumnsRenamed({"_a": "_admitted", "_s": "_stored"})
+        if len(quotas) == 1 or settled:
+            break
+    refused = F.when(sound & ~F.col("_stored"), QUOTA).otherwise(F.col("code"))
+    return rows.withColumn("code", refused).drop("_admitted", "_stored")
+
+
+def issue(tokens: DataFrame, o: VaultOptions, order: list[str]) -> DataFrame:
+    """Vault records of the tokens that issue_outcomes() stores."""
+    rows = issue_outcomes(tokens, o, order).filter("code = ''").drop("code")
     expires = F.col("issued_at") + F.make_interval(secs=F.lit(o.ttl_seconds))
     idle = F.lit(None).cast("timestamp")
     if o.idle_seconds:

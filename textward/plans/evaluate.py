@@ -293,7 +293,6 @@ def latency_quantiles(spark, folder):
 # ---- drift ----------------------------------------------------------------------------------------------
 
 SPLIT = "2024-01-16 00:00:00"
-LAST_DAY = "2024-02-15 00:00:00"
 
 
 def drift_samples(spark, folder):
@@ -315,10 +314,10 @@ SAMPLES_SQL = """samples AS (SELECT event_id, ts, user_id, 'event_type' AS featu
     "drift_buckets",
     """WITH s AS (SELECT date_trunc('day', ts) AS day, CASE WHEN user_id % 10 = 3 THEN 'other'
       WHEN user_id % 41 = 7 THEN 'not valid' ELSE 'u' || user_id END AS label, ts, event_id FROM events),
-v AS (SELECT day, label, count(*) AS n, min(ts) AS seen FROM s WHERE regexp_full_match(label, '[A-Za-z0-9_.-]{1,32}') GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY seen) AS rank, sum(n) OVER (PARTITION BY day) AS total FROM v),
-k AS (SELECT *, sum(n) OVER (PARTITION BY day) AS held FROM r WHERE rank <= 32)
-SELECT day, 'user' AS feature, label, CAST(n + CASE WHEN label = 'other' THEN total - held ELSE 0 END AS BIGINT) AS count FROM k""",
+v AS (SELECT day, CASE WHEN regexp_full_match(label, '[A-Za-z0-9_.-]{1,32}') THEN label END AS label, count(*) AS n, min(ts) AS seen FROM s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY day, label IS NULL ORDER BY seen) AS rank FROM v)
+SELECT day, 'user' AS feature, CASE WHEN label IS NULL THEN 'invalid' WHEN rank <= 32 THEN label ELSE 'other' END AS label,
+  CAST(sum(n) AS BIGINT) AS count FROM r GROUP BY ALL""",
 )
 def drift_buckets(spark, folder):
     user = F.col("user_id")
@@ -428,7 +427,7 @@ walk(n, day, sustained, acted, action) AS (
   SELECT CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), 0, CAST(NULL AS TIMESTAMP), '' UNION ALL
   SELECT w.n, w.day, s.v, CASE WHEN w.samples >= 300 AND s.v >= 2 AND (p.acted IS NULL OR w.day - p.acted >= INTERVAL 2 DAY) THEN w.day ELSE p.acted END,
     CASE WHEN w.samples < 300 THEN 'none' WHEN s.v < 2 THEN 'warning'
-      WHEN p.acted IS NULL OR w.day - p.acted >= INTERVAL 2 DAY THEN 'pause' ELSE 'freeze' END
+      WHEN p.acted IS NULL OR w.day - p.acted >= INTERVAL 2 DAY THEN 'pause_canary' ELSE 'freeze_promotion' END
   FROM walk p JOIN w ON w.n = p.n + 1,
   LATERAL (SELECT CASE WHEN w.samples < 300 THEN p.sustained WHEN w.breach THEN p.sustained + 1 ELSE greatest(p.sustained - 1, 0) END AS v) s)"""
 
@@ -448,8 +447,9 @@ def drift_status(spark, folder):
     days = later.select(day, (F.col("user_id") % 3).alias("scope")).groupBy("at").agg(
         F.count_distinct("scope").alias("scopes")
     )
-    # Baseline labels are at most 32; each carries over to every day the monitor evaluates.
-    span = F.sequence(split, F.lit(LAST_DAY).cast("timestamp"), F.expr("INTERVAL 1 DAY"))
+    # Baseline labels are few; each carries over to every day up to the last one seen.
+    last = later.agg(F.coalesce(F.max(F.date_trunc("day", "ts")), split)).scalar()
+    span = F.sequence(split, last, F.expr("INTERVAL 1 DAY"))
     grid = base.select("label", "b", F.explode(span).alias("at"))
     counts = grid.join(current, ["at", "label"], "full").select(
         "at", "label", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b")

@@ -52,7 +52,7 @@ MIXED = "(regexp_matches(v, '[-_]') AND regexp_matches(v, '[+/]'))"
 PAD = "repeat('=', CAST((4 - length(rtrim(v, '=')) % 4) % 4 AS INTEGER))"
 DECODERS = {
     "base64": (
-        r"[A-Za-z0-9+/_=-]{16,}",
+        E.BASE64,
         f"{K.entropy('v')} >= 3.25 AND NOT {MIXED} AND regexp_full_match(v, '[A-Za-z0-9+/_-]+={{0,2}}') "
         "AND (length(v) % 4 = 0 OR NOT contains(v, '=')) AND length(rtrim(v, '=')) % 4 <> 1",
         f"TRY(decode(from_base64(translate(rtrim(v, '='), '-_', '+/') || {PAD})))",
@@ -75,8 +75,8 @@ def encoded_sql(kind: str) -> str:
     """CTE text ending in `encoded`: distinct findings inside decoded candidates."""
     pattern, worth, decoded = DECODERS[kind]
     views = f"""SELECT request_id || ':' || bs || ':' || (bs + strlen(v)) AS request_id, d AS text FROM (
-      SELECT request_id, bs, v, {decoded} AS d FROM cand WHERE strlen(v) <= 32768 AND {worth})
-    WHERE d IS NOT NULL AND strlen(d) >= 6 AND strlen(d) <= strlen(v) * 8 + 1
+      SELECT request_id, bs, v, {decoded} AS d FROM cand WHERE {worth})
+    WHERE d IS NOT NULL AND strlen(d) >= 6
       AND length(regexp_replace(d, '{NOT_SHOWN}', '', 'g')) * 100 >= length(d) * 82
       AND (contains(d, 'sk-') OR contains(d, 'eyJ') OR {K.entropy('d')} >= 2.0)"""
     return f"""{K.scan_ctes('cand', pattern, CANON_SRC)}, {production_sql(views)},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.tables import document_identity, table
 from .decide import DECIDE_SQL, decisions, held_findings
 from .measures import NOW, now
@@ -90,7 +90,6 @@ def audit_event_sink(spark, folder):
 # ---- chains ---------------------------------------------------------------------------------------------
 
 MAC_KEY = "audit-mac"
-SEGMENT = 32
 
 
 def payload():
@@ -101,7 +100,7 @@ def chained(spark, folder):
     """One chain per user, in event order."""
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "props")
     hour = F.floor(F.unix_timestamp("ts") / 3600)
-    return A.chain_build(events, "user_id", hour, ["ts", "event_id"], payload(), MAC_KEY, SEGMENT)
+    return A.chain_build(events, "user_id", hour, ["ts", "event_id"], payload(), MAC_KEY)
 
 
 CHAIN_SQL = """numbered AS (SELECT user_id, event_id || '|' || event_type || '|' || props AS payload, ts,
@@ -111,8 +110,7 @@ walk(user_id, sequence, previous, record_hash) AS (
   FROM numbered WHERE sequence = 1
   UNION ALL SELECT n.user_id, n.sequence, p.prev,
     sha256(unhex(lpad(hex(n.sequence), 16, '0')) || unhex(p.prev) || encode(n.payload))
-  FROM (SELECT w.user_id, w.sequence + 1 AS sequence, CASE WHEN w.sequence % 32 = 0
-      THEN sha256('segment' || chr(0) || w.user_id || chr(0) || (w.sequence // 32)) ELSE w.record_hash END AS prev FROM walk w) p
+  FROM (SELECT w.user_id, w.sequence + 1 AS sequence, w.record_hash AS prev FROM walk w) p
   JOIN numbered n ON n.user_id = p.user_id AND n.sequence = p.sequence)"""
 
 
@@ -125,41 +123,60 @@ def audit_chain_build(spark, folder):
 
 
 def damaged(records):
-    """Some payloads altered, some records missing, some MACs wrong."""
-    seq, user = F.col("sequence"), F.col("user_id")
-    rows = records.filter(~((user % 5 == 1) & (seq % 32 == 9)))
-    rows = rows.withColumn("payload", F.when((user % 5 == 2) & (seq == 7), F.lit("altered")).otherwise(F.col("payload")))
-    return rows.withColumn("mac", F.when((user % 5 == 3) & (seq == 12), F.lit("00")).otherwise(F.col("mac")))
+    """Payloads altered, MACs wrong; single records, whole ranges, the first and the last ones missing."""
+    seq, user, last = F.col("sequence"), F.col("user_id"), F.col("sealed")
+    gone = (
+        ((user % 7 == 1) & (seq % 32 == 9))
+        | ((user % 7 == 4) & seq.between(33, 64))
+        | ((user % 7 == 5) & (seq > last - 3))
+        | ((user % 7 == 6) & (seq <= 2))
+    )
+    counts = records.groupBy("user_id").agg(F.count("*").alias("sealed"))
+    rows = records.join(counts, "user_id").filter(~gone).drop("sealed")
+    rows = rows.withColumn("payload", F.when((user % 7 == 2) & (seq == 7), F.lit("altered")).otherwise(F.col("payload")))
+    return rows.withColumn("mac", F.when((user % 7 == 3) & (seq == 12), F.lit("00")).otherwise(F.col("mac")))
 
 
 DAMAGE_SQL = """n AS (SELECT user_id, ts, event_id, octet_length(encode(event_id || '|' || event_type || '|' || props)) AS bytes,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events),
-bad AS (SELECT user_id, sequence, CASE WHEN user_id % 5 = 1 THEN 'gap' WHEN user_id % 5 = 2 THEN 'hash' ELSE 'mac' END AS fault FROM n
-  WHERE (user_id % 5 = 1 AND sequence % 32 = 10) OR (user_id % 5 = 2 AND sequence = 7) OR (user_id % 5 = 3 AND sequence = 12))"""
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+here AS (SELECT * FROM n WHERE NOT (user_id % 7 = 1 AND sequence % 32 = 9) AND NOT (user_id % 7 = 4 AND sequence BETWEEN 33 AND 64)
+  AND NOT (user_id % 7 = 5 AND sequence > total - 3) AND NOT (user_id % 7 = 6 AND sequence <= 2)),
+bad AS (
+  SELECT user_id, sequence, CASE WHEN sequence <> coalesce(lag(sequence) OVER (PARTITION BY user_id ORDER BY sequence), 0) + 1 THEN 'gap'
+    WHEN user_id % 7 = 2 AND sequence = 7 THEN 'hash' WHEN user_id % 7 = 3 AND sequence = 12 THEN 'mac' ELSE '' END AS fault FROM here
+  UNION ALL SELECT t.user_id, coalesce(h.last, 0) + 1, 'end' FROM (SELECT DISTINCT user_id, total FROM n) t
+    LEFT JOIN (SELECT user_id, max(sequence) AS last FROM here GROUP BY 1) h ON h.user_id = t.user_id WHERE coalesce(h.last, 0) <> t.total)"""
+
+
+def damaged_chain(spark, folder):
+    """The damaged records, and where their ends miss the seals of the whole chains."""
+    whole = cut_lineage(chained(spark, folder))
+    records = damaged(whole)
+    return records, A.cut_ends(records, A.chain_seals(whole, "user_id", MAC_KEY), "user_id", MAC_KEY)
 
 
 @query(
     "audit_chain_verify",
-    f"""WITH {DAMAGE_SQL} SELECT user_id, min(sequence) AS first_bad, arg_min(fault, sequence) AS fault, count(*) AS faults FROM bad GROUP BY 1""",
+    f"""WITH {DAMAGE_SQL} SELECT user_id, min(sequence) AS first_bad, arg_min(fault, sequence) AS fault, count(*) AS faults FROM bad WHERE fault <> '' GROUP BY 1""",
 )
 def audit_chain_verify(spark, folder):
-    verified = A.chain_verify(damaged(chained(spark, folder)), "user_id", MAC_KEY)
-    return A.chain_faults(verified, "user_id")
+    records, ends = damaged_chain(spark, folder)
+    return A.chain_faults(A.chain_verify(records, "user_id", MAC_KEY), "user_id", ends)
 
 
 @query(
     "audit_status",
-    f"""WITH {DAMAGE_SQL}, s AS (SELECT user_id, count(*) AS records, CAST(sum(CASE WHEN user_id % 5 = 2 AND sequence = 7 THEN 7 ELSE bytes END) AS BIGINT) AS payload_bytes,
-  max(sequence) + 1 AS next_sequence, min(ts) AS oldest FROM n WHERE NOT (user_id % 5 = 1 AND sequence % 32 = 9) GROUP BY 1)
+    f"""WITH {DAMAGE_SQL}, s AS (SELECT user_id, count(*) AS records, CAST(sum(CASE WHEN user_id % 7 = 2 AND sequence = 7 THEN 7 ELSE bytes END) AS BIGINT) AS payload_bytes,
+  max(sequence) + 1 AS next_sequence FROM here GROUP BY 1), o AS (SELECT user_id, min(ts) AS oldest FROM events GROUP BY 1)
 SELECT user_id, records, payload_bytes, next_sequence, CAST(epoch(TIMESTAMP '{NOW}') - floor(epoch(oldest)) AS BIGINT) AS oldest_age_seconds,
-  user_id NOT IN (SELECT user_id FROM bad) AS ready FROM s""",
+  user_id NOT IN (SELECT user_id FROM bad WHERE fault <> '') AS ready FROM s JOIN o USING (user_id)""",
 )
 def audit_status(spark, folder):
-    records = damaged(chained(spark, folder))
+    records, ends = damaged_chain(spark, folder)
     verified = A.chain_verify(records, "user_id", MAC_KEY)
     at = table(spark, folder, "events").select("user_id", "ts")
     oldest = at.groupBy("user_id").agg(F.min("ts").alias("ts"))
-    return A.chain_status(records.join(oldest, "user_id"), verified, "user_id", now(), "ts")
+    return A.chain_status(records.join(oldest, "user_id"), verified, "user_id", now(), "ts", ends)
 
 
 @query(

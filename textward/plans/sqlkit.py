@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from ..operators.detectors import ATOM, LABEL
+
 DOCS = "SELECT doc_id AS request_id, text FROM documents"
 
-# RE2 forms of the detector patterns; \b is ASCII there.
+# RE2 forms of the detector patterns; \b is ASCII there.
 DASH = r"[-\s]?"
 RE_NATIONAL_ID = rf"\b\d{DASH}\d{{4}}{DASH}\d{{5}}{DASH}\d{{2}}{DASH}\d\b"
 RE_CARD = r"\b(?:\d[ -]?){12,18}\d\b"
 RE_IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 RE_IPV6 = r"(?i)[0-9a-f:]{2,39}"
-ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_{}|~-]"
-LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 RE_EMAIL = rf"{ATOM}+(?:\.{ATOM}+)*@{LABEL}(?:\.{LABEL})+"
 RE_PHONES = (
     rf"\+66{DASH}(?:6|8|9)\d{DASH}\d{{3}}{DASH}\d{{4}}\b",

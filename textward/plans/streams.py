@@ -56,7 +56,7 @@ def provider_events(spark, folder):
         ("responses", cat('{"type":"other","delta":', j, ',"text":"t"}')),
         ("messages", cat('{"type":"content_block_delta","delta":{"text":', j, ',"partial_json":"p"}}')),
         ("messages", cat('{"type":"ping","delta":{"text":', j, "}}")),
-        ("generic", cat('{"z":{"text":', j, '},"b":[{"args_arguments":"no"},{"arguments":"a1"}],"image_url":"u"}')),
+        ("generic", cat('{"z":{"text":', j, '},"b":[{"args_arguments":"no"},{"arguments":"a1"}],"image_url":"u","zz":[[[[[{"y":{"text":"deep"}}]]]]]}')),
         ("generic", cat("not json ", j)),
         ("chat", cat("{broken ", j)),
     )
@@ -76,7 +76,8 @@ def provider_events(spark, folder):
   UNION ALL SELECT request_id, k, 0, text, 'tool_arguments' FROM b WHERE k = 2 UNION ALL SELECT request_id, k, 1, 'x', 'tool_arguments' FROM b WHERE k = 2
   UNION ALL SELECT request_id, k, 0, 't', 'text' FROM b WHERE k = 3 UNION ALL SELECT request_id, k, 1, 'p', 'tool_arguments' FROM b WHERE k = 4
   UNION ALL SELECT request_id, k, NULL, NULL, NULL FROM b WHERE k IN (5, 8)
-  UNION ALL SELECT request_id, k, 0, 'a1', 'tool_arguments' FROM b WHERE k = 6 UNION ALL SELECT request_id, k, 1, text, 'text' FROM b WHERE k = 6)
+  UNION ALL SELECT request_id, k, 0, 'a1', 'tool_arguments' FROM b WHERE k = 6 UNION ALL SELECT request_id, k, 1, text, 'text' FROM b WHERE k = 6
+  UNION ALL SELECT request_id, k, 2, 'deep', 'text' FROM b WHERE k = 6)
 SELECT request_id, fragment, text, kind, k = 8 AS malformed, k = 6 AS attachment FROM f
 UNION ALL SELECT request_id, 0, 'not json ' || to_json(text), 'text', false, false FROM b WHERE k = 7""",
 )

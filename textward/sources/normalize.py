@@ -155,7 +155,9 @@ def _item_parts(p: Column, depth: int) -> Column:
         # An empty result still is one part.
         out = out.when((typed == "tool_result") & ~F.coalesce(kind_of(p["content"]).isin("STRING", "ARRAY"), F.lit(False)), _parts(_part("tool_result", blank)))
         out = out.when(typed == "tool_result", inner)
-    return out.when(typed == "tool_result", _parts(_part("tool_result", blank))).otherwise(
+    # A result nested in results is kept as its JSON, so its text still is scanned.
+    below = F.coalesce(F.to_json(p["content"]), blank)
+    return out.when(typed == "tool_result", _parts(_part("tool_result", below))).otherwise(
         _parts(_part("json", blank))
     )
 

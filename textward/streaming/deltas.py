@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.deep_json import NODE, leaves_below
 from ..functions.ranking import blocked_running_sum
 from ..functions.scan import Detector, finding_array
 from ..operators.transform import span_plan
@@ -102,23 +103,24 @@ LEVEL = """flatten(transform({nodes}, n -> CASE
   ELSE CAST(array() AS array<struct<path:string,key:string,value:variant>>) END))"""
 
 
-def with_generic_fragments(df: DataFrame, root: str, name: str, depth: int = 4) -> DataFrame:
-    """Known content keys at any depth, in key order; a bare string is one fragment."""
+def with_generic_fragments(df: DataFrame, root: str, name: str, levels: int = 4) -> DataFrame:
+    """Known content keys at any depth, in key order; a bare string is one fragment.
+
+    The first `levels` are column expressions, what is nested deeper goes through a helper.
+    """
     rows = df.withColumn("_g0", F.expr(f"array(named_struct('path', '', 'key', '', 'value', {root}))"))
-    for i in range(depth):
+    for i in range(levels):
         rows = rows.withColumn(f"_g{i + 1}", F.expr(LEVEL.format(nodes=f"_g{i}")))
-    nodes = F.concat(*[F.col(f"_g{i}") for i in range(1, depth + 1)])
-    known = F.filter(
-        nodes, lambda n: F.lower(n["key"]).isin(*GENERIC_KEYS) & (F.schema_of_variant(n["value"]) == "STRING")
+    nodes = F.concat(*[F.col(f"_g{i}") for i in range(1, levels + 1)])
+    strings = F.transform(
+        F.filter(nodes, lambda n: F.schema_of_variant(n["value"]) == "STRING"),
+        lambda n: F.struct(n["path"].alias("path"), n["key"].alias("key"), F.try_variant_get(n["value"], "$", "string").alias("text")),
     )
+    every = F.concat(strings.cast(NODE), leaves_below(F.col(f"_g{levels}")))
+    known = F.filter(every, lambda n: F.lower(n["key"]).isin(*GENERIC_KEYS))
     tool = lambda n: F.contains(F.lower(n["key"]), F.lit("arg")) | (n["key"] == "partial_json")
     shown = F.transform(
-        known,
-        lambda n: _fragment(
-            n["path"],
-            F.try_variant_get(n["value"], "$", "string"),
-            F.when(tool(n), "tool_arguments").otherwise("text"),
-        ),
+        known, lambda n: _fragment(n["path"], n["text"], F.when(tool(n), "tool_arguments").otherwise("text"))
     )
     bare = _present(_fragment("", _text(F.col(root)), "text"))
     out = F.when(F.size(bare) > 0, bare).otherwise(F.array_sort(shown))
