@@ -181,8 +181,9 @@ def find_passages(
     item_text: str = "text",
     carry: tuple[str, ...] = ("doc_id",),
     block_words: int = BLOCK_WORDS,
+    result: str = "found",
 ) -> DataFrame:
-    """The `carry` columns of each document row, and `found`: n_words, spans and items.
+    """The `carry` columns of each document row, and `result`: n_words, spans and items.
 
     Spans are word numbers, end exclusive, merged where they touch; items ascend.
 
@@ -190,7 +191,7 @@ def find_passages(
     text takes no part; an item without words has no window; repeated items share their
     windows, a repeated document row is answered for each copy; an empty benchmark gives the
     documents without hits, and no documents give no rows. Other columns are not read, and carried
-    columns may have any names.
+    columns may have any names but the result's.
     """
     wanted = list(carry)
     docs = documents.select(
@@ -217,7 +218,7 @@ def find_passages(
             ).alias("found")
         )
         found = docs.select("key", *kept).join(merged, "key")
-    return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(wanted)], "found")
+    return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(wanted)], F.col("found").alias(result))
 
 
 def _union_of(spans: Column) -> Column:
@@ -276,5 +277,6 @@ def hit_words() -> Column:
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The document rows that hold no passage of the benchmark, with the columns of documents."""
-    found = find_passages(documents, benchmark, carry=tuple(documents.columns))
-    return found.where("size(found.items) = 0").drop("found")
+    name = tb.fresh(documents.columns, "found")
+    found = find_passages(documents, benchmark, carry=tuple(documents.columns), result=name)
+    return found.where(F.size(F.col(name)["items"]) == 0).drop(name)

@@ -218,7 +218,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         hidden = [_like(label, _stream(key, "label", label, 0)) for label in labels[:-1]]
         out = _like(local, numbers) + "".join("abcdefghijklmnopqrstuvwxyz"[next(numbers) % 26] for _ in range(longer)) + "@" + ".".join([*hidden, labels[-1]])
     elif kind == CARD:
-        out = value[0] + "".join(str(next(numbers) % 10) for _ in range(len(value) - 1 + longer))
+        keep = 2 if value[0] == "3" else 1  # what tells the issuer
+        out = value[:keep] + "".join(str(next(numbers) % 10) for _ in range(len(value) - keep + longer))
         if luhn(value) and not longer:
             out = next(out[:-1] + str(d) for d in range(10) if luhn(out[:-1] + str(d)))
     elif kind == PHONE:
@@ -319,12 +320,12 @@ def assigned(entities: DataFrame, key: bytes) -> DataFrame:
         rows = cut_lineage(_with_surrogates(judged, key))
 
 
-def pseudonymized(documents: DataFrame, key: bytes, text: str = "text", carry: tuple[str, ...] = ("doc_id",), broadcast: int = BROADCAST) -> DataFrame:
-    """The `carry` columns, the text with surrogates (under its own name), and `entities` (kind, start, stop in the given text).
+def pseudonymized(documents: DataFrame, key: bytes, text: str = "text", carry: tuple[str, ...] = ("doc_id",), broadcast: int = BROADCAST, result: str = "entities") -> DataFrame:
+    """The `carry` columns, the text with surrogates (under its own name), and `result` (kind, start, stop in the given text).
 
     Defined results: a null text stays null and an empty one empty, both without entities; texts without
     entities are returned unchanged; repeated rows are rewritten alike; no rows give none; other
-    columns are not read, and carried ones may have any names.
+    columns are not read, and carried ones may have any names but the result's.
     """
     wanted = [c for c in carry if c != text]
     docs = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(wanted)], F.col(f"`{text}`").alias("text"))
@@ -338,7 +339,7 @@ def pseudonymized(documents: DataFrame, key: bytes, text: str = "text", carry: t
     else:
         done = _rewritten(_joined(docs, moved), kept, key, None)
     place = {c: f"c{k}" for k, c in enumerate(wanted)} | {text: "text"}
-    return done.select(*[F.col(place[c]).alias(c) for c in dict.fromkeys([*carry, text])], "entities")
+    return done.select(*[F.col(place[c]).alias(c) for c in dict.fromkeys([*carry, text])], F.col("entities").alias(result))
 
 
 def _joined(docs: DataFrame, moved: DataFrame) -> DataFrame:
@@ -380,7 +381,8 @@ def _rewritten(docs: DataFrame, kept: list[str], key: bytes, shared) -> DataFram
 def without_personal_data(documents: DataFrame, key: bytes) -> DataFrame:
     """All rows with surrogates in their texts, n_chars made to fit, and the columns of documents."""
     order = documents.columns
-    done = pseudonymized(documents, key, carry=tuple(order)).drop("entities")
+    name = tb.fresh(order, "entities")
+    done = pseudonymized(documents, key, carry=tuple(order), result=name).drop(name)
     if "n_chars" in order:
         changed = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(documents.schema["n_chars"].dataType)
         done = done.withColumn("n_chars", changed)

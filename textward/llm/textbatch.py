@@ -12,8 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
 
 CHUNK = 600_000
 POINTS = 0x110000
@@ -25,9 +24,12 @@ _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
 
-def thin(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, null texts as they are; extra columns never reach Python."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+def fresh(columns: Iterable[str], name: str) -> str:
+    """The name, or one like it, that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -35,7 +37,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = np.asarray(column.is_valid().to_numpy(zero_copy_only=False), dtype=np.int64)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(lengths + sizes)
         start = 0
         while start < batch.num_rows:

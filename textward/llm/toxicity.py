@@ -34,7 +34,9 @@ RATE = 0.3
 #: Means of thousands of n-grams are small; the softmax sees them enlarged.
 GAIN = 64.0
 THRESHOLD = 0.3
-#: Neutral n-grams that every text is averaged with: a few words are little evidence.
+#: The bias of a model that has seen no labelled row.
+NEVER = -1e6
+#: N-grams of an average clean text that every text is averaged with: a few words are little evidence.
 NEUTRAL = 200.0
 
 #: Letters, digits, everything beyond ASCII, and signs that stand in for letters.
@@ -78,17 +80,17 @@ def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 class Model:
-    """What scoring needs: a number per bucket and a bias."""
+    """What scoring needs: a number per bucket, that of an average clean n-gram, and a bias."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: np.ndarray, clean: float, bias: float):
+        self.weights, self.clean, self.bias = weights, clean, bias
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         owner, word, weight, gram_word, bucket, n = _bags(texts)
         per_word = np.bincount(gram_word, weights=self.weights[bucket], minlength=len(n))
         total = np.bincount(owner, weights=weight * per_word[word], minlength=len(texts))
         grams = np.bincount(owner, weights=weight * n[word], minlength=len(texts))
-        margin = GAIN * total / (grams + NEUTRAL) + self.bias
+        margin = GAIN * (total + NEUTRAL * self.clean) / (grams + NEUTRAL) + self.bias
         return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
@@ -119,8 +121,14 @@ def train(bags: Bags, labels: np.ndarray, seed: int = 7) -> Model:
     bias = np.zeros(2, np.float32)
     seen = [np.full_like(p, 1e-6) for p in (vectors, softmax, bias)]
     n = len(labels)
-    for epoch in range(EPOCHS if n else 0):
+    if not n:
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, NEVER)
+    padded = np.array([1 - s.sum() for s in bags.shares], np.float32)
+    clean = np.zeros(SIZE, np.float32)
+    for epoch in range(EPOCHS):
         order = rng.permutation(n)
+        # The average clean n-gram follows the vectors, one epoch behind.
+        clean = _mean_vector(vectors, bags, np.flatnonzero(labels == 0))
         rate = RATE * (1 - epoch / EPOCHS)
         for at in range(0, n, BATCH):
             rows = order[at : at + BATCH]
@@ -130,7 +138,8 @@ def train(bags: Bags, labels: np.ndarray, seed: int = 7) -> Model:
             row = np.repeat(np.arange(len(rows)), sizes)
             used, where = np.unique(bucket, return_inverse=True)
             own = vectors[used]
-            hidden = GAIN * np.stack([np.bincount(row, weights=share * own[where, k], minlength=len(rows)) for k in range(SIZE)], axis=1)
+            hidden = np.stack([np.bincount(row, weights=share * own[where, k], minlength=len(rows)) for k in range(SIZE)], axis=1)
+            hidden = GAIN * (hidden + padded[rows, None] * clean)
             logits = hidden @ softmax + bias
             logits -= logits.max(axis=1, keepdims=True)
             p = np.exp(logits)
@@ -145,14 +154,22 @@ def train(bags: Bags, labels: np.ndarray, seed: int = 7) -> Model:
                 s_ += g**2
                 p_ -= rate * g / np.sqrt(s_)
     step = softmax[:, 1] - softmax[:, 0]
-    return Model((vectors @ step).astype(np.float32), float(bias[1] - bias[0]))
+    return Model((vectors @ step).astype(np.float32), float(clean @ step), float(bias[1] - bias[0]))
+
+
+def _mean_vector(vectors: np.ndarray, bags: Bags, rows: np.ndarray) -> np.ndarray:
+    """The mean vector of the n-grams of some of the texts."""
+    mass = np.zeros(BUCKETS)
+    for r in rows:
+        mass[bags.buckets[r]] += bags.shares[r]
+    return ((mass @ vectors) / max(mass.sum(), 1e-9)).astype(np.float32)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows key, text, label (0 or 1); rows with a null label or key are no evidence.
 
     The `sample` rows with the least hash of their key are read, all by one task, which returns the model
-    alone. Without any rows every text scores one half.
+    alone. Without any rows nothing is known to be toxic, and every text scores 0.
     """
     usable = labelled.where("label IS NOT NULL AND key IS NOT NULL")
     chosen = usable.select("key", F.col("label").cast("int").alias("label"), "text").orderBy(F.xxhash64("key"), "key").limit(sample)
@@ -164,18 +181,18 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             labels += part.column(part.schema.get_field_index("label")).to_pylist()
         model = train(bags, np.array(labels, np.int64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"]
+            [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.clean]), pa.array([model.bias])], names=["weights", "clean", "bias"]
         )
 
-    row = chosen.select("label", "text").coalesce(1).mapInArrow(learn, "weights binary, bias double").first()
-    return Model(np.frombuffer(row["weights"], np.float32), row["bias"]) if row else Model(np.zeros(BUCKETS, np.float32), 0.0)
+    row = chosen.select("label", "text").coalesce(1).mapInArrow(learn, "weights binary, clean double, bias double").first()
+    return Model(np.frombuffer(row["weights"], np.float32), row["clean"], row["bias"]) if row else train(Bags(), np.zeros(0, np.int64))
 
 
-def score(documents: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `carry` columns of each row and `toxicity`: its score between 0 and 1.
+def score(documents: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",), result: str = "toxicity") -> DataFrame:
+    """The `carry` columns of each row and `result`: its score between 0 and 1.
 
-    Defined results: a null, empty or wordless text scores what the bias alone gives; repeated rows
-    score alike; no rows give none. Other columns are not read, and carried ones may have any names.
+    Defined results: a null, empty or wordless text scores like an average clean one; repeated rows
+    score alike; no rows give none. Other columns are not read, and carried ones may have any names but the result's.
     """
     wanted = [c for c in carry if c != text]
     docs = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(wanted)], F.col(f"`{text}`").alias("text"))
@@ -190,7 +207,7 @@ def score(documents: DataFrame, model: Model, text: str = "text", carry: tuple[s
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept) + ", score double"
     scored = docs.mapInArrow(apply, schema)
     place = {c: f"c{k}" for k, c in enumerate(wanted)} | {text: "text"}
-    return scored.select(*[F.col(place[c]).alias(c) for c in carry], F.col("score").alias("toxicity"))
+    return scored.select(*[F.col(place[c]).alias(c) for c in carry], F.col("score").alias(result))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -209,5 +226,6 @@ def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The document rows that score below the threshold, with the columns of documents."""
     model = fit(labelled_documents(documents, labels))
-    scored = score(documents, model, carry=tuple(documents.columns))
-    return scored.where(F.col("toxicity") < threshold).drop("toxicity")
+    name = tb.fresh(documents.columns, "toxicity")
+    scored = score(documents, model, carry=tuple(documents.columns), result=name)
+    return scored.where(F.col(name) < threshold).drop(name)
