@@ -29,7 +29,9 @@ BUCKETS = 1 << 17
 SIZE = 8
 GRAMS = (3, 4, 5)
 EPOCHS = 8
+#: Rows per gradient step at most; fewer rows take smaller steps, so that there are about STEPS of them.
 BATCH = 256
+STEPS = 190
 RATE = 0.3
 #: Means of thousands of n-grams are small; the softmax sees them enlarged.
 GAIN = 64.0
@@ -123,6 +125,7 @@ def train(bags: Bags, labels: np.ndarray, seed: int = 7) -> Model:
     n = len(labels)
     if not n:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, NEVER)
+    batch = min(BATCH, max(8, n * EPOCHS // STEPS))
     padded = np.array([1 - s.sum() for s in bags.shares], np.float32)
     clean = np.zeros(SIZE, np.float32)
     for epoch in range(EPOCHS):
@@ -130,8 +133,8 @@ def train(bags: Bags, labels: np.ndarray, seed: int = 7) -> Model:
         # The average clean n-gram follows the vectors, one epoch behind.
         clean = _mean_vector(vectors, bags, np.flatnonzero(labels == 0))
         rate = RATE * (1 - epoch / EPOCHS)
-        for at in range(0, n, BATCH):
-            rows = order[at : at + BATCH]
+        for at in range(0, n, batch):
+            rows = order[at : at + batch]
             sizes = np.array([len(bags.buckets[r]) for r in rows])
             bucket = np.concatenate([bags.buckets[r] for r in rows])
             share = np.concatenate([bags.shares[r] for r in rows])
