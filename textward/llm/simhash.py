@@ -38,6 +38,8 @@ from textward.session import cut_lineage
 from . import graph
 from . import textbatch as tb
 
+#: Buckets of row hashes that are broadcast at most, to leave most texts out of a shuffle.
+FILTER = 1 << 20
 SEED = 42
 RADIUS = 2
 SAMPLES = 8
@@ -188,6 +190,18 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
+def _touched(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that may have one of the keys (a column `row`), and those that have none.
+
+    Keys are told apart by bucket only, so the broadcast side never exceeds `FILTER` entries; an
+    exact join of the first part follows. With very many keys that part is nearly all rows.
+    """
+    buckets = keys.select(F.pmod("row", F.lit(FILTER)).alias("bucket"), F.lit(True).alias("hit")).distinct()
+    columns = rows.columns
+    flagged = rows.withColumn("bucket", F.pmod("row", F.lit(FILTER))).join(F.broadcast(buckets), "bucket", "left")
+    return flagged.where("hit IS NOT NULL").select(*columns), flagged.where("hit IS NULL").select(*columns)
+
+
 def sketches(rows: DataFrame, shingle: int) -> DataFrame:
     """row, doc_id, two hashes of the words, fp and samples."""
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -252,7 +266,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float =
 
     wanted = cut_lineage(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
     # Repeated rows have equal sets; one of them is enough.
-    held = shingle_sets(_rows(documents).join(wanted, "row", "left_semi"), shingle)
+    texts, _ = _touched(_rows(documents).select("row", "text"), wanted)
+    held = shingle_sets(texts.join(wanted, "row", "left_semi"), shingle)
     sets = cut_lineage(held.groupBy("row").agg(F.first("shingles").alias("shingles")))
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     common = F.size(F.array_intersect("a", "b"))
@@ -273,12 +288,14 @@ def deduplicated(documents: DataFrame, shingle: int = 5, similarity: float = 0.8
     other, and one is kept; a null doc_id is kept only if its group has no other; no rows give none;
     extra columns are carried along.
     """
-    clash = "row" in documents.columns
-    docs = documents.withColumnRenamed("row", "_row") if clash else documents
+    # Own column names, whatever the documents' are called.
+    docs = documents.select(
+        *[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"c{k}") for k, c in enumerate(documents.columns)]
+    )
     groups = cut_lineage(near_duplicates(docs, shingle, similarity))
     dropped = cut_lineage(groups.where("row != head").select("row").distinct())
-    left = _rows(docs).join(dropped, "row", "left_anti")
+    touched, untouched = _touched(_rows(docs), dropped)
+    left = untouched.unionByName(touched.join(dropped, "row", "left_anti"))
     if not groups.where("row = head").groupBy("row").count().where("count > 1").isEmpty():
         left = left.dropDuplicates(["row"])
-    left = left.select(*docs.columns)
-    return left.withColumnRenamed("_row", "row") if clash else left
+    return left.select(*docs.columns).toDF(*documents.columns)

@@ -261,6 +261,13 @@ def dataset_digest(rows: DataFrame, *columns: str) -> DataFrame:
     return sums.select("rows", F.sha2(F.concat_ws(",", *parts), 256).alias("digest"))
 
 
+def status_counts(rows: DataFrame, keys: Iterable[str], status: Column) -> DataFrame:
+    """`statuses` per key: (status, count) ascending by status; statuses are a closed set."""
+    keys = list(keys)
+    counted = rows.groupBy(*keys, status.alias("status")).agg(F.count(F.lit(1)).alias("count"))
+    return counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("status", "count"))).alias("statuses"))
+
+
 def index_quantiles(
     rows: DataFrame, keys: Iterable[str], value: str, quantiles: Iterable[float], block: float = 0.1
 ) -> DataFrame:

@@ -123,14 +123,19 @@ def funnel(events: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def leaderboard(findings: DataFrame) -> DataFrame:
-    """Finding types ranked by count, category, subtype, beside the overall total."""
+# Actions that keep something from being forwarded as it is.
+PREVENTING = ("BLOCK", "TOKENIZE", "REDACT", "REVIEW")
+
+
+def leaderboard(findings: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Finding types ranked by count, category, subtype, beside the total and the prevented requests."""
+    prevented = decisions.agg(F.count_if(F.col("action").isin(*PREVENTING))).scalar()
     counted = findings.groupBy("category", "subtype").agg(F.count(F.lit(1)).alias("count"))
     # One row per finding type, a closed set: the unpartitioned windows stay tiny.
     every = Window.partitionBy(F.lit(0))
     order = every.orderBy(F.desc("count"), "category", "subtype")
     return counted.select(
-        "category", "subtype", "count", F.row_number().over(order).alias("rank"), F.sum("count").over(every).alias("total")
+        "category", "subtype", "count", F.row_number().over(order).alias("rank"), F.sum("count").over(every).alias("total"), prevented.alias("prevented")
     )
 
 

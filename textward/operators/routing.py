@@ -240,6 +240,12 @@ def report_compare(base: DataFrame, candidate: DataFrame, case: str = "case_id")
     return rows.select(case, F.explode(F.filter(found, lambda d: d.isNotNull())).alias("d")).select(case, "d.*")
 
 
+def latency_delta(base: DataFrame, candidate: DataFrame, duration: str) -> DataFrame:
+    """One row: total duration of the candidate's cases less that of the baseline's."""
+    both = base.select((-F.col(duration)).alias("d")).unionByName(candidate.select(F.col(duration).alias("d")))
+    return both.agg(F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("latency_delta_ms"))
+
+
 def report_totals(report: DataFrame) -> DataFrame:
     return report.groupBy("required").agg(
         F.count(F.lit(1)).alias("total"),

@@ -287,6 +287,7 @@ def report(spark, folder, late):
         (F.when(d % 6 == 0, "skip").otherwise(status) if late else status).alias("status"),
         F.concat_ws("/", "lang", F.floor(n / 100).cast("string")).alias("shape"),
         (d % 4 != 0).alias("required"),
+        n.alias("duration_ms"),
     )
 
 
@@ -295,7 +296,7 @@ def _report_sql(name, late):
     status = f"CASE WHEN {n} > 5000 THEN 'fail' WHEN {n} < 200 THEN 'skip' ELSE 'pass' END"
     if late:
         status = f"CASE WHEN doc_id % 6 = 0 THEN 'skip' ELSE {status} END"
-    return f"""{name} AS (SELECT doc_id AS case_id, {status} AS status, lang || '/' || (({n}) // 100) AS shape, doc_id % 4 <> 0 AS required
+    return f"""{name} AS (SELECT doc_id AS case_id, {status} AS status, lang || '/' || (({n}) // 100) AS shape, doc_id % 4 <> 0 AS required, {n} AS duration_ms
   FROM documents WHERE doc_id % 9 <> {1 if late else 2})"""
 
 
@@ -307,12 +308,16 @@ SELECT CAST(id AS VARCHAR) AS item, 'case_presence' AS kind, '' AS baseline, ''
 UNION ALL SELECT CAST(id AS VARCHAR), 'status', bs, cs FROM j WHERE bs <> cs
 UNION ALL SELECT CAST(id AS VARCHAR), 'semantic_shape', '', '' FROM j WHERE bh <> ch
 UNION ALL SELECT 'required=' || required, 'totals', count(*) || '', count(*) FILTER (status = 'pass') || '/' || count(*) FILTER (status = 'fail') || '/' || count(*) FILTER (status = 'skip')
-  FROM c GROUP BY required""",
+  FROM c GROUP BY required
+UNION ALL SELECT 'all', 'latency_delta_ms', '', CAST((SELECT CAST(sum(duration_ms) AS BIGINT) FROM c) - (SELECT CAST(sum(duration_ms) AS BIGINT) FROM b) AS VARCHAR)""",
 )
 def report_compare(spark, folder):
     """Case differences between two snapshots, and the totals of the newer one."""
-    newer = report(spark, folder, True)
-    diffs = R.report_compare(report(spark, folder, False), newer)
+    older, newer = report(spark, folder, False), report(spark, folder, True)
+    diffs = R.report_compare(older, newer)
+    delta = R.latency_delta(older, newer, "duration_ms").select(
+        F.lit("all").alias("item"), F.lit("latency_delta_ms").alias("kind"), F.lit("").alias("baseline"), F.col("latency_delta_ms").cast("string").alias("candidate")
+    )
     totals = R.report_totals(newer)
     shown = totals.select(
         F.concat(F.lit("required="), F.col("required").cast("string")).alias("item"),
@@ -320,7 +325,7 @@ def report_compare(spark, folder):
         F.col("total").cast("string").alias("baseline"),
         F.concat_ws("/", *[F.col(c).cast("string") for c in ("passed", "failed", "skipped")]).alias("candidate"),
     )
-    return diffs.select(F.col("case_id").cast("string").alias("item"), "kind", "baseline", "candidate").unionByName(shown)
+    return diffs.select(F.col("case_id").cast("string").alias("item"), "kind", "baseline", "candidate").unionByName(shown).unionByName(delta)
 
 
 # ---- lifecycle and rollout ------------------------------------------------------------------------------

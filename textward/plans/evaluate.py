@@ -279,7 +279,9 @@ def dataset_digest(spark, folder):
   count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, n AS samples, min(value) AS min, max(value) AS max, max(value) FILTER (i = floor((n - 1) * 0.5)) AS p50,
   max(value) FILTER (i = floor((n - 1) * 0.95)) AS p95, max(value) FILTER (i = floor((n - 1) * 0.99)) AS p99,
-  round(count(*) FILTER (value > 100) / n, 6) AS error_rate FROM o GROUP BY event_type, n""",
+  round(count(*) FILTER (value > 100) / n, 6) AS error_rate,
+  '200:' || count(*) FILTER (value <= 50) || ',429:' || count(*) FILTER (value > 50 AND value <= 100) || ',503:' || count(*) FILTER (value > 100) AS statuses
+FROM o GROUP BY event_type, n""",
 )
 def latency_quantiles(spark, folder):
     events = table(spark, folder, "events").select("event_type", "value")
@@ -287,7 +289,16 @@ def latency_quantiles(spark, folder):
     slow = events.groupBy("event_type").agg(
         F.round(F.count_if(F.col("value") > 100) / F.count(F.lit(1)), 6).alias("error_rate")
     )
-    return quantiles.join(slow, "event_type")
+    value = F.col("value")
+    status = F.when(value > 100, 503).when(value > 50, 429).otherwise(200)
+    # Every status is listed, also one that did not occur.
+    none = events.select("event_type").distinct().select("event_type", F.explode(F.array(F.lit(200), F.lit(429), F.lit(503))).alias("status"))
+    seen = V.status_counts(events, ["event_type"], status).select("event_type", F.explode("statuses").alias("s")).select("event_type", "s.*")
+    listed = none.join(seen, ["event_type", "status"], "left").groupBy("event_type").agg(
+        F.array_sort(F.collect_list(F.struct("status", F.coalesce("count", F.lit(0)).alias("count")))).alias("s")
+    )
+    shown = F.concat_ws(",", F.transform("s", lambda x: F.concat_ws(":", x["status"], x["count"]))).alias("statuses")
+    return quantiles.join(slow, "event_type").join(listed.select("event_type", shown), "event_type")
 
 
 # ---- drift ----------------------------------------------------------------------------------------------

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import monitor as M
-from ..sources.planted import PLANTED_SQL
 from ..sources.tables import conversation_parts, decision_events, provider_of, table
-from .decide import DECIDE_SQL, decisions, findings, held_findings
-from .detect import production_sql
+from .decide import DECIDE_SQL, decisions, held_findings
 from .registry import query
 
 ACTION_SQL = """CASE event_type WHEN 'error' THEN 'BLOCK' WHEN 'signup' THEN 'TOKENIZE' WHEN 'purchase' THEN 'REDACT' ELSE 'ALLOW' END"""
@@ -84,11 +82,13 @@ def funnel(spark, folder):
 
 @query(
     "leaderboard",
-    f"""WITH {production_sql(PLANTED_SQL)}, c AS (SELECT category, subtype, count(*) AS count FROM findings GROUP BY 1, 2)
-SELECT *, row_number() OVER (ORDER BY count DESC, category, subtype) AS rank, CAST(sum(count) OVER () AS BIGINT) AS total FROM c""",
+    f"""WITH {DECIDE_SQL}, c AS (SELECT category, subtype, count(*) AS count FROM found GROUP BY 1, 2)
+SELECT *, row_number() OVER (ORDER BY count DESC, category, subtype) AS rank, CAST(sum(count) OVER () AS BIGINT) AS total,
+  (SELECT count(*) FROM decided WHERE action IN ('BLOCK', 'TOKENIZE', 'REDACT', 'REVIEW')) AS prevented FROM c""",
 )
 def leaderboard(spark, folder):
-    return M.leaderboard(findings(spark, folder))
+    held = held_findings(spark, folder)
+    return M.leaderboard(held, decisions(spark, folder, found=held))
 
 
 @query(
