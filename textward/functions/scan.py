@@ -167,6 +167,17 @@ def explode_rows(df: DataFrame, keep: Iterable, array, name: str) -> DataFrame:
     return rows.filter(F.col(name).isNotNull())
 
 
+def computed_once(df: DataFrame, keep: Iterable, **columns) -> DataFrame:
+    """`keep` and the named costly columns, which later filters use without computing them again.
+
+    The optimizer pushes a filter through a projection and repeats its expressions there, but
+    not through an explode, here of one struct.
+    """
+    keep = list(keep)
+    once = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return df.select(*keep, once).select(*keep, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def with_findings(df: DataFrame, detectors: Iterable[Detector], text: str = "text") -> DataFrame:
     """One row per finding `f` beside the columns of `df`."""
     return explode_rows(finding_array(df, detectors, "_found", text), df.columns, "_found", "f")

@@ -112,7 +112,7 @@ def extract(bodies: DataFrame, limits: RetrievalLimits = RetrievalLimits(), keys
         found.append(F.expr(f"get(filter(_n{level}, n -> {' OR '.join(conditions)}), 0).value"))
         if level < limits.max_depth:
             rows = rows.withColumn(f"_n{level + 1}", F.expr(CHILDREN.format(nodes=f"_n{level}")))
-    rows = rows.withColumn("_hit", F.coalesce(*found)).filter("_hit IS NOT NULL")
+    rows = rows.withColumn("_hit", F.coalesce(*found))
     for holder in ("retrieval", "rag"):
         inner = F.try_variant_get("_hit", f"$.{holder}", "variant")
         rows = rows.withColumn(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import value_hash
 from ..functions.ranking import blocked_row_number
-from ..functions.scan import Detector, explode_rows, finding_array
+from ..functions.scan import Detector, computed_once, explode_rows, finding_array
 from ..session import cut_lineage
 from .detectors import PART_KEYS, TELEMETRY_KEY
 
@@ -130,8 +130,8 @@ def tokenize_parts(
 
     Parts without findings stay as they are and never shuffle.
     """
-    planned = plan_parts(parts, detectors).filter(F.size("plan") > 0)
-    hits = cut_lineage(planned.select(*PART_KEYS, "text", "plan"))
+    planned = computed_once(plan_parts(parts, detectors), [*PART_KEYS, "text"], plan=F.col("plan"))
+    hits = cut_lineage(planned.filter(F.size("plan") > 0))
     rows = token_ordinals(plan_rows(hits, with_value=with_value), request)
     tokens = rows.withColumn(
         "token",

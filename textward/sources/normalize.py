@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scan import computed_once
+
 PART = "struct<part_type:string,tool_name:string,text:string,ref:string>"
 MESSAGE = f"struct<role:string,parts:array<{PART}>,bad:boolean>"
 
@@ -342,9 +344,8 @@ def normalize_requests(
         ]
     rows = rows.withColumn("messages", F.coalesce(*picked, F.expr(NO_MESSAGES)))
     malformed = ((model == "") & (F.col("family") != "generic")) | ~_fine(F.col("messages"))
-    return rows.select(
-        *keys, "family", model.alias("model"), "messages", F.coalesce(malformed, F.lit(True)).alias("malformed")
-    )
+    bad = F.coalesce(malformed, F.lit(True))
+    return computed_once(rows, [*keys, "family"], model=model, messages=F.col("messages"), malformed=bad)
 
 
 def request_parts(normalized: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
@@ -442,13 +443,8 @@ def normalize_responses(
         picked.append(F.col("_contents"))
     rows = rows.withColumn("messages", F.coalesce(*picked, F.expr(NO_MESSAGES)))
     malformed = ~F.col("parsed") | F.exists("messages", lambda m: m["bad"])
-    return rows.select(
-        *keys,
-        "family",
-        F.coalesce("root.model", F.lit("")).alias("model"),
-        "messages",
-        F.coalesce(malformed, F.lit(True)).alias("malformed"),
-    )
+    bad, model = F.coalesce(malformed, F.lit(True)), F.coalesce("root.model", F.lit(""))
+    return computed_once(rows, [*keys, "family"], model=model, messages=F.col("messages"), malformed=bad)
 
 
 # ---- rewriting ------------------------------------------------------------------------------------------
