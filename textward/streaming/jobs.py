@@ -54,8 +54,13 @@ def stream_findings(parts: DataFrame, detectors: Iterable[Detector] = D.PRODUCTI
 def token_bucket_stream(
     events: DataFrame, rate: int, burst: int, idle_seconds: int = 600
 ) -> DataFrame:
-    """Allow or deny per event of `key` (`id`, `at`); idle keys expire."""
+    """Allow or deny per event of `key` (`id`, `at`); idle keys expire.
+
+    A key is forgotten no sooner than its bucket takes to fill, so forgetting it changes no answer
+    as long as events arrive about as fast as they happen; a replay should raise `idle_seconds`.
+    """
     full = burst * MICROS
+    idle_seconds = max(idle_seconds, -(-burst // rate))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
