@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 600_000
+CHUNK = 300_000
 POINTS = 0x110000
 #: Separates the texts of a slice; never part of a word.
 SEPARATOR = "\n"
