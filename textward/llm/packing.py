@@ -38,7 +38,7 @@ GROUPS = 200
 SMALL = 1 / 4
 BLOCKS = 64
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 20
 
 
 # ---------------------------------------------------------------- tokens
@@ -110,7 +110,7 @@ class Ids:
 
     def _looked_up(self, joined: str, points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each word begin in `self.ids`, and how many they are."""
-        if self.used > 8 * REMEMBERED:
+        if self.used > 4 * REMEMBERED:
             self._forget()
         hashes = tb.span_hashes(points, starts, stops)
         place = (hashes >> np.uint64(32)).astype(np.int64) % REMEMBERED
