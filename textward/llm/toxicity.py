@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .sampling import least_hashed
 
 #: Training rows at most; fewer if fewer are labelled.
 SAMPLE = 6_000
@@ -222,7 +223,7 @@ def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """key, text, label of the rows that may be learned from: at most `SAMPLE` keys meet the texts."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    few = least_hashed(known, "doc_id", SAMPLE)
     return documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").select(F.col("doc_id").alias("key"), "text", "label")
 
 
