@@ -20,12 +20,21 @@ samples the text nearest to the group's majority fingerprint stands for the grou
 other member is compared with it: the work is one comparison per text and sample, never all
 pairs, and a group of edited copies meets its original because the majority undoes the
 edits. All candidates, of either kind, are then held against the exact similarity.
+
+What these leave apart is compared completely, by prefixes. All shingles have one order, rare ones first by a
+sketch of their counts. Two texts at similarity t have ceil(t / (1 + t) * (a + b)) shingles in common, so their
+least shingles in that order, a text's size less this number and one more, share one. Texts that
+share one there, and are not connected yet, are candidates, unless their sizes or the shingle's
+positions already rule the similarity out. A passage in many texts comes last in the order, so it
+makes no candidates of texts that have enough besides it. Groups of very common shingles are cut
+into pieces, and every piece meets every other.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +53,11 @@ SEED = 42
 RADIUS = 2
 SAMPLES = 8
 SAMPLE = 2
+#: Counters of the sketch of shingle counts; they set the order of shingles, never what is compared.
+COUNTERS, SEGMENT = 1 << 20, 1 << 16
+#: Texts of one shingle that meet in one piece, about; and pairs that are looked at in one array.
+PIECE = 4_096
+PAIRS = 1_000_000
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Every second bit, and every second pair of bits, of half a fingerprint; a one in each segment.
 _PAIRS, _FOURS, _ONES = 0x55555555, 0x33333333, 0x1111111111111111
@@ -180,6 +194,11 @@ def _sketch(text: str | None, shingle: int) -> tuple[int, int, int, list[int]]:
     return _signed(exact >> 64), _signed(exact & (1 << 64) - 1), _signed(majority(hashes)), samples
 
 
+def _node(text: str | None) -> int:
+    """The first hash of the words, as in _sketch()."""
+    return _signed(xxhash.xxh128_intdigest(b" ".join(WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())), SEED) >> 64)
+
+
 def _least(values: np.ndarray) -> np.ndarray:
     salted = tb.mix(values)
     return salted if len(salted) <= SAMPLE else np.partition(salted, SAMPLE - 1)[:SAMPLE]
@@ -243,11 +262,179 @@ def _sample_candidates(classes: DataFrame) -> DataFrame:
     return inside.join(heads, ["t", "sample"]).select(F.col("head.row").alias("u"), F.col("row").alias("v"))
 
 
+def _new_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[int, str]]:
+    """Node and text of each slice's texts with words; of equal ones in a task mostly the first, to save work."""
+    seen: set[int] = set()
+    for _, texts in tb.slices(batches):
+        new = {_node(t): t for t in texts if t}
+        new = {node: t for node, t in new.items() if node not in seen and WORDS.search(t.encode("utf-8", "surrogatepass"))}
+        if len(seen) > 1 << 17:
+            seen.clear()
+        seen.update(new)
+        yield new
+
+
+def _shingle_counts(documents: DataFrame, shingle: int) -> np.ndarray:
+    """How many texts hold the shingles of each counter, by the lowest bits of their hash."""
+    schema = "segment int, counts binary"
+
+    def rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["segment", "counts"])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for texts in _new_texts(batches):
+            for t in texts.values():
+                np.add.at(total, (np.unique(shingle_hashes(t, shingle)) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        if total.any():
+            yield rows(dict(enumerate(total.reshape(-1, SEGMENT))))
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.frombuffer(part.as_py(), np.int64)
+                total[k] = total[k] + found if k in total else found
+        if total:
+            yield rows(total)
+
+    out = np.zeros(COUNTERS, np.int64)
+    summed = documents.select("text").mapInArrow(count, schema).repartition(COUNTERS // SEGMENT, "segment").mapInArrow(add, schema)
+    for r in summed.collect():
+        out[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+def _overlap(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that sets of these sizes have in common at least if they are similar; rounding never adds one."""
+    return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-6).astype(np.int64)
+
+
+#: As what a row takes part in its piece: each `_SHORTER` meets every `_LONGER`.
+_SHORTER, _LONGER = 1, 2
+_PREFIX = "piece long, node long, size int, at int, parts int"
+
+
+def _prefixes(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """One row for each shingle of each text's prefix: its piece, the text's node and size, the place in the order, and the parts taken.
+
+    The longer text of a pair needs its places up to size - similarity * size, the shorter one fewer.
+    """
+    counts = _shingle_counts(documents, shingle)
+    mean = int(counts.mean())
+    shared = documents.sparkSession.sparkContext.broadcast(counts)
+
+    def prefix(node: int, text: str) -> list[np.ndarray]:
+        hashes = np.unique(shingle_hashes(text, shingle))
+        n = len(hashes)
+        often = shared.value[(hashes % np.uint64(COUNTERS)).astype(np.int64)]
+        order = np.lexsort((hashes, often))[: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+        at = np.arange(len(order))
+        least = n - int(_overlap(np.int64(n), np.int64(n), similarity))
+        parts = np.where(at <= least, _SHORTER | _LONGER, _LONGER)
+        key, cuts = hashes[order], 1 + np.maximum(often[order] - mean, 0) // PIECE
+        out = [(key[cuts == 1], at[cuts == 1], parts[cuts == 1])]
+        for k in np.flatnonzero(cuts > 1).tolist():
+            n_cuts = int(cuts[k])
+            own, others = node % n_cuts, np.arange(n_cuts, dtype=np.uint64)
+            for role, cell in ((_SHORTER, np.uint64(own * n_cuts) + others), (_LONGER, others * np.uint64(n_cuts) + np.uint64(own))):
+                if parts[k] & role:
+                    size = np.full(n_cuts, at[k])
+                    out.append((tb.mix(key[k] ^ tb.mix(cell + np.uint64(1))), size, np.full(n_cuts, role)))
+        piece, at, parts = (np.concatenate(x) for x in zip(*out, strict=True))
+        return [piece.view(np.int64), np.full(len(piece), node), np.full(len(piece), n), at, parts]
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in _new_texts(batches):
+            found = [prefix(node, t) for node, t in texts.items()]
+            if found:
+                columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)], names=["piece", "node", "size", "at", "parts"])
+
+    return documents.select("text").mapInArrow(scan, _PREFIX)
+
+
+def _whole_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by piece, no piece cut, with the first row of each."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if held[0].column(0)[0] == batch.column(0)[-1]:
+                continue
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        piece = table.column(0).to_numpy()
+        stop = len(piece) if batch is None else int(np.searchsorted(piece, piece[-1]))
+        held = table.slice(stop).to_batches()
+        yield table.slice(0, stop), np.flatnonzero(np.diff(piece[:stop], prepend=piece[0] - 1 if piece[0] > 0 else piece[0] + 1))
+
+
+def _differ(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.minimum.reduceat(values, first) != np.maximum.reduceat(values, first)
+
+
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces in which two texts can meet."""
+    for table, first in _whole_pieces(batches):
+        keep = _differ(table.column("node").to_numpy(), first) & (np.bitwise_or.reduceat(table.column("parts").to_numpy(), first) == _SHORTER | _LONGER)
+        size = np.diff(first, append=table.num_rows)
+        yield from table.filter(pa.array(np.repeat(keep, size))).combine_chunks().to_batches()
+
+
+def _prefix_candidates(documents: DataFrame, known: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """u, v: nodes not connected yet whose similarity the prefixes leave open.
+
+    `known` has node and root of the nodes that are connected with others.
+    """
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def by_piece(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "piece").sortWithinPartitions("piece")
+
+    met = by_piece(_prefixes(documents, shingle, similarity)).mapInArrow(_met, _PREFIX)
+    placed = met.join(known, "node", "left").select("piece", "node", "size", "at", "parts", F.coalesce("root", "node").alias("root"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _whole_pieces(batches):
+            node, size, at, parts, root = (table.column(c).to_numpy() for c in ("node", "size", "at", "parts", "root"))
+            size, at = size.astype(np.int64), at.astype(np.int64)
+            count = np.diff(first, append=len(node))
+            begin, count = np.repeat(first, count), np.repeat(np.where(_differ(root, first), count, 0), count)
+            short = np.flatnonzero((parts & _SHORTER > 0) & (count > 0))
+            group = np.cumsum(count[short]) // PAIRS
+            for own in np.split(short, np.flatnonzero(np.diff(group)) + 1) if len(short) else ():
+                u, v = np.repeat(own, count[own]), tb.ragged(begin[own], count[own])
+                ok = (root[u] != root[v]) & (parts[v] & _LONGER > 0) & (size[u] <= size[v]) & (size[u] >= similarity * size[v] - 1e-6)
+                u, v = u[ok], v[ok]
+                common = _overlap(size[u], size[v], similarity)
+                ok = (at[u] + common <= size[u]) & (at[v] + common <= size[v])
+                pairs = np.unique(np.sort(np.column_stack([node[u[ok]], node[v[ok]]]), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return by_piece(placed).mapInArrow(compare, "u long, v long").distinct()
+
+
+def _similar(documents: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs of rows whose exact similarity is large enough."""
+    wanted = cut_lineage(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
+    # Repeated rows have equal sets; one of them is enough.
+    texts, _ = _touched(_rows(documents).select("row", "text"), wanted)
+    held = shingle_sets(texts.join(wanted, "row", "left_semi"), shingle)
+    sets = cut_lineage(held.groupBy("row").agg(F.first("shingles").alias("shingles")))
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """row (a hash of id and text) and `head`, the row that its group keeps.
 
-    Two texts are linked if the Jaccard similarity of their word shingles is `similarity` or more and
-    either their fingerprints are within `radius` bits or they were compared in a sample group;
+    Two texts are linked if the Jaccard similarity of their word shingles is `similarity` or more;
     equal word sequences are always linked. A group is what links connect. It keeps the row with the least
     doc_id (null last).
     """
@@ -264,15 +451,17 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float =
     candidates = near.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same.toDF("u", "v")).unionByName(_sample_candidates(classes))
     pairs = cut_lineage(candidates.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
-    wanted = cut_lineage(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
-    # Repeated rows have equal sets; one of them is enough.
-    texts, _ = _touched(_rows(documents).select("row", "text"), wanted)
-    held = shingle_sets(texts.join(wanted, "row", "left_semi"), shingle)
-    sets = cut_lineage(held.groupBy("row").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    links = both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
-    roots = cut_lineage(graph.components(links))
+    roots = cut_lineage(graph.components(_similar(documents, pairs, shingle, similarity)))
+
+    # What is left: texts of different groups, met by their prefixes.
+    nodes = cut_lineage(firsts.select(F.col("exact_a").alias("node"), F.col("first.row").alias("row")))
+    known = nodes.join(roots.withColumnRenamed("node", "row"), "row").select("node", "root")
+    apart = _prefix_candidates(documents, known, shingle, similarity)
+    ends = apart.join(nodes.toDF("u", "a"), "u").join(nodes.toDF("v", "b"), "v")
+    more = cut_lineage(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    if not more.isEmpty():
+        links = roots.toDF("u", "v").unionByName(_similar(documents, more, shingle, similarity))
+        roots = cut_lineage(graph.components(links))
 
     grouped = firsts.join(roots, F.col("first.row") == F.col("node"), "left")
     grouped = grouped.select("exact_a", "exact_b", "first", F.coalesce("root", F.col("first.row")).alias("root"))
