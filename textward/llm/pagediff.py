@@ -8,8 +8,11 @@ it and no witness; then the markup alone decides.
 
 Where the markup says what a line is, that settles it: lines inside navigation, headers, footers,
 sidebars, forms, adverts, notices or comments go, shared or not, and lines inside an article
-(or main) element are the text, shared or not, as two articles may quote the same passage. A page with an
-article keeps nothing from outside it. Differencing decides all pages and lines without such marks.
+(or main) element are the text, shared or not, as two articles may quote the same passage. An article
+inside a form, or in a wrapper that only a class or id names otherwise, is text again, unless that wrapper is itself
+inside an article or holds comments or further pages. Differencing decides all lines without such marks, on
+pages with an article too, as its articles may be cards beside the text; only if no neighbour bears
+witness does such a page keep nothing from outside its articles.
 
 The order is global, so no host is gathered in one task: page keys alone are range-sorted, and
 each page is sent to its range, the pages at a range's ends to both sides. A range holds about
@@ -68,6 +71,12 @@ _NO_TEXT_NAMES = frozenset(
     " cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription paywall"
     " share sharing social related recommended login signin signup search copyright legal disclaimer".split()
 )
+#: Of these, what may also name a section of an article, and what holds articles that are not this page's text.
+_SECTION_NAMES = frozenset(["discussion"])
+_OTHERS_NAMES = frozenset("comment comments commentlist disqus reply replies respond related recommended".split())
+#: Parts that make a class or id value tell a state of the page (with-sidebar, nav-open), not what its element is.
+_STATE_STARTS = frozenset("with without has have no is not".split())
+_STATE_ENDS = frozenset("open opened closed collapsed expanded visible hidden shown enabled disabled active inactive on off".split())
 _HEADER_NAMES = frozenset(["header", "site-header", "page-header"])
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
@@ -79,12 +88,12 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, kind of the lines inside, unread
+        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, kind of the lines inside, unread, an article is text again
         self.lines: list[tuple[str, int]] = []
         self.words: list[str] = []
 
-    def _kind(self) -> tuple[int, bool]:
-        return self.stack[-1][1:] if self.stack else (OPEN, False)
+    def _kind(self) -> tuple[int, bool, bool]:
+        return self.stack[-1][1:] if self.stack else (OPEN, False, False)
 
     def _break(self) -> None:
         line = " ".join("".join(self.words).split())
@@ -105,15 +114,18 @@ class _Lines(HTMLParser):
             self.stack.pop()
         if tag in _PARAGRAPH_ENDS:
             self._leave_paragraph()
-        kind, unread = self._kind()
+        kind, unread, again = self._kind()
         if tag in _UNREAD:
             unread = True
-        elif kind != OTHER:
-            if tag in _NO_TEXT or (tag == "header" and kind != TEXT) or self._named(tag, attrs, kind):
+        elif kind != OTHER or again:
+            hard = (tag in _NO_TEXT and tag != "form") or (tag == "header" and kind != TEXT) or self._marked(tag, attrs, kind)
+            names = self._names(tag, attrs, kind)
+            if hard or tag == "form" or names:
+                again = not hard and kind != TEXT and tag not in _TEXT and _OTHERS_NAMES.isdisjoint(names)
                 kind = OTHER
             elif tag in _TEXT:
-                kind = TEXT
-        self.stack.append((tag, kind, unread))
+                kind, again = TEXT, False
+        self.stack.append((tag, kind, unread, again))
 
     def _leave_paragraph(self) -> None:
         """A block ends an open paragraph, with the inline elements left open in it."""
@@ -124,21 +136,35 @@ class _Lines(HTMLParser):
             if self.stack[k][0] not in _INLINE:
                 return
 
-    def _named(self, tag: str, attrs: list, kind: int) -> bool:
+    def _marked(self, tag: str, attrs: list, kind: int) -> bool:
+        """A role or type says that the element is no text."""
         if tag in _INLINE or tag in ("html", "body"):
             return False
         for name, value in attrs:
-            if name == "role" and (value or "").lower() in _NO_TEXT_ROLES and not (kind == TEXT and value.lower() == "banner"):
+            if name == "role" and (value or "").lower() in _NO_TEXT_ROLES - {"form"} and not (kind == TEXT and value.lower() == "banner"):
                 return True
             if name == "itemtype" and (value or "").endswith("/Comment"):
                 return True
-            if name in ("class", "id") and value:
-                if not _NO_TEXT_NAMES.isdisjoint(w.lower() for w in _NAME.findall(value)):
-                    return True
-                if kind != TEXT and not _HEADER_NAMES.isdisjoint(value.lower().split()):
-                    return True
         return False
 
+    def _names(self, tag: str, attrs: list, kind: int) -> set[str]:
+        """The words of the class and id values that name something else than text."""
+        found: set[str] = set()
+        if tag in _INLINE or tag in ("html", "body"):
+            return found
+        for name, value in attrs:
+            if name == "role" and (value or "").lower() == "form":
+                found.add("form")
+            if name in ("class", "id") and value:
+                for token in value.split():
+                    words = [w.lower() for w in _NAME.findall(token)]
+                    if len(words) > 1 and (words[0] in _STATE_STARTS or words[-1] in _STATE_ENDS):
+                        continue
+                    found |= _NO_TEXT_NAMES.intersection(words) - (_SECTION_NAMES if kind == TEXT else frozenset())
+                if kind != TEXT:
+                    found |= _HEADER_NAMES.intersection(value.lower().split())
+        return found
+
     def handle_endtag(self, tag: str) -> None:
         if tag not in _INLINE:
             self._break()
@@ -205,13 +231,15 @@ def main_text(lines: list[tuple[str, int]], neighbours: list[list[str]]) -> str:
     """The text of a page, given the lines of the pages next to it."""
     words = [line for line, _ in lines]
     deleted: set[int] = set()
+    witness = False
     if any(kind == OPEN for _, kind in lines):
         for other in neighbours:
             same = shared(words, other)
             if len(same) < COPY * len(words):
                 deleted |= same
+                witness = True
     article = any(kind == TEXT for _, kind in lines)
-    kept = [line for k, (line, kind) in enumerate(lines) if kind == TEXT or (kind == OPEN and not article and k not in deleted)]
+    kept = [line for k, (line, kind) in enumerate(lines) if kind == TEXT or (kind == OPEN and (witness or not article) and k not in deleted)]
     return "\n".join(kept)
 
 
