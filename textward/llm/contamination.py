@@ -81,13 +81,13 @@ def winnow(words: np.ndarray, owner: np.ndarray, window: int = WINDOW, gram: int
 class Block:
     """One block of items: its windows by length, and its fingerprints."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, ids: list[int | None], texts: list[str | None], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
         points, starts, ends, owner, words = _words(texts)
         text = points.points
         n_words = np.bincount(owner, minlength=len(texts))
         first = np.concatenate([[0], np.cumsum(n_words)])
-        self.windows: dict[int, dict[bytes, tuple[int, ...]]] = {}
+        self.windows: dict[int, dict[bytes, tuple[int | None, ...]]] = {}
         for i, item in enumerate(ids):
             size = min(window, int(n_words[i]))
             table = self.windows.setdefault(size, {}) if size else {}
@@ -158,10 +158,26 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _cut(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Items of over `limit` words in pieces that have every window in one of them; the others as they are."""
+    size = max(limit, 2 * WINDOW)
+    for part, texts in tb.slices(batches):
+        ids, pieces = [], []
+        for item, text in zip(part.column(0).to_pylist(), texts, strict=True):
+            _, starts, ends, _, _ = _words([text])
+            if len(starts) <= size:
+                cut = [text]
+            else:
+                cut = [text[starts[k] : ends[min(k + size, len(ends)) - 1]] for k in range(0, len(starts) - WINDOW + 1, size - WINDOW + 1)]
+            ids += [item] * len(cut)
+            pieces += cut
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pieces, pa.string())], names=["item_id", "text"])
+
+
 def _read_items(benchmark: DataFrame, item: str, text: str, limit: int) -> tuple[DataFrame, int]:
     """Items with a block number, and the number of blocks of about `limit` words."""
     rows = benchmark.select(F.col(f"`{item}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text"))
-    rows = rows.where("item_id IS NOT NULL AND text IS NOT NULL")
+    rows = rows.where("text IS NOT NULL").mapInArrow(lambda batches: _cut(batches, limit), "item_id long, text string")
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // (4 * limit)))
     return rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), n
@@ -187,8 +203,8 @@ def find_passages(
 
     Spans are word numbers, end exclusive, merged where they touch; items ascend.
 
-    Defined results: a null or empty text has no words, no spans and no items; a null item id or
-    text takes no part; an item without words has no window; repeated items share their
+    Defined results: a null or empty text has no words, no spans and no items; a null item
+    text takes no part; an item with a null id has its windows hit, but is not listed; an item without words has no window; repeated items share their
     windows, a repeated document row is answered for each copy; an empty benchmark gives the
     documents without hits, and no documents give no rows. Other columns are not read, and carried
     columns may have any names but the result's.
@@ -209,7 +225,7 @@ def find_passages(
         parts = [_one_pass(docs, _block(items, k), f"c{at}", ["key"]).select("key", "found.*") for k in range(n)]
         every = parts[0]
         for part in parts[1:]:
-            every = every.unionByName(part.where("size(items) > 0"))
+            every = every.unionByName(part.where("size(spans) > 0"))
         merged = every.groupBy("key").agg(
             F.struct(
                 F.max("n_words").alias("n_words"),
@@ -257,7 +273,7 @@ def _one_pass(docs: DataFrame, block: Block, text: str, kept: list[str]) -> Data
             items: list[set[int]] = [set() for _ in texts]
             for i, a, b, got in found:
                 spans[i].append((a - int(first[i]), b - int(first[i])))
-                items[i].update(got)
+                items[i].update(x for x in got if x is not None)
             out = [
                 {"n_words": n, "spans": [{"start": a, "stop": b} for a, b in _merged(s)], "items": sorted(x)}
                 for n, s, x in zip(np.diff(first).tolist(), spans, items, strict=True)
@@ -279,4 +295,4 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The document rows that hold no passage of the benchmark, with the columns of documents."""
     name = tb.fresh(documents.columns, "found")
     found = find_passages(documents, benchmark, carry=tuple(documents.columns), result=name)
-    return found.where(F.size(F.col(name)["items"]) == 0).drop(name)
+    return found.where(F.size(F.col(name)["spans"]) == 0).drop(name)
