@@ -1,4 +1,4 @@
-"""The ten registered queries: each operator on its whole table, digested to the agreed columns."""
+"""The registered queries: each operator on its whole table, digested to the agreed columns."""
 
 from __future__ import annotations
 
@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, contamination, langid, packing, pagediff, secretscan, simhash, surrogates, toxicity, warc
+from . import (
+    bitslice,
+    contamination,
+    langid,
+    packing,
+    pagediff,
+    periodic,
+    repeats,
+    secretscan,
+    simhash,
+    spelling,
+    surrogates,
+    toxicity,
+    warc,
+)
 from .registry import ORACLES, QUERIES, query
 
 
@@ -181,3 +195,36 @@ def pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     found = surrogates.pseudonymized(table(spark, folder, "documents"), PSEUDONYM_KEY)
     listed = F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["stop"]))
     return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.concat_ws(",", listed).alias("entities"))
+
+
+@query("op11_spelling")
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word with the form that its spelling suggests."""
+    vocab = spelling.vocabulary(table(spark, folder, "documents"), marked=spelling.MARKED)
+    return spelling.variants(vocab)
+
+
+@query("op12_periodic")
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of them with one planted."""
+    found = periodic.find(table(spark, folder, "documents").select("doc_id", "text"), plant="doc_id")
+    runs = F.col("periodic.runs")
+    lines = F.concat_ws("", F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    best = F.col("periodic.strongest")
+    return found.select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("periodic.strongest.length * 1000 div periodic.strongest.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_repeats")
+def repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words of earlier twenty-word windows."""
+    found = repeats.find(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept", 256).alias("kept_sha256"))
