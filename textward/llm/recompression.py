@@ -257,21 +257,42 @@ def levels(seqs: Sequences, size: int) -> Iterator[_Level]:
         level += 1
 
 
-def anchors(seqs: Sequences, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of `size` words inside a sequence: its first word, and its anchor's first word and name.
-
-    The anchor is the leftmost symbol of the highest level that the window's own words prove to be
-    a symbol. It depends on these words alone, so equal windows have equal anchors at equal places.
+def _least(names: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The symbol of least digest among `count` ones from `first` on, the leftmost of equal ones."""
+    rank = tb.mix(names + _ODD)
+    best, width = [np.arange(len(names))], 1
+    most = int(count.max())
+    while 2 * width <= most:
+        a, b = best[-1][:-width], best[-1][width:]
+        best.append(np.where(rank[a] <= rank[b], a, b))
+        width *= 2
+    step = np.frexp(count.astype(np.float64))[1] - 1
+    out = np.empty(len(first), np.int64)
+    for k in range(len(best)):
+        mine = np.flatnonzero(step == k)
+        a = best[k][first[mine]]
+        b = best[k][first[mine] + count[mine] - (1 << k)]
+        out[mine] = np.where(rank[a] <= rank[b], a, b)
+    return out
+
+
+def anchors(seqs: Sequences, size: int, least: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of `size` words inside a sequence: its first word, and the first and last word of its anchor.
+
+    The anchor is a symbol of the highest level of which the window's own words prove at least `least` symbols, the one of
+    least digest, together with the words that prove it. All this depends on the window's words
+    alone, so equal windows have equal anchors at equal places; and windows next to each other mostly share theirs.
     """
     n = len(seqs.names)
-    count = np.maximum(seqs.last - seqs.first - size + 1, 0)
-    at = tb.ragged(seqs.first, count)
-    where, key = at.copy(), seqs.names[at]
+    at = tb.ragged(seqs.first, np.maximum(seqs.last - seqs.first - size + 1, 0))
+    left, right = at.copy(), at + 1
     for level in levels(seqs, size):
-        known = np.bincount(level.left, minlength=n)
-        first = (np.cumsum(known) - known)[at]
-        inside = np.minimum(first, len(level.names) - 1)
-        good = np.flatnonzero((first < len(level.names)) & (level.right[inside] <= at + size))
-        pick = first[good]
-        where[good], key[good] = level.starts[pick], level.names[pick]
-    return at, where, key
+        before = np.bincount(level.left, minlength=n + 1)
+        first = (np.cumsum(before) - before)[at]
+        stop = np.cumsum(np.bincount(level.right, minlength=n + 1))[at + size]
+        good = np.flatnonzero(stop - first >= least)
+        if not len(good):
+            break
+        pick = _least(level.names, first[good], (stop - first)[good])
+        left[good], right[good] = level.left[pick], level.right[pick]
+    return at, left, right

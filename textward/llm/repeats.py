@@ -4,8 +4,8 @@ A window is `size` consecutive words of one text. A word goes if some window tha
 starts earlier: in a text with a smaller id, or earlier in the same text.
 
 Every text is parsed into levels of runs and pairs (`recompression`), whose names are the same in all
-tasks. Each window takes the highest symbol its own words prove as its anchor, so equal windows meet
-under one name:
+tasks. Each window takes a symbol of a high level that its own words prove as its anchor, named by these words, so
+equal windows meet under one name:
 
 1. Every slice of texts sends each of its anchors' names once, in one shuffle; names of two or more places come
    back. A name that a slice holds twice is known to repeat, so its other places need no answer.
@@ -77,24 +77,27 @@ class _Parsed:
         self.doc, self.version = doc[self.rows], version[self.rows]
         words, counts = rc.word_names([texts[r] for r in self.rows.tolist()])
         self.seqs = rc.separated(words, counts)
-        self.at, self.place, self.key = rc.anchors(self.seqs, size)
+        self.at, self.place, self.stop = rc.anchors(self.seqs, size)
+
+    def digests(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return tb.span_hashes(self.seqs.names, starts, stops)
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.seqs.first, at, side="right") - 1
 
 
-def _asked(size: int):
+def _asked(size: int, text: int):
     """Anchors of each slice: those to ask for, and, with place -1 - p, those known to repeat."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches):
+        for part, texts in _texts(batches, text):
             got = _Parsed(part, texts, size)
             if not len(got.at):
                 continue
             # Windows of one anchor mostly follow each other; a later one elsewhere repeats at worst a row.
-            new = np.ones(len(got.at), bool)
-            new[1:] = (got.place[1:] != got.place[:-1]) | (got.key[1:] != got.key[:-1])
-            place, key = got.place[new], got.key[new]
+            new = _breaks(got.place, got.stop)
+            place = got.place[new]
+            key = got.digests(place, got.stop[new])
             order = np.lexsort((place, key))
             place, key = place[order], key[order]
             again = np.zeros(len(key), bool)
@@ -144,8 +147,12 @@ def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    return tb.slices(batches, "words_of", CHUNK)
+def _texts(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of rows with their texts, field number `text` of the struct `row`."""
+    for batch in batches:
+        row = batch.column(batch.schema.get_field_index("row"))
+        whole = pa.RecordBatch.from_arrays([*batch.columns, row.flatten()[text]], [*batch.schema.names, "words_of"])
+        yield from tb.slices([whole], "words_of", CHUNK)
 
 
 def _breaks(*columns: np.ndarray) -> np.ndarray:
@@ -157,11 +164,11 @@ def _breaks(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _windows(size: int):
+def _windows(size: int, text: int):
     """Windows of repeated anchors: the first of equal ones in a slice with digests, the others as settled ranges."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches):
+        for part, texts in _texts(batches, text):
             got = _Parsed(part, texts, size)
             if not len(got.at):
                 continue
@@ -173,8 +180,8 @@ def _windows(size: int):
             chosen = np.flatnonzero(asked[got.place])
             if not len(chosen):
                 continue
-            at, key = got.at[chosen], got.key[chosen]
-            digest = tb.span_hashes(got.seqs.names, at, at + size)
+            at, key = got.at[chosen], got.digests(got.place[chosen], got.stop[chosen])
+            digest = got.digests(at, at + size)
             both = digest ^ tb.mix(key)
             order = np.argsort(both, kind="stable")
             heads = np.flatnonzero(_breaks(both[order]))
@@ -275,39 +282,38 @@ def _rows(texts: list[str | None], ranges: list, size: int) -> list[dict]:
     return out
 
 
-def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """`row` with all columns, and doc and version, which tell documents apart and order them."""
+def _identified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, list[str]]:
+    """`row` with all columns, doc and version; and which of these two tell documents apart."""
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long"))
     shared = docs.select(doc.alias("doc")).groupBy("doc").count().where("count > 1")
     # Digests of texts take room in every shuffle; without shared ids no order needs them.
-    version = F.lit(0).cast("long") if shared.isEmpty() else F.coalesce(F.xxhash64(text), F.lit(0))
-    return docs.select(F.struct(*docs.columns).alias("row"), doc.alias("doc"), version.alias("version"), F.col(text).alias("words_of"))
+    unique = shared.isEmpty()
+    version = F.lit(0).cast("long") if unique else F.coalesce(F.xxhash64(text), F.lit(0))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc.alias("doc"), version.alias("version"))
+    return rows, ["doc"] if unique else ["doc", "version"]
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, name: str = "repeats") -> DataFrame:
     """`docs` with a struct `repeats`: number of words, removed words, their ranges, and the kept text."""
-    name = tb.fresh(docs.columns, name)
-    rows = _identified(docs, key, text)
-    asked = rows.select("doc", "version", "words_of").mapInArrow(_asked(size), ASKED)
-    answers = asked.repartition("key").mapInArrow(_answers, "doc long, version long, place int")
-    places = answers.groupBy("doc", "version").agg(F.collect_list("place").alias("places"))
-    sought = places.join(rows.select("doc", "version", "words_of"), ["doc", "version"])
-    windows = sought.select("doc", "version", "words_of", "places").mapInArrow(_windows(size), WINDOWS)
+    name, place = tb.fresh(docs.columns, name), docs.columns.index(text)
+    rows, ids = _identified(docs, key, text)
+    answers = rows.mapInArrow(_asked(size, place), ASKED).repartition("key").mapInArrow(_answers, "doc long, version long, place int")
+    places = answers.groupBy(*ids).agg(F.collect_list("place").alias("places"))
+    # Both joins read the rows in one and the same exchange.
+    windows = rows.join(places, ids).mapInArrow(_windows(size, place), WINDOWS)
     later = windows.repartition("key").mapInArrow(_later, RANGES)
-    ranges = later.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    beside = rows.select("row", "doc", "version").join(ranges, ["doc", "version"], "left").select("row", "ranges")
+    ranges = later.groupBy(*ids).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    beside = rows.join(ranges, ids, "left")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, FOUND)])
     from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
     kind, fields = to_arrow_type(FOUND), to_arrow_schema(docs.schema)
-    place = docs.columns.index(text)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.column(0).flatten()
-            whole = pa.RecordBatch.from_arrays([*columns, batch.column(1)], [*(str(k) for k in range(len(columns))), "ranges"])
-            for part, texts in tb.slices([whole], str(place), CHUNK):
-                found = pa.array(_rows(texts, part.column(len(columns)).to_pylist(), size), type=kind)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], [*fields.names, name])
+        for part, texts in _texts(batches, place):
+            ranges = part.column(part.schema.get_field_index("ranges")).to_pylist()
+            found = pa.array(_rows(texts, ranges, size), type=kind)
+            row = part.column(part.schema.get_field_index("row"))
+            yield pa.RecordBatch.from_arrays([*row.flatten(), found], [*fields.names, name])
 
     return beside.mapInArrow(cut, schema)
