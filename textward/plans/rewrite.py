@@ -17,7 +17,7 @@ from .detect import production_sql
 from .registry import query
 
 # Greedy planning as a walk over the ordered findings, one step per finding.
-PLAN_SQL = f"""WITH RECURSIVE {production_sql(PLANTED_SQL)},
+PLAN_STEPS_SQL = """
 ordered AS MATERIALIZED (SELECT *, CASE category WHEN 'SECRET' THEN 3 ELSE 2 END AS priority, row_number() OVER (
     PARTITION BY request_id ORDER BY "start", "end" DESC, category DESC, detector_order) AS n FROM findings),
 walk(request_id, n, open_n, open_end, open_prio, closed_n) AS (
@@ -31,6 +31,19 @@ walk(request_id, n, open_n, open_end, open_prio, closed_n) AS (
   FROM walk w JOIN ordered o ON o.request_id = w.request_id AND o.n = w.n + 1),
 kept AS (SELECT request_id, closed_n AS n FROM walk WHERE closed_n IS NOT NULL
   UNION ALL SELECT request_id, arg_max(open_n, n) FROM walk GROUP BY 1)"""
+REDACT_STEPS_SQL = """spans AS (SELECT o.*, coalesce(lag(char_end) OVER (
+    PARTITION BY request_id ORDER BY "start"), 0) AS prev FROM ordered o JOIN kept USING (request_id, n)),
+joined AS (SELECT s.request_id, string_agg(substr(t.text, prev + 1, char_start - prev)
+    || '[REDACTED:' || subtype || ']', '' ORDER BY "start") || substr(any_value(t.text), max(char_end) + 1) AS redacted
+  FROM spans s JOIN texts t USING (request_id) GROUP BY 1)"""
+
+
+def redact_sql(src: str) -> str:
+    """CTE text `texts`, `findings`, `ordered`, `kept`, `joined` (request_id, redacted) over a source of texts."""
+    return f"{production_sql(src)},{PLAN_STEPS_SQL}, {REDACT_STEPS_SQL}"
+
+
+PLAN_SQL = f"WITH RECURSIVE {production_sql(PLANTED_SQL)},{PLAN_STEPS_SQL}"
 
 
 @query(
@@ -45,11 +58,7 @@ def span_plan(spark, folder):
 
 @query(
     "redact_text",
-    f"""{PLAN_SQL}, spans AS (SELECT o.*, coalesce(lag(char_end) OVER (
-    PARTITION BY request_id ORDER BY "start"), 0) AS prev FROM ordered o JOIN kept USING (request_id, n)),
-joined AS (SELECT s.request_id, string_agg(substr(t.text, prev + 1, char_start - prev)
-    || '[REDACTED:' || subtype || ']', '' ORDER BY "start") || substr(any_value(t.text), max(char_end) + 1) AS redacted
-  FROM spans s JOIN texts t USING (request_id) GROUP BY 1)
+    f"""WITH RECURSIVE {redact_sql(PLANTED_SQL)}
 SELECT t.request_id, sha256(coalesce(redacted, text)) AS digest, length(coalesce(redacted, text)) AS n_chars
 FROM texts t LEFT JOIN joined USING (request_id)""",
 )

@@ -16,6 +16,7 @@ from .decide import DECIDE_SQL, decisions, held_findings
 from .detect import production_sql
 from .ingest import talk
 from .registry import query
+from .rewrite import redact_sql
 
 LATE_SQL = "CASE WHEN event_id % 50 = 0 THEN ts - INTERVAL 30 HOUR ELSE ts END"
 
@@ -88,46 +89,43 @@ def sse_deltas(spark, folder):
 
 # ---- release ----------------------------------------------------------------------------------------------
 
-PIECE = 40
-STREAM_SQL = f"""talk AS (SELECT conv_id, turn, text || ' key glpat-' || substr(sha256(conv_id || '-' || turn), 1, 24) || ' end' AS text FROM conversations),
-pieces AS (SELECT conv_id AS stream_id, turn, i, substr(text, i * {PIECE} + 1, {PIECE}) AS data FROM talk,
-  LATERAL (SELECT unnest(range(CAST(ceil(length(text) / {PIECE}.0) AS BIGINT))) AS i)),
-d AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY turn, i) AS seq, data FROM pieces),
-o AS (SELECT *, sum(length(data)) OVER (PARTITION BY stream_id ORDER BY seq) - length(data) AS start FROM d)"""
+HOLD = 16_384
+#: Of five documents, one ends in a key block of 12,000 characters, and one in a block that never closes.
+STREAMED_SQL = f"""SELECT request_id, text || CASE request_id % 5
+    WHEN 0 THEN ' | -----BEGIN RSA PRIVATE KEY-----' || chr(10) || repeat(sha256(CAST(request_id AS VARCHAR)), 188) || chr(10) || '-----END RSA PRIVATE KEY----- | end'
+    WHEN 1 THEN ' | ' ELSE '' END AS text FROM ({PLANTED_SQL})"""
 
 
 def stream_deltas(spark, folder):
-    """Conversations cut into deltas of 40 characters; each turn ends in a token."""
-    rows = table(spark, folder, "conversations")
-    digest = F.sha2(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 256)
-    text = F.concat("text", F.lit(" key glpat-"), F.substring(digest, 1, 24), F.lit(" end"))
-    rows = rows.select("conv_id", "turn", text.alias("text"))
-    count = F.ceil(F.length("text") / F.lit(float(PIECE))).cast("int")
-    cut = rows.select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
-    # A turn holds far fewer than a million pieces, so this numbers deltas in stream order.
+    """Planted documents as streams, each cut into deltas of its own size."""
+    rows = planted_parts(spark, folder)
+    rid = F.col("request_id")
+    digest = F.sha2(rid.cast("string"), 256)
+    begin = F.lit(" | -----BEGIN RSA PRIVATE KEY-----\n")
+    closed = F.concat(begin, F.repeat(digest, 188), F.lit("\n-----END RSA PRIVATE KEY----- | end"))
+    tail = F.when(rid % 5 == 0, closed).when(rid % 5 == 1, F.concat(begin, F.repeat(digest, 300))).otherwise("")
+    rows = rows.select(rid.alias("stream_id"), F.concat("text", tail).alias("text"), (rid * 7919 % 997 + 16).cast("int").alias("size"))
+    count = F.ceil(F.length("text") / F.col("size")).cast("int")
+    cut = rows.select("stream_id", "text", "size", F.explode(F.sequence(F.lit(0), count - 1)).alias("seq"))
     return cut.select(
-        F.col("conv_id").alias("stream_id"),
-        (F.col("turn") * 1_000_000 + F.col("i")).alias("seq"),
-        F.substr("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("data"),
+        "stream_id", F.col("seq").cast("long").alias("seq"), F.substr("text", F.col("seq") * F.col("size") + 1, F.col("size")).alias("data")
     )
 
 
 @query(
     "stream_holdback",
-    f"""WITH {STREAM_SQL}, w AS (SELECT stream_id, string_agg(data, '' ORDER BY seq) AS text FROM d GROUP BY 1),
-own AS (SELECT stream_id, start // 400 AS chunk, min(start) AS a, max(start + length(data)) AS b FROM o GROUP BY 1, 2),
-t AS (SELECT conv_id AS stream_id, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - 34 AS p FROM talk),
-m AS (SELECT own.stream_id, chunk, any_value(a) AS a, any_value(b) AS b, list(p ORDER BY p) FILTER (p IS NOT NULL) AS ps
-  FROM own LEFT JOIN t ON t.stream_id = own.stream_id AND p < b AND p + 30 > a GROUP BY 1, 2),
-c AS (SELECT m.stream_id, chunk, unnest(range(CAST(a AS BIGINT), CAST(b AS BIGINT))) AS i, ps FROM m),
-g AS (SELECT c.stream_id, chunk, i, CASE WHEN list_contains(ps, i) THEN '[REDACTED:GITLAB_PAT]'
-    WHEN len(list_filter(ps, lambda p: p < i AND p + 30 > i)) > 0 THEN '' ELSE substr(text, i + 1, 1) END AS piece
-  FROM c JOIN w ON w.stream_id = c.stream_id)
-SELECT stream_id, CAST(chunk AS BIGINT) AS chunk, string_agg(piece, '' ORDER BY i) AS released FROM g GROUP BY 1, 2""",
+    f"""WITH RECURSIVE {redact_sql(STREAMED_SQL)}
+SELECT t.request_id AS stream_id, sha256(coalesce(redacted, text)) AS digest, length(coalesce(redacted, text)) AS n_chars,
+  t.request_id % 5 = 1 AS terminated FROM texts t LEFT JOIN joined USING (request_id)""",
 )
 def stream_holdback(spark, folder):
-    out = S.stream_release(stream_deltas(spark, folder), [D.PREFIXED[0]], window=80, chunk=400)
-    return out.select("stream_id", "chunk", "released")
+    """Streams of deltas, released under all detectors; a block over the limit ends its stream."""
+    out = S.stream_release(stream_deltas(spark, folder), D.PRODUCTION, chunk=4000, limit=HOLD)
+    parts = F.array_sort(F.collect_list(F.struct("block", "part", "released")))
+    whole = out.groupBy("stream_id").agg(
+        F.array_join(F.transform(parts, lambda p: p["released"]), "").alias("text"), F.bool_or("terminated").alias("terminated")
+    )
+    return whole.select("stream_id", F.sha2("text", 256).alias("digest"), F.length("text").alias("n_chars"), "terminated")
 
 
 # ---- limits -------------------------------------------------------------------------------------------------

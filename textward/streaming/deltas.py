@@ -1,14 +1,14 @@
 """Provider event streams: text fragments, and release of inspected text.
 
-Text is released in chunks. A chunk sees `window` characters before and after its own
-region, so a match up to that long is found whole wherever the cuts fall; what was redacted
-by the chunk a match starts in is skipped by the next one. Chunks are independent rows.
+Text is released in parts that no match crosses: the open start of a match waits until it closes,
+and a stream that would hold more than its limit ends (see `holdback`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from ..functions.deep_json import NODE, leaves_below
 from ..functions.ranking import blocked_running_sum
 from ..functions.scan import Detector, finding_array
 from ..operators.transform import span_plan
+from ..session import cut_lineage
+from .holdback import Held, OpenMatches
 
 FRAGMENT = "struct<path:string,text:string,kind:string>"
 NO_FRAGMENTS = f"CAST(array() AS array<{FRAGMENT}>)"
@@ -160,69 +162,133 @@ def sse_fragments(events: DataFrame, keys: Iterable[str] = ("stream_id", "seq"))
 
 # ---- release --------------------------------------------------------------------------------------------
 
+#: Characters a stream may hold back, and fewest characters of a block of a long stream.
+LIMIT = 1 << 20
+BLOCK_CHARS = 4 << 20
 
-def release(
-    chunks: DataFrame, detectors: Iterable[Detector], window: int, blocked: Iterable[str] = ()
-) -> DataFrame:
-    """Released text of each chunk.
 
-    `chunks` carries before, own and after text. Matches that start in `own` are replaced
-    there; the rest of a match begun in `before` is skipped. `blocked_at` is the position in
-    `own` of the first finding of a blocked subtype, for the caller to cut the stream.
+def release(parts: DataFrame, detectors: Iterable[Detector], window: int = 0, blocked: Iterable[str] = (), limit: int = LIMIT) -> DataFrame:
+    """`released`: the redacted text of each part (`own`), and `stopped`: whether its stream ends in it.
+
+    No match leaves its part. A stream ends `window` characters before the first finding of a
+    blocked subtype, at a finding longer than `limit`, or after a part marked `over`.
     """
-    rows = chunks.withColumn("_text", F.concat("before", "own", "after"))
-    rows = rows.withColumn("_from", F.length("before")).withColumn("_to", F.length("before") + F.length("own"))
-    rows = finding_array(rows, detectors, "_found", "_text")
+    rows = finding_array(parts, detectors, "_found", "own")
     hashed = F.transform("_found", lambda f: f.withField("value_hash", F.lit("")))
     rows = rows.withColumn("_hashed", hashed).withColumn("_plan", span_plan("_hashed"))
-    # Copy own text around the spans; a span that starts earlier only moves the position.
-    text = F.expr(
-        """aggregate(filter(_plan, t -> t.char_end > _from AND t.char_start < _to),
-          named_struct('pos', _from, 'out', CAST(array() AS array<string>)),
-          (acc, t) -> named_struct('pos', least(t.char_end, _to), 'out', concat(acc.out, array(
-            substr(_text, acc.pos + 1, greatest(t.char_start - acc.pos, 0)),
-            CASE WHEN t.char_start >= _from THEN concat('[REDACTED:', t.subtype, ']') ELSE '' END))),
-          acc -> concat(array_join(acc.out, ''), substr(_text, acc.pos + 1, greatest(_to - acc.pos, 0))))"""
-    )
     names = list(blocked)
-    stops = F.filter(
-        "_plan",
-        lambda t: t["subtype"].isin(*names) & (t["char_start"] >= F.col("_from")) & (t["char_start"] < F.col("_to")),
-    ) if names else F.expr("CAST(array() AS array<struct<char_start:int>>)")
-    kept = [c for c in chunks.columns if c not in ("before", "own", "after")]
-    return rows.select(
-        *kept, text.alias("released"), (F.get(stops, F.lit(0))["char_start"] - F.col("_from")).alias("blocked_at")
+
+    def first(test, before: int = 0) -> Column:
+        start = F.get(F.filter("_plan", test), F.lit(0))["char_start"]
+        return F.when(start.isNotNull(), F.greatest(start - before, F.lit(0)))
+
+    long = first(lambda t: t["char_end"] - t["char_start"] > limit)
+    stop = F.least(long, first(lambda t: t["subtype"].isin(*names), window)) if names else long
+    # A stop inside an earlier match moves to its start.
+    inside = F.filter("_plan", lambda t: (t["char_start"] < F.col("_stop")) & (t["char_end"] > F.col("_stop")))
+    rows = rows.withColumn("_stop", stop)
+    rows = rows.withColumn("_upto", F.coalesce(F.get(inside, F.lit(0))["char_start"], "_stop", F.length("own")))
+    text = F.expr(
+        """aggregate(filter(_plan, t -> t.char_end <= _upto), named_struct('pos', 0, 'out', CAST(array() AS array<string>)),
+          (acc, t) -> named_struct('pos', t.char_end, 'out', concat(acc.out, array(
+            substr(own, acc.pos + 1, t.char_start - acc.pos), concat('[REDACTED:', t.subtype, ']')))),
+          acc -> concat(array_join(acc.out, ''), substr(own, acc.pos + 1, _upto - acc.pos)))"""
     )
+    kept = [c for c in parts.columns if c not in ("own", "over")]
+    return rows.select(*kept, text.alias("released"), (F.col("over") | F.col("_stop").isNotNull()).alias("stopped"))
 
 
-def stream_chunks(deltas: DataFrame, window: int, chunk: int, stream: str = "stream_id") -> DataFrame:
-    """Chunks of each stream's ordered deltas (`seq`, `data`) with their surroundings.
+FIRST, DELTA, LAST = 0, 1, 2
 
-    A stream of any length is cut by its running length; a chunk groups only the deltas in
-    and next to its own region.
-    """
-    sized = deltas.withColumn("n", F.length("data"))
-    placed = blocked_running_sum(sized, [stream], F.floor(F.col("seq") / 1024), ["seq"], F.col("n"), "upto")
-    start = F.col("upto") - F.col("n")
-    placed = placed.withColumn("start", start).withColumn("home", F.floor(start / chunk))
-    near_next = F.col("upto") > (F.col("home") + 1) * chunk - window
-    near_last = (start < F.col("home") * chunk + window) & (F.col("home") > 0)
-    spots = F.filter(
-        F.array(
-            F.struct(F.col("home").alias("chunk"), F.lit("own").alias("place")),
-            F.when(near_next, F.struct((F.col("home") + 1).alias("chunk"), F.lit("before").alias("place"))),
-            F.when(near_last, F.struct((F.col("home") - 1).alias("chunk"), F.lit("after").alias("place"))),
-        ),
-        lambda s: s.isNotNull(),
-    )
-    rows = placed.select(stream, "seq", "data", F.explode(spots).alias("s")).select(stream, "seq", "data", "s.*")
 
-    def joined(place: str) -> Column:
-        picked = F.array_sort(F.collect_list(F.when(F.col("place") == place, F.struct("seq", "data"))))
-        return F.array_join(F.transform(picked, lambda x: x["data"]), "").alias(place)
+def _blocks(deltas: DataFrame, stream: str, size: int) -> DataFrame:
+    """Deltas with the block of their stream's running length; a stream of any length is many blocks."""
+    sized = deltas.select(stream, "seq", "data").withColumn("n", F.length("data"))
+    placed = blocked_running_sum(sized, [stream], F.floor(F.col("seq") / 1024), ["seq"], F.col("n"), "upto")
+    block = F.floor((F.col("upto") - F.col("n")) / size)
+    return placed.select(stream, block.alias("block"), F.col("seq").cast("long").alias("seq"), "data")
+
+
+def _in_order(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*[batch[c].tolist() for c in columns], strict=True)
+
+
+def _ends(rules: OpenMatches, limit: int, stream: str):
+    """What is still held at the end of each block, seen from its own text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = held = None
+        for key, block, data in _in_order(batches, stream, "block", "data"):
+            if (key, block) != place:
+                if held is not None:
+                    yield _row(place, held)
+                place, held = (key, block), Held(rules, limit)
+            held.add(data or "")
+        if held is not None:
+            yield _row(place, held)
+
+    def _row(place, held):
+        held.settle()
+        return pd.DataFrame([(*place, held.pending)], columns=[stream, "block", "tail"])
+
+    return run
+
+
+def _parts(rules: OpenMatches, limit: int, chunk: int, stream: str):
+    """Parts of each block, which begins with the tail of the one before and leaves its own to the next."""
+    names = [stream, "block", "part", "own", "over"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        place, held, ready, size, number = None, None, [], 0, 0
+        for key, block, mark, data in _in_order(batches, stream, "block", "mark", "data"):
+            if (key, block) != place:
+                place, held, ready, size, number = (key, block), Held(rules, limit), [], 0, 0
+            if held.over:
+                continue
+            if mark == FIRST:
+                held.pending = data
+                continue
+            # At the end of a block all goes but the tail that its successor begins with.
+            text = held.add(data or "") if mark == DELTA else held.take(max(0, len(held.pending) - int(data)))
+            ready.append(text)
+            size += len(text)
+            if size >= chunk or held.over or (size and mark == LAST):
+                out.append((*place, number, "".join(ready), held.over))
+                ready, size, number = [], 0, number + 1
+            if len(out) >= 256:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+    return run
+
+
+def stream_parts(
+    deltas: DataFrame, rules: OpenMatches, chunk: int, limit: int, stream: str = "stream_id", block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """Parts (`block`, `part`, `own`, `over`) of ordered deltas (`seq`, `data`) that no match crosses.
 
-    out = rows.groupBy(stream, "chunk").agg(*[joined(p) for p in ("before", "own", "after")])
-    return out.filter(F.length("own") > 0)
+    A stream is cut into blocks of its running length, at least four times the limit. What a block
+    holds at its end follows from its own text, as a match from before it would be over the
+    limit by then. So all blocks of a stream are read at once: a first pass finds what each leaves
+    over, a second one gives that to its successor and cuts the block into parts.
+    """
+    kind = dict(deltas.dtypes)[stream]
+    rows = cut_lineage(_blocks(deltas, stream, max(block_chars, 4 * limit)))
+    place = [stream, "block"]
+    dealt = rows.repartition(*place).sortWithinPartitions(*place, "seq")
+    tails = cut_lineage(dealt.mapInPandas(_ends(rules, limit, stream), f"{stream} {kind}, block long, tail string"))
+    last = tails.groupBy(stream).agg(F.max("block").alias("last"))
+    ends = tails.join(last, stream)
+    no_seq = F.lit(None).cast("long").alias("seq")
+    first = ends.where("block < last").select(stream, (F.col("block") + 1).alias("block"), no_seq, F.col("tail").alias("data"), F.lit(FIRST).alias("mark"))
+    left = F.when(F.col("block") < F.col("last"), F.length("tail")).otherwise(0).cast("string")
+    close = ends.select(stream, "block", no_seq, left.alias("data"), F.lit(LAST).alias("mark"))
+    marked = rows.withColumn("mark", F.lit(DELTA)).unionByName(first).unionByName(close)
+    dealt = marked.repartition(*place).sortWithinPartitions(*place, "mark", "seq")
+    return dealt.mapInPandas(_parts(rules, limit, chunk, stream), f"{stream} {kind}, block long, part long, own string, over boolean")
 
 
 def stream_release(
@@ -232,23 +298,20 @@ def stream_release(
     chunk: int = 65536,
     blocked: Iterable[str] = (),
     stream: str = "stream_id",
+    limit: int = LIMIT,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """Released text per stream and chunk; a blocked finding ends its stream.
+    """Released text of each stream in parts (`block`, `part`) of about `chunk` characters.
 
-    The chunk it stands in is cut `window` characters before the finding, later chunks go.
+    Text waits until no match can cross the place where it is cut, whatever `chunk` and `window` are. A stream
+    that holds more than `limit` characters, or meets a finding of a blocked subtype, is
+    `terminated`: nothing from there on is released, and of a blocked finding nothing from `window`
+    characters before it.
     """
-    blocked = tuple(blocked)
-    out = release(stream_chunks(deltas, window, chunk, stream), detectors, window, blocked)
-    if not blocked:
-        return out.drop("blocked_at")
-    first = out.groupBy(stream).agg(
-        F.min(F.when(F.col("blocked_at").isNotNull(), F.struct("chunk", "blocked_at"))).alias("stop")
-    )
-    rows = out.drop("blocked_at").join(first, stream)
-    stop = F.col("stop")
-    cut = F.when(
-        F.col("chunk") == stop["chunk"],
-        F.left("released", F.greatest(stop["blocked_at"] - window, F.lit(0)).cast("int")),
-    ).otherwise(F.col("released"))
-    kept = rows.filter(stop.isNull() | (F.col("chunk") <= stop["chunk"]))
-    return kept.select(stream, "chunk", cut.alias("released"), stop.isNotNull().alias("terminated"))
+    detectors = tuple(detectors)
+    parts = stream_parts(deltas, OpenMatches(detectors, window), chunk, limit, stream, block_chars)
+    out = cut_lineage(release(parts, detectors, window, blocked, limit))
+    place = F.struct("block", "part")
+    stops = out.where("stopped").groupBy(stream).agg(F.min(place).alias("_stop"))
+    rows = out.join(stops, stream, "left").where(F.col("_stop").isNull() | (place <= F.col("_stop")))
+    return rows.select(stream, "block", "part", "released", F.col("_stop").isNotNull().alias("terminated"))
