@@ -87,14 +87,18 @@ def bounded_list(values: Column, cap: int) -> Column:
     return F.filter(kept, lambda v: v != "")
 
 
-def sanitize(events: DataFrame, principal_key: str = "") -> DataFrame:
-    """Fixed projection: only allow-listed fields leave, labels and lists bounded."""
+def sanitize(events: DataFrame, principal_key: str = "", keep: Iterable[str] = ()) -> DataFrame:
+    """Fixed projection: only allow-listed fields leave, labels and lists bounded.
+
+    A list that loses items to its cap is named in `truncated`. `keep` are columns for the writer.
+    """
     have = set(events.columns)
     columns = []
+    code = F.coalesce("code", F.lit("")) if "code" in have else F.lit("")
     for name in LABELS:
         if name == "reason_id":
             own = bounded_label(F.coalesce("reason_id", F.lit(""))) if "reason_id" in have else F.lit("")
-            columns.append(F.when(own != "", own).otherwise(bounded_label(F.coalesce("code", F.lit("")))).alias(name))
+            columns.append(F.when(own != "", own).otherwise(bounded_label(code)).alias(name))
         elif name in have:
             columns.append(bounded_label(F.coalesce(F.col(name).cast("string"), F.lit(""))).alias(name))
     for name in PRINCIPALS:
@@ -106,10 +110,16 @@ def sanitize(events: DataFrame, principal_key: str = "") -> DataFrame:
             columns.append(F.greatest(F.lit(0), F.col(name)).cast("long").alias(name))
     if "rag_chunks" in have:
         columns.append(F.least(F.lit(MAX_CHUNKS), F.greatest(F.lit(0), F.col("rag_chunks"))).alias("rag_chunks"))
+    cut = []
     for name, cap in LIST_CAPS.items():
         if name in have:
-            columns.append(bounded_list(F.coalesce(name, F.array().cast("array<string>")), cap).alias(name))
-    return events.select(*columns)
+            values = F.coalesce(name, F.array().cast("array<string>"))
+            columns.append(bounded_list(values, cap).alias(name))
+            cut.append(F.when(F.size(values) > cap, name))
+    if "rag_chunks" in have:
+        cut.append(F.when(F.col("rag_chunks") > MAX_CHUNKS, "rag_chunks"))
+    marks = F.filter(F.array(*cut), lambda c: c.isNotNull()) if cut else F.array().cast("array<string>")
+    return events.select(*columns, marks.alias("truncated"), *keep)
 
 
 def write_events(events: DataFrame, path: str, day: Column) -> None:
@@ -224,12 +234,16 @@ def chain_status(
 # ---- export ---------------------------------------------------------------------------------------------
 
 
-def export_batches(events: DataFrame, block: Column, order: Iterable[str], event_id: str, size: int, after: int = 0) -> DataFrame:
-    """Ordered batches of `size` events with a stable idempotency key, from a resume point."""
+def export_batches(events: DataFrame, block: Column, order: Iterable[str], event_id: str, size: int, after: int = 0, payload: Column | None = None) -> DataFrame:
+    """Ordered batches of `size` events with a stable idempotency key, from a resume point.
+
+    With `payload` each batch also carries its `items` (sequence, id, payload).
+    """
     rows = blocked_row_number(events, [], block, order, "sequence").filter(F.col("sequence") > after)
     batch = F.floor((F.col("sequence") - 1 - after) / size).alias("batch")
+    item = ["sequence", F.col(event_id).cast("string").alias("id")] + ([payload.alias("payload")] if payload is not None else [])
     grouped = rows.groupBy(batch).agg(
-        F.array_sort(F.collect_list(F.struct("sequence", F.col(event_id).cast("string").alias("id")))).alias("items")
+        F.array_sort(F.collect_list(F.struct(*item))).alias("items")
     )
     ids = F.array_join(F.transform("items", lambda x: x["id"]), "\0")
     return grouped.select(
@@ -238,4 +252,5 @@ def export_batches(events: DataFrame, block: Column, order: Iterable[str], event
         F.get("items", F.lit(0))["sequence"].alias("first_sequence"),
         F.get("items", F.size("items") - 1)["sequence"].alias("last_sequence"),
         F.left(F.sha2(ids, 256), F.lit(32)).alias("idempotency_key"),
+        *(["items"] if payload is not None else []),
     )

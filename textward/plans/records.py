@@ -59,13 +59,14 @@ SELECT CAST(request_id AS VARCHAR) AS request_id, 'sha256:' || left(sha256('pepp
   regexp_replace(matched_rule, '[^A-Za-z0-9._:/-]', '_', 'g') AS matched_rule,
   CASE WHEN request_id % 2 = 0 THEN 'custom_reason' ELSE code END AS reason_id, greatest(0, request_id % 7 - 3) AS deterministic_ms,
   least(10000, greatest(0, request_id * 97 - 500)) AS rag_chunks,
-  CASE WHEN request_id % 3 = 0 THEN (SELECT string_agg('role_' || i, ',' ORDER BY i) FROM range(1, 17) r(i)) ELSE 'ok' END AS roles FROM l""",
+  CASE WHEN request_id % 3 = 0 THEN (SELECT string_agg('role_' || i, ',' ORDER BY i) FROM range(1, 17) r(i)) ELSE 'ok' END AS roles,
+  concat_ws(',', CASE WHEN request_id % 3 = 0 THEN 'roles' END, CASE WHEN request_id * 97 - 500 > 10000 THEN 'rag_chunks' END) AS truncated FROM l""",
 )
 def audit_sanitize(spark, folder):
     rows = A.sanitize(dirty_events(spark, folder), "pepper")
     return rows.select(
         "request_id", "tenant", "user", "matched_rule", "reason_id", "deterministic_ms", "rag_chunks",
-        F.array_join("roles", ",").alias("roles"),
+        F.array_join("roles", ",").alias("roles"), F.array_join("truncated", ",").alias("truncated"),
     )
 
 
@@ -87,6 +88,34 @@ def audit_event_sink(spark, folder):
     )
 
 
+def _work_folder(spark, name):
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "audit_event_stream",
+    f"""WITH {AUDIT_SQL} SELECT date '2024-01-01' + CAST(request_id % 5 AS INTEGER) AS day, action, count(*) AS events, count(DISTINCT request_id) AS requests,
+  CAST(sum(finding_count) AS BIGINT) AS findings FROM events_ GROUP BY 1, 2""",
+)
+def audit_event_stream(spark, folder):
+    """Events that arrive in four files, through the streaming sink, which is restarted after each, and read back."""
+    from ..streaming.export import event_sink
+
+    source, path, checkpoint = (_work_folder(spark, n) for n in ("audit-in", "audit-out", "audit-ck"))
+    rows = cut_lineage(audit_rows(spark, folder).withColumn("request_id", F.col("request_id").cast("string")))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("request_id").cast("long") % 5).cast("int"))
+    for part in range(4):
+        rows.where(F.pmod(F.xxhash64("request_id"), F.lit(4)) == part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        event_sink(stream, path, checkpoint, day).awaitTermination()
+    back = spark.read.schema("request_id string, action string, finding_count long, day date").json(path)
+    return back.groupBy("day", "action").agg(
+        F.count("*").alias("events"), F.count_distinct("request_id").alias("requests"), F.sum("finding_count").alias("findings")
+    )
+
+
 # ---- chains ---------------------------------------------------------------------------------------------
 
 MAC_KEY = "audit-mac"
@@ -189,3 +218,52 @@ def siem_batches(spark, folder):
     events = table(spark, folder, "events").select("event_id", "ts")
     hour = F.floor(F.unix_timestamp("ts") / 3600)
     return A.export_batches(events, hour, ["ts", "event_id"], "event_id", 500, after=100)
+
+
+# ---- export as a stream ----------------------------------------------------------------------------------
+
+ARRIVALS = 3
+
+
+def receiver(key, payloads):
+    """Refuses batches that hold a certain event, answers others after two failures, and some never."""
+    ids = [int(p.split("|")[0]) for p in payloads]
+    if any(i % 1500 == 7 for i in ids):
+        return 400
+    seen = _TRIES[key] = _TRIES.get(key, 0) + 1
+    if ids[0] % 5 == 0:
+        raise TimeoutError
+    return 503 if ids[0] % 3 == 0 and seen < 3 else 202
+
+
+_TRIES: dict = {}
+
+
+@query(
+    "siem_export",
+    f"""WITH n AS (SELECT event_id, event_id % {ARRIVALS} AS epoch, row_number() OVER (PARTITION BY event_id % {ARRIVALS} ORDER BY ts, event_id) AS r,
+    row_number() OVER (ORDER BY event_id % {ARRIVALS}, ts, event_id) AS s FROM events),
+b AS (SELECT epoch, (r - 1) // 200 AS batch, count(*) AS events, min(s) AS first_sequence, max(s) AS last_sequence, arg_min(event_id, s) AS head,
+    left(sha256(string_agg(CAST(event_id AS VARCHAR), chr(0) ORDER BY s)), 32) AS idempotency_key, bool_or(event_id % 1500 = 7) AS refused FROM n GROUP BY 1, 2)
+SELECT epoch, batch, events, first_sequence, last_sequence, idempotency_key, CASE WHEN refused OR head % 5 = 0 THEN 'dead' ELSE 'sent' END AS outcome,
+  CASE WHEN refused THEN 1 WHEN head % 5 = 0 THEN 4 WHEN head % 3 = 0 THEN 3 ELSE 1 END AS attempts,
+  CASE WHEN refused THEN 'status 400' WHEN head % 5 = 0 THEN 'TimeoutError' ELSE '' END AS reason,
+  CASE WHEN refused OR head % 5 = 0 THEN events ELSE 0 END AS dead_letters FROM b""",
+)
+def siem_export(spark, folder):
+    """Events that arrive in three parts, sent in batches by an export that is restarted for each."""
+    from ..streaming.export import Export
+
+    source, path, checkpoint = (_work_folder(spark, n) for n in ("siem-in", "siem-out", "siem-ck"))
+    events = table(spark, folder, "events").select("event_id", "ts", "event_type")
+    payload = F.concat_ws("|", F.col("event_id").cast("string"), "event_type")
+    hour = F.floor(F.unix_timestamp("ts") / 3600)
+    out = Export(path, receiver, "event_id", payload, ["ts", "event_id"], hour, size=200, base=0.0)
+    for part in range(ARRIVALS):
+        events.where(F.col("event_id") % ARRIVALS == part).write.mode("append").parquet(source)
+        out.start(spark.readStream.schema(events.schema).parquet(source), checkpoint).awaitTermination()
+    dead = out.dead_letters(spark).groupBy("epoch", "batch").agg(F.count("*").alias("dead_letters"))
+    return out.outcomes(spark).join(dead, ["epoch", "batch"], "left").select(
+        "epoch", "batch", "events", "first_sequence", "last_sequence", "idempotency_key", "outcome", "attempts", "reason",
+        F.coalesce("dead_letters", F.lit(0)).alias("dead_letters"),
+    )
