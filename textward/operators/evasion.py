@@ -8,7 +8,7 @@ pass; only cross-part text needs a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,16 +17,18 @@ from ..functions.checks import entropy
 from ..functions.deep_json import leaves_below
 from ..functions.hashing import value_hash
 from ..functions.ranking import blocked_running_sum
-from ..functions.scan import Detector, explode_rows, matches, with_findings
+from ..functions.scan import Detector, explode_rows, finding_array, matches, with_findings
 from ..functions.unicode import CONTROL_PATTERN, canonical
+from ..session import cut_lineage
 from .detectors import PART_KEYS, PRODUCTION, TELEMETRY_KEY
 
 
 @dataclass(frozen=True)
 class EvasionConfig:
-    """What to decode, and the budget of `work_budget`. No text, candidate or JSON leaf is too large or deep."""
+    """What to decode, how often again, and the decode work of a request in bytes. No text, candidate or JSON leaf is too large or deep."""
 
     transforms: tuple[str, ...] = ("base64", "percent", "json_unicode", "structured")
+    decode_depth: int = 1
     max_work_bytes: int = 256 << 10
     #: JSON levels walked by column expressions; deeper ones go through a helper.
     json_levels: int = 8
@@ -446,19 +448,168 @@ def cross_part_findings(
     return flat.join(same, on, "left_anti").dropDuplicates(on)
 
 
+# ---- worklist ------------------------------------------------------------------------------------------
+
+ENCODINGS = ("base64", "percent", "json_unicode", "hex")
+FOUND = (
+    "array<struct<category:string,subtype:string,detector:string,confidence:double,start:int,end:int,"
+    "char_start:int,char_end:int,value_hash:string,evasion_type:string,encoding_chain:string,unsafe_span:boolean>>"
+)
+
+
+def scanned_views(shown: DataFrame, detectors: Iterable[Detector], keys: Iterable[str], key: str, chain: Column) -> DataFrame:
+    """Each view with its size and the array of its findings as of `view_findings`; only encoded views keep their text.
+
+    `chain` is the chain of encodings around the views, empty for those of a part itself.
+    """
+    keys = list(keys)
+    rows = finding_array(shown, detectors, "_found", "view_text")
+    kind = F.col("kind")
+    plain = kind == "canonical"
+    encoded = kind.isin(*ENCODINGS)
+    own_chain = F.when(chain != "", F.concat_ws(">", chain, kind)).otherwise(kind)
+    moved = F.col("source").isNotNull()
+
+    def place(f: Column) -> Column:
+        first = F.coalesce(F.get("source", f["char_start"]), f["char_start"])
+        last = F.coalesce(F.get("source", f["char_end"] - 1) + 1, f["char_end"])
+        begin = F.when(moved, F.octet_length(F.left("origin", first))).otherwise(f["start"])
+        end = F.when(moved, F.octet_length(F.left("origin", last))).otherwise(f["end"])
+        return F.struct(
+            *[f[c] for c in FINDING],
+            F.when(plain, begin).otherwise(F.col("at.start")),
+            F.when(plain, end).otherwise(F.col("at.end")),
+            F.when(plain, first).otherwise(F.col("at.char_start")),
+            F.when(plain, last).otherwise(F.col("at.char_end")),
+            value_hash(key, f["value"]),
+            F.when(plain, "").when(encoded, "encoded").otherwise(kind),
+            F.when(encoded, own_chain).otherwise(""),
+            ~plain,
+        )
+
+    return rows.select(
+        *keys,
+        "kind",
+        own_chain.alias("chain"),
+        "at",
+        F.octet_length("view_text").cast("long").alias("n_bytes"),
+        F.when(encoded, F.col("view_text")).alias("text"),
+        F.transform("_found", place).cast(FOUND).alias("found"),
+    )
+
+
+def _charged(level: DataFrame, spent: DataFrame | None, cfg: EvasionConfig, last: bool, request: str) -> tuple[DataFrame, DataFrame]:
+    """The views of one level that stay in their request's budget, and requests with the work spent.
+
+    A part costs its canonical size, a decoded text its size, and again if it is decoded further. Totals per
+    request are a small aggregate; only requests over the budget are put in order and cut at the first item that
+    does not fit. `level` is a written table.
+    """
+    encoded = F.col("kind").isin(*ENCODINGS)
+    cost = F.when(encoded, F.col("n_bytes") * (1 if last else 2)).when(F.col("kind") == "canonical", F.col("n_bytes")).otherwise(0)
+    priced = level.withColumn("cost", cost.cast("long"))
+    totals = priced.groupBy(request).agg(F.sum("cost").alias("cost"))
+    if spent is not None:
+        before = spent.select(request, F.col("work").alias("before"))
+        totals = totals.join(before, request, "full")
+    else:
+        totals = totals.withColumn("before", F.lit(0).cast("long"))
+    work = F.coalesce("before", F.lit(0)) + F.coalesce("cost", F.lit(0))
+    totals = cut_lineage(totals.select(request, F.coalesce("before", F.lit(0)).alias("before"), work.alias("work")))
+    over = totals.where(F.col("work") > cfg.max_work_bytes).select(request, "before")
+    fits = priced.join(over.select(request), request, "left_anti")
+    # Canonical text comes first in its part; JSON views cost nothing and stay.
+    rank = F.when(F.col("kind") == "canonical", 0).otherwise(1)
+    rows = priced.join(over, request).withColumn("_rank", rank)
+    order = ["message_index", "part_index", "_rank", "at.char_start", "chain"]
+    cut = blocked_running_sum(rows, [request], F.floor(F.col("message_index") / 256), order, F.col("cost"), "_upto")
+    kept = cut.where((F.col("cost") == 0) | (F.col("_rank") == 0) | (F.col("before") + F.col("_upto") <= cfg.max_work_bytes))
+    return fits.unionByName(kept.select(*fits.columns)).drop("cost"), totals.select(request, "work")
+
+
+def worklist(
+    canon: DataFrame, cfg: EvasionConfig, keys: Iterable[str] = PART_KEYS, detectors: Iterable[Detector] = PRODUCTION, key: str = TELEMETRY_KEY
+) -> tuple[DataFrame, DataFrame]:
+    """Views of canonical parts with their findings, level by level, and requests with the decode work asked for.
+
+    The corpus is read once: the first level is written with sizes, findings and decoded texts. What stays in
+    the budget is decoded again until `decode_depth`. A nested finding has the place of the outermost encoded text.
+    """
+    keys, detectors = list(keys), tuple(detectors)
+    request = keys[0]
+    shown = views(canon, cfg, keys, with_canonical=True)
+    level = cut_lineage(scanned_views(shown, detectors, keys, key, F.lit("")))
+    kept, spent = _charged(level, None, cfg, cfg.decode_depth <= 1, request)
+    every = kept
+    again = replace(cfg, transforms=tuple(t for t in cfg.transforms if t in ENCODINGS))
+    for depth in range(2, cfg.decode_depth + 1):
+        inner = kept.where(F.col("kind").isin(*ENCODINGS)).select(*keys, F.col("chain").alias("_chain"), F.col("at").alias("_at"), "text")
+        canonical_inner = canonical_parts(inner)
+        shown = views(canonical_inner, again, [*keys, "_chain", "_at"]).withColumn("at", F.col("_at"))
+        level = cut_lineage(scanned_views(shown, detectors, [*keys, "_chain"], key, F.col("_chain")).drop("_chain"))
+        kept, spent = _charged(level, spent, cfg, depth == cfg.decode_depth, request)
+        every = every.unionByName(kept)
+    return every, spent
+
+
+def over_budget(spent: DataFrame, cfg: EvasionConfig, keys: Iterable[str] = PART_KEYS) -> DataFrame:
+    """One EVASION_BUDGET_EXCEEDED finding per request whose decode work went over; it has no place."""
+    keys = list(keys)
+    rest = [F.lit(0).cast("int").alias(k) for k in keys[1:]]
+    zero = [F.lit(0).alias(c) for c in ("start", "end", "char_start", "char_end")]
+    return spent.where(F.col("work") > cfg.max_work_bytes).select(
+        keys[0],
+        *rest,
+        F.lit("POLICY").alias("category"),
+        F.lit("EVASION_BUDGET_EXCEEDED").alias("subtype"),
+        F.lit("evasion").alias("detector"),
+        F.lit(1.0).alias("confidence"),
+        *zero,
+        F.lit("").alias("value_hash"),
+        F.lit("budget_exceeded").alias("evasion_type"),
+        F.lit("").alias("encoding_chain"),
+        F.lit(False).alias("unsafe_span"),
+    )
+
+
 def evasion_findings(
     parts: DataFrame,
     cfg: EvasionConfig = EvasionConfig(),
     allow: Iterable[str] = (),
     keys: Iterable[str] = PART_KEYS,
+    cross_part: bool = False,
 ) -> DataFrame:
-    """Controls, canonical, encoded and structured findings of every part, deduplicated.
+    """Controls, canonical, encoded, structured and budget findings of every part, deduplicated.
 
-    The detectors run once over all views; one shuffle of findings by part and subtype
-    serves both the suppression and the deduplication.
+    The detectors run once over all views; one shuffle of findings by part and subtype serves both the
+    suppression and the deduplication. With `cross_part`, values split over parts of a request are found too; they
+    have the place they begin in, to the end of that part.
     """
     keys = list(keys)
     canon = canonical_parts(parts)
-    rows = view_findings(views(canon, cfg, keys, with_canonical=True), keys=keys)
+    every, spent = worklist(canon, cfg, keys)
+    rows = explode_rows(every, keys, "found", "f").select(*keys, "f.*")
+    plain = rows.where("evasion_type = ''")
     rows = control_findings(parts, keys).unionByName(rows)
-    return dedupe(drop_shown(rows, keys), allow, keys)
+    out = dedupe(drop_shown(rows, keys), allow, keys)
+    if "budget_exceeded" not in set(allow):
+        out = out.unionByName(over_budget(spent, cfg, keys))
+    if cross_part and "cross_part" not in set(allow):
+        found = cross_part_findings(canon, plain, cfg, request=keys[0])
+        sizes = parts.select(*keys, "text")
+        placed = found.join(sizes, keys)
+        out = out.unionByName(
+            placed.select(
+                *keys,
+                *FINDING,
+                F.octet_length(F.left("text", "char_start")).alias("start"),
+                F.octet_length("text").alias("end"),
+                "char_start",
+                F.length("text").alias("char_end"),
+                "value_hash",
+                "evasion_type",
+                F.lit("").alias("encoding_chain"),
+                "unsafe_span",
+            )
+        )
+    return out
