@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.unicode import CONTROL_CLASS, LETTERS, LOOKALIKES
+from ..operators import audit as A
+from ..operators import detectors as D
 from ..operators import evasion as E
+from ..operators import monitor as M
 from ..operators import policy as P
-from ..sources.planted import HIDDEN_SQL, hidden_parts
-from ..sources.tables import conversation_parts, table
+from ..session import cut_lineage
+from ..sources.planted import HIDDEN_SQL, PLAIN_WORDS, hidden_parts
+from ..sources.tables import conversation_parts, document_identity, provider_of, spread, table
+from ..streaming import quarantine as Q
 from . import sqlkit as K
-from .decide import SEV_SQL
+from .decide import DECIDE_SQL, FOUND, PROVIDER_SQL, SEV_SQL, signals
 from .detect import ENTROPY_OK, RE_ENTROPY, production_sql
 from .registry import query
 from .rules import ACTIVE
@@ -71,15 +78,20 @@ DECODERS = {
 }
 
 
+def decoded_sql(name: str, kind: str, src: str) -> str:
+    """CTE text ending in `name` (request_id, cs, bs, v, d): decoded candidates of a source of texts that are worth scanning."""
+    pattern, worth, decoded = DECODERS[kind]
+    return f"""{K.scan_ctes(f'{name}_cand', pattern, src)},
+{name}_dec AS (SELECT request_id, cs, bs, v, {decoded} AS d FROM {name}_cand WHERE {worth}),
+{name} AS MATERIALIZED (SELECT * FROM {name}_dec WHERE d IS NOT NULL AND strlen(d) >= 6
+  AND length(regexp_replace(d, '{NOT_SHOWN}', '', 'g')) * 100 >= length(d) * 82
+  AND (contains(d, 'sk-') OR contains(d, 'eyJ') OR {K.entropy('d')} >= 2.0))"""
+
+
 def encoded_sql(kind: str) -> str:
     """CTE text ending in `encoded`: distinct findings inside decoded candidates."""
-    pattern, worth, decoded = DECODERS[kind]
-    views = f"""SELECT request_id || ':' || bs || ':' || (bs + strlen(v)) AS request_id, d AS text FROM (
-      SELECT request_id, bs, v, {decoded} AS d FROM cand WHERE {worth})
-    WHERE d IS NOT NULL AND strlen(d) >= 6
-      AND length(regexp_replace(d, '{NOT_SHOWN}', '', 'g')) * 100 >= length(d) * 82
-      AND (contains(d, 'sk-') OR contains(d, 'eyJ') OR {K.entropy('d')} >= 2.0)"""
-    return f"""{K.scan_ctes('cand', pattern, CANON_SRC)}, {production_sql(views)},
+    views = "SELECT request_id || ':' || bs || ':' || (bs + strlen(v)) AS request_id, d AS text FROM views"
+    return f"""{decoded_sql('views', kind, CANON_SRC)}, {production_sql(views)},
 encoded AS (SELECT DISTINCT CAST(split_part(request_id, ':', 1) AS BIGINT) AS request_id, category, subtype,
   CAST(split_part(request_id, ':', 2) AS INTEGER) AS "start", CAST(split_part(request_id, ':', 3) AS INTEGER) AS "end"
   FROM findings)"""
@@ -243,3 +255,168 @@ def work_budget(spark, folder):
     )
     over = E.budget_findings(budgeted).select("request_id", "subtype", "evasion_type")
     return over.join(used, "request_id")
+
+
+# ---- chains of encodings under a budget -----------------------------------------------------------------
+
+NESTED = E.EvasionConfig(decode_depth=2, max_work_bytes=12_000)
+STRICT = replace(ACTIVE, evasion=ACTIVE.evasion | {"budget_exceeded": "REVIEW"})
+FORMS = 6
+
+
+def _percent(text):
+    return F.regexp_replace(F.hex(F.encode(text, "utf-8")), "(..)", r"%$1")
+
+
+def nested_parts(spark, folder):
+    """Documents ending in a token under up to two encodings."""
+    h = F.sha2(F.col("doc_id").cast("string"), 256)
+    token = F.concat(F.lit("glpat-"), F.substring(h, 1, 24))
+    slot = F.col("doc_id") % FORMS
+    hidden = (
+        F.when(slot == 0, F.base64(F.encode(_percent(token), "utf-8")))
+        .when(slot == 1, _percent(F.base64(F.encode(token, "utf-8"))))
+        .when(slot == 2, F.base64(F.encode(F.base64(F.encode(token, "utf-8")), "utf-8")))
+        .when(slot == 3, _percent(token))
+        .when(slot == 4, F.base64(F.encode(F.lit(PLAIN_WORDS), "utf-8")))
+        .otherwise("")
+    )
+    rows = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("request_id"),
+        F.lit(0).alias("message_index"),
+        F.lit(0).alias("part_index"),
+        F.concat("text", F.lit(" "), hidden).alias("text"),
+    )
+    return spread(rows, "request_id")
+
+
+NESTED_SQL = f"""SELECT request_id, text || ' ' || CASE request_id % {FORMS}
+    WHEN 0 THEN to_base64(encode(regexp_replace(hex(t), '(..)', '%\\1', 'g')))
+    WHEN 1 THEN regexp_replace(hex(to_base64(encode(t))), '(..)', '%\\1', 'g')
+    WHEN 2 THEN to_base64(encode(to_base64(encode(t)))) WHEN 3 THEN regexp_replace(hex(t), '(..)', '%\\1', 'g')
+    WHEN 4 THEN to_base64(encode('{PLAIN_WORDS}')) ELSE '' END AS text
+  FROM (SELECT doc_id AS request_id, text, 'glpat-' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 24) AS t FROM documents)"""
+KINDS = ("base64", "percent", "json_unicode")
+
+
+def _level_sql() -> str:
+    """CTE text: `kept1` and `kept2` (request_id, bs, be, chain, d) within the budget, `over` requests beyond it."""
+    top = NESTED.max_work_bytes
+    first = ",\n".join(decoded_sql(f"l1_{k}", k, "SELECT * FROM nested") for k in KINDS)
+    second = ",\n".join(decoded_sql(f"l2_{k}", k, "SELECT id AS request_id, d AS text FROM kept1") for k in KINDS)
+    rows1 = " UNION ALL ".join(f"SELECT request_id, cs, bs, bs + strlen(v) AS be, '{k}' AS chain, d FROM l1_{k}" for k in KINDS)
+    rows2 = " UNION ALL ".join(f"SELECT request_id AS id, d, '{k}' AS kind FROM l2_{k}" for k in KINDS)
+    return f"""nested AS MATERIALIZED ({NESTED_SQL}), {first},
+level1 AS (SELECT *, 2 * strlen(d) AS cost FROM ({rows1})),
+spent1 AS (SELECT n.request_id, strlen(any_value(text)) AS base, strlen(any_value(text)) + coalesce(sum(cost), 0) AS work
+  FROM nested n LEFT JOIN level1 USING (request_id) GROUP BY 1),
+kept1 AS MATERIALIZED (SELECT request_id || ':' || bs || ':' || be || ':' || chain AS id, request_id, cs, bs, be, chain, d FROM (
+  SELECT l.*, base + sum(cost) OVER (PARTITION BY request_id ORDER BY cs, chain) AS upto FROM level1 l JOIN spent1 USING (request_id)) WHERE upto <= {top}),
+{second},
+level2 AS (SELECT k.request_id, cs, bs, be, k.chain || '>' || kind AS chain, x.d, strlen(x.d) AS cost FROM ({rows2}) x JOIN kept1 k USING (id)),
+spent2 AS (SELECT s.request_id, any_value(work) AS before, any_value(work) + coalesce(sum(cost), 0) AS work FROM spent1 s LEFT JOIN level2 USING (request_id) GROUP BY 1),
+kept2 AS (SELECT request_id, bs, be, chain, d FROM (
+  SELECT l.*, before + sum(cost) OVER (PARTITION BY request_id ORDER BY cs, l.chain) AS upto FROM level2 l JOIN spent2 USING (request_id)) WHERE upto <= {top}),
+over AS (SELECT request_id FROM spent2 WHERE work > {top})"""
+
+
+def nested_sql() -> str:
+    """CTE text ending in `hidden` (request_id, category, subtype, confidence, start, chain), `over` and `findings` of the plain texts."""
+    views = """SELECT request_id || ':' || bs || ':' || be || ':' || chain AS request_id, d AS text FROM (
+      SELECT request_id, bs, be, chain, d FROM kept1 UNION ALL SELECT * FROM kept2)"""
+    inner = f"""WITH {production_sql(views)} SELECT DISTINCT CAST(split_part(request_id, ':', 1) AS BIGINT) AS request_id, category, subtype, confidence,
+      CAST(split_part(request_id, ':', 2) AS INTEGER) AS "start", CAST(split_part(request_id, ':', 3) AS INTEGER) AS "end", split_part(request_id, ':', 4) AS chain FROM findings"""
+    return f"""{_level_sql()}, hidden AS MATERIALIZED ({inner})"""
+
+
+def nested_findings(spark, folder):
+    return E.evasion_findings(nested_parts(spark, folder), NESTED)
+
+
+@query(
+    "evasion_chains",
+    f"""WITH {nested_sql()} SELECT request_id, category, subtype, "start", "end", 'encoded' AS evasion_type, chain AS encoding_chain FROM hidden
+UNION ALL SELECT request_id, 'POLICY', 'EVASION_BUDGET_EXCEEDED', 0, 0, 'budget_exceeded', '' FROM over""",
+)
+def evasion_chains(spark, folder):
+    """Tokens under one and two encodings; requests whose decode work goes over the budget say so."""
+    rows = nested_findings(spark, folder).filter("evasion_type <> ''")
+    return rows.select("request_id", "category", "subtype", "start", "end", "evasion_type", "encoding_chain")
+
+
+NESTED_FOUND = f"""{nested_sql()}, {production_sql('SELECT * FROM nested')},
+found AS (SELECT *, {PROVIDER_SQL} AS provider FROM (
+  SELECT request_id, category, subtype, confidence, "start", '' AS evasion_type, '' AS chain FROM findings
+  UNION ALL SELECT request_id, category, subtype, confidence, "start", 'encoded', chain FROM hidden
+  UNION ALL SELECT request_id, 'POLICY', 'EVASION_BUDGET_EXCEEDED', 1.0, 0, 'budget_exceeded', '' FROM over))"""
+ROLED_SQL = f"""{DECIDE_SQL.replace(FOUND, NESTED_FOUND)},
+evasive AS (SELECT request_id, {{'a': action, 'r': rule, 's': 'canonicalization', 'c': 'EVASION_REJECTED'}} AS e FROM (
+    SELECT request_id, CASE evasion_type WHEN 'budget_exceeded' THEN 'REVIEW' ELSE CASE category WHEN 'PII' THEN 'REDACT' ELSE 'BLOCK' END END AS action,
+      'evasion.' || evasion_type AS rule FROM found WHERE evasion_type <> '')
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY {SEV_SQL} DESC, rule) = 1),
+roled AS (SELECT c.request_id, CASE WHEN d.s = 'explicit_deny' THEN d WHEN e IS NOT NULL THEN e
+    WHEN d.s IN ('secret', 'tenant', 'application') THEN d
+    WHEN c.request_id % 4 = 0 THEN {{'a': 'RESTRICT_TOOLS', 'r': 'roles.guest', 's': 'role', 'c': 'ROLE_RESTRICTED'}}
+    WHEN c.request_id % 4 = 1 THEN {{'a': 'REVIEW', 'r': 'roles.intern', 's': 'role', 'c': 'ROLE_RESTRICTED'}} ELSE d END AS d
+  FROM chain c LEFT JOIN evasive v ON v.request_id = c.request_id)"""
+
+
+def roled_decisions(spark, folder):
+    """Findings of the evasion scan, and decisions over them for callers with roles."""
+    found = cut_lineage(nested_findings(spark, folder)).withColumn("provider", provider_of(F.col("request_id")))
+    roles = F.when(F.col("request_id") % 4 == 0, F.array(F.lit("guest"))).when(F.col("request_id") % 4 == 1, F.array(F.lit("intern")))
+    who = document_identity(spark, folder).withColumn("roles", F.coalesce(roles, F.array().cast("array<string>")))
+    return found.withColumn("detector_order", F.lit(0)), cut_lineage(P.decide(who, found, STRICT, signals(spark, folder)))
+
+
+@query(
+    "decide_evasion",
+    f"WITH {ROLED_SQL} SELECT request_id, d.a AS action, d.r AS matched_rule, d.s AS precedence_stage, d.c AS code FROM roled",
+)
+def decide_evasion(spark, folder):
+    """All nine stages: roles, and findings in canonical, decoded and doubly decoded text."""
+    _, made = roled_decisions(spark, folder)
+    return made.select("request_id", "action", "matched_rule", "precedence_stage", "code")
+
+
+@query(
+    "audit_evasion",
+    f"""WITH {ROLED_SQL}, per AS (SELECT request_id, count(*) AS finding_count, coalesce(string_agg(DISTINCT evasion_type, ',' ORDER BY evasion_type) FILTER (evasion_type <> ''), '') AS kinds,
+    max(CASE WHEN chain <> '' THEN 1 + length(chain) - length(replace(chain, '>', '')) ELSE 0 END) AS depth, bool_or(evasion_type = 'budget_exceeded') AS rejected FROM found GROUP BY 1)
+SELECT r.request_id, d.a AS action, coalesce(finding_count, 0) AS finding_count, coalesce(kinds, '') AS evasion_types, coalesce(depth, 0) AS encoding_depth,
+  coalesce(rejected, false) AS budget_rejected FROM roled r LEFT JOIN per p ON p.request_id = r.request_id""",
+)
+def audit_evasion(spark, folder):
+    """Audit events with their evasion fields."""
+    found, made = roled_decisions(spark, folder)
+    events = A.audit_events(made, found, document_identity(spark, folder), "enforce")
+    return events.select(
+        "request_id", "action", "finding_count", F.array_join("evasion_types", ",").alias("evasion_types"), "encoding_depth", "budget_rejected"
+    )
+
+
+@query(
+    "counters_evasion",
+    f"""WITH {ROLED_SQL}
+SELECT 'requests' AS counter, d.a AS label_a, 'enforce' AS label_b, '' AS label_c, count(*) AS value FROM roled GROUP BY 2
+UNION ALL SELECT 'findings', category, subtype, '', count(DISTINCT request_id) FROM found GROUP BY 2, 3
+UNION ALL SELECT 'evasion', evasion_type, CAST(CASE WHEN chain <> '' THEN 1 + length(chain) - length(replace(chain, '>', '')) ELSE 0 END AS VARCHAR), d.a, count(*)
+  FROM found JOIN roled USING (request_id) WHERE evasion_type <> '' GROUP BY 2, 3, 4""",
+)
+def counters_evasion(spark, folder):
+    found, made = roled_decisions(spark, folder)
+    return M.counters(made, found, "enforce")
+
+
+@query(
+    "incident_evasion",
+    f"""WITH {ROLED_SQL} SELECT f.request_id, CASE WHEN category = 'SECRET' OR (category = 'PII' AND d.a IN ('BLOCK', 'REVIEW')) THEN 'secret_exfiltration'
+    WHEN evasion_type <> '' THEN 'detector_evasion' END AS reason, count(*) AS signals FROM found f JOIN roled r ON r.request_id = f.request_id
+WHERE f.request_id % 3 <> 0 GROUP BY 1, 2 HAVING reason IS NOT NULL""",
+)
+def incident_evasion(spark, folder):
+    """Signals of verified requests; a finding of the evasion stage that is no secret counts as evasion."""
+    found, made = roled_decisions(spark, folder)
+    verified = made.withColumn("verified", F.col("request_id") % 3 != 0)
+    out = Q.incident_signals(verified, D.number_findings(found))
+    return out.groupBy("request_id", "reason").agg(F.count("*").alias("signals"))
