@@ -6,13 +6,17 @@ are blocked by score, so a slice that holds most rows stays spread.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import heapq
+from collections import deque
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import blocked_running_sum
+from ..functions.ranking import blocked_running_sum, null_safe_join
 from ..functions.rules import rule_frame
+from ..session import cut_lineage
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -183,41 +187,106 @@ def baseline_regressions(old: DataFrame, new: DataFrame, tolerance: float, key:
     return both.select(key, F.explode(F.filter(found, lambda v: v.isNotNull())).alias("v")).select(key, "v.*")
 
 
-GREEDY = """
-size(aggregate(gold, CAST(array() AS array<int>), (used, g) -> concat(used, slice(filter(
-  sequence(0, size(predicted) - 1),
-  i -> NOT array_contains(used, i) AND predicted[i].start < g.`end` AND g.start < predicted[i].`end`), 1, 1))))"""
+#: Positions per bin when examples are cut into independent stretches.
+BIN = 4096
+GOLD, PREDICTED = 0, 1
 
 
-def span_eval(gold: DataFrame, predicted: DataFrame, example: str = "request_id") -> DataFrame:
+def _stretches(spans: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Spans with `stretch`: spans of different stretches never meet.
+
+    A bin begins a stretch if no span of an earlier bin reaches into it. Bins, not spans, are put in order.
+    """
+    binned = spans.withColumn("bin", F.floor(F.col("start") / width))
+    bins = binned.groupBy(*keys, "bin").agg(F.max("end").alias("reach"))
+    before = Window.partitionBy(*keys).orderBy("bin")
+    reach = F.max("reach").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (reach <= F.col("bin") * width), 1).otherwise(0)
+    cut = bins.select(*keys, "bin", new.alias("new"))
+    cut = cut.select(*keys, "bin", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
+    return null_safe_join(binned, cut, [*keys, "bin"]).drop("bin")
+
+
+class _Sweep:
+    """Greedy overlap matching of one stretch: gold spans in order take the first free predicted span they meet.
+
+    Free predicted spans wait in a heap by (start, end). One that ends before a gold span begins meets no later gold
+    span either and goes. A gold span is decided once all spans that start before its end are seen, so
+    only what overlaps the place of the sweep is held.
+    """
+
+    def __init__(self):
+        self.waiting: deque = deque()
+        self.free: list[tuple[int, int]] = []
+        self.matched = 0
+
+    def add(self, side: int, start: int, end: int) -> None:
+        while self.waiting and self.waiting[0][1] <= start:
+            self._decide()
+        if side == GOLD:
+            self.waiting.append((start, end))
+        else:
+            heapq.heappush(self.free, (start, end))
+
+    def _decide(self) -> None:
+        start, end = self.waiting.popleft()
+        while self.free and self.free[0][1] <= start:
+            heapq.heappop(self.free)
+        if self.free and self.free[0][0] < end:
+            heapq.heappop(self.free)
+            self.matched += 1
+
+    def close(self) -> int:
+        while self.waiting:
+            self._decide()
+        return self.matched
+
+
+def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Matches per (language, entity) of this task; rows come sorted by stretch and start."""
+    found: dict = {}
+    place = sweep = None
+    for pdf in batches:
+        columns = ("example", "language", "entity", "stretch", "side", "start", "end")
+        for example, language, entity, stretch, side, start, end in zip(*[pdf[c].tolist() for c in columns], strict=True):
+            if (example, language, entity, stretch) != place:
+                if sweep is not None:
+                    found[place[1:3]] = found.get(place[1:3], 0) + sweep.close()
+                place, sweep = (example, language, entity, stretch), _Sweep()
+            sweep.add(side, start, end)
+    if sweep is not None:
+        found[place[1:3]] = found.get(place[1:3], 0) + sweep.close()
+    yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["language", "entity", "overlap_tp"])
+
+
+def span_eval(gold: DataFrame, predicted: DataFrame, example: str = "request_id", width: int = BIN) -> DataFrame:
     """Exact and overlap matches per (language, entity); each predicted span is used once.
 
-    Spans meet per (example, entity), which one text bounds. Overlap matching walks the gold
-    spans in order and takes the first free predicted span.
+    Equal spans pair off by counts. For overlaps, gold spans in order of (start, end) take the first free
+    predicted span they meet: spans are dealt by stretches that do not touch, sorted, and swept once.
     """
-    span = F.struct("start", "end")
-    g = gold.groupBy(example, "language", "entity").agg(F.array_sort(F.collect_list(span)).alias("gold"))
-    p = predicted.groupBy(example, "language", "entity").agg(
-        F.array_sort(F.collect_list(span)).alias("predicted")
+    keys = ["example", "language", "entity"]
+
+    def side(rows: DataFrame, number: int) -> DataFrame:
+        return rows.select(F.col(example).alias("example"), "language", "entity", "start", "end", F.lit(number).alias("side"))
+
+    spans = side(gold, GOLD).unionByName(side(predicted, PREDICTED))
+    is_gold = F.col("side") == GOLD
+    equal = spans.groupBy(*keys, "start", "end").agg(F.count_if(is_gold).alias("gold"), F.count_if(~is_gold).alias("predicted"))
+    sums = equal.groupBy("language", "entity").agg(
+        F.sum("gold").alias("gold"),
+        F.sum("predicted").alias("predicted"),
+        F.sum(F.least("gold", "predicted")).alias("exact_tp"),
     )
-    both = g.join(p, [example, "language", "entity"], "full")
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    both = both.select(
-        "language", "entity", F.coalesce("gold", empty).alias("gold"), F.coalesce("predicted", empty).alias("predicted")
-    )
-    # Equal spans pair off one to one: the multiset intersection.
-    exact = F.size("gold") - F.expr(
-        "size(aggregate(predicted, gold, (left, p) -> CASE WHEN array_position(left, p) > 0 THEN "
-        "concat(slice(left, 1, CAST(array_position(left, p) AS int) - 1), "
-        "slice(left, CAST(array_position(left, p) AS int) + 1, size(left))) ELSE left END))"
-    )
-    overlap = F.when((F.size("gold") > 0) & (F.size("predicted") > 0), F.expr(GREEDY)).otherwise(0)
-    sums = both.groupBy("language", "entity").agg(
-        F.sum(F.size("gold")).alias("gold"),
-        F.sum(F.size("predicted")).alias("predicted"),
-        F.sum(exact).alias("exact_tp"),
-        F.sum(overlap).alias("overlap_tp"),
+    # A span without length meets nothing and must not hold a place.
+    real = _stretches(spans.where("start < `end`"), keys, width)
+    dealt = real.repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", "start", "end", "side")
+    kinds = dict(spans.dtypes)
+    met = dealt.select(*keys, "stretch", "side", "start", "end").mapInPandas(
+        _overlaps, f"language {kinds['language']}, entity {kinds['entity']}, overlap_tp long"
     )
+    met = met.groupBy("language", "entity").agg(F.sum("overlap_tp").alias("overlap_tp"))
+    sums = sums.join(met, ["language", "entity"], "left").withColumn("overlap_tp", F.coalesce("overlap_tp", F.lit(0)).cast("long"))
     return sums.select(
         "language",
         "entity",
@@ -245,20 +314,88 @@ def confidence_candidates(findings: DataFrame) -> DataFrame:
     return findings.select(rounded_confidence(F.col("confidence")).alias("confidence")).distinct()
 
 
-def dataset_digest(rows: DataFrame, *columns: str) -> DataFrame:
-    """Order-independent provenance digest.
+# ---- provenance ------------------------------------------------------------------------------------------
+
+#: Digests per leaf range that `tree_depth` aims at.
+RANGE = 64
+CHILD = "array<struct<name:string,digest:string,rows:bigint>>"
+
 
-    Row digests are added as eight 32-bit words, so the sums combine map-side in any order
-    and a table of any size folds to one row without a sort.
+def tree_depth(rows: int) -> int:
+    """Hex digits of a leaf range, so that one holds about RANGE digests."""
+    depth = 0
+    while rows > RANGE * 16**depth:
+        depth += 1
+    return depth
+
+
+def row_digest(columns: Iterable[str]) -> Column:
+    """Digest of a row's values; NULL differs from an empty text."""
+    values = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.sha2(F.concat_ws("\0", *values), 256)
+
+
+def node_digest(children: Column) -> Column:
+    """Digest of a node from its children in order of their names."""
+    spelled = F.transform(children, lambda c: F.concat_ws(":", c["name"], c["digest"], c["rows"]))
+    return F.sha2(F.array_join(spelled, ","), 256)
+
+
+def digest_tree(rows: DataFrame, columns: Iterable[str], depth: int) -> DataFrame:
+    """Nodes (`level`, `name`, `digest`, `rows`, `children`) of a hash tree over the rows, whatever their order.
+
+    Leaves are the distinct row digests with their counts. They are spread evenly, so the first `depth` hex
+    digits cut them into ranges of like size; a node of level k stands for a prefix of k digits and covers at most 16 nodes. No
+    task holds more than one range, equal rows meet as a count.
     """
-    digest = F.sha2(F.concat_ws("\0", *[F.col(c).cast("string") for c in columns]), 256)
-    words = [
-        F.sum(F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"w{i}")
-        for i in range(8)
-    ]
-    sums = rows.select(digest.alias("_d")).agg(F.count(F.lit(1)).alias("rows"), *words)
-    parts = [F.col("rows").cast("string")] + [F.col(f"w{i}").cast("string") for i in range(8)]
-    return sums.select("rows", F.sha2(F.concat_ws(",", *parts), 256).alias("digest"))
+    leaves = rows.select(row_digest(columns).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("rows"))
+    below = leaves.select(F.col("digest").alias("name"), "digest", "rows")
+    out = None
+    for level in range(depth, -1, -1):
+        child = F.struct("name", "digest", "rows")
+        grouped = below.groupBy(F.left("name", F.lit(level)).alias("prefix")).agg(
+            F.array_sort(F.collect_list(child)).cast(CHILD).alias("children"), F.sum("rows").alias("rows")
+        )
+        nodes = cut_lineage(
+            grouped.select(F.lit(level).alias("level"), F.col("prefix").alias("name"), node_digest(F.col("children")).alias("digest"), "rows", "children")
+        )
+        out = nodes if out is None else out.unionByName(nodes)
+        below = nodes.select("name", "digest", "rows")
+    return out
+
+
+def dataset_digest(rows: DataFrame, *columns: str, depth: int | None = None) -> DataFrame:
+    """Provenance digest of a dataset: the rows and the root of their hash tree."""
+    depth = tree_depth(rows.count()) if depth is None else depth
+    root = digest_tree(rows, columns, depth).where("level = 0").select("rows", "digest")
+    # A dataset without rows has the digest of no children.
+    empty = F.sha2(F.lit(""), 256)
+    return root.groupBy().agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows"), F.coalesce(F.max("digest"), empty).alias("digest"))
+
+
+def inclusion_proofs(rows: DataFrame, tree: DataFrame, columns: Iterable[str], keep: Iterable[str]) -> DataFrame:
+    """`keep` columns with `proof`: the children lists from the row's range up to the root; NULL if the tree lacks the range."""
+    keep = list(keep)
+    levels = [r[0] for r in tree.select("level").distinct().orderBy("level").collect()]
+    out = rows.select(*keep, row_digest(columns).alias("_digest"))
+    for level in levels:
+        nodes = tree.where(F.col("level") == level).select(F.col("name").alias("_name"), F.col("children").alias(f"_c{level}"))
+        out = out.join(nodes, F.left("_digest", F.lit(level)) == F.col("_name"), "left").drop("_name")
+    steps = F.array(*[F.col(f"_c{level}") for level in reversed(levels)])
+    whole = F.when(F.forall(steps, lambda s: s.isNotNull()), steps)
+    return out.select(*keep, F.col("_digest").alias("row_digest"), whole.alias("proof"))
+
+
+def proof_holds(digest: Column, proof: Column, root: Column) -> Column:
+    """Whether a row of this digest is under the root: each step holds the digest of the one before it."""
+    start = F.struct(digest.alias("digest"), F.lit(True).alias("good"))
+
+    def step(acc: Column, children: Column) -> Column:
+        known = F.exists(children, lambda c: c["digest"] == acc["digest"])
+        return F.struct(node_digest(children).alias("digest"), (acc["good"] & known).alias("good"))
+
+    end = F.aggregate(proof, start, step)
+    return F.coalesce(end["good"] & (end["digest"] == root), F.lit(False))
 
 
 def status_counts(rows: DataFrame, keys: Iterable[str], status: Column) -> DataFrame:
@@ -293,3 +430,21 @@ def index_quantiles(
 
     picked = joined.groupBy(*keys).agg(*[pick(q) for q in quantiles])
     return totals.join(picked, keys).withColumnRenamed("total", "samples")
+
+
+def sketch_quantiles(rows: DataFrame, keys: Iterable[str], value: str, quantiles: Iterable[float], k: int = 400) -> DataFrame:
+    """Quantiles from one mergeable KLL sketch per key, in a single small shuffle.
+
+    The rank of an answer is off by at most `sketch_error(k)` of the samples with 99 % confidence, on any distribution;
+    `index_quantiles` is exact and costs a shuffle of the distinct values.
+    """
+    keys, quantiles = list(keys), list(quantiles)
+    sketch = F.call_function("kll_sketch_agg_double", F.col(value).cast("double"), F.lit(k)).alias("sketch")
+    rows = rows.groupBy(*keys).agg(F.count(value).alias("samples"), F.min(value).alias("min"), F.max(value).alias("max"), sketch)
+    picked = [F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), F.lit(float(q))).alias(f"p{round(q * 100)}") for q in quantiles]
+    return rows.select(*keys, "samples", "min", "max", *picked)
+
+
+def sketch_error(k: int = 400) -> float:
+    """Bound on the normalised rank error of a sketch, as published for KLL (single-sided, 99 %)."""
+    return 2.296 / k**0.9021

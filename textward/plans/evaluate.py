@@ -258,19 +258,63 @@ def confidence_candidates(spark, folder):
     return V.confidence_candidates(findings(spark, folder))
 
 
-WORDS_SQL = ", ".join(
-    f"CAST(sum(CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR) AS w{i}" for i in range(8)
+DIGEST_COLUMNS = ("doc_id", "lang", "text")
+
+
+def _spelled_sql(text: str = "text") -> str:
+    return " || chr(0) || ".join(f"coalesce('=' || {c}, '-')" for c in ("doc_id", "lang", text))
+
+
+TREE_SQL = f"""l AS (SELECT sha256({_spelled_sql()}) AS d, count(*) AS n FROM documents GROUP BY 1),
+t2 AS (SELECT left(d, 2) AS name, sha256(string_agg(d || ':' || d || ':' || n, ',' ORDER BY d)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY 1),
+t1 AS (SELECT left(name, 1) AS name, sha256(string_agg(name || ':' || digest || ':' || n, ',' ORDER BY name)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM t2 GROUP BY 1),
+t0 AS (SELECT sha256(string_agg(name || ':' || digest || ':' || n, ',' ORDER BY name)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM t1)"""
+
+
+@query("dataset_digest", f"WITH {TREE_SQL} SELECT rows, digest FROM t0")
+def dataset_digest(spark, folder):
+    return V.dataset_digest(table(spark, folder, "documents"), *DIGEST_COLUMNS, depth=2)
+
+
+@query(
+    "dataset_proofs",
+    f"""WITH {TREE_SQL}, w AS (SELECT doc_id, {_spelled_sql()} AS whole, {_spelled_sql("(text || ' x')")} AS changed FROM documents)
+SELECT doc_id, sha256(whole) AS row_digest, sha256(whole) IN (SELECT d FROM l) AS included, sha256(changed) IN (SELECT d FROM l) AS changed_included FROM w""",
 )
+def dataset_proofs(spark, folder):
+    """Every document proved to be in the dataset, and not so with a word more."""
+    docs = table(spark, folder, "documents").select(*DIGEST_COLUMNS)
+    tree = cut_lineage(V.digest_tree(docs, DIGEST_COLUMNS, 2))
+    root = tree.where("level = 0").select("digest").first().digest
+    changed = docs.withColumn("text", F.concat("text", F.lit(" x")))
+
+    def proved(rows, name):
+        shown = V.inclusion_proofs(rows, tree, DIGEST_COLUMNS, ["doc_id"])
+        held = V.proof_holds(F.col("row_digest"), F.col("proof"), F.lit(root))
+        return shown.select("doc_id", "row_digest", held.alias(name))
+
+    other = proved(changed, "changed_included").drop("row_digest")
+    return proved(docs, "included").join(other, "doc_id")
 
 
 @query(
-    "dataset_digest",
-    f"""WITH r AS (SELECT sha256(doc_id || chr(0) || lang || chr(0) || text) AS d FROM documents),
-s AS (SELECT count(*) AS rows, {WORDS_SQL} FROM r)
-SELECT rows, sha256(rows || ',' || {" || ',' || ".join(f'w{i}' for i in range(8))}) AS digest FROM s""",
+    "latency_sketch",
+    """SELECT event_type, count(value) AS samples, min(value) AS min, max(value) AS max, q, true AS within FROM events, (VALUES (50), (95), (99)) v(q) GROUP BY 1, 5""",
 )
-def dataset_digest(spark, folder):
-    return V.dataset_digest(table(spark, folder, "documents"), "doc_id", "lang", "text")
+def latency_sketch(spark, folder):
+    """Sketched quantiles, each held against the ranks of its value in all events."""
+    events = table(spark, folder, "events").select("event_type", "value")
+    made = cut_lineage(V.sketch_quantiles(events, ["event_type"], "value", [0.5, 0.95, 0.99]))
+    picks = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"p{q}").alias("picked")) for q in (50, 95, 99)]))
+    picked = made.select("event_type", "samples", "min", "max", picks.alias("p")).select("event_type", "samples", "min", "max", "p.*")
+    ranks = events.join(picked, "event_type").groupBy("event_type", "samples", "min", "max", "q").agg(
+        F.count_if(F.col("value") <= F.col("picked")).alias("upto"), F.count_if(F.col("value") < F.col("picked")).alias("below")
+    )
+    bound = F.col("samples") * V.sketch_error()
+    wanted = F.col("samples") * F.col("q") / 100
+    # The pick's own rank is any place of its equal values.
+    near = (F.col("below") <= wanted + bound + 1) & (F.col("upto") >= wanted - bound - 1)
+    return ranks.select("event_type", "samples", "min", "max", "q", near.alias("within"))
 
 
 @query(
