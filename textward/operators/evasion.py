@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import entropy
-from ..functions.deep_json import leaves_below
 from ..functions.hashing import value_hash
+from ..functions.json_walk import string_leaves
 from ..functions.ranking import blocked_running_sum
 from ..functions.scan import Detector, explode_rows, finding_array, matches, with_findings
 from ..functions.unicode import CONTROL_PATTERN, canonical
@@ -30,8 +30,6 @@ class EvasionConfig:
     transforms: tuple[str, ...] = ("base64", "percent", "json_unicode", "structured")
     decode_depth: int = 1
     max_work_bytes: int = 256 << 10
-    #: JSON levels walked by column expressions; deeper ones go through a helper.
-    json_levels: int = 8
     block_chars: int = 1 << 20
 
 
@@ -173,37 +171,15 @@ def json_leaves(text: str) -> Column:
     return F.when(F.col(text).rlike(r"^\s*[\[{\"]"), F.try_parse_json(F.col(text)))
 
 
-CHILDREN = """flatten(transform({nodes}, n -> CASE
-  WHEN startswith(schema_of_variant(n.value), 'OBJECT') THEN transform(
-    map_entries(try_variant_get(n.value, '$', 'map<string,variant>')),
-    e -> named_struct('key', e.key, 'value', e.value))
-  WHEN startswith(schema_of_variant(n.value), 'ARRAY') THEN transform(
-    try_variant_get(n.value, '$', 'array<variant>'), v -> named_struct('key', n.key, 'value', v))
-  ELSE CAST(array() AS array<struct<key:string,value:variant>>) END))"""
-STRINGS = """transform(filter({nodes}, n -> schema_of_variant(n.value) = 'STRING'),
-  n -> named_struct('key', n.key, 'value', try_variant_get(n.value, '$', 'string')))"""
-
-
 def with_json_strings(df: DataFrame, text: str, name: str, cfg: EvasionConfig) -> DataFrame:
-    """Array of (key, value) string leaves at any depth.
-
-    The first levels are chained projections over VARIANT arrays; only what is nested deeper
-    goes through a helper. No shuffle.
-    """
+    """Array of (key, value) string leaves at any depth; array items have the key of their array."""
     rows = df.withColumn("_root", json_leaves(text))
-    rows = rows.withColumn(
-        "_n0",
-        F.expr(
-            "CASE WHEN _root IS NULL THEN CAST(array() AS array<struct<key:string,value:variant>>) "
-            "ELSE array(named_struct('key', '', 'value', _root)) END"
-        ),
+    bare = F.when(
+        F.schema_of_variant("_root") == "STRING",
+        F.array(F.struct(F.lit("").alias("key"), F.try_variant_get("_root", "$", "string").alias("value"))),
     )
-    for level in range(cfg.json_levels):
-        rows = rows.withColumn(f"_n{level + 1}", F.expr(CHILDREN.format(nodes=f"_n{level}")))
-    levels = range(cfg.json_levels + 1)
-    rows = rows.withColumn("_deep", leaves_below(F.col(f"_n{cfg.json_levels}"), inherit=True))
-    deep = F.transform("_deep", lambda x: F.struct(x["key"].alias("key"), x["text"].alias("value")))
-    leaves = F.concat(*[F.expr(STRINGS.format(nodes=f"_n{level}")) for level in levels], deep)
+    inner = F.transform(string_leaves("_root", text, inherit=True), lambda x: F.struct(x["key"].alias("key"), x["text"].alias("value")))
+    leaves = F.coalesce(bare, inner)
     kept = F.filter(
         leaves,
         lambda x: ~F.lower(x["key"]).rlike("blob|binary|image")

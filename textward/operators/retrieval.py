@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evasion import CHILDREN
+from ..functions.json_walk import first_object
 
 # Names the retrieval object, its result lists and fields may carry.
 HOLDERS = ("retrieval", "rag", "retrieved_context", "retrieval_context")
@@ -54,6 +54,7 @@ RESULT_LISTS = {
 @dataclass(frozen=True)
 class RetrievalLimits:
     max_depth: int = 8
+    max_nodes: int = 512
     max_results: int = 256
     max_result_bytes: int = 1 << 20
     allowed_operations: tuple[str, ...] = ()
@@ -89,30 +90,23 @@ def _strings(names, *sources: Column) -> Column:
 def extract(bodies: DataFrame, limits: RetrievalLimits = RetrievalLimits(), keys=("request_id",)) -> DataFrame:
     """One row per retrieval result found in a JSON body, with request fields and digests.
 
-    The body is searched level by level over VARIANT arrays; the first object that holds a
-    retrieval block or a result list is taken.
+    The body is searched level by level; the first object that holds a retrieval block or a result list is
+    taken. A body that is no JSON, is nested below `max_depth`, has over `max_nodes` nodes, or names a
+    retrieval without results is refused: it gives one empty row marked `malformed`.
     """
     keys = list(keys)
     rows = bodies.withColumn("_root", F.try_parse_json("body"))
-    rows = rows.withColumn(
-        "_n0",
-        F.expr(
-            "CASE WHEN _root IS NULL THEN CAST(array() AS array<struct<key:string,value:variant>>) "
-            "ELSE array(named_struct('key', '', 'value', _root)) END"
-        ),
-    )
     conditions = [
-        f"coalesce(startswith(schema_of_variant(try_variant_get(n.value, '$.{h}', 'variant')), "
+        f"coalesce(startswith(schema_of_variant(try_variant_get(h.value, '$.{h}', 'variant')), "
         "'OBJECT'), false)"
         for h in HOLDERS
     ]
-    conditions += [f"try_variant_get(n.value, '$.{k}', 'variant') IS NOT NULL" for k in LISTS if k != "items"]
-    found = []
-    for level in range(limits.max_depth + 1):
-        found.append(F.expr(f"get(filter(_n{level}, n -> {' OR '.join(conditions)}), 0).value"))
-        if level < limits.max_depth:
-            rows = rows.withColumn(f"_n{level + 1}", F.expr(CHILDREN.format(nodes=f"_n{level}")))
-    rows = rows.withColumn("_hit", F.coalesce(*found))
+    conditions += [f"try_variant_get(h.value, '$.{k}', 'variant') IS NOT NULL" for k in LISTS if k != "items"]
+    found = first_object("_root", " OR ".join(conditions), limits.max_depth)
+    rows = rows.withColumn("_found", found).withColumn("_hit", F.col("_found.hit"))
+    refused = F.col("body").isNotNull() & (
+        F.col("_root").isNull() | F.col("_found.too_deep") | (F.col("_found.nodes") > limits.max_nodes)
+    )
     for holder in ("retrieval", "rag"):
         inner = F.try_variant_get("_hit", f"$.{holder}", "variant")
         rows = rows.withColumn(
@@ -125,11 +119,14 @@ def extract(bodies: DataFrame, limits: RetrievalLimits = RetrievalLimits(), keys
     rows = rows.withColumn("_r", F.try_variant_get("_hit", "$", _struct_of([*fields, *LISTS])))
     r = F.col("_r")
     request = {name: _first(names, r) for name, names in REQUEST_FIELDS.items()}
-    lists = [F.try_variant_get(r[k], "$", "array<variant>") for k in LISTS]
+    listed = F.coalesce(*[F.try_variant_get(r[k], "$", "array<variant>") for k in LISTS])
+    malformed = F.coalesce(refused | (F.col("_hit").isNotNull() & (F.coalesce(F.size(listed), F.lit(0)) <= 0)), F.lit(False))
+    nothing = F.array(F.parse_json(F.lit("{}")))
     rows = rows.select(
         *keys,
-        *[c.alias(f"r_{n}") for n, c in request.items()],
-        F.posexplode_outer(F.coalesce(*lists)).alias("position", "_v"),
+        *[F.when(malformed, "").otherwise(c).alias(f"r_{n}") for n, c in request.items()],
+        malformed.alias("malformed"),
+        F.posexplode_outer(F.when(malformed, nothing).otherwise(listed)).alias("position", "_v"),
     ).filter("_v IS NOT NULL")
     names = [n for v in (*RESULT_FIELDS.values(), *RESULT_LISTS.values()) for n in v]
     shape = _struct_of(names)
@@ -143,6 +140,7 @@ def extract(bodies: DataFrame, limits: RetrievalLimits = RetrievalLimits(), keys
     return rows.select(
         *keys,
         "position",
+        "malformed",
         F.when(F.col("r_operation") == "", "retrieve").otherwise(F.col("r_operation")).alias("operation"),
         F.when(query != "", digest(query)).otherwise(F.col("r_query_digest")).alias("query_digest"),
         F.col("r_collection").alias("request_collection"),

@@ -59,32 +59,54 @@ def retrieval_bodies(spark, folder):
         .when(rid % 3 == 1, F.concat(F.lit('{"model":"m","extra":[{"payload":{"retrieval":'), listed, F.lit("}}]}")))
         .otherwise(listed)
     )
-    return rows.select("request_id", body.alias("body"))
+    return rows.select("request_id", wrapped(rid, body).alias("body"))
+
+
+def wrapped(rid, body):
+    """Some bodies nested 9, 12 and 200 levels deep, one cut off, one whose list is empty."""
+
+    def nested(left, right, n):
+        return F.concat(F.lit(left * n), body, F.lit(right * n))
+
+    return (
+        F.when(rid % 10 == 3, nested('{"a":', "}", 9))
+        .when(rid % 20 == 7, nested("[", "]", 12))
+        .when(rid % 20 == 17, nested("[", "]", 200))
+        .when(rid % 20 == 9, F.substring(body, 1, 60))
+        .when(rid % 20 == 19, F.lit('{"rag":{"operation":"retrieve","results":[]}}'))
+        .otherwise(body)
+    )
+
+
+REFUSED_SQL = "(request_id % 10 IN (3, 7, 9))"
 
 
 def extracted(spark, folder):
-    return G.extract(retrieval_bodies(spark, folder), G.RetrievalLimits(max_depth=4))
+    return G.extract(retrieval_bodies(spark, folder))
 
 
-RESULT_SQL = """results AS (
+RESULT_SQL = f"""results AS (SELECT * FROM (
   SELECT doc_id AS request_id, 0 AS position, CAST(doc_id AS VARCHAR) AS document_id, 'c0' AS chunk_id, source AS tenant, lang AS application,
     CASE WHEN doc_id % 11 = 0 THEN 'someone' ELSE '' END AS subject, CASE WHEN doc_id % 5 = 0 THEN 'admin' ELSE 'reader' END AS roles, '' AS groups,
     'public' AS classification, 'sha256:' || sha256(trim(text, ' ')) AS content_digest, source, lang FROM documents
   UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'extra' END, 's1', CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE source END, lang,
-    '', '', 'group-a', '', 'sha256:' || sha256('short'), source, lang FROM documents)"""
+    '', '', 'group-a', '', 'sha256:' || sha256('short'), source, lang FROM documents) WHERE NOT {REFUSED_SQL}
+  UNION ALL SELECT request_id, 0, '', '', '', '', '', '', '', '', 'sha256:' || sha256(''), source, lang
+  FROM (SELECT doc_id AS request_id, source, lang FROM documents) WHERE {REFUSED_SQL})"""
 
 
 @query(
     "retrieval_extract",
     f"""WITH {RESULT_SQL} SELECT request_id, position, document_id, chunk_id, tenant, application, subject, roles, groups, content_digest,
-  'kb' AS collection, 'i1' AS index, 'search' AS purpose, 'retrieve' AS operation, 'sha256:' || sha256('q' || request_id) AS query_digest FROM results""",
+  CASE WHEN no THEN '' ELSE 'kb' END AS collection, CASE WHEN no THEN '' ELSE 'i1' END AS index, CASE WHEN no THEN '' ELSE 'search' END AS purpose, 'retrieve' AS operation,
+  CASE WHEN no THEN '' ELSE 'sha256:' || sha256('q' || request_id) END AS query_digest, no AS malformed FROM (SELECT *, {REFUSED_SQL} AS no FROM results)""",
 )
 def retrieval_extract(spark, folder):
     rows = extracted(spark, folder)
     return rows.select(
         "request_id", "position", "document_id", "chunk_id", "tenant", "application", "subject",
         F.array_join("roles", ",").alias("roles"), F.array_join("groups", ",").alias("groups"), "content_digest",
-        "collection", "index", "purpose", "operation", "query_digest",
+        "collection", "index", "purpose", "operation", "query_digest", "malformed",
     )
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.deep_json import NODE, leaves_below
+from ..functions.json_walk import string_leaves
 from ..functions.ranking import blocked_running_sum
 from ..functions.scan import Detector, finding_array
 from ..operators.transform import span_plan
@@ -95,38 +95,16 @@ def block_fragments(root: Column) -> Column:
     return F.when(_at(root, "$.type") == "content_block_delta", rows).otherwise(F.expr(NO_FRAGMENTS))
 
 
-LEVEL = """flatten(transform({nodes}, n -> CASE
-  WHEN startswith(schema_of_variant(n.value), 'OBJECT') THEN transform(
-    map_entries(try_variant_get(n.value, '$', 'map<string,variant>')),
-    e -> named_struct('path', concat(n.path, '/', e.key), 'key', e.key, 'value', e.value))
-  WHEN startswith(schema_of_variant(n.value), 'ARRAY') THEN transform(
-    try_variant_get(n.value, '$', 'array<variant>'), (v, i) -> named_struct(
-      'path', concat(n.path, '/', lpad(CAST(i AS string), 6, '0')), 'key', '', 'value', v))
-  ELSE CAST(array() AS array<struct<path:string,key:string,value:variant>>) END))"""
-
-
-def with_generic_fragments(df: DataFrame, root: str, name: str, levels: int = 4) -> DataFrame:
-    """Known content keys at any depth, in key order; a bare string is one fragment.
-
-    The first `levels` are column expressions, what is nested deeper goes through a helper.
-    """
-    rows = df.withColumn("_g0", F.expr(f"array(named_struct('path', '', 'key', '', 'value', {root}))"))
-    for i in range(levels):
-        rows = rows.withColumn(f"_g{i + 1}", F.expr(LEVEL.format(nodes=f"_g{i}")))
-    nodes = F.concat(*[F.col(f"_g{i}") for i in range(1, levels + 1)])
-    strings = F.transform(
-        F.filter(nodes, lambda n: F.schema_of_variant(n["value"]) == "STRING"),
-        lambda n: F.struct(n["path"].alias("path"), n["key"].alias("key"), F.try_variant_get(n["value"], "$", "string").alias("text")),
-    )
-    every = F.concat(strings.cast(NODE), leaves_below(F.col(f"_g{levels}")))
-    known = F.filter(every, lambda n: F.lower(n["key"]).isin(*GENERIC_KEYS))
+def with_generic_fragments(df: DataFrame, root: str, text: str, name: str) -> DataFrame:
+    """Known content keys at any depth, in key order; a bare string is one fragment."""
+    known = F.filter(string_leaves(root, text), lambda n: F.lower(n["key"]).isin(*GENERIC_KEYS))
     tool = lambda n: F.contains(F.lower(n["key"]), F.lit("arg")) | (n["key"] == "partial_json")
     shown = F.transform(
         known, lambda n: _fragment(n["path"], n["text"], F.when(tool(n), "tool_arguments").otherwise("text"))
     )
     bare = _present(_fragment("", _text(F.col(root)), "text"))
     out = F.when(F.size(bare) > 0, bare).otherwise(F.array_sort(shown))
-    return rows.withColumn(name, out).select(*df.columns, name)
+    return df.withColumn(name, out)
 
 
 def sse_fragments(events: DataFrame, keys: Iterable[str] = ("stream_id", "seq")) -> DataFrame:
@@ -137,7 +115,7 @@ def sse_fragments(events: DataFrame, keys: Iterable[str] = ("stream_id", "seq"))
     keys = list(keys)
     silent = F.trim("data").isin("", "[DONE]")
     rows = events.withColumn("_root", F.when(~silent, F.try_parse_json("data")))
-    rows = with_generic_fragments(rows, "_root", "_generic")
+    rows = with_generic_fragments(rows, "_root", "data", "_generic")
     family, root = F.col("family"), F.col("_root")
     plain = F.array(_fragment("", F.col("data"), "text"))
     fragments = (
