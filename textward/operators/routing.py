@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import carry_fold
-from ..functions.ranking import blocked_row_number
+from ..functions.ranking import blocked_last, blocked_row_number
 from ..functions.rules import rule_list
 from .policy import glob_regex, in_cohort
 
@@ -346,6 +347,34 @@ def lifecycle_check(requests: DataFrame, model: str, block: Column, order: Itera
     )
 
 
+ACTIVATING = ("promoted", "rolled_back")
+
+
+def champions(checked: DataFrame, registry: str, model: str, block: Column, order: Iterable[str]) -> DataFrame:
+    """Checked requests with `active`, the champion of their registry after each, and `rollback_target`.
+
+    An allowed promotion or rollback makes its model the champion. A promotion that replaces another model remembers
+    that one as its rollback parent; `rollback_target` is the parent of the present champion, the only
+    model that an automatic rollback may go to. Both are last values before a row, looked up in blocks: a registry with most of the
+    requests is many of them.
+    """
+    order = list(order)
+    activates = F.col("allowed") & F.col("to_state").isin(*ACTIVATING)
+    rows = blocked_last(checked, [registry], block, order, {"active_before": F.when(activates, F.col(model))})
+    rows = rows.withColumn("active", F.when(activates, F.col(model)).otherwise(F.col("active_before")))
+    replaced = F.col("allowed") & (F.col("to_state") == "promoted") & (F.col("active_before") != F.col(model))
+    rows = rows.withColumn("parent", F.when(replaced, F.col("active_before")))
+    # Parents are facts about the promoted model, and every request asks about the champion; a fact comes before its own request.
+    place = [F.col(registry).alias("_registry"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], block.alias("_at")]
+    facts = rows.where("parent IS NOT NULL").select(*place, F.col(model).alias("_model"), F.lit(0).alias("_ask"), F.col("parent").alias("_parent"))
+    asks = rows.select(*place, F.col("active").alias("_model"), F.lit(1).alias("_ask"), F.lit(None).cast(dict(rows.dtypes)["parent"]).alias("_parent"))
+    marks = [f"_o{i}" for i in range(len(order))]
+    told = blocked_last(facts.unionByName(asks), ["_registry", "_model"], F.col("_at"), [*marks, "_ask"], {"rollback_target": F.col("_parent")})
+    told = told.where("_ask = 1").select("_registry", *marks, "rollback_target")
+    on = [rows[registry].eqNullSafe(told["_registry"]), *[rows[c].eqNullSafe(told[m]) for c, m in zip(order, marks)]]
+    return rows.join(told, reduce(lambda a, b: a & b, on)).drop("_registry", *marks, "active_before")
+
+
 # ---- rollout --------------------------------------------------------------------------------------------
 
 

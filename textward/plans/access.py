@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as G
 from ..operators import routing as R
+from ..session import cut_lineage
 from ..sources.tables import spread, table
 from .decide import SLOT_SQL
 from .ingest import talk
@@ -361,18 +362,24 @@ def _edges_sql() -> str:
     return f"edges(a, b) AS (VALUES {', '.join(pairs)})"
 
 
-@query(
-    "lifecycle_check",
-    f"""WITH RECURSIVE {_edges_sql()}, e AS (SELECT event_id, ts, user_id, {STEP_SQL} AS to_state, 'k' || (event_id // 2 * 2 + CASE WHEN event_id % 14 = 1 THEN 0 ELSE event_id % 2 END) AS k FROM events),
+LIFE_SQL = f"""{_edges_sql()}, e AS (SELECT event_id, ts, user_id, {STEP_SQL} AS to_state, 'k' || (event_id // 2 * 2 + CASE WHEN event_id % 14 = 1 THEN 0 ELSE event_id % 2 END) AS k FROM events),
 f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts, event_id) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM f),
 walk(user_id, seq, event_id, from_state, state) AS (
   SELECT user_id, seq, event_id, '', CASE WHEN to_state = 'registered' THEN to_state ELSE '' END FROM n WHERE seq = 1
   UNION ALL SELECT n.user_id, n.seq, n.event_id, w.state, CASE WHEN g.a IS NULL THEN w.state ELSE n.to_state END
-  FROM walk w JOIN n ON n.user_id = w.user_id AND n.seq = w.seq + 1 LEFT JOIN edges g ON g.a = w.state AND g.b = n.to_state)
-SELECT user_id, seq, event_id, from_state, from_state <> state AS allowed, state FROM walk""",
+  FROM walk w JOIN n ON n.user_id = w.user_id AND n.seq = w.seq + 1 LEFT JOIN edges g ON g.a = w.state AND g.b = n.to_state)"""
+
+
+@query(
+    "lifecycle_check",
+    f"WITH RECURSIVE {LIFE_SQL} SELECT user_id, seq, event_id, from_state, from_state <> state AS allowed, state FROM walk",
 )
 def lifecycle_check(spark, folder):
+    return lifecycle_rows(spark, folder).select("user_id", "seq", "event_id", "from_state", "allowed", "state")
+
+
+def lifecycle_rows(spark, folder):
     """Events of a user as requests to move one model; some idempotency keys repeat."""
     e = F.col("event_id")
     steps = ("registered", "validated", "shadow", "canary", "promoted", "paused", "rolled_back", "retired", "validated")
@@ -381,9 +388,26 @@ def lifecycle_check(spark, folder):
     rows = table(spark, folder, "events").select(
         "event_id", "ts", "user_id", to.alias("to_state"), F.concat(F.lit("k"), key.cast("string")).alias("k")
     )
+    return R.lifecycle_check(rows, "user_id", F.floor(F.unix_timestamp("ts") / 3600), ["ts", "event_id"], "k")
+
+
+@query(
+    "champion_history",
+    f"""WITH RECURSIVE {LIFE_SQL}, w AS (SELECT walk.*, n.ts, n.to_state, walk.user_id % 5 AS registry, from_state <> state AS allowed
+  FROM walk JOIN n ON n.user_id = walk.user_id AND n.seq = walk.seq),
+a AS (SELECT *, CASE WHEN allowed AND to_state IN ('promoted', 'rolled_back') THEN user_id END AS sets FROM w),
+b AS (SELECT *, last_value(sets IGNORE NULLS) OVER (PARTITION BY registry ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a),
+c AS (SELECT *, coalesce(sets, before) AS active, CASE WHEN allowed AND to_state = 'promoted' AND before <> user_id THEN before END AS parent FROM b),
+p AS (SELECT user_id, ts, event_id, parent FROM c WHERE parent IS NOT NULL)
+SELECT c.event_id, registry, c.user_id, active, c.parent, arg_max(p.parent, {{'t': p.ts, 'e': p.event_id}}) AS rollback_target
+FROM c LEFT JOIN p ON p.user_id = c.active AND (p.ts < c.ts OR (p.ts = c.ts AND p.event_id <= c.event_id)) GROUP BY ALL""",
+)
+def champion_history(spark, folder):
+    """The champion of each of five registries after every request, and where a rollback would go."""
+    rows = cut_lineage(lifecycle_rows(spark, folder).withColumn("registry", F.col("user_id") % 5))
     hour = F.floor(F.unix_timestamp("ts") / 3600)
-    out = R.lifecycle_check(rows, "user_id", hour, ["ts", "event_id"], "k")
-    return out.select("user_id", "seq", "event_id", "from_state", "allowed", "state")
+    out = R.champions(rows, "registry", "user_id", hour, ["ts", "event_id"])
+    return out.select("event_id", "registry", "user_id", "active", "parent", "rollback_target")
 
 
 WANTED = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import detectors as D
@@ -308,6 +309,71 @@ def attachment_scan(spark, folder):
     return out.select("page_id", "code", "mime", "pages", "hash", F.length("text").alias("n_chars"))
 
 
+FORMS = 12
+
+
+def _zipped(blob, flag=False, lie=None, n=1):
+    """A zip of one text, or of that zip and so on; `flag` marks it encrypted, `lie` is a false size."""
+    import io
+    import zipfile
+
+    for _ in range(n):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo("a.txt", (2024, 1, 1, 0, 0, 0)), blob, zipfile.ZIP_DEFLATED)
+        blob = bytearray(out.getvalue())
+    centre = blob.rindex(b"PK\x01\x02")
+    if flag:
+        blob[6] |= 1
+        blob[centre + 8] |= 1
+    if lie is not None:
+        blob[centre + 24 : centre + 28] = lie.to_bytes(4, "little")
+    return bytes(blob)
+
+
+def _blob(kind, html):
+    """One attachment of each kind, made from a page."""
+    text = html.encode()
+    return (
+        lambda: b"\x89PNG\r\n\x1a\n" + text,
+        lambda: b"\xff\xd8\xff" + text,
+        lambda: b"RIFF\x00\x00\x00\x00WEBP" + text,
+        lambda: _zipped(text),
+        lambda: _zipped(text, n=3),
+        lambda: _zipped(b"0" * (5 << 20)),
+        lambda: _zipped(b"0" * (5 << 20), lie=10),
+        lambda: _zipped(text, flag=True),
+        lambda: _zipped(b"0" * (5 << 20), n=2),
+        lambda: _zipped(text)[:-10],
+        lambda: _zipped(text, n=6),
+        lambda: text,
+    )[kind]()
+
+
+MIMES = ("image/png", "image/jpeg", "image/webp", *["application/zip"] * 8, "image/png")
+
+
+@query(
+    "attachment_archives",
+    f"""SELECT page_id, CASE WHEN k IN (5, 6, 8, 10) THEN 'ATTACHMENT_EXPANSION_LIMIT_EXCEEDED' WHEN k IN (7, 9) THEN 'ATTACHMENT_ARCHIVE_INVALID'
+    WHEN k = 11 THEN 'ATTACHMENT_MIME_MISMATCH' ELSE '' END AS code,
+  CASE k WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/webp' WHEN 3 THEN 'application/zip' WHEN 4 THEN 'application/zip' ELSE '' END AS mime,
+  CASE k WHEN 0 THEN substr(sha256('\\x89PNG\\x0D\\x0A\\x1A\\x0A'::BLOB || encode(html)), 1, 16) WHEN 1 THEN substr(sha256('\\xFF\\xD8\\xFF'::BLOB || encode(html)), 1, 16)
+    WHEN 2 THEN substr(sha256('RIFF\\x00\\x00\\x00\\x00WEBP'::BLOB || encode(html)), 1, 16) ELSE '' END AS image_hash
+FROM (SELECT *, page_id % {FORMS} AS k FROM pages)""",
+)
+def attachment_archives(spark, folder):
+    """Images and archives made from every page: plain, nested, encrypted, cut off, and bombs that say so or not."""
+    made = F.pandas_udf(lambda k, h: pd.Series([_blob(*x) for x in zip(k, h)]), "binary")
+    kind = (F.col("page_id") % FORMS).cast("int")
+    mime = F.get(F.array(*[F.lit(m) for m in MIMES]), kind)
+    rows = table(spark, folder, "pages").select(
+        "page_id", F.base64(made(kind, "html")).alias("raw"), mime.alias("declared")
+    )
+    out = A.scan_attachments(rows, A.AttachmentLimits(max_expansion=1000))
+    return out.select("page_id", "code", "mime", F.when(F.startswith("mime", F.lit("image/")), F.col("hash")).otherwise("").alias("image_hash"))
+
+
 @query(
     "rewrite_json_body",
     f"""WITH t AS (SELECT conv_id || '-' || turn AS request_id, text || ' mail ops' || conv_id || '@example.com' AS text,

@@ -1,15 +1,18 @@
-"""Inline attachments: decoding, declared against detected type, limits, extracted text."""
+"""Attachments, inline or as files: decoding, declared against detected type, limits, archives, extracted text."""
 
 from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import case_map
+
 # Types with a built-in extractor and their leading bytes.
 MAGIC = {
     "image/png": "^89504E470D0A1A0A",
@@ -47,29 +50,112 @@ def normal_mime(value: Column) -> Column:
     return F.lower(F.trim(F.split_part(value, F.lit(";"), F.lit(1))))
 
 
+# ---- archives ------------------------------------------------------------------------------------------
+
+STEP = 64 << 10
+#: Archives inside archives that are opened; deeper ones count as expansion without end.
+NESTED = 3
+INVALID, EXPANDS = "ATTACHMENT_ARCHIVE_INVALID", "ATTACHMENT_EXPANSION_LIMIT_EXCEEDED"
+
+
+class _Over(Exception):
+    """The archive would expand beyond its limits."""
+
+
+def _inflated(raw: memoryview, method: int, most: int) -> bytes:
+    """An entry's content, read in steps; stops as soon as it is larger than `most`."""
+    if method == zipfile.ZIP_STORED:
+        if len(raw) > most:
+            raise _Over
+        return bytes(raw)
+    if method != zipfile.ZIP_DEFLATED:
+        raise zipfile.BadZipFile("method")
+    inflate, out, size, left = zlib.decompressobj(-15), [], 0, bytes(raw)
+    while True:
+        piece = inflate.decompress(left, STEP)
+        size += len(piece)
+        if size > most:
+            raise _Over
+        out.append(piece)
+        left = inflate.unconsumed_tail
+        if inflate.eof or not (piece or left):
+            return b"".join(out)
+
+
+def _expand(blob: bytes, limits: AttachmentLimits, budget: int, entries: int, depth: int) -> tuple[int, int]:
+    """Bytes and entries an archive expands to, nested ones included; raises beyond the budget.
+
+    The central directory is read first, so an honest bomb costs nothing. Then every entry is inflated in
+    bounded steps: one that holds more than it declares is a bomb too.
+    """
+    archive = zipfile.ZipFile(io.BytesIO(blob))
+    listed = archive.infolist()
+    entries += len(listed)
+    if entries > limits.max_entries or sum(e.file_size for e in listed) > budget:
+        raise _Over
+    view, used = memoryview(blob), 0
+    for entry in listed:
+        if entry.flag_bits & 1:
+            raise zipfile.BadZipFile("encrypted")
+        at = entry.header_offset
+        if bytes(view[at : at + 4]) != b"PK\x03\x04":
+            raise zipfile.BadZipFile("entry")
+        begin = at + 30 + int.from_bytes(view[at + 26 : at + 28], "little") + int.from_bytes(view[at + 28 : at + 30], "little")
+        content = _inflated(view[begin : begin + entry.compress_size], entry.compress_type, min(entry.file_size, budget - used))
+        if len(content) != entry.file_size:
+            raise zipfile.BadZipFile("size")
+        used += len(content)
+        if content[:4] == b"PK\x03\x04":
+            if depth == NESTED:
+                raise _Over
+            inner, entries = _expand(content, limits, budget - used, entries, depth + 1)
+            used += inner
+    return used, entries
+
+
+def archive_code(blob: bytes, limits: AttachmentLimits) -> str | None:
+    """Why an archive is refused, or None. An encrypted one cannot be inspected, so it is invalid."""
+    try:
+        size, _ = _expand(blob, limits, limits.max_decoded_bytes, 0, 0)
+    except _Over:
+        return EXPANDS
+    except (zipfile.BadZipFile, zlib.error, ValueError, OSError, NotImplementedError):
+        return INVALID
+    return EXPANDS if size // max(len(blob), 1) > limits.max_expansion else None
+
+
 def _archive_code(limits: AttachmentLimits):
     def check(blobs: pd.Series) -> pd.Series:
-        out = []
-        for blob in blobs:
-            if blob is None:
-                out.append(None)
-                continue
-            try:
-                sizes = [e.file_size for e in zipfile.ZipFile(io.BytesIO(bytes(blob))).infolist()]
-            except (zipfile.BadZipFile, ValueError, OSError):
-                out.append("ATTACHMENT_ARCHIVE_INVALID")
-                continue
-            over = (
-                len(sizes) > limits.max_entries
-                or sum(sizes) > limits.max_decoded_bytes
-                or sum(sizes) // max(len(blob), 1) > limits.max_expansion
-            )
-            out.append("ATTACHMENT_EXPANSION_LIMIT_EXCEEDED" if over else None)
-        return pd.Series(out, dtype="object")
+        return pd.Series([None if b is None else archive_code(bytes(b), limits) for b in blobs], dtype="object")
 
     return F.pandas_udf(check, "string")
 
 
+#: File endings and the types they declare.
+ENDINGS = {
+    "txt": "text/plain", "json": "application/json", "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg",
+    "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "zip": "application/zip", "docx": DOCX,
+}
+
+
+def read_files(spark: SparkSession, path: str, limits: AttachmentLimits = AttachmentLimits(), glob: str = "*") -> DataFrame:
+    """Files below a folder as attachments (`path`, `data`, `declared`, `size`); content over the limit is not kept.
+
+    Spark's source leaves out files without content.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    small = F.when(F.col("length") <= limits.max_decoded_bytes, F.col("content"))
+    return files.select("path", small.alias("data"), case_map(ending, ENDINGS).alias("declared"), F.col("length").alias("size"))
+
+
+def scan_files(files: DataFrame, limits: AttachmentLimits = AttachmentLimits()) -> DataFrame:
+    """Attachments given as bytes (`data`, `declared`, `size`), judged as inline ones are."""
+    rows = files.withColumns({"found": F.lit(""), "given": normal_mime(F.coalesce("declared", F.lit("")))})
+    large = F.when(F.col("size") > limits.max_decoded_bytes, "ATTACHMENT_DECODED_BYTES_EXCEEDED")
+    return _judged(rows, large, [c for c in files.columns if c not in ("data", "declared")], limits, True)
+
+
 def scan_attachments(
     rows: DataFrame, limits: AttachmentLimits = AttachmentLimits(), archives: bool = True
 ) -> DataFrame:
@@ -93,6 +179,14 @@ def scan_attachments(
     found = F.when(is_url, normal_mime(header)).otherwise("")
     given = normal_mime(F.coalesce("declared", F.lit("")))
     out = out.withColumn("found", found).withColumn("given", given)
+    early = F.when(F.length("raw") > limits.max_encoded_bytes, "ATTACHMENT_ENCODED_BYTES_EXCEEDED").when(
+        url_bad | F.col("data").isNull(), "ATTACHMENT_BASE64_INVALID"
+    )
+    return _judged(out, early, [c for c in rows.columns if c not in ("raw", "declared")], limits, archives)
+
+
+def _judged(out: DataFrame, early: Column, keep: list[str], limits: AttachmentLimits, archives: bool) -> DataFrame:
+    """`keep` columns with code, type, pages, hash and text of rows with `data`, `found` and `given` types."""
     mime = F.when(F.col("found") != "", F.col("found")).otherwise(F.col("given"))
     out = out.withColumn("mime", mime)
     text = F.try_validate_utf8(F.col("data").cast("string"))
@@ -113,8 +207,7 @@ def scan_attachments(
     if archives:
         archive = _archive_code(limits)(F.when(F.col("mime").isin(*ARCHIVES) & magic, F.col("data")))
     code = (
-        F.when(F.length("raw") > limits.max_encoded_bytes, "ATTACHMENT_ENCODED_BYTES_EXCEEDED")
-        .when(url_bad | F.col("data").isNull(), "ATTACHMENT_BASE64_INVALID")
+        F.when(early.isNotNull(), early)
         .when(F.octet_length("data") > limits.max_decoded_bytes, "ATTACHMENT_DECODED_BYTES_EXCEEDED")
         .when((F.col("given") != "") & (F.col("found") != "") & (F.col("given") != F.col("found")), "ATTACHMENT_MIME_MISMATCH")
         .when(~F.col("mime").isin(*limits.allowed), "ATTACHMENT_MIME_NOT_ALLOWED")
@@ -127,7 +220,7 @@ def scan_attachments(
     out = out.withColumn("code", code)
     ok = F.col("code") == ""
     return out.select(
-        *[c for c in rows.columns if c not in ("raw", "declared")],
+        *keep,
         "code",
         F.when(ok, F.col("mime")).otherwise("").alias("mime"),
         F.when(ok, F.col("pages")).otherwise(0).alias("pages"),
