@@ -74,6 +74,19 @@ def blocked_running_sum(
     return out.withColumn(name, total).drop(BLOCK, f"{BASE}_n", "_v")
 
 
+def blocked_sums_before(
+    df: DataFrame, keys: Iterable[str], block: Column, order: Iterable, values: dict[str, Column]
+) -> DataFrame:
+    """Sums of several values over all earlier rows of the key."""
+    keys = list(keys)
+    rows = df.withColumn(BLOCK, block).withColumns({f"_v_{n}": v for n, v in values.items()})
+    bases = block_bases(rows, keys, {n: F.sum(f"_v_{n}") for n in values})
+    within = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = null_safe_join(rows, bases, [*keys, BLOCK])
+    sums = {n: F.col(f"{BASE}_{n}") + F.coalesce(F.sum(f"_v_{n}").over(within), F.lit(0)) for n in values}
+    return out.select(*df.columns, *[c.alias(n) for n, c in sums.items()])
+
+
 def blocked_last(
     df: DataFrame, keys: Iterable[str], block: Column, order: Iterable, values: dict[str, Column]
 ) -> DataFrame:

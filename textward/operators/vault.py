@@ -6,12 +6,16 @@ retrieval is one join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hmac_sha256
+from ..functions.ranking import blocked_sums_before
 from ..functions.scan import explode_rows, matches
 from ..session import cut_lineage
 
@@ -79,20 +83,108 @@ SCOPE_FIELDS = ("tenant", "application", "subject", "session", "policy_id", "pur
 SCOPE_REQUIRED, TOO_LARGE, QUOTA = "scope_required", "value_too_large", "quota_exceeded"
 
 
-def _within(rows: DataFrame, keys: list[str], limit: int, order: list[str], counted: str) -> Column:
-    """Whether fewer than `limit` counted rows of the key come before a row."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(F.col(counted).cast("long")).over(before), F.lit(0)) < limit
+# ---- quotas ----------------------------------------------------------------------------------------------
 
+#: Undecided rows that one task may settle in order.
+FINISH = 50_000
+#: Numbers of a block of the running counts.
+PLACES = 4096
+#: Decisions: no, yes, open.
+NO, YES, OPEN = 0, 1, 2
 
-def issue_outcomes(tokens: DataFrame, o: VaultOptions, order: list[str]) -> DataFrame:
+
+@dataclass(frozen=True)
+class Quota:
+    """A limit per key; rows count once admitted (room in scope, tenant and user) or once stored (also in the session)."""
+
+    keys: tuple[str, ...]
+    limit: int
+    counts: str
+    gate: str
+
+
+def _counted(rows: DataFrame, quotas: list[Quota]) -> DataFrame:
+    """Undecided rows with `base_i`, decided rows before them that count, and `low_i`, `high_i`, what may come on top."""
+    for i, q in enumerate(quotas):
+        flag = F.col(q.counts)
+        one = {
+            "_done": F.when(F.col("done") & (flag == YES), 1).otherwise(0),
+            "_low": F.when(~F.col("done") & (flag == YES), 1).otherwise(0),
+            "_high": F.when(~F.col("done") & (flag != NO), 1).otherwise(0),
+        }
+        rows = blocked_sums_before(rows, [f"k{i}"], F.floor(F.col("place") / PLACES), ["place"], one)
+        base = F.col(f"base{i}") + F.col("_done")
+        rows = rows.withColumns({f"base{i}": base, f"low{i}": base + F.col("_low"), f"high{i}": base + F.col("_high")}).drop(*one)
+    return rows.where(~F.col("done"))
+
+
+def _judged(rows: DataFrame, quotas: list[Quota]) -> DataFrame:
+    """Decisions that hold whatever the open ones become: refused if the least count fills a quota, let in if the greatest fills none."""
+
+    def verdict(gate: str) -> tuple[Column, Column]:
+        full, free = F.lit(False), F.lit(True)
+        for i, q in enumerate(quotas):
+            if q.gate == gate:
+                full, free = full | (F.col(f"low{i}") >= q.limit), free & (F.col(f"high{i}") < q.limit)
+        return full, free
+
+    full, free = verdict("admitted")
+    rows = rows.withColumn("admitted", F.when(full, NO).when(free, YES).otherwise(OPEN))
+    full, free = verdict("stored")
+    stored = F.when((F.col("admitted") == NO) | full, NO).when((F.col("admitted") == YES) & free, YES).otherwise(OPEN)
+    drop = [f"{n}{i}" for n in ("low", "high") for i in range(len(quotas))]
+    return rows.withColumn("stored", stored).drop(*drop)
+
+
+def _settled(quotas: list[Quota]):
+    """The rest in order, row by row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict = {}
+        for pdf in batches:
+            keys = [[(i, k) for k in pdf[f"k{i}"]] for i in range(len(quotas))]
+            bases = [pdf[f"base{i}"].tolist() for i in range(len(quotas))]
+            out = []
+            for n in range(len(pdf)):
+                room = [bases[i][n] + counts.get(keys[i][n], 0) < q.limit for i, q in enumerate(quotas)]
+                admitted = all(r for r, q in zip(room, quotas) if q.gate == "admitted")
+                stored = admitted and all(r for r, q in zip(room, quotas) if q.gate == "stored")
+                for i, q in enumerate(quotas):
+                    if admitted if q.counts == "admitted" else stored:
+                        counts[keys[i][n]] = counts.get(keys[i][n], 0) + 1
+                out.append(YES if stored else NO)
+            yield pd.DataFrame({"place": pdf["place"], "stored": out})
+
+    return run
+
+
+def _stored(rows: DataFrame, quotas: list[Quota], finish: int) -> DataFrame:
+    """`place`, `stored` of rows (`place`, `k0`, ...) in the order of their places.
+
+    Each round decides what the open rows cannot change. Decided rows travel once more, as counts, then only
+    the open ones do; the first open row is decided in every round, and one full key decides all rows behind it. When `finish` rows or
+    fewer are left, one task takes them in order.
+    """
+    start = {"admitted": F.lit(OPEN), "stored": F.lit(OPEN), "done": F.lit(False)}
+    rows = rows.withColumns(start | {f"base{i}": F.lit(0).cast("long") for i in range(len(quotas))})
+    answers: list[DataFrame] = []
+    while True:
+        counted = cut_lineage(_judged(_counted(rows, quotas), quotas))
+        left = counted.count()
+        if left <= finish:
+            last = counted.repartition(1).sortWithinPartitions("place").mapInPandas(_settled(quotas), "place long, stored int")
+            return reduce(DataFrame.unionByName, answers, last)
+        marked = counted.withColumn("done", F.col("stored") != OPEN)
+        answers.append(marked.where("done").select("place", "stored"))
+        rows = marked
+
+
+def issue_outcomes(tokens: DataFrame, o: VaultOptions, order: list[str], finish: int = FINISH) -> DataFrame:
     """Every token with `code`: empty if it is stored, else why it is refused.
 
     A token is stored if its scope, tenant, user and session all have room when its turn comes. It
     counts for tenant and user once these and the scope had room, for scope and session once it
-    is stored. Tenants and users cross, so with more than one quota the counts depend on each
-    other: they are taken from the decisions of the round before until no decision changes,
-    which is the one solution, as a row depends on earlier rows only.
+    is stored. Tenants and users cross, so the counts depend on each other.
     """
     scoped = F.col("policy_version") > 0
     for name in SCOPE_FIELDS:
@@ -104,43 +196,28 @@ def issue_outcomes(tokens: DataFrame, o: VaultOptions, order: list[str]) -> Data
         .otherwise("")
     )
     rows = tokens.withColumn("code", code)
-    scope = ["tenant", "application", "subject", "session", "policy_id", "policy_version", "purpose"]
-    session = ["tenant", "application", "subject", "session"]
-    # Keys, limit, and the flag of the rows that count for it.
+    scope = ("tenant", "application", "subject", "session", "policy_id", "policy_version", "purpose")
     quotas = [
-        (keys, limit, flag)
-        for keys, limit, flag in (
-            (scope, o.per_scope, "_stored"),
-            (["tenant"], o.per_tenant, "_admitted"),
-            (["subject"], o.per_user, "_admitted"),
-            (session, o.per_session, "_stored"),
+        q
+        for q in (
+            Quota(scope, o.per_scope, "stored", "admitted"),
+            Quota(("tenant",), o.per_tenant, "admitted", "admitted"),
+            Quota(("subject",), o.per_user, "admitted", "admitted"),
+            Quota(scope[:4], o.per_session, "stored", "stored"),
         )
-        if limit > 0
+        if q.limit > 0
     ]
     if not quotas:
         return rows
-    sound = F.col("code") == ""
-    rows = rows.withColumn("_admitted", sound).withColumn("_stored", sound)
-    while True:
-        fits = [_within(rows, keys, limit, order, flag) for keys, limit, flag in quotas]
-        first = [f for f, (keys, _, _) in zip(fits, quotas, strict=True) if keys is not session]
-        admitted = sound
-        for f in first:
-            admitted = admitted & f
-        stored = admitted
-        for f, (keys, _, _) in zip(fits, quotas, strict=True):
-            if keys is session:
-                stored = stored & f
-        judged = rows.select("*", admitted.alias("_a"), stored.alias("_s"))
-        # One quota: the rows before a row that fit are simply the first ones.
-        if len(quotas) > 1:
-            judged = cut_lineage(judged)
-            settled = judged.where("_a <> _admitted OR _s <> _stored").isEmpty()
-        rows = judged.drop("_admitted", "_stored").withColumnsRenamed({"_a": "_admitted", "_s": "_stored"})
-        if len(quotas) == 1 or settled:
-            break
-    refused = F.when(sound & ~F.col("_stored"), QUOTA).otherwise(F.col("code"))
-    return rows.withColumn("code", refused).drop("_admitted", "_stored")
+    # Places in order, without a window: ranges of the order, and places within each.
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut_lineage(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    spelled = [F.to_json(F.struct(*q.keys)).alias(f"k{i}") for i, q in enumerate(quotas)]
+    narrow = rows.where("code = ''").select(F.col("_place").alias("place"), *spelled)
+    answers = _stored(narrow, quotas, finish).withColumnRenamed("place", "_place")
+    out = rows.join(answers, "_place", "left")
+    refused = F.when(F.col("stored") == NO, QUOTA).otherwise(F.col("code"))
+    return out.withColumn("code", refused).drop("_place", "stored")
 
 
 def issue(tokens: DataFrame, o: VaultOptions, order: list[str]) -> DataFrame:
