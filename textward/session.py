@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -59,3 +60,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/textward-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete the written tables of cut_lineage() behind these frames, whose readers have all been written.
+
+    Also lets the driver notice that shuffles of finished steps are unused, so that executors drop their files now
+    and not at the next collection of a driver with much memory.
+    """
+    spark = None
+    for frame in frames:
+        spark = frame.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            if folder.rsplit("/", 1)[1].startswith("textward-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
