@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.session import cut_lineage
+from textward.session import cut_lineage, free
 
 from . import graph
 from . import textbatch as tb
@@ -420,15 +420,26 @@ def _prefix_candidates(documents: DataFrame, known: DataFrame, shingle: int, sim
 
 
 def _similar(documents: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs of rows whose exact similarity is large enough."""
+    """The pairs of rows whose exact similarity is large enough, as a written table.
+
+    Sizes alone rule out many pairs; they are joined first. Then the sets go to the pairs, and of the sets at the `u` ends,
+    which are few, only these.
+    """
     wanted = cut_lineage(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
-    # Repeated rows have equal sets; one of them is enough.
     texts, _ = _touched(_rows(documents).select("row", "text"), wanted)
-    held = shingle_sets(texts.join(wanted, "row", "left_semi"), shingle)
-    sets = cut_lineage(held.groupBy("row").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    # Repeated rows have equal sets; one of them is enough, and it meets the others where the join puts it.
+    held = texts.join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    sets = cut_lineage(shingle_sets(held, shingle).withColumn("size", F.size("shingles")))
+    sizes = sets.select("row", "size")
+    sized = pairs.join(sizes.toDF("u", "n"), "u").join(sizes.toDF("v", "m"), "v")
+    close = cut_lineage(sized.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6).select("u", "v"))
+    heads = close.select(F.col("u").alias("row")).distinct()
+    firsts, _ = _touched(sets.select("row", "shingles"), heads)
+    both = close.join(firsts.toDF("u", "a"), "u").join(sets.select("row", "shingles").toDF("v", "b"), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    found = cut_lineage(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
+    free(wanted, sets, close)
+    return found
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
@@ -449,9 +460,13 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float =
     near = near.join(ends.select(F.col("fp").alias("u"), F.col("row").alias("a")), "u").join(ends.select(F.col("fp").alias("v"), F.col("row").alias("b")), "v")
     same = classes.select("row", "fp").join(by_print.withColumnRenamed("row", "a"), "fp").select("a", F.col("row").alias("b"))
     candidates = near.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same.toDF("u", "v")).unionByName(_sample_candidates(classes))
-    pairs = cut_lineage(candidates.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    # The end that stands for a group stays `u`: these are few.
+    pairs = cut_lineage(candidates.where("u != v").distinct())
+    free(by_print)
 
-    roots = cut_lineage(graph.components(_similar(documents, pairs, shingle, similarity)))
+    links = _similar(documents, pairs, shingle, similarity)
+    roots = cut_lineage(graph.components(links))
+    free(pairs)
 
     # What is left: texts of different groups, met by their prefixes.
     nodes = cut_lineage(firsts.select(F.col("exact_a").alias("node"), F.col("first.row").alias("row")))
@@ -459,9 +474,11 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: float =
     apart = _prefix_candidates(documents, known, shingle, similarity)
     ends = apart.join(nodes.toDF("u", "a"), "u").join(nodes.toDF("v", "b"), "v")
     more = cut_lineage(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    free(nodes)
     if not more.isEmpty():
         links = roots.toDF("u", "v").unionByName(_similar(documents, more, shingle, similarity))
         roots = cut_lineage(graph.components(links))
+    free(more)
 
     grouped = firsts.join(roots, F.col("first.row") == F.col("node"), "left")
     grouped = grouped.select("exact_a", "exact_b", "first", F.coalesce("root", F.col("first.row")).alias("root"))
