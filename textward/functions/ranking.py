@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BLOCK = "_block"
 BASE = "_base"
 
@@ -44,6 +46,26 @@ def block_bases(
     )
 
 
+#: Places of a block, where rows have places.
+PLACES = 4096
+PLACE = "_place"
+
+
+def placed(rows: DataFrame, order: Iterable) -> DataFrame:
+    """Rows with `_place`, ascending in `order`, as a written table.
+
+    Ranges of the order are sorted apart, so no key, hour or value, however many rows it has, meets in one task;
+    `place_block()` then cuts places into blocks of like size.
+    """
+    order = list(order)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut_lineage(ranged.withColumn(PLACE, F.monotonically_increasing_id()))
+
+
+def place_block() -> Column:
+    return F.floor(F.col(PLACE) / PLACES)
+
+
 def blocked_row_number(
     df: DataFrame, keys: Iterable[str], block: Column, order: Iterable, name: str
 ) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions.hashing import value_hash
+from ..functions.ranking import blocked_last, blocked_row_number, null_safe_join
 from ..functions.scan import Detector, with_findings
+from ..session import cut_lineage
 
 TELEMETRY_KEY = "textward-telemetry"
 
@@ -248,20 +250,20 @@ def text_parts(parts: DataFrame) -> DataFrame:
     return parts.filter(F.col("part_type").isin(kinds) & (F.length("text") > 0))
 
 
+MESSAGES_PER_BLOCK = 64
+
+
 def number_findings(findings: DataFrame, request: str = "request_id") -> DataFrame:
     """Finding ids per request, in registration order, then part order, then position.
 
-    The window holds one request's findings, which one text bounds.
+    A request is numbered in blocks of one detector and a few messages.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(request).orderBy(
-        "detector_order", "message_index", "part_index", "start", "end"
-    )
-    n = F.row_number().over(order) - 1
-    return findings.withColumn(
-        "finding_id", F.concat(F.lit("finding-"), F.col(request).cast("string"), F.lit("-"), n)
-    )
+    findings = cut_lineage(findings)
+    order = ["detector_order", "message_index", "part_index", "start", "end"]
+    block = F.struct("detector_order", F.floor(F.col("message_index") / MESSAGES_PER_BLOCK))
+    rows = blocked_row_number(findings, [request], block, order, "_n")
+    name = F.concat(F.lit("finding-"), F.col(request).cast("string"), F.lit("-"), F.col("_n") - 1)
+    return rows.withColumn("finding_id", name).drop("_n")
 
 
 THAI = "[฀-๿]"
@@ -302,13 +304,15 @@ def convert_offsets(text: Column, at: Column, unit: Column) -> Column:
     )
 
 
+#: Bytes of text per block of spans.
+BYTES_PER_BLOCK = 1 << 16
+
+
 def normalize_spans(spans: DataFrame, keys: Iterable[str] = ("request_id",)) -> DataFrame:
     """Byte spans per response; one bad or overlapping span rejects the whole response.
 
     Input: keys, text, label, raw_start, raw_end, confidence, unit.
     """
-    from pyspark.sql import Window
-
     keys = list(keys)
     text = F.col("text")
     located = spans.select(
@@ -320,9 +324,9 @@ def normalize_spans(spans: DataFrame, keys: Iterable[str] = ("request_id",)) ->
         convert_offsets(text, F.col("raw_start"), F.col("unit")).alias("start"),
         convert_offsets(text, F.col("raw_end"), F.col("unit")).alias("end"),
     )
-    order = Window.partitionBy(*keys).orderBy("start", "end", "label")
-    whole = Window.partitionBy(*keys)
-    previous = F.lag("end").over(order)
+    # The span before, in blocks of places in the text; one without a place is bad by itself.
+    block = F.floor(F.coalesce("start", F.lit(-1)) / BYTES_PER_BLOCK)
+    located = blocked_last(cut_lineage(located), keys, block, ["start", "end", "label"], {"previous": F.col("end")})
     bad = (
         (F.coalesce(F.col("label"), F.lit("")) == "")
         | (F.col("raw_start") < 0)
@@ -331,10 +335,11 @@ def normalize_spans(spans: DataFrame, keys: Iterable[str] = ("request_id",)) ->
         | F.isnan("confidence")
         | F.col("start").isNull()
         | F.col("end").isNull()
-        | F.coalesce(F.col("start") < previous, F.lit(False))
+        | F.coalesce(F.col("start") < F.col("previous"), F.lit(False))
     )
-    flagged = located.withColumn("bad", bad)
-    kept = flagged.withColumn("rejected", F.bool_or("bad").over(whole)).filter(~F.col("rejected"))
+    flagged = cut_lineage(located.withColumn("bad", bad))
+    verdicts = flagged.groupBy(*keys).agg(F.bool_or("bad").alias("rejected"))
+    kept = null_safe_join(flagged, verdicts.where(~F.col("rejected")), keys)
     return kept.select(*keys, "label", "start", "end", "confidence")
 
 

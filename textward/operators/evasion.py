@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import entropy
@@ -312,9 +312,11 @@ def dedupe(findings: DataFrame, allow: Iterable[str] = (), keys: Iterable[str] =
 
 def drop_shown(findings: DataFrame, keys: Iterable[str] = PART_KEYS) -> DataFrame:
     """Structured findings go where their part shows the same subtype in plain sight."""
-    shown = Window.partitionBy(*keys, "category", "subtype")
-    rows = findings.withColumn("_plain", F.bool_or(F.col("evasion_type") == "").over(shown))
-    return rows.filter(~(F.col("_plain") & (F.col("evasion_type") == "structured_json"))).drop("_plain")
+    findings = cut_lineage(findings)
+    place = [*keys, "category", "subtype"]
+    structured = F.col("evasion_type") == "structured_json"
+    shown = findings.where("evasion_type = ''").select(*place).distinct()
+    return findings.where(~structured).unionByName(findings.where(structured).join(shown, place, "left_anti"))
 
 
 def work_budget(items: DataFrame, cfg: EvasionConfig, request: str = "request_id") -> DataFrame:

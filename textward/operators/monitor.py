@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import blocked_row_number
 from ..session import cut_lineage
 
 # Actions and the groups the dashboard counts.
@@ -85,8 +86,9 @@ def breakdown(events: DataFrame, dimensions: Iterable[str], filters: dict[str, s
     for dimension, wanted in filters.items():
         rows = rows.filter((F.col("dimension") != dimension) | (F.col("key") == wanted))
     out = rows.groupBy("dimension", "key").agg(F.sum("n").alias("count"))
-    order = Window.partitionBy("dimension").orderBy(F.desc("count"), "key")
-    return out.withColumn("rank", F.row_number().over(order))
+    # Most values are rare: blocks by the size of the count, the largest first.
+    block = -F.floor(F.log2("count") * 8)
+    return blocked_row_number(out, ["dimension"], block, [F.desc("count"), "key"], "rank")
 
 
 def kpis(events: DataFrame, window: int = MAX_WINDOW) -> DataFrame:

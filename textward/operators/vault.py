@@ -11,11 +11,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hmac_sha256
-from ..functions.ranking import blocked_sums_before
+from ..functions.ranking import PLACE, blocked_row_number, blocked_sums_before, place_block, placed
 from ..functions.scan import explode_rows, matches
 from ..session import cut_lineage
 
@@ -209,9 +209,7 @@ def issue_outcomes(tokens: DataFrame, o: VaultOptions, order: list[str], finish:
     ]
     if not quotas:
         return rows
-    # Places in order, without a window: ranges of the order, and places within each.
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = cut_lineage(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    rows = placed(rows, order)
     spelled = [F.to_json(F.struct(*q.keys)).alias(f"k{i}") for i, q in enumerate(quotas)]
     narrow = rows.where("code = ''").select(F.col("_place").alias("place"), *spelled)
     answers = _stored(narrow, quotas, finish).withColumnRenamed("place", "_place")
@@ -345,10 +343,9 @@ def reidentify(
     )
     hit = wanted.join(records, ["namespace", "token"]).filter(alive)
     # Every look-up of a live record counts as a retrieval, also one that then disagrees.
-    n = F.row_number().over(Window.partitionBy("namespace", "token").orderBy(*keys, "at"))
-    hit = hit.withColumn("n", n)
+    # A token that most texts hold is many blocks.
+    hit = blocked_row_number(placed(hit, [*keys, "at"]), ["namespace", "token"], place_block(), [PLACE], "n").drop(PLACE)
     if max_limit:
-        # No record allows more: a constant bound lets Spark prune hot tokens before the shuffle.
         hit = hit.filter(F.col("n") <= max_limit)
     hit = hit.filter((F.col("limit") <= 0) | (F.col("n") <= F.col("limit")))
     values = hit.filter(agrees).groupBy(*keys).agg(

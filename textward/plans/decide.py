@@ -31,7 +31,23 @@ def findings(spark, folder):
 FOUND = f"{production_sql(PLANTED_SQL)}, found AS (SELECT *, {PROVIDER_SQL} AS provider FROM findings)"
 
 
-@query("policy_rules")
+def _rules_sql() -> str:
+    """The rules of both policies as rows: they are settings, what is counted comes from the texts."""
+
+    def value(v):
+        return "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
+
+    rows = [(p.id, *row) for p in (ACTIVE, LEGACY) for row in P.rule_rows(P.expand_legacy(p))]
+    return ", ".join("(" + ", ".join(value(v) for v in row) + ")" for row in rows)
+
+
+@query(
+    "policy_rules",
+    f"""WITH {FOUND}, r(policy_id, {", ".join(P.RULE_DDL_COLUMNS)}) AS (VALUES {_rules_sql()}),
+seen AS (SELECT category AS c, subtype AS s, count(*) AS n FROM found GROUP BY 1, 2)
+SELECT policy_id, rule, stage, category, subtype, provider, action, CAST(threshold AS DOUBLE) AS threshold, CAST(min_count AS INTEGER) AS min_count,
+  CAST(coalesce(sum(n), 0) AS BIGINT) AS findings FROM r LEFT JOIN seen ON c = category AND (subtype IS NULL OR s = subtype) GROUP BY ALL""",
+)
 def policy_rules(spark, folder):
     """Rule tables of the active and the legacy policy, with the findings each rule names."""
     groups = findings(spark, folder).groupBy("category", "subtype").agg(F.count("*").alias("seen"))
@@ -467,6 +483,29 @@ def restrict_tools(spark, folder):
     )
 
 
+@query(
+    "strip_tools",
+    """WITH t AS (SELECT l_orderkey, l_linenumber, 'fs/read' || l_suppkey % 10 AS a, 'db.' || lower(l_returnflag) || '_' || lower(l_linestatus) AS b FROM lineitem),
+d AS (SELECT DISTINCT l_orderkey, unnest([a, b]) AS tool FROM t)
+SELECT l_orderkey, count(*) AS offered, count(*) FILTER (tool NOT IN ('fs/read3', 'fs/read7', 'db.r_f')) AS kept,
+  coalesce(string_agg(tool, ',' ORDER BY tool) FILTER (tool NOT IN ('fs/read3', 'fs/read7', 'db.r_f')), '') AS tools FROM d GROUP BY 1""",
+)
+def strip_tools(spark, folder):
+    """Orders as requests whose lines offer tools; three of the tools are restricted."""
+    flags = F.concat_ws("_", F.lower("l_returnflag"), F.lower("l_linestatus"))
+    names = F.array(F.concat(F.lit("fs/read"), (F.col("l_suppkey") % 10).cast("string")), F.concat(F.lit("db."), flags))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.explode(names).alias("name"))
+    offered = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.struct("name"))).alias("tools"))
+    left = P.strip_tools(F.col("tools"), ("fs/read3", "fs/read7", "db.r_f"))
+    rows = offered.withColumn("left", left)
+    return rows.select(
+        "l_orderkey",
+        F.size("tools").alias("offered"),
+        F.size("left").alias("kept"),
+        F.array_join(F.transform("left", lambda t: t["name"]), ",").alias("tools"),
+    )
+
+
 ARGS_SQL = """CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN replace(props, '}', ', "mode": "fast"}')
   WHEN 2 THEN replace(props, '}', ', "mode": "odd"}') WHEN 3 THEN replace(props, '}', ', "x": 1}')
   WHEN 4 THEN replace(props, '"k"', '"j"') WHEN 5 THEN replace(props, '}', ', "tags": ["a", "b"]}')

@@ -69,6 +69,47 @@ def redact_text(spark, folder):
     )
 
 
+TOKENS_SQL = f"""{redact_sql(PLANTED_SQL)},
+valued AS (SELECT o.request_id, o.n, o.subtype, o."start", o.char_start, o.char_end, o.value FROM ordered o JOIN kept USING (request_id, n)),
+numbered AS (SELECT request_id, subtype, value, row_number() OVER (PARTITION BY request_id, subtype ORDER BY min("start")) AS ordinal FROM valued GROUP BY 1, 2, 3),
+tokens AS (SELECT v.*, ordinal, subtype || '_' || lpad(CAST(ordinal AS VARCHAR), 3, '0') AS token FROM valued v JOIN numbered USING (request_id, subtype, value))"""
+
+
+@query(
+    "tokenize_all",
+    f"""WITH RECURSIVE {TOKENS_SQL}, gaps AS (SELECT *, coalesce(lag(char_end) OVER (PARTITION BY request_id ORDER BY "start"), 0) AS prev FROM tokens),
+shown AS (SELECT g.request_id, count(*) AS tokens, string_agg(substr(t.text, prev + 1, char_start - prev) || '<' || token || '>', '' ORDER BY "start")
+    || substr(any_value(t.text), max(char_end) + 1) AS text FROM gaps g JOIN texts t USING (request_id) GROUP BY 1)
+SELECT request_id, tokens, sha256(text) AS digest, length(text) AS n_chars FROM shown""",
+)
+def tokenize_all(spark, folder):
+    """Every production detector: documents with findings, their values replaced by numbered tokens."""
+    parts, tokens = T.tokenize_parts(planted_parts(spark, folder), D.PRODUCTION)
+    counted = tokens.groupBy("request_id").agg(F.count("*").alias("tokens"))
+    return parts.join(counted, "request_id").select(
+        "request_id", "tokens", F.sha2("tokenized", 256).alias("digest"), F.length("tokenized").alias("n_chars")
+    )
+
+
+@query(
+    "placeholder_all",
+    f"""WITH RECURSIVE {TOKENS_SQL} SELECT request_id, subtype, count(*) AS placeholders, count(DISTINCT token) AS labels, max(ordinal) AS highest FROM tokens GROUP BY 1, 2""",
+)
+def placeholder_all(spark, folder):
+    """The placeholders of all detectors read back from the tokenized texts."""
+    parts, _ = T.tokenize_parts(planted_parts(spark, folder), D.PRODUCTION)
+    found = V.placeholder_rows(parts.select("request_id", F.col("tokenized").alias("text")), ["request_id"])
+    cut = found.where("valid").select(
+        "request_id",
+        F.regexp_extract("label", "^(.*)_[0-9]+$", 1).alias("subtype"),
+        "label",
+        F.regexp_extract("label", "_([0-9]+)$", 1).cast("long").alias("ordinal"),
+    )
+    return cut.groupBy("request_id", "subtype").agg(
+        F.count("*").alias("placeholders"), F.count_distinct("label").alias("labels"), F.max("ordinal").alias("highest")
+    )
+
+
 # ---- conversations with addresses that repeat over turns -----------------------------------------------
 
 TALK_SQL = """SELECT conv_id AS request_id, CAST(turn AS INTEGER) AS message_index,

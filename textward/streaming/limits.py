@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folds import carry_fold
 from ..functions.timing import micros
-from ..functions.ranking import blocked_last, blocked_row_number, blocked_running_sum
+from ..functions.ranking import PLACE, blocked_last, blocked_row_number, blocked_running_sum, place_block, placed
 
 MICROS = 1_000_000
 EVENTS_PER_BLOCK = 4096
@@ -144,8 +144,8 @@ def token_bucket(
     rows = events.select(
         F.col(key).alias("key"), F.col(event_id).alias("id"), micros(ts).alias("us")
     )
-    hour = F.floor(F.col("us") / (3600 * MICROS))
-    rows = blocked_row_number(rows, ["key"], hour, ["us", "id"], "seq")
+    rows = placed(rows, ["key", "us", "id"])
+    rows = blocked_row_number(rows, ["key"], place_block(), [PLACE], "seq").drop(PLACE)
     rows = rows.withColumn("block", F.floor((F.col("seq") - 1) / size))
     ends = rows.groupBy("key", "block").agg(F.max("us").alias("end_us"))
     per_key = Window.partitionBy("key").orderBy("block")
@@ -183,8 +183,8 @@ def concurrency_sweep(
     marks = rows.select(
         key, event_id, F.explode(F.array(F.struct(F.col("e").alias("us"), F.lit(-1).alias("step")), F.struct(F.col("s").alias("us"), F.lit(1).alias("step")))).alias("m")
     ).select(key, event_id, "m.*")
-    hour = F.floor(F.col("us") / (3600 * MICROS))
-    out = blocked_running_sum(marks, [key], hour, ["us", "step", event_id], F.col("step"), "in_flight")
+    marks = placed(marks, [key, "us", "step", event_id])
+    out = blocked_running_sum(marks, [key], place_block(), [PLACE], F.col("step"), "in_flight")
     return out.filter("step = 1").select(key, event_id, "in_flight", (F.col("in_flight") > limit).alias("over_limit"))
 
 
@@ -199,8 +199,8 @@ def breaker_timeline(
     `outcomes` carries `success`. The failures before an event follow from its number and
     the number of the last success, so nothing is folded in sequence.
     """
-    hour = F.floor(F.unix_timestamp(ts) / 3600)
-    rows = blocked_row_number(outcomes, [key], hour, [ts, event_id], "seq")
+    rows = placed(outcomes, [key, ts, event_id])
+    rows = blocked_row_number(rows, [key], place_block(), [PLACE], "seq").drop(PLACE)
     block = F.floor(F.col("seq") / EVENTS_PER_BLOCK)
     looked = blocked_last(
         rows,
