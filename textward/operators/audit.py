@@ -10,13 +10,12 @@ chain (records, last hash, MAC) shows a missing end, which the records alone can
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import carry_fold
 from ..functions.hashing import hmac_sha256
 from ..functions.ranking import blocked_last, blocked_row_number
 from .vault import bounded_label, principal
@@ -148,16 +147,21 @@ def chain_build(
     numbered = blocked_row_number(events.withColumn("payload", payload), [chain], block, order, "sequence")
     kind = numbered.schema[chain].dataType.simpleString()
 
-    def link(previous: str | None, rows: pd.DataFrame) -> tuple[str, pd.DataFrame]:
-        previous, before, hashes = previous or ZERO, [], []
-        for sequence, text in zip(rows["sequence"], rows["payload"], strict=True):
-            before.append(previous)
-            previous = hashlib.sha256(int(sequence).to_bytes(8, "big") + bytes.fromhex(previous) + (text or "").encode()).hexdigest()
-            hashes.append(previous)
-        return previous, rows.assign(previous=before, record_hash=hashes)[[chain, "sequence", "previous", "record_hash", "payload"]]
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, begun, previous = None, False, ZERO
+        for rows in batches:
+            before, hashes = [], []
+            for own, sequence, text in zip(rows[chain].tolist(), rows["sequence"].tolist(), rows["payload"].tolist(), strict=True):
+                if not begun or (own != current and not (pd.isna(own) and pd.isna(current))):
+                    current, begun, previous = own, True, ZERO
+                before.append(previous)
+                previous = hashlib.sha256(sequence.to_bytes(8, "big") + bytes.fromhex(previous) + (text or "").encode()).hexdigest()
+                hashes.append(previous)
+            yield rows.assign(previous=before, record_hash=hashes)[[chain, "sequence", "previous", "record_hash", "payload"]]
 
     columns = f"{chain} {kind}, sequence long, previous string, record_hash string, payload string"
-    out = carry_fold(numbered.select(chain, "sequence", "payload"), chain, ["sequence"], link, columns)
+    rows = numbered.select(chain, "sequence", "payload").repartition(chain).sortWithinPartitions(chain, "sequence")
+    out = rows.mapInPandas(link, columns)
     return out.withColumn("mac", hmac_sha256(mac_key, F.col("record_hash")))
 
 
