@@ -176,13 +176,14 @@ class Index:
 def integer_vectors(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id and the integers of the vectors that take part.
 
-    Left out: null ids, null vectors, vectors with a null or non-finite component, and those of which a component
-    does not fit 48 bits after scaling. Empty vectors take part; they score 0.
+    Left out: null ids, null vectors, and vectors with a null or non-finite component. A component whose integer
+    does not fit 62 bits is an error, as no score of it would fit the 64 bits of a score. Empty vectors take part; they score 0.
     """
-    scaled = F.transform(F.col(f"`{embedding}`"), lambda x: F.floor(x.cast("double") * QUANTUM))
-    sound = F.coalesce(
-        F.forall(F.col(f"`{embedding}`"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * QUANTUM < float(1 << 48))), F.lit(False)
-    )
+    large = F.raise_error(F.lit("a component does not fit 62 bits after scaling")).cast("long")
+    whole = lambda x: F.when(F.abs(x.cast("double")) * QUANTUM < float(1 << 62), F.floor(x.cast("double") * QUANTUM)).otherwise(large)
+    scaled = F.transform(F.col(f"`{embedding}`"), whole)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+    sound = F.coalesce(F.forall(F.col(f"`{embedding}`"), finite), F.lit(False))
     rows = embeddings.where(F.col(f"`{vec_id}`").isNotNull() & sound)
     return rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), scaled.alias("v"))
 
