@@ -492,14 +492,19 @@ walk(n, day, sustained, acted, action) AS (
     f"WITH RECURSIVE {STATUS_SQL} SELECT 'event_type' AS feature, day, sustained, action FROM walk WHERE n > 0",
 )
 def drift_status(spark, folder):
-    """Each day after the split against the days before it."""
-    events = table(spark, folder, "events").select("ts", "user_id", F.col("event_type").alias("label"))
+    windows = status_windows(spark, folder, F.col("user_id") % 3)
+    return R.drift_status(windows, ["feature"], DRIFT_POLICY).withColumnRenamed("at", "day")
+
+
+def status_windows(spark, folder, scope):
+    """Each day after the split against the days before it, and how many scopes it was seen in."""
+    events = table(spark, folder, "events").select("ts", scope.alias("scope"), F.col("event_type").alias("label"))
     split = F.lit(SPLIT).cast("timestamp")
     base = events.filter(F.col("ts") < split).groupBy("label").agg(F.count("*").alias("b"))
     day = F.date_trunc("day", "ts").alias("at")
     later = events.filter(F.col("ts") >= split)
     current = later.groupBy(day, "label").agg(F.count("*").alias("a"))
-    days = later.select(day, (F.col("user_id") % 3).alias("scope")).groupBy("at").agg(
+    days = later.select(day, "scope").groupBy("at").agg(
         F.count_distinct("scope").alias("scopes")
     )
     # Baseline labels are few; each carries over to every day up to the last one seen.
@@ -510,7 +515,36 @@ def drift_status(spark, folder):
         "at", "label", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b")
     )
     metrics = R.divergence(counts, ["at"]).join(days, "at")
-    windows = metrics.select(
+    return metrics.select(
         F.lit("event_type").alias("feature"), "at", "samples", R.breached(DRIFT_POLICY).alias("breach"), "scopes"
     )
-    return R.drift_status(windows, ["feature"], DRIFT_POLICY).withColumnRenamed("at", "day")
+
+
+ROLLBACK = DRIFT_POLICY | {"auto_rollback": True}
+QUARANTINE = ROLLBACK | {"allow_quarantine": True}
+ROLLBACK_SQL = STATUS_SQL.replace(
+    "row_number() OVER (ORDER BY day) AS n FROM m)",
+    "row_number() OVER (ORDER BY day) AS n, scopes FROM m JOIN sc USING (day))",
+).replace("THEN 'pause_canary' ELSE", "THEN CASE WHEN w.scopes >= 2 THEN 'rollback_champion' ELSE 'pause_canary' END ELSE").replace(
+    "days AS (", f"""sc AS (SELECT date_trunc('day', ts) AS day, count(DISTINCT CASE WHEN day(ts) % 2 = 0 THEN user_id % 3 ELSE 0 END) AS scopes
+  FROM events WHERE ts >= TIMESTAMP '{SPLIT}' GROUP BY 1),
+days AS (""", 1
+)
+
+
+@query(
+    "drift_rollback",
+    f"""WITH RECURSIVE {ROLLBACK_SQL}
+SELECT kind, day, sustained, CASE WHEN kind = 'quarantine' AND action = 'rollback_champion' THEN 'incident_quarantine' ELSE action END AS action
+FROM walk, (VALUES ('rollback'), ('quarantine')) v(kind) WHERE n > 0""",
+)
+def drift_rollback(spark, folder):
+    """Policies that roll back or quarantine on their own once two scopes drift; every other day shows one scope."""
+    scope = F.when(F.dayofmonth("ts") % 2 == 0, F.col("user_id") % 3).otherwise(F.lit(0))
+    windows = cut_lineage(status_windows(spark, folder, scope))
+
+    def acted(kind, policy):
+        rows = R.drift_status(windows, ["feature"], policy)
+        return rows.select(F.lit(kind).alias("kind"), F.col("at").alias("day"), "sustained", "action")
+
+    return acted("rollback", ROLLBACK).unionByName(acted("quarantine", QUARANTINE))
