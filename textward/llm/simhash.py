@@ -428,7 +428,8 @@ def _similar(documents: DataFrame, pairs: DataFrame, shingle: int, similarity: f
     wanted = cut_lineage(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
     texts, _ = _touched(_rows(documents).select("row", "text"), wanted)
     # Repeated rows have equal sets; one of them is enough, and it meets the others where the join puts it.
-    held = texts.join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    # The rows of `wanted` are distinct; a semi join would be pushed below the filter and send all texts.
+    held = texts.join(wanted, "row").dropDuplicates(["row"])
     sets = cut_lineage(shingle_sets(held, shingle).withColumn("size", F.size("shingles")))
     sizes = sets.select("row", "size")
     sized = pairs.join(sizes.toDF("u", "n"), "u").join(sizes.toDF("v", "m"), "v")
@@ -501,7 +502,9 @@ def deduplicated(documents: DataFrame, shingle: int = 5, similarity: float = 0.8
     groups = cut_lineage(near_duplicates(docs, shingle, similarity))
     dropped = cut_lineage(groups.where("row != head").select("row").distinct())
     touched, untouched = _touched(_rows(docs), dropped)
-    left = untouched.unionByName(touched.join(dropped, "row", "left_anti"))
+    # An anti join would be pushed below the filter and send all texts.
+    known = touched.join(dropped.withColumn("gone", F.lit(True)), "row", "left").where("gone IS NULL").drop("gone")
+    left = untouched.unionByName(known)
     if not groups.where("row = head").groupBy("row").count().where("count > 1").isEmpty():
         left = left.dropDuplicates(["row"])
     return left.select(*docs.columns).toDF(*documents.columns)
