@@ -19,8 +19,15 @@ def _checked(rows: Iterable) -> list:
 
 
 def rule_frame(spark: SparkSession, rows: Iterable[tuple], ddl: str) -> DataFrame:
-    """A broadcast frame of at most MAX_RULES configuration rows."""
-    return F.broadcast(spark.createDataFrame(_checked(rows), ddl))
+    """A frame of configuration rows, marked for broadcast up to MAX_RULES of them; joins give the same either way."""
+    rows = list(rows)
+    frame = spark.createDataFrame(rows, ddl)
+    return F.broadcast(frame) if len(rows) <= MAX_RULES else frame
+
+
+def small_side(frame: DataFrame) -> DataFrame:
+    """A given rule table, marked for broadcast if it has at most MAX_RULES rows; reads no more of it to find out."""
+    return F.broadcast(frame) if frame.limit(MAX_RULES + 1).count() <= MAX_RULES else frame
 
 
 def rule_list(rows: Iterable[Mapping], ddl: str) -> Column:

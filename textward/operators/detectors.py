@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..functions.hashing import value_hash
 from ..functions.ranking import blocked_last, blocked_row_number, null_safe_join
+from ..functions.rules import small_side
 from ..functions.scan import Detector, with_findings
 from ..session import cut_lineage
 
@@ -381,15 +382,15 @@ def entity_filter(
 ) -> DataFrame:
     """Provider labels mapped to ours; spans under the label or language minimum are dropped.
 
-    The three rule tables are configuration of a few rows each.
+    The three rule tables are configuration; they are broadcast if their size allows it.
     """
     label = F.coalesce("mapped_label", "provider_label")
     out = (
-        spans.join(F.broadcast(mapping), "provider_label", "left")
+        spans.join(small_side(mapping), "provider_label", "left")
         .withColumn("label", label)
         .drop("provider_label", "mapped_label")
-        .join(F.broadcast(label_minimum), "label", "left")
-        .join(F.broadcast(language_minimum), ["label", "language"], "left")
+        .join(small_side(label_minimum), "label", "left")
+        .join(small_side(language_minimum), ["label", "language"], "left")
     )
     floor = F.greatest(F.coalesce("label_min", F.lit(0.0)), F.coalesce("language_min", F.lit(0.0)))
     return out.filter(F.col("confidence") >= floor).drop("language_min", "label_min")

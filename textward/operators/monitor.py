@@ -197,6 +197,17 @@ def counters(decisions: DataFrame, findings: DataFrame, mode: str, request: str
     return out
 
 
+def stream_counters(released: DataFrame, stream: str = "stream_id") -> DataFrame:
+    """Counters of released streams (`released`, `terminated`): streams by what became of them, transformations by subtype."""
+    ends = released.groupBy(stream).agg(F.bool_or("terminated").alias("over"))
+    actions = ends.groupBy(F.when(F.col("over"), "terminate").otherwise("release").alias("label")).agg(F.count(F.lit(1)).alias("value"))
+    marks = F.regexp_extract_all("released", F.lit(r"\[REDACTED:([A-Z0-9_]+)\]"), F.lit(1))
+    changed = released.select(F.explode(marks).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("value"))
+    return actions.select(F.lit("stream_actions").alias("counter"), "label", "value").unionByName(
+        changed.select(F.lit("transformations").alias("counter"), "label", "value")
+    )
+
+
 def latency_histogram(rows: DataFrame, value: str, bounds: Iterable[float], *keys: str) -> DataFrame:
     """Cumulative counts per upper bound, `+Inf` included, in one aggregation."""
     bounds = list(bounds)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import micros
 from ..operators import detectors as D
+from ..operators import monitor as M
+from ..session import cut_lineage
 from ..sources.planted import PLANTED_SQL, planted_parts
 from ..sources.tables import table
 from ..streaming import deltas as S
@@ -128,6 +130,16 @@ def stream_holdback(spark, folder):
     return whole.select("stream_id", F.sha2("text", 256).alias("digest"), F.length("text").alias("n_chars"), "terminated")
 
 
+@query(
+    "counters_streams",
+    f"""WITH RECURSIVE {redact_sql(STREAMED_SQL)}
+SELECT 'transformations' AS counter, subtype AS label, count(*) AS value FROM ordered JOIN kept USING (request_id, n) GROUP BY 2
+UNION ALL SELECT 'stream_actions', CASE WHEN request_id % 5 = 1 THEN 'terminate' ELSE 'release' END, count(*) FROM texts GROUP BY 2""",
+)
+def counters_streams(spark, folder):
+    return M.stream_counters(cut_lineage(S.stream_release(stream_deltas(spark, folder), D.PRODUCTION, chunk=4000, limit=HOLD)))
+
+
 # ---- limits -------------------------------------------------------------------------------------------------
 
 RATE, BURST = 2, 3

@@ -27,6 +27,8 @@ SCOPE_RANK = {
 STRENGTH = {"disable": 4, "require_human_review": 4, "isolate": 3, "throttle": 2, "observe": 1}
 PROBATION_SCOPES = ("provider", "route", "tool", "server")
 SEEN = 32
+#: Cells that the requests of one key and hour are dealt to.
+SALTS = 16
 MICROS = 1_000_000
 
 
@@ -199,12 +201,14 @@ def quarantine_check(
         lambda x: x["key"].isNotNull(),
     )
     asked = requests.select(request, F.col(at).alias("at"), F.explode(offered).alias("s")).select(request, "at", "s.*")
-    asked = asked.withColumn("cell", F.floor(F.unix_timestamp("at") / 3600))
+    # A provider's busy hour is a few cells: intervals are few, and each stands in all of them.
+    asked = asked.withColumn("cell", F.floor(F.unix_timestamp("at") / 3600)).withColumn("salt", F.pmod(F.xxhash64(request), F.lit(SALTS)))
     tail = F.when(F.col("scope").isin(*PROBATION_SCOPES), probation_seconds).otherwise(0)
     until = F.unix_timestamp("expires_at") + tail
     cells = F.sequence(F.floor(F.unix_timestamp("started_at") / 3600), F.floor(until / 3600))
     spread = intervals.withColumn("tail", tail).withColumn("cell", F.explode(cells))
-    hit = asked.join(spread, ["key", "scope", "cell"]).filter(
+    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = asked.join(spread, ["key", "scope", "cell", "salt"]).filter(
         (F.col("at") >= F.col("started_at"))
         & (micros("at") < micros("expires_at") + F.col("tail") * MICROS)
     )
