@@ -35,6 +35,9 @@ from . import textbatch as tb
 CAPACITY = 1024
 END = 2
 GROUPS = 200
+STALE = 20
+#: Rounds after which the inverse of the basis, updated in each, is computed anew.
+REFRESH = 100
 SMALL = 1 / 4
 BLOCKS = 64
 #: Words whose ids a worker remembers at most.
@@ -220,56 +223,68 @@ def grouped(counts: np.ndarray, low: int, groups: int) -> np.ndarray:
     return size
 
 
-def _best_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int, most: np.ndarray) -> tuple[float, np.ndarray]:
-    """The configuration of highest total price that fits: how many of each size."""
-    value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    for c in range(capacity + 1):
-        fits = np.flatnonzero(sizes <= c)
-        if len(fits):
-            got = value[c - sizes[fits]] + prices[fits]
-            k = int(np.argmax(got))
-            if got[k] > value[c - 1] + 1e-12 if c else got[k] > 0:
-                value[c], choice[c] = got[k], fits[k]
-                continue
-        if c:
-            value[c] = value[c - 1]
-    out = np.zeros(len(sizes), np.int64)
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            out[choice[c]] += 1
-            c -= sizes[choice[c]]
-    return float(value[capacity]), out
-
-
-def configurations(sizes: np.ndarray, wanted: np.ndarray, capacity: int, rounds: int = 600) -> list[tuple[np.ndarray, int]]:
-    """(how many of each size, uses) covering exactly `wanted` pieces of each size.
+def _best_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of highest total price that fits: how many of each size.
 
-    Column generation on the covering program, kept as a basis of as many configurations as
-    sizes; whole parts of the uses are taken, the rest is packed greedily, largest first.
+    Size by size, over stretches of that size: each stretch builds on the one before, so a size may come any number of times.
+    """
+    value = np.zeros(capacity + 1)
+    paying = np.flatnonzero(prices > 0)
+    for k in paying.tolist():
+        size, price = int(sizes[k]), prices[k]
+        for c in range(size, capacity + 1, size):
+            stop = min(c + size, capacity + 1)
+            np.maximum(value[c:stop], value[c - size : stop - size] + price, out=value[c:stop])
+    out, c = np.zeros(len(sizes), np.int64), capacity
+    while value[c] > 1e-9:
+        fits = paying[sizes[paying] <= c]
+        k = int(fits[np.argmax(value[c - sizes[fits]] + prices[fits])])
+        out[k] += 1
+        c -= int(sizes[k])
+    return float(prices @ out), out
+
+
+def covering(sizes: np.ndarray, wanted: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Configurations (columns), their fractional uses, and the price of each size: the optimum of the covering program.
+
+    Column generation until no configuration pays. Of exchanges that change nothing, `STALE` for each size
+    are made in a row before the program counts as settled.
     """
     m = len(sizes)
-    if not m:
-        return []
     basis = np.diag(capacity // sizes).astype(float)
     uses = wanted / np.diag(basis)
-    for _ in range(rounds):
-        prices = np.linalg.solve(basis.T, np.ones(m))
-        gain, column = _best_configuration(sizes, prices, capacity, wanted)
-        if gain <= 1 + 1e-7:
-            break
-        step = np.linalg.solve(basis, column.astype(float))
+    least, stale, rounds = uses.sum(), 0, 0
+    while True:
+        if rounds % REFRESH == 0:
+            inverse = np.linalg.inv(basis)
+        rounds += 1
+        prices = inverse.sum(axis=0)
+        gain, column = _best_configuration(sizes, prices, capacity)
+        step = inverse @ column
         up = step > 1e-9
-        if not up.any():
-            break
+        if gain <= 1 + 1e-7 or stale >= STALE * m or not up.any():
+            return basis, uses, prices
         ratio = np.where(up, uses / np.where(up, step, 1), np.inf)
         leave = int(np.argmin(ratio))
         uses = np.maximum(uses - ratio[leave] * step, 0)
         uses[leave] = ratio[leave]
         basis[:, leave] = column
+        row = inverse[leave] / step[leave]
+        inverse -= np.outer(step, row)
+        inverse[leave] = row
+        stale = 0 if uses.sum() < least * (1 - 1e-12) else stale + 1
+        least = min(least, uses.sum())
+
+
+def configurations(sizes: np.ndarray, wanted: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """(how many of each size, uses) covering exactly `wanted` pieces of each size.
+
+    Whole parts of the uses in the covering program are taken, the rest is packed greedily, largest first.
+    """
+    m = len(sizes)
+    if not m:
+        return []
+    basis, uses, _ = covering(sizes, wanted, capacity)
     plan, left = [], wanted.astype(np.int64).copy()
     for j in np.argsort(-uses):
         held = basis[:, j].astype(np.int64)
