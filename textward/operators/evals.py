@@ -377,12 +377,20 @@ def inclusion_proofs(rows: DataFrame, tree: DataFrame, columns: Iterable[str], k
     """`keep` columns with `proof`: the children lists from the row's range up to the root; NULL if the tree lacks the range."""
     keep = list(keep)
     levels = [r[0] for r in tree.select("level").distinct().orderBy("level").collect()]
-    out = rows.select(*keep, row_digest(columns).alias("_digest"))
+    # The way up is made once per range, so rows travel once and without the lists.
+    ways, above = None, 0
     for level in levels:
-        nodes = tree.where(F.col("level") == level).select(F.col("name").alias("_name"), F.col("children").alias(f"_c{level}"))
-        out = out.join(nodes, F.left("_digest", F.lit(level)) == F.col("_name"), "left").drop("_name")
-    steps = F.array(*[F.col(f"_c{level}") for level in reversed(levels)])
-    whole = F.when(F.forall(steps, lambda s: s.isNotNull()), steps)
+        nodes = tree.where(F.col("level") == level).select(F.col("name").alias("_name"), F.array("children").alias("_way"))
+        if ways is not None:
+            upper = ways.select(F.col("_name").alias("_upper"), F.col("_way").alias("_rest"))
+            nodes = nodes.join(upper, F.left("_name", F.lit(above)) == F.col("_upper"), "left")
+            nodes = nodes.select("_name", F.concat("_way", "_rest").alias("_way"))
+        ways, above = nodes, level
+    out = rows.select(*keep, row_digest(columns).alias("_digest"))
+    if ways is None:
+        whole = F.lit(None).cast(f"array<{CHILD}>")
+    else:
+        out, whole = out.join(ways, F.left("_digest", F.lit(above)) == F.col("_name"), "left"), F.col("_way")
     return out.select(*keep, F.col("_digest").alias("row_digest"), whole.alias("proof"))
 
 
