@@ -107,11 +107,10 @@ def stream_deltas(spark, folder):
     closed = F.concat(begin, F.repeat(digest, 188), F.lit("\n-----END RSA PRIVATE KEY----- | end"))
     tail = F.when(rid % 5 == 0, closed).when(rid % 5 == 1, F.concat(begin, F.repeat(digest, 300))).otherwise("")
     rows = rows.select(rid.alias("stream_id"), F.concat("text", tail).alias("text"), (rid * 7919 % 997 + 16).cast("int").alias("size"))
-    count = F.ceil(F.length("text") / F.col("size")).cast("int")
-    cut = rows.select("stream_id", "text", "size", F.explode(F.sequence(F.lit(0), count - 1)).alias("seq"))
-    return cut.select(
-        "stream_id", F.col("seq").cast("long").alias("seq"), F.substr("text", F.col("seq") * F.col("size") + 1, F.col("size")).alias("data")
-    )
+    # One pass over a text makes all its deltas.
+    pieces = F.regexp_extract_all("text", F.concat(F.lit("(?s).{1,"), F.col("size").cast("string"), F.lit("}")), F.lit(0))
+    cut = rows.select("stream_id", F.posexplode(pieces).alias("seq", "data"))
+    return cut.select("stream_id", F.col("seq").cast("long").alias("seq"), "data")
 
 
 @query(

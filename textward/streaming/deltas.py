@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_walk import string_leaves
-from ..functions.ranking import blocked_running_sum
+from ..functions.ranking import blocked_running_sum, null_safe_join
 from ..functions.scan import Detector, finding_array
 from ..operators.transform import span_plan
 from ..session import cut_lineage
@@ -256,14 +256,18 @@ def stream_parts(
     kind = dict(deltas.dtypes)[stream]
     rows = cut_lineage(_blocks(deltas, stream, max(block_chars, 4 * limit)))
     place = [stream, "block"]
-    dealt = rows.repartition(*place).sortWithinPartitions(*place, "seq")
+    places = rows.select(*place).distinct()
+    last = places.groupBy(stream).agg(F.max("block").alias("last"))
+    # Only what a block gives to a successor is looked for; most streams are one block.
+    long = last.where("last > 0")
+    dealt = null_safe_join(rows, long, [stream]).where("block < last").drop("last").repartition(*place).sortWithinPartitions(*place, "seq")
     tails = cut_lineage(dealt.mapInPandas(_ends(rules, limit, stream), f"{stream} {kind}, block long, tail string"))
-    last = tails.groupBy(stream).agg(F.max("block").alias("last"))
-    ends = tails.join(last, stream)
     no_seq = F.lit(None).cast("long").alias("seq")
-    first = ends.where("block < last").select(stream, (F.col("block") + 1).alias("block"), no_seq, F.col("tail").alias("data"), F.lit(FIRST).alias("mark"))
-    left = F.when(F.col("block") < F.col("last"), F.length("tail")).otherwise(0).cast("string")
-    close = ends.select(stream, "block", no_seq, left.alias("data"), F.lit(LAST).alias("mark"))
+    first = tails.select(stream, (F.col("block") + 1).alias("block"), no_seq, F.col("tail").alias("data"), F.lit(FIRST).alias("mark"))
+    left = F.coalesce(F.length("tail"), F.lit(0)).cast("string")
+    of = tails.select(F.col(stream).alias("_of"), F.col("block").alias("_block"), "tail")
+    close = places.join(of, F.col(stream).eqNullSafe(F.col("_of")) & (F.col("block") == F.col("_block")), "left")
+    close = close.select(stream, "block", no_seq, left.alias("data"), F.lit(LAST).alias("mark"))
     marked = rows.withColumn("mark", F.lit(DELTA)).unionByName(first).unionByName(close)
     dealt = marked.repartition(*place).sortWithinPartitions(*place, "mark", "seq")
     return dealt.mapInPandas(_parts(rules, limit, chunk, stream), f"{stream} {kind}, block long, part long, own string, over boolean")
