@@ -58,6 +58,8 @@ COUNTERS, SEGMENT = 1 << 20, 1 << 16
 #: Texts of one shingle that meet in one piece, about; and pairs that are looked at in one array.
 PIECE = 4_096
 PAIRS = 1_000_000
+#: Marks that a set of shingles has for each of them at least.
+MARKS = 4
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Every second bit, and every second pair of bits, of half a fingerprint; a one in each segment.
 _PAIRS, _FOURS, _ONES = 0x55555555, 0x33333333, 0x1111111111111111
@@ -246,6 +248,45 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(scan, "row long, shingles array<long>")
 
 
+def _marks(distinct: np.ndarray) -> np.ndarray:
+    """A bit for the low bits of each hash, in a power of two of longs; larger marks fold to smaller ones."""
+    bits = 64 << max(0, -(-MARKS * len(distinct) // 64) - 1).bit_length()
+    marks = np.zeros(bits, bool)
+    marks[(distinct & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").view("<i8")
+
+
+def shingle_marks(rows: DataFrame, shingle: int) -> DataFrame:
+    """row, the number of distinct shingles of its text, and their marks."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in tb.slices(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array([_marks(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["row", "size", "marks"])
+
+    return rows.select("row", "text").mapInArrow(scan, "row long, size int, marks array<long>")
+
+
+def most_common(a: str, b: str, n: str, m: str) -> Column:
+    """Shingles that sets of `n` and `m` with marks `a` and `b` have in common at most: a mark that only one has is a shingle that only one has."""
+
+    def folded(x: str, y: str) -> Column:
+        small = F.size(y)
+        every = F.transform(
+            F.sequence(F.lit(0), small - 1),
+            lambda i: F.aggregate(F.sequence(i, F.size(x) - 1, small), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseOR(F.get(x, j))),
+        )
+        return F.when(F.size(x) > small, every).otherwise(F.col(x))
+
+    def alone(x: Column, y: Column) -> Column:
+        own = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(own, F.lit(0), lambda acc, k: acc + k)
+
+    x, y = folded(a, b), folded(b, a)
+    return F.least(F.col(n) - alone(x, y), F.col(m) - alone(y, x))
+
+
 def _sample_candidates(classes: DataFrame) -> DataFrame:
     """u, v: each text with the one that stands for its group, for every group of equal samples."""
     members = classes.select("row", "fp", F.posexplode("samples").alias("t", "sample"))
@@ -422,24 +463,31 @@ def _prefix_candidates(documents: DataFrame, known: DataFrame, shingle: int, sim
 def _similar(documents: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs of rows whose exact similarity is large enough, as a written table.
 
-    Sizes alone rule out many pairs; they are joined first. Then the sets go to the pairs, and of the sets at the `u` ends,
-    which are few, only these.
+    Sizes alone rule out many pairs, marks of a few bits a shingle nearly all others. Only then the sets go to the pairs,
+    and of the sets at the `u` ends, which are few, only these.
     """
+    rows = _rows(documents).select("row", "text")
     wanted = cut_lineage(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
-    texts, _ = _touched(_rows(documents).select("row", "text"), wanted)
-    # Repeated rows have equal sets; one of them is enough, and it meets the others where the join puts it.
-    # The rows of `wanted` are distinct; a semi join would be pushed below the filter and send all texts.
-    held = texts.join(wanted, "row").dropDuplicates(["row"])
-    sets = cut_lineage(shingle_sets(held, shingle).withColumn("size", F.size("shingles")))
-    sizes = sets.select("row", "size")
+    texts, _ = _touched(rows, wanted)
+    # Repeated rows have equal sets; one of them is enough.
+    marks = cut_lineage(shingle_marks(texts, shingle).join(wanted, "row").dropDuplicates(["row"]))
+    sizes = marks.select("row", "size")
     sized = pairs.join(sizes.toDF("u", "n"), "u").join(sizes.toDF("v", "m"), "v")
-    close = cut_lineage(sized.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6).select("u", "v"))
+    alike = cut_lineage(sized.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6).select("u", "v"))
+    marked = alike.join(marks.toDF("u", "n", "a"), "u").join(marks.toDF("v", "m", "b"), "v").select("u", "v", "n", "m", most_common("a", "b", "n", "m").alias("most"))
+    close = cut_lineage(marked.where(F.col("most") >= similarity * (F.col("n") + F.col("m") - F.col("most")) - 1e-6).select("u", "v"))
+    free(wanted, marks, alike)
+
+    ends = cut_lineage(close.select(F.col("u").alias("row")).union(close.select("v")).distinct())
+    texts, _ = _touched(rows, ends)
+    # The rows of `ends` are distinct; a semi join would be pushed below the filter and send all texts.
+    sets = cut_lineage(shingle_sets(texts.join(ends, "row").dropDuplicates(["row"]), shingle))
     heads = close.select(F.col("u").alias("row")).distinct()
-    firsts, _ = _touched(sets.select("row", "shingles"), heads)
-    both = close.join(firsts.toDF("u", "a"), "u").join(sets.select("row", "shingles").toDF("v", "b"), "v")
+    firsts, _ = _touched(sets, heads)
+    both = close.join(firsts.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     common = F.size(F.array_intersect("a", "b"))
     found = cut_lineage(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
-    free(wanted, sets, close)
+    free(ends, sets, close)
     return found
 
 
