@@ -134,7 +134,8 @@ def grid_pairs(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """u < v: the pairs of different fingerprints within `radius` (at most 2) differing bits.
 
     `distinct` has one long column fp without repeats. Neighbouring counts stay inside their
-    four bits: counts run from 1 to 5, and one step leaves them between 0 and 6.
+    four bits: counts run from 1 to 5, and one step leaves them between 0 and 6. There are 33 cells a fingerprint,
+    of which Spark's estimate knows nothing, so it is told not to broadcast them.
     """
     if radius > 2:
         raise ValueError("two cells next to each other reach two differing bits")
@@ -144,7 +145,7 @@ def grid_pairs(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
     a = cells.select("cell", F.col("fp").alias("u"))
     b = cells.select("cell", F.col("fp").alias("v"))
-    near = a.join(b, (a.cell == b.cell) & (F.col("u") < F.col("v")) & (differing(F.col("u"), F.col("v")) <= radius))
+    near = a.join(b.hint("merge"), (a.cell == b.cell) & (F.col("u") < F.col("v")) & (differing(F.col("u"), F.col("v")) <= radius))
     return near.select("u", "v").distinct()
 
 
