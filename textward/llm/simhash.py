@@ -299,7 +299,8 @@ def _sample_candidates(classes: DataFrame) -> DataFrame:
     for bit in bits[1:]:
         centre = centre.bitwiseOR(bit)
     centres = shared.select("t", "sample", centre.alias("centre"))
-    inside = cut_lineage(members.join(centres, ["t", "sample"]).select("t", "sample", "row", differing(F.col("fp"), F.col("centre")).alias("off")))
+    # Spark sizes the samples of a text as one row; neither side is for broadcasting by that estimate.
+    inside = cut_lineage(members.join(centres.hint("merge"), ["t", "sample"]).select("t", "sample", "row", differing(F.col("fp"), F.col("centre")).alias("off")))
     heads = inside.groupBy("t", "sample").agg(F.min(F.struct("off", "row")).alias("head"))
     return inside.join(heads, ["t", "sample"]).select(F.col("head.row").alias("u"), F.col("row").alias("v"))
 
